@@ -26,3 +26,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     into a broadcast or split for skew at run time.
     """
     return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on same-named key columns where NULL matches NULL.
+
+    The right side's keys are renamed and dropped after the join, so the
+    result has one copy of each key (the left one).
+    """
+    keys = list(keys)
+    r = right.select([F.col(k).alias(f"_q_rk_{k}") for k in keys]
+                     + [c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(r[f"_q_rk_{k}"]) for k in keys]
+    return left.join(r, cond, how).drop(*[f"_q_rk_{k}" for k in keys])
