@@ -166,6 +166,23 @@ def _kmeans_numpy(x: np.ndarray, k: int, seed: int, iters: int = 20) -> np.ndarr
     return centres
 
 
+def _largest_remainder(sizes: dict, total: int) -> dict:
+    n = sum(sizes.values())
+    total = min(total, n)
+    exact = {b: total * c / n for b, c in sizes.items()}
+    alloc = {b: min(sizes[b], int(math.floor(v))) for b, v in exact.items()}
+    rest = total - sum(alloc.values())
+    order = sorted(sizes, key=lambda b: (-(exact[b] - math.floor(exact[b])), b))
+    i = 0
+    while rest > 0:
+        b = order[i % len(order)]
+        if alloc[b] < sizes[b]:
+            alloc[b] += 1
+            rest -= 1
+        i += 1
+    return alloc
+
+
 def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: int = 5,
                         max_driver_k: int = MAX_DRIVER_K, bucket_rows: int = 50_000) -> DataFrame:
     """Replace the majority rows by N cluster centres, N = minority size,
@@ -193,19 +210,26 @@ def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: in
     else:
         n_maj = majority.count()
         buckets = max(1, math.ceil(n_maj / bucket_rows))
-        share = n_min / n_maj
         label_type = dict(df.dtypes)[y]
+        bucketed = majority.withColumn("_q_b", F.pmod(stable_hash(str(seed), F.col(key)), F.lit(buckets)))
+        # one row per bucket: split N over the buckets by largest remainder,
+        # so the shares add up to exactly N and no bucket gets more centres
+        # than rows
+        sizes = {r[0]: r[1] for r in bucketed.groupBy("_q_b").count().collect()}
+        alloc = _largest_remainder(sizes, int(n_min))
 
         def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+            kk = alloc.get(int(pdf["_q_b"].iloc[0]), 0)
+            if kk == 0:
+                return pd.DataFrame({key: pd.Series([], dtype="Int64"), features: [],
+                                     y: pd.Series([], dtype=pdf[y].dtype), "kind": []})
             x = np.stack(pdf[features].to_numpy())
-            kk = max(1, min(len(x), int(round(len(x) * share))))
             c = _kmeans_numpy(x, kk, seed)
             return pd.DataFrame({key: pd.Series([None] * kk, dtype="Int64"),
                                  features: list(c), y: pdf[y].iloc[0], "kind": "centre"})
 
-        centres = (majority.withColumn("_q_b", F.pmod(stable_hash(str(seed), F.col(key)), F.lit(buckets)))
-                   .groupBy("_q_b", y)
-                   .applyInPandas(per_bucket, f"{key} long, {features} array<double>, {y} {label_type}, kind string"))
+        centres = bucketed.groupBy("_q_b", y).applyInPandas(
+            per_bucket, f"{key} long, {features} array<double>, {y} {label_type}, kind string")
     return minority.unionByName(centres.select(key, features, y, "kind"))
 
 
