@@ -41,3 +41,25 @@ def round_cols(df: DataFrame, digits: int, cols=None) -> DataFrame:
     names = cols if cols is not None else [
         f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     return df.withColumns({c: F.round(F.col(c), digits) for c in names})
+
+
+def scalar_struct(agg: DataFrame) -> Column:
+    """All columns of a one-row DataFrame as ONE scalar subquery (a struct).
+
+    Read fields with ``s[name]``; every field shares the same subquery, so
+    the input of ``agg`` is scanned once however many fields are used.
+    """
+    return agg.select(F.struct(*agg.columns).alias("_q_s")).scalar()
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small aggregated table that several branches of
+    a plan read, so the large input behind it is scanned once.
+
+    Uses a reliable ``checkpoint()`` into the shared checkpoint folder (it
+    survives a lost executor); only use it for tables whose size is bounded
+    by groups or periods, not by rows.
+    """
+    from quarry.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

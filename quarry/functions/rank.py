@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import col_of
+from quarry.functions.joins import bounded_broadcast
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -36,6 +37,7 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "rank") -> DataFrame:
     before = Window.orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_q_pid", "_q_m0", F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_off"))
+    # one row per sorted partition: bounded by the partition count
     out = tagged.join(F.broadcast(offsets), "_q_pid")
     rank = F.col("_q_off") + F.col("_q_mid") - F.col("_q_m0") + F.lit(1)
     return out.withColumn(rank_col, rank.cast("long")).drop("_q_pid", "_q_mid", "_q_m0", "_q_off")
@@ -46,13 +48,15 @@ def rank_within(df: DataFrame, group_cols, order_cols, rank_col: str = "rank") -
 
     A single global sort on (group, order) spreads a hot group over many
     range partitions; the group's first global rank (one row per group) is
-    subtracted afterwards.
+    subtracted afterwards.  The table of group starts (one row per group)
+    is broadcast when it is proven small (classes, anchors), so the ranked
+    rows are not shuffled again; with unbounded groups it is a shuffle join.
     """
     group_cols = list(group_cols)
     ranked = global_rank(df, group_cols + list(order_cols), "_q_grank")
     starts = ranked.groupBy(*group_cols).agg(F.min("_q_grank").alias("_q_gstart"))
-    starts = starts.select([F.col(c).alias(f"_q_g{i}") for i, c in enumerate(group_cols)]
-                           + ["_q_gstart"])
+    starts = bounded_broadcast(starts.select([F.col(c).alias(f"_q_g{i}") for i, c in enumerate(group_cols)]
+                                             + ["_q_gstart"]))
     # NULL group keys form a group of their own, so match them null-safely.
     cond = [ranked[c].eqNullSafe(starts[f"_q_g{i}"]) for i, c in enumerate(group_cols)]
     out = ranked.join(starts, cond, "inner")

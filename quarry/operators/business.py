@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import stable_hash
+from quarry.functions.expr import materialize_small, stable_hash
+from quarry.functions.joins import bounded_broadcast
 
 from quarry.functions.pvalues import normal_two_sided, t_p_value  # noqa: F401
 from quarry.functions.rank import global_rank, rank_within
@@ -111,8 +112,8 @@ def active_time_trend(events: DataFrame, user: str, duration: str, ts: str, grai
         per_user = per_user.withColumn("_q_g", F.coalesce(F.col("_q_g").cast("string"), F.lit("UNKNOWN")))
     else:
         per_user = per_user.withColumn("_q_g", F.lit("ALL"))
-    cells = per_user.groupBy("period", "_q_g").agg(
-        F.count(F.lit(1)).alias("_q_users"), F.sum("_q_t").alias("_q_total"))
+    cells = materialize_small(per_user.groupBy("period", "_q_g").agg(
+        F.count(F.lit(1)).alias("_q_users"), F.sum("_q_t").alias("_q_total")))
     # every table from here on has one row per (period, group): small
     periods = cells.groupBy("period").agg(F.sum("_q_users").alias("users"),
                                           F.sum("_q_total").alias("total"))
@@ -228,7 +229,7 @@ def user_sequence(events: DataFrame, user: str, order_cols, kind: str):
     no per-user window.  ``transitions`` is (from_kind, to_kind, n).
     """
     ranked = global_rank(events.select(user, *order_cols, kind), [user] + list(order_cols), "_q_r")
-    starts = ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0"))
+    starts = bounded_broadcast(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0")))
     positions = ranked.join(starts, user).withColumn(
         "pos", F.col("_q_r") - F.col("_q_r0") + 1).drop("_q_r0")
     nxt = ranked.select(F.col(user).alias("_q_nu"), (F.col("_q_r") - 1).alias("_q_r"),
@@ -254,6 +255,7 @@ def item_cooccurrence(lines: DataFrame, basket: str, item: str, anchors: int, to
     n_baskets = bi.select("_q_b").distinct().agg(F.count(F.lit(1))).scalar()
     freq = bi.groupBy("_q_i").agg(F.count(F.lit(1)).alias("_q_n"))
     top = freq.orderBy(F.col("_q_n").desc(), F.col("_q_i")).limit(anchors)  # top-k report
+    # at most ``anchors`` rows (a LIMIT): a proven bound
     top = F.broadcast(top.select(F.col("_q_i").alias("anchor"), F.col("_q_n").alias("n_anchor")))
     with_anchor = bi.join(top, F.col("_q_i") == F.col("anchor")).select(
         F.col("_q_b"), "anchor", "n_anchor")

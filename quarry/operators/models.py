@@ -15,26 +15,25 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.expr import scalar_struct
 from quarry.functions.vectors import as_array, as_vector, unit_from_hash
 
 
 def standardise(df: DataFrame, cols, kind: str = "zscore", suffix: str | None = None) -> DataFrame:
     """Z-score ((x - mean) / sample sd) or min-max ((x - min) / (max - min)).
 
-    The statistics are scalar subqueries over one aggregate, which the
-    optimizer merges into a single pass; no join.
+    The statistics are one aggregate read back as a single scalar subquery
+    (one pass over the input); no join.
     """
     suffix = suffix or ("_z" if kind == "zscore" else "_mm")
     if kind == "zscore":
-        stats = df.agg(*[F.avg(c).alias(f"a_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols])
-        exprs = {f"{c}{suffix}": (F.col(c) - stats.select(f"a_{c}").scalar()) / stats.select(f"s_{c}").scalar()
-                 for c in cols}
+        st = scalar_struct(df.agg(*[F.avg(c).alias(f"a_{c}") for c in cols],
+                                  *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]))
+        exprs = {f"{c}{suffix}": (F.col(c) - st[f"a_{c}"]) / st[f"s_{c}"] for c in cols}
     elif kind == "minmax":
-        stats = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols])
-        exprs = {}
-        for c in cols:
-            lo, hi = stats.select(f"lo_{c}").scalar(), stats.select(f"hi_{c}").scalar()
-            exprs[f"{c}{suffix}"] = (F.col(c) - lo) / (hi - lo)
+        st = scalar_struct(df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
+                                  *[F.max(c).alias(f"hi_{c}") for c in cols]))
+        exprs = {f"{c}{suffix}": (F.col(c) - st[f"lo_{c}"]) / (st[f"hi_{c}"] - st[f"lo_{c}"]) for c in cols}
     else:
         raise ValueError("kind must be 'zscore' or 'minmax'")
     return df.withColumns(exprs)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import col_of, typed_literal
+from quarry.functions.expr import col_of, scalar_struct, typed_literal
 from quarry.functions.joins import bounded_broadcast
 from quarry.functions.rank import global_rank
 
@@ -227,9 +227,8 @@ def in_subquery(df: DataFrame, column: str, sub: DataFrame, negate: bool = False
     x = F.col(column)
     if not negate:
         return df.join(values, x == F.col("_q_in"), "left_semi")
-    stats = values.agg(F.count(F.lit(1)).alias("n"), F.count("_q_in").alias("nn"))
-    n = stats.select("n").scalar()
-    nn = stats.select("nn").scalar()
+    stats = scalar_struct(values.agg(F.count(F.lit(1)).alias("n"), F.count("_q_in").alias("nn")))
+    n, nn = stats["n"], stats["nn"]
     keep = (n == 0) | (x.isNotNull() & (nn == n))
     return df.filter(keep).join(values.filter(F.col("_q_in").isNotNull()),
                                 x == F.col("_q_in"), "left_anti")
@@ -240,18 +239,15 @@ def compare_all_any(df: DataFrame, column: str, op: str, sub: DataFrame,
     """``x op ALL (S)`` / ``x op ANY (S)`` for op in > >= < <=.
 
     Spark SQL has no quantified comparison.  S is reduced to one row
-    (rows, NULLs, max, min), read back as scalar subqueries - no join:
+    (rows, NULLs, max, min), read back as one scalar subquery - no join:
       x > ALL S  <=> n = 0 OR (nulls = 0 AND x > max)   [NULL if unknown]
       x > ANY S  <=> x > max over the non-NULL values (NULL when only NULLs
                      could make it true; false when S is empty).
     """
     v = sub.columns[0]
-    stats = sub.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(v)).alias("nn"),
-                    F.max(v).alias("mx"), F.min(v).alias("mn"))
-    n = stats.select("n").scalar()
-    nn = stats.select("nn").scalar()
-    mx = stats.select("mx").scalar()
-    mn = stats.select("mn").scalar()
+    stats = scalar_struct(sub.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(v)).alias("nn"),
+                                  F.max(v).alias("mx"), F.min(v).alias("mn")))
+    n, nn, mx, mn = stats["n"], stats["nn"], stats["mx"], stats["mn"]
     x = F.col(column)
     greater = op in (">", ">=")
     cmp = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.expr import materialize_small
 from quarry.functions.joins import bounded_broadcast, has_at_most
 from quarry.functions.pvalues import chi2_p_value, t_p_value
 from quarry.functions.scan import running_sum
@@ -24,8 +25,9 @@ def bayes_posterior(df: DataFrame, a: str, b: str) -> DataFrame:
     Returns (a, b, n, prior, likelihood, evidence, posterior); posterior =
     prior * likelihood / evidence = n(a,b) / n(b).
     """
-    pairs = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # one row per observed (a, b): small, and read by three branches below
+    pairs = materialize_small(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
+    total = pairs.agg(F.sum("n")).scalar()
     per_a = pairs.groupBy(a).agg(F.sum("n").alias("_q_na"))
     per_b = pairs.groupBy(b).agg(F.sum("n").alias("_q_nb"))
     out = pairs.join(per_a, a).join(per_b, b)
@@ -82,8 +84,8 @@ def total_probability(df: DataFrame, part: str, event: Column) -> DataFrame:
     """H3: P(C) = sum_i P(L_i) P(C | L_i) over the partition given by
     ``part``; returns (p_total, p_direct) - equal by the law."""
     flag = F.coalesce(event.cast("int"), F.lit(0))
-    cells = df.groupBy(part).agg(F.count(F.lit(1)).alias("_q_n"), F.sum(flag).alias("_q_c"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    cells = materialize_small(df.groupBy(part).agg(F.count(F.lit(1)).alias("_q_n"), F.sum(flag).alias("_q_c")))
+    total = cells.agg(F.sum("_q_n")).scalar()
     terms = cells.select(((F.col("_q_n") / total) * (F.col("_q_c") / F.col("_q_n"))).alias("_q_t"),
                          F.col("_q_c"))
     return terms.agg(F.sum("_q_t").alias("p_total"), (F.sum("_q_c") / total).alias("p_direct"))
@@ -123,7 +125,8 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     each contributes exactly its expected count.  Returns (stat, dof, p).
     """
     clean = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cells = clean.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
+    # the observed cells (bounded by the category pairs) feed every branch
+    cells = materialize_small(clean.groupBy(a, b).agg(F.count(F.lit(1)).alias("o")))
     ra = cells.groupBy(a).agg(F.sum("o").alias("_q_ra"))
     cb = cells.groupBy(b).agg(F.sum("o").alias("_q_cb"))
     n = F.col("_q_N")
