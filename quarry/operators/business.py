@@ -136,11 +136,17 @@ def active_time_trend(events: DataFrame, user: str, duration: str, ts: str, grai
                       F.when(first, F.lit(None)).otherwise(F.col("within")).alias("within"))
 
 
-def group_gap(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
+def group_gap(df: DataFrame, group: str, value: str, a, b, moments: DataFrame | None = None) -> DataFrame:
     """How far group a's mean exceeds group b's: n, mean, variance of
-    each, gap = mean_a - mean_b, Welch t and its degrees of freedom."""
-    from quarry.operators.stats import hypothesis_test
-    out = hypothesis_test(df, group, value, a, b)
+    each, gap = mean_a - mean_b, Welch t and its degrees of freedom.
+
+    With ``moments`` (group, n, mean, var) - e.g. per-user partial moments
+    joined to the user's group and combined (``stats.combine_moments``) - the
+    rows themselves are never joined; ``df`` and ``value`` are then unused.
+    """
+    from quarry.operators.stats import hypothesis_test, welch_from_moments
+    out = (welch_from_moments(moments, group, a, b) if moments is not None
+           else hypothesis_test(df, group, value, a, b))
     return out.select(F.lit(str(a)).alias("group_a"), F.lit(str(b)).alias("group_b"), "n_a", "n_b",
                       "mean_a", "mean_b", "var_a", "var_b",
                       (F.col("mean_a") - F.col("mean_b")).alias("gap"), "t", "dof", "p")

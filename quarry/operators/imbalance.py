@@ -93,9 +93,10 @@ def near_neighbours(df: DataFrame, key: str, features: str, k: int, seed: int =
                     projections: int = 4, window: int | None = None) -> DataFrame:
     """Near neighbours of every row without comparing all pairs.
 
-    The rows are sorted along ``projections`` random directions (one global
-    range sort each); the candidates of a row are the ``window`` rows on
-    either side of it in each order, found by equi-joins on rank +/- j.
+    The rows are placed along ``projections`` random directions and ordered
+    by (projection, position) in one global range sort; the candidates of a
+    row are the ``window`` rows on either side of it in each projection,
+    found by an equi-join on rank +/- j.
     Exact distances are computed for the candidates and the ``k`` closest
     kept.  Work is linear in the rows; no group is ever all-pairs.
     Returns (key, nb_key, nb_features, dist2, nb_rank).
@@ -104,17 +105,19 @@ def near_neighbours(df: DataFrame, key: str, features: str, k: int, seed: int =
     dim = len(df.select(features).first()[0])
     rng = np.random.default_rng(seed)
     base = df.select(F.col(key).alias("_q_k"), F.col(features).cast("array<double>").alias("_q_x"))
+    # every row once per projection: (projection, position along it)
+    dirs = F.array(*[F.struct(F.lit(p).alias("p"), lit_array(rng.standard_normal(dim)).alias("d"))
+                     for p in range(projections)])
+    proj = base.select("_q_k", "_q_x", F.explode(dirs).alias("_q_dir")).select(
+        "_q_k", F.col("_q_dir.p").alias("_q_pj"), dot(F.col("_q_x"), F.col("_q_dir.d")).alias("_q_p"))
+    # one global sort orders all projections; neighbours in one projection
+    # have consecutive ranks
+    ranked = global_rank(proj, ["_q_pj", "_q_p", "_q_k"], "_q_r").select("_q_k", "_q_pj", "_q_r")
     offsets = F.array(*[F.lit(j) for j in range(-window, window + 1) if j != 0])
-    cands = None
-    for p in range(projections):
-        direction = rng.standard_normal(dim)
-        proj = base.withColumn("_q_p", dot(F.col("_q_x"), lit_array(direction)))
-        ranked = global_rank(proj, ["_q_p", "_q_k"], "_q_r").select("_q_k", "_q_r")
-        probe = ranked.select("_q_k", F.explode(offsets).alias("_q_o"), "_q_r").select(
-            "_q_k", (F.col("_q_r") + F.col("_q_o")).alias("_q_r"))
-        other = ranked.select(F.col("_q_k").alias("_q_nk"), "_q_r")
-        pairs = probe.join(other, "_q_r").select("_q_k", "_q_nk")
-        cands = pairs if cands is None else cands.unionByName(pairs)
+    probe = ranked.select("_q_k", "_q_pj", "_q_r", F.explode(offsets).alias("_q_o")).select(
+        "_q_k", "_q_pj", (F.col("_q_r") + F.col("_q_o")).alias("_q_r"))
+    other = ranked.select(F.col("_q_k").alias("_q_nk"), F.col("_q_pj").alias("_q_npj"), "_q_r")
+    cands = probe.join(other, "_q_r").filter(F.col("_q_pj") == F.col("_q_npj")).select("_q_k", "_q_nk")
     cands = cands.distinct()
     left = base
     right = base.select(F.col("_q_k").alias("_q_nk"), F.col("_q_x").alias("_q_nx"))
@@ -166,21 +169,19 @@ def _kmeans_numpy(x: np.ndarray, k: int, seed: int, iters: int = 20) -> np.ndarr
     return centres
 
 
-def _largest_remainder(sizes: dict, total: int) -> dict:
-    n = sum(sizes.values())
+def _allocate(sizes: DataFrame, total: int, n: int) -> DataFrame:
+    """Split ``total`` centres over buckets (``_q_b``, ``_q_n`` rows) in
+    proportion to their rows, by largest remainder, so the shares add up to
+    exactly ``total``.  Runs in Spark on the bucket table (one row per
+    bucket); returns (_q_b, _q_k)."""
     total = min(total, n)
-    exact = {b: total * c / n for b, c in sizes.items()}
-    alloc = {b: min(sizes[b], int(math.floor(v))) for b, v in exact.items()}
-    rest = total - sum(alloc.values())
-    order = sorted(sizes, key=lambda b: (-(exact[b] - math.floor(exact[b])), b))
-    i = 0
-    while rest > 0:
-        b = order[i % len(order)]
-        if alloc[b] < sizes[b]:
-            alloc[b] += 1
-            rest -= 1
-        i += 1
-    return alloc
+    exact = F.col("_q_n") * F.lit(total) / F.lit(n)
+    base = sizes.withColumn("_q_floor", F.floor(exact).cast("long")).withColumn(
+        "_q_frac", exact - F.floor(exact))
+    rest = base.agg(F.lit(total) - F.sum("_q_floor")).scalar()
+    ranked = global_rank(base, [F.col("_q_frac").desc(), F.col("_q_b")], "_q_r")
+    extra = F.when(F.col("_q_r") <= rest, F.lit(1)).otherwise(F.lit(0))
+    return ranked.select("_q_b", (F.col("_q_floor") + extra).cast("int").alias("_q_k"))
 
 
 def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: int = 5,
@@ -212,23 +213,17 @@ def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: in
         buckets = max(1, math.ceil(n_maj / bucket_rows))
         label_type = dict(df.dtypes)[y]
         bucketed = majority.withColumn("_q_b", F.pmod(stable_hash(str(seed), F.col(key)), F.lit(buckets)))
-        # one row per bucket: split N over the buckets by largest remainder,
-        # so the shares add up to exactly N and no bucket gets more centres
-        # than rows
-        sizes = {r[0]: r[1] for r in bucketed.groupBy("_q_b").count().collect()}
-        alloc = _largest_remainder(sizes, int(n_min))
+        alloc = _allocate(bucketed.groupBy("_q_b").agg(F.count(F.lit(1)).alias("_q_n")), int(n_min), n_maj)
+        rows = bucketed.join(bounded_broadcast(alloc), "_q_b").filter(F.col("_q_k") > 0)
 
         def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-            kk = alloc.get(int(pdf["_q_b"].iloc[0]), 0)
-            if kk == 0:
-                return pd.DataFrame({key: pd.Series([], dtype="Int64"), features: [],
-                                     y: pd.Series([], dtype=pdf[y].dtype), "kind": []})
+            kk = int(pdf["_q_k"].iloc[0])
             x = np.stack(pdf[features].to_numpy())
             c = _kmeans_numpy(x, kk, seed)
             return pd.DataFrame({key: pd.Series([None] * kk, dtype="Int64"),
                                  features: list(c), y: pdf[y].iloc[0], "kind": "centre"})
 
-        centres = bucketed.groupBy("_q_b", y).applyInPandas(
+        centres = rows.groupBy("_q_b", y).applyInPandas(
             per_bucket, f"{key} long, {features} array<double>, {y} {label_type}, kind string")
     return minority.unionByName(centres.select(key, features, y, "kind"))
 

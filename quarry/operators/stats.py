@@ -149,3 +149,42 @@ def linear_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     """H7: least-squares line y = slope * x + intercept, with r2."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
                   F.regr_r2(y, x).alias("r2"))
+
+
+def partial_moments(df: DataFrame, keys, value: str) -> DataFrame:
+    """Per-key count, mean and M2 (sum of squared deviations) of ``value``:
+    the state to pre-aggregate before a join, combined exactly later by
+    ``combine_moments``.  Returns (keys..., n, mean, m2)."""
+    v = F.col(value)
+    return df.filter(v.isNotNull()).groupBy(*keys).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+
+
+def combine_moments(parts: DataFrame, group: str) -> DataFrame:
+    """Exact group moments from partial ones (Chan et al.'s parallel
+    formula): N = sum n, mean = sum n mean / N,
+    M2 = sum m2 + sum n (mean_i - mean)^2.  Returns (group, n, mean, var)
+    with the sample variance M2 / (N - 1)."""
+    first = parts.groupBy(group).agg(F.sum("n").alias("_q_N"),
+                                     (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_q_mean"))
+    j = parts.join(bounded_broadcast(first), group)
+    return j.groupBy(group).agg(
+        F.first("_q_N").alias("n"), F.first("_q_mean").alias("mean"),
+        ((F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("_q_mean")) ** 2))
+         / (F.first("_q_N") - 1)).alias("var"))
+
+
+def welch_from_moments(moments: DataFrame, group: str, a, b) -> DataFrame:
+    """H4 on pre-combined moments (group, n, mean, var): one row
+    (n_a, n_b, mean_a, mean_b, var_a, var_b, t, dof, p)."""
+    g = F.col(group)
+    pick = {}
+    for side, val in (("a", a), ("b", b)):
+        hit = g == F.lit(val)
+        for c in ("n", "mean", "var"):
+            pick[f"{c}_{side}"] = F.max(F.when(hit, F.col(c)))
+    stats = moments.filter(g.isin(a, b)).agg(*[e.alias(n) for n, e in pick.items()])
+    stats = stats.select("n_a", "n_b", "mean_a", "mean_b", "var_a", "var_b")
+    t, dof = _welch("a", "b")
+    stats = stats.withColumns({"t": t, "dof": dof})
+    return stats.withColumn("p", t_p_value(F.col("t"), F.col("dof")))

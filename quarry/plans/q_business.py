@@ -131,10 +131,13 @@ WHERE g IN ('BUILDING', 'AUTOMOBILE')"""
     head="'BUILDING' AS group_a, 'AUTOMOBILE' AS group_b,",
     extra="round(mean_a - mean_b, 6) AS gap,", tname="t"))
 def q_group_gap(spark, sf):
-    ev = load(spark, sf, "events").select("user_id", "value")
+    from quarry.operators import stats as H
+    # per-user moments first: the join to customers moves one row per user
+    parts = H.partial_moments(load(spark, sf, "events"), ["user_id"], "value")
     cust = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    df = ev.join(cust, ev.user_id == cust.c_custkey)
-    out = B.group_gap(df, "c_mktsegment", "value", "BUILDING", "AUTOMOBILE")
+    parts = parts.join(cust, parts.user_id == cust.c_custkey).drop("user_id", "c_custkey")
+    moments = H.combine_moments(parts, "c_mktsegment")
+    out = B.group_gap(None, "c_mktsegment", None, "BUILDING", "AUTOMOBILE", moments=moments)
     return out.select("group_a", "group_b", "n_a", "n_b", F.round("mean_a", 6).alias("mean_a"),
                       F.round("mean_b", 6).alias("mean_b"), F.round("var_a", 1).alias("var_a"),
                       F.round("var_b", 1).alias("var_b"), F.round("gap", 6).alias("gap"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.joins import has_at_most
 from quarry.operators import stats as H
 from quarry.plans.registry import register
 from quarry.sources.tables import load
@@ -38,7 +39,10 @@ def segment_model(spark, sf):
     per_user = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     nhe = (per_user.join(cust, per_user.user_id == cust.c_custkey)
            .groupBy("hypothesis").pivot("event_type").agg(F.sum("n")))
-    types = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    vocab = events.select("event_type").distinct()
+    if not has_at_most(vocab, H.MAX_HYPOTHESES):
+        raise ValueError("event-type vocabulary too large to pivot")
+    types = [r[0] for r in vocab.orderBy("event_type").collect()]
     n_types = len(types)
     wide = priors.join(nhe, "hypothesis", "left").fillna(0, subset=[t for t in types if t in nhe.columns])
     def n_of(t):
