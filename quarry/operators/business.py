@@ -235,7 +235,7 @@ def user_sequence(events: DataFrame, user: str, order_cols, kind: str):
     no per-user window.  ``transitions`` is (from_kind, to_kind, n).
     """
     ranked = global_rank(events.select(user, *order_cols, kind), [user] + list(order_cols), "_q_r")
-    starts = bounded_broadcast(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0")))
+    starts = bounded_broadcast(materialize_small(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0"))))
     positions = ranked.join(starts, user).withColumn(
         "pos", F.col("_q_r") - F.col("_q_r0") + 1).drop("_q_r0")
     nxt = ranked.select(F.col(user).alias("_q_nu"), (F.col("_q_r") - 1).alias("_q_r"),
