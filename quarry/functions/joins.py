@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows a side may hold and still be shipped to every executor.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows.
 
-    Runs ``limit(max_rows + 1).count()``: every task stops after
-    ``max_rows + 1`` rows, so the check costs a bounded read however large
-    the input is.
+    ``take`` scans partitions incrementally (one, then a growing number)
+    and stops once ``max_rows + 1`` rows are found, so the check reads a
+    bounded amount however large the input is (``limit().count()`` would
+    start a task on every partition).  Only a constant column is taken.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    return len(df.select(F.lit(1).alias("_q_one")).take(max_rows + 1)) <= max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

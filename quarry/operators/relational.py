@@ -142,7 +142,7 @@ def full_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
 
 
 def fk_lookup_join(child: DataFrame, parent: DataFrame, fk: str, pk: str, attrs,
-                   max_parent_rows: int = 2_000_000) -> DataFrame:
+                   max_parent_rows: int = 1_000_000) -> DataFrame:
     """Child rows with parent attributes through a foreign key.
 
     A left join, so a child with a NULL or dangling key is kept.  The parent

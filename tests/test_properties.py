@@ -96,6 +96,23 @@ def test_bound_params_do_not_splice(spark, employees):
 # ------------------------------------------------------------------ subquery laws
 
 
+def test_aggregate_in_where_is_refused(spark):
+    from pyspark.errors import AnalysisException
+    c = load(spark, SF001, "customer")
+    with pytest.raises(AnalysisException):
+        R.where_then_having(c, F.avg("c_acctbal") > 1, ["c_nationkey"], {"n": F.count(F.lit(1))},
+                            F.col("n") > 0).collect()
+
+
+def test_active_time_trend_week_and_split(spark):
+    ev = load(spark, SF001, "events")
+    out = B.active_time_trend(ev, "user_id", "value", "ts", "week", load(spark, SF001, "customer"),
+                              "c_custkey", "c_mktsegment").orderBy("period").collect()
+    assert len(out) >= 4 and out[0].delta is None
+    for r in out[1:]:
+        assert abs(r.delta - (r.mix + r.within)) < 1e-9 * max(1.0, abs(r.delta))
+
+
 def test_derived_table_equals_having(spark):
     c = load(spark, SF001, "customer")
     a = R.derived_table_filter(c, ["c_nationkey"], "c_acctbal", 4500.0, "m")
