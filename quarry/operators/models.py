@@ -161,19 +161,35 @@ def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, to
     """Matrix factorisation (ALS, blocked on the executors) and the
     ``top_n`` items per user.
 
-    ALS needs int ids: users and items are numbered by a distributed dense
-    index (global sort), not a driver-side label list.  Ratings are summed
-    per (user, item) first.  Returns (user, item, score, rank).
+    ALS needs int ids.  Ids that already fit are used as they are; larger
+    ones are numbered by a distributed dense index (global sort), never a
+    driver-side label list.  Ratings are summed per (user, item) first.
+    Returns (user, item, score, rank).
     """
     from quarry.operators.business import dense_index
-    r = interactions.groupBy(user, item).agg(F.sum(rating).alias("_q_r"))
-    ui = dense_index(r, user, "_q_u")
-    ii = dense_index(r, item, "_q_i")
-    data = r.join(ui, user).join(ii, item).select("_q_u", "_q_i", "_q_r")
+    # ratings per (user, item), written once: ALS reads them every iteration
+    r = interactions.groupBy(user, item).agg(F.sum(rating).alias("_q_r")).checkpoint(eager=True)
+    rng = r.agg(F.min(user), F.max(user), F.min(item), F.max(item)).first()
+    int_max = 2 ** 31 - 1
+    if rng[0] is not None and rng[0] >= 0 and rng[1] <= int_max:
+        ui = None
+        r = r.withColumn("_q_u", F.col(user).cast("int"))
+    else:  # ids beyond int: number them by a distributed sort
+        ui = dense_index(r, user, "_q_u")
+        r = r.join(ui, user)
+    if rng[2] is not None and rng[2] >= 0 and rng[3] <= int_max:
+        ii = None
+        r = r.withColumn("_q_i", F.col(item).cast("int"))
+    else:
+        ii = dense_index(r, item, "_q_i")
+        r = r.join(ii, item)
+    data = r.select("_q_u", "_q_i", "_q_r")
     model = ALS(userCol="_q_u", itemCol="_q_i", ratingCol="_q_r", rank=rank, maxIter=max_iter,
                 seed=seed, coldStartStrategy="drop", nonnegative=True).fit(data)
     recs = model.recommendForAllUsers(top_n).select(
         "_q_u", F.posexplode("recommendations").alias("_q_pos", "_q_rec"))
     recs = recs.select("_q_u", F.col("_q_rec._q_i").alias("_q_i"), F.col("_q_rec.rating").alias("score"),
                        (F.col("_q_pos") + 1).alias("rank"))
-    return recs.join(ui, "_q_u").join(ii, "_q_i").select(user, item, "score", "rank")
+    recs = recs.join(ui, "_q_u") if ui is not None else recs.withColumn(user, F.col("_q_u").cast("long"))
+    recs = recs.join(ii, "_q_i") if ii is not None else recs.withColumn(item, F.col("_q_i").cast("long"))
+    return recs.select(user, item, "score", "rank")
