@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # remove checkpoint files once their DataFrames are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

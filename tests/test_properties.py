@@ -255,6 +255,28 @@ def test_smote_properties(spark):
         map(tuple, syn.select("vec_id", "copy").collect()))
 
 
+def test_near_neighbours_against_brute_force(spark):
+    e = load(spark, SF001, "embeddings").filter("label = 3")
+    pdf = e.toPandas()
+    x = np.stack(pdf.embedding.to_numpy()).astype(float)
+    ids = pdf.vec_id.to_numpy()
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    truth = {ids[i]: set(ids[np.argsort(d[i])[:5]]) for i in range(len(ids))}
+    got = {}
+    rows = G.near_neighbours(e, "vec_id", "embedding", 5).collect()
+    for r in rows:
+        got.setdefault(r.vec_id, set()).add(r.nb_key)
+        assert r.nb_key != r.vec_id
+    assert all(len(v) == 5 for v in got.values()) and set(got) == set(truth)
+    recall = np.mean([len(truth[k] & got[k]) / 5 for k in truth])
+    assert recall >= 0.8, recall
+    # distances reported are exact
+    pos = {v: i for i, v in enumerate(ids)}
+    for r in rows[:50]:
+        assert abs(r.dist2 - d[pos[r.vec_id], pos[r.nb_key]]) < 1e-6
+
+
 @pytest.mark.parametrize("max_k", [1000, 0])
 def test_cluster_undersample(spark, max_k):
     e = _emb(spark)
