@@ -39,3 +39,35 @@ def test_replayed_batch_is_not_written_twice(spark):
     C.atomic_batch(spark, table, batch, key=["k"], batch_number=0)
     C.atomic_batch(spark, table, batch, key=None, batch_number=0)
     assert C.read_table(spark, table).count() == 1
+
+
+def test_stream_bayes_update_matches_batch(spark):
+    from quarry.operators import stats as H
+    from quarry.plans.q_stats import segment_model
+    from quarry.sources.tables import load
+    from quarry.streaming.bayes import stream_bayes_update
+    from tests.conftest import SF001
+
+    priors_df, lik_df = segment_model(spark, SF001)
+    priors = {r.hypothesis: r.prior for r in priors_df.collect()}
+    lik = {(r.hypothesis, r.event_type): r.likelihood for r in lik_df.collect()}
+    events = load(spark, SF001, "events")
+    # the events arrive as three time-ordered files, one per micro-batch
+    src = work_path(spark, "bayes-src")
+    bounds = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
+    for i in range(3):
+        events.filter((F.col("ts") >= F.lit(bounds[i]).cast("timestamp_ntz"))
+                      & (F.col("ts") < F.lit(bounds[i + 1]).cast("timestamp_ntz"))).coalesce(1) \
+            .write.parquet(f"{src}/part{i}")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out = stream_bayes_update(stream, "user_id", ["ts", "event_id"], "event_type", priors, lik, "event_id")
+    sink = work_path(spark, "bayes-out")
+    q = (out.writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", work_path(spark, "bayes-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r.event_id, r.hypothesis): r.posterior for r in spark.read.parquet(sink).collect()}
+    ref = H.bayes_update(events, "user_id", ["ts", "event_id"], "event_type", priors_df, lik_df,
+                         id_cols=["event_id"]).collect()
+    assert len(got) == len(ref)
+    assert max(abs(got[(r.event_id, r.hypothesis)] - r.posterior) for r in ref) < 1e-9
