@@ -224,14 +224,16 @@ def in_subquery(df: DataFrame, column: str, sub: DataFrame, negate: bool = False
     """
     v = sub.columns[0]
     values = sub.select(F.col(v).alias("_q_in"))
+    # the set is deduplicated first (partial aggregation per task), so a
+    # value repeated a billion times is one build row, not a hot key
+    distinct = values.filter(F.col("_q_in").isNotNull()).distinct()
     x = F.col(column)
     if not negate:
-        return df.join(values, x == F.col("_q_in"), "left_semi")
+        return df.join(distinct, x == F.col("_q_in"), "left_semi")
     stats = scalar_struct(values.agg(F.count(F.lit(1)).alias("n"), F.count("_q_in").alias("nn")))
     n, nn = stats["n"], stats["nn"]
     keep = (n == 0) | (x.isNotNull() & (nn == n))
-    return df.filter(keep).join(values.filter(F.col("_q_in").isNotNull()),
-                                x == F.col("_q_in"), "left_anti")
+    return df.filter(keep).join(distinct, x == F.col("_q_in"), "left_anti")
 
 
 def compare_all_any(df: DataFrame, column: str, op: str, sub: DataFrame,
@@ -278,9 +280,9 @@ def exists_cardinality(df: DataFrame, on, sub: DataFrame, at_least: int = 1,
     """
     outer_cols, sub_cols = list(on.keys()), list(on.values())
     keyed = sub.select([F.col(c).alias(f"_q_k{i}") for i, c in enumerate(sub_cols)])
-    if at_least > 1:
-        keyed = (keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_q_n"))
-                 .filter(F.col("_q_n") >= at_least).drop("_q_n"))
+    # one row per key (counted per task first): no hot key on the build side
+    keyed = (keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_q_n"))
+             .filter(F.col("_q_n") >= at_least).drop("_q_n"))
     cond = [F.col(o) == F.col(f"_q_k{i}") for i, o in enumerate(outer_cols)]
     return df.join(keyed, cond, "left_anti" if negate else "left_semi")
 
