@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions.expr import materialize_small, stable_hash
 from quarry.functions.joins import bounded_broadcast
 
-from quarry.functions.pvalues import normal_two_sided, t_p_value  # noqa: F401
 from quarry.functions.rank import global_rank, rank_within
-from quarry.operators.stats import _welch
 
 Z_95 = 1.959963984540054  # two-sided 95% normal quantile
 

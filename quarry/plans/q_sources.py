@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.time import ts  # noqa: F401
 from quarry.plans.registry import register
 from quarry.session import work_path
 from quarry.sources import changes as C
