@@ -76,4 +76,32 @@ def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "work_path", "local_path", "DEFAULT_CONF"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "work_path", "local_path", "scale_conf", "DEFAULT_CONF"]
+
+
+def scale_conf(input_bytes: int, total_cores: int, executor_memory_bytes: int | None = None,
+               target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings that keep every task's data within executor memory at a
+    given input size (pass to ``get_session(extra=...)`` or spark-submit).
+
+    * file splits of ``target_partition_bytes`` (``maxPartitionBytes``);
+    * the initial shuffle partition count so one partition holds about
+      ``target_partition_bytes`` of the largest shuffle (taken as the input
+      size), at least 3 waves of ``total_cores``; AQE then coalesces small
+      ones toward the same advisory size and splits skewed joins;
+    * with ``executor_memory_bytes``, the target is capped so a task's
+      share of execution memory (about 60% / cores per executor, taken as
+      4) holds its partition without spilling.
+    """
+    target = target_partition_bytes
+    if executor_memory_bytes:
+        target = min(target, int(executor_memory_bytes * 0.6 / 4))
+    parts = max(3 * total_cores, -(-input_bytes // target))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+    }

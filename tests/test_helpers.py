@@ -81,3 +81,29 @@ def test_jdbc_options():
     assert jdbc_options("jdbc:x://h/db", "nation")["dbtable"] == "nation"
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x://h/db", "t", "id")
+
+
+def test_scale_conf():
+    from quarry.session import scale_conf
+    c = scale_conf(100 * 2 ** 40, 8000)  # 100 TB on 8,000 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 << 20
+    small = scale_conf(10 << 20, 8, executor_memory_bytes=1 << 30)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == int((1 << 30) * 0.6 / 4)
+
+
+def test_hot_group_spreads_over_partitions(spark):
+    # one group holds a third of the rows: the global sort splits it
+    rows = [(0 if i % 3 == 0 else 1 + i % 500, i) for i in range(30000)]
+    df = spark.createDataFrame(rows, "g int, t int").repartition(8)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")  # tiny data would otherwise be coalesced to one task
+    try:
+        ranked = global_rank(df, ["g", "t"]).withColumn("pid", F.spark_partition_id())
+        spread = ranked.filter("g = 0").select("pid").distinct().count()
+        n = ranked.filter("g = 0").count()
+    finally:
+        spark.conf.set(key, old)
+    assert n == 10000 and spread >= 2
