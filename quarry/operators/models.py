@@ -159,7 +159,8 @@ def pca(df: DataFrame, features: str, k: int):
 def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, top_n: int = 5,
                   seed: int = 1, rank: int = 8, max_iter: int = 10) -> DataFrame:
     """Matrix factorisation (ALS, blocked on the executors) and the
-    ``top_n`` items per user.
+    ``top_n`` items per user, found exactly without scoring every
+    (user, item) pair (see ``top_items``).
 
     ALS needs int ids.  Ids that already fit are used as they are; larger
     ones are numbered by a distributed dense index (global sort), never a
@@ -186,10 +187,114 @@ def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, to
     data = r.select("_q_u", "_q_i", "_q_r")
     model = ALS(userCol="_q_u", itemCol="_q_i", ratingCol="_q_r", rank=rank, maxIter=max_iter,
                 seed=seed, coldStartStrategy="drop", nonnegative=True).fit(data)
-    recs = model.recommendForAllUsers(top_n).select(
-        "_q_u", F.posexplode("recommendations").alias("_q_pos", "_q_rec"))
-    recs = recs.select("_q_u", F.col("_q_rec._q_i").alias("_q_i"), F.col("_q_rec.rating").alias("score"),
-                       (F.col("_q_pos") + 1).alias("rank"))
+    recs = top_items(model.userFactors, model.itemFactors, top_n, seed=seed)
+    recs = recs.select(F.col("user").alias("_q_u"), F.col("item").alias("_q_i"), "score", "rank")
     recs = recs.join(ui, "_q_u") if ui is not None else recs.withColumn(user, F.col("_q_u").cast("long"))
     recs = recs.join(ii, "_q_i") if ii is not None else recs.withColumn(item, F.col("_q_i").cast("long"))
     return recs.select(user, item, "score", "rank")
+
+
+def top_items(users: DataFrame, items: DataFrame, top_n: int, clusters: int | None = None,
+              first: int = 32, seed: int = 1) -> DataFrame:
+    """Exact top ``top_n`` items per user by dot product of factors, without
+    scoring every (user, item) pair.
+
+    Items are clustered (KMeans on their factors, about 20 items per
+    cluster, at most 1000 clusters).  For an item v in cluster c the score
+    u.v is bounded by both u.mu_c + |u| r_c (ball of radius r_c) and
+    sum_d max(u_d lo_cd, u_d hi_cd) (the cluster's bounding box).  Each user
+    visits clusters in order of that bound: the items of its ``m`` best
+    clusters are scored (an equi-join on cluster id), and the user is done
+    once its n-th best score reaches the bound of the next cluster; the
+    others go round again with four times as many clusters.  The result
+    equals scoring all items.  ``users``/``items`` are (id, features);
+    returns (user, item, score, rank).
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.clustering import KMeans
+    from pyspark.sql import Window
+
+    dim = len(items.select("features").first()[0])
+    it = items.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("v"))
+    n_items = it.count()
+    k = clusters or max(1, min(1000, n_items // 20))
+    # the clustering only steers the search (any clustering gives exact
+    # results), so a cheap random start and few iterations are enough
+    km = KMeans(k=k, seed=seed, featuresCol="_q_vec", predictionCol="cluster", maxIter=5,
+                initMode="random").fit(it.withColumn("_q_vec", as_vector("v")))
+    centres = np.array([c for c in km.clusterCenters()])
+    assigned = km.transform(it.withColumn("_q_vec", as_vector("v"))).drop("_q_vec").checkpoint(eager=True)
+    # one row per cluster (at most 1000): radius and bounding box; the
+    # centres join as a k-row broadcast table
+    cdf = users.sparkSession.createDataFrame(
+        [(j, [float(x) for x in c]) for j, c in enumerate(centres)], "cluster int, _q_c array<double>")
+    per = assigned.join(F.broadcast(cdf), "cluster")
+    d2 = sum(((F.col("v")[i] - F.col("_q_c")[i]) ** 2 for i in range(dim)), F.lit(0.0))
+    stats = per.groupBy("cluster").agg(
+        F.max(F.sqrt(d2)).alias("r"),
+        *[F.min(F.col("v")[i]).alias(f"lo{i}") for i in range(dim)],
+        *[F.max(F.col("v")[i]).alias(f"hi{i}") for i in range(dim)]).collect()
+    live = np.array(sorted(r["cluster"] for r in stats))
+    row = {r["cluster"]: r for r in stats}
+    cen = centres[live]
+    rad = np.array([row[c]["r"] for c in live])
+    lo = np.array([[row[c][f"lo{i}"] for i in range(dim)] for c in live])
+    hi = np.array([[row[c][f"hi{i}"] for i in range(dim)] for c in live])
+
+    def visit_plan(m):
+        """For each user: its m most promising clusters and the bound of the
+        next one (None when no cluster is left)."""
+        def plan(batches):
+            for pdf in batches:
+                for s0 in range(0, len(pdf), 1024):  # bounded temporaries per chunk
+                    part = pdf.iloc[s0:s0 + 1024]
+                    uu = np.stack(part["u"].to_numpy())
+                    ball = uu @ cen.T + np.linalg.norm(uu, axis=1)[:, None] * rad[None, :]
+                    # box: sum_d max(u_d lo_d, u_d hi_d)
+                    box = np.maximum(uu, 0) @ hi.T + np.minimum(uu, 0) @ lo.T
+                    b = np.minimum(ball, box)
+                    take = min(m + 1, b.shape[1])
+                    idx = np.argpartition(-b, take - 1, axis=1)[:, :take] if take < b.shape[1] \
+                        else np.tile(np.arange(b.shape[1]), (len(b), 1))
+                    vals = np.take_along_axis(b, idx, 1)
+                    order = np.argsort(-vals, axis=1, kind="stable")
+                    idx, vals = np.take_along_axis(idx, order, 1), np.take_along_axis(vals, order, 1)
+                    nxt = vals[:, m] if vals.shape[1] > m else np.full(len(vals), np.nan)
+                    yield pd.DataFrame({"user": part["user"].to_numpy(),
+                                        "clusters": list(live[idx[:, :m]].astype("int32")),
+                                        "next_bound": nxt})
+        return plan
+
+    u = users.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("u"))
+    pending = u.checkpoint(eager=True)
+    # broadcast when the catalogue is proven small: the scoring join then
+    # keeps rows partitioned by user, so the per-user top-n needs no shuffle
+    from quarry.functions.joins import bounded_broadcast
+    items_by_cluster = bounded_broadcast(assigned.select("cluster", "item", "v"))
+    dot_uv = sum((F.col("u")[i] * F.col("v")[i] for i in range(dim)), F.lit(0.0))
+    k = len(live)
+    done = None
+    m = min(first, k)
+    while True:
+        plan = pending.mapInPandas(visit_plan(m), "user int, clusters array<int>, next_bound double")
+        plan = plan.checkpoint(eager=True)
+        visit = pending.join(plan, "user").select("user", "u", F.explode("clusters").alias("cluster"))
+        scored = visit.join(items_by_cluster, "cluster").select("user", "item", dot_uv.alias("score"))
+        # a user's candidates are the items of at most m clusters: bounded
+        w = Window.partitionBy("user").orderBy(F.col("score").desc(), F.col("item"))
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+        best = best.checkpoint(eager=True)  # top_n rows per user, scored once
+        nth = best.groupBy("user").agg(F.min("score").alias("_q_nth"), F.count(F.lit(1)).alias("_q_cnt"))
+        check = plan.join(nth, "user", "left")
+        ok = F.col("next_bound").isNull() | F.isnan("next_bound") | (
+            (F.col("_q_cnt") >= top_n) & (F.col("_q_nth") >= F.col("next_bound")))
+        check = check.select("user", ok.alias("_q_ok")).checkpoint(eager=True)
+        finished = best.join(check.filter("_q_ok").select("user"), "user", "left_semi")
+        done = finished if done is None else done.unionByName(finished)
+        pending = pending.join(check.filter(~F.col("_q_ok")).select("user"), "user", "left_semi")
+        pending = pending.checkpoint(eager=True)
+        if m >= k or pending.isEmpty():
+            break
+        m = min(m * 4, k)
+    return done.select("user", "item", "score", "rank")

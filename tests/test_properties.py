@@ -395,3 +395,17 @@ def test_als_topn(spark):
     w = Window.partitionBy("o_custkey").orderBy("rank")
     bad = out.withColumn("prev", F.lag("score").over(w)).filter(F.col("prev") < F.col("score"))
     assert bad.count() == 0
+
+
+def test_top_items_exact_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    U = rng.normal(size=(150, 6))
+    V = rng.normal(size=(400, 6))
+    users = spark.createDataFrame([(i, U[i].tolist()) for i in range(len(U))], "id int, features array<double>")
+    items = spark.createDataFrame([(i, V[i].tolist()) for i in range(len(V))], "id int, features array<double>")
+    out = J.top_items(users, items, 4, clusters=20, first=2).toPandas()
+    S = U @ V.T
+    for uid, g in out.groupby("user"):
+        want = list(np.lexsort((np.arange(len(V)), -S[uid]))[:4])
+        assert list(g.sort_values("rank")["item"]) == want
+    assert out["user"].nunique() == len(U)
