@@ -61,7 +61,8 @@ def elastic_net(df: DataFrame, features: str, y: str, positive, alpha: float, la
 
 def feature_subset_indices(n_features: int, share: float, seed: str) -> list[int]:
     """The features kept by ``feature_subset``: the round(share * d) indices
-    with the smallest md5(seed || index) (a d-sized list)."""
+    with the smallest md5(seed || index), ties by index (a d-sized list,
+    computed on the driver; DuckDB reproduces it with the same rule)."""
     import hashlib
     m = max(1, int(round(share * n_features)))
     keyed = sorted(range(n_features), key=lambda j: (hashlib.md5(f"{seed}{j}".encode()).hexdigest(), j))

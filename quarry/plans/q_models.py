@@ -37,10 +37,21 @@ def q_elastic_net(spark, sf):
     return _keep(out, "target", "prediction")
 
 
-@register("feature_subset", "P", section="J3")
+@register("feature_subset", "O", section="J3", sql="""
+WITH d AS (SELECT max(len(embedding)) AS d FROM embeddings),
+     j AS (SELECT unnest(range(0, d)) AS j FROM d),
+     ranked AS (SELECT j, row_number() OVER (ORDER BY md5('fs1' || CAST(j AS VARCHAR)), j) AS r FROM j),
+     picked AS (SELECT j FROM ranked, d WHERE r <= CAST(round(0.25 * d) AS BIGINT))
+SELECT e.vec_id, e.label, CAST(p.j AS BIGINT) AS feature, e.embedding[p.j + 1] AS value
+FROM embeddings e, picked p
+""")
 def q_feature_subset(spark, sf):
-    out, _ = J.feature_subset(_emb(spark, sf), "embedding", 0.25, "fs1", "features")
-    return _keep(out, "features")
+    out, idx = J.feature_subset(_emb(spark, sf), "embedding", 0.25, "fs1", "features")
+    # one row per (vector, kept feature): (vec_id, label, feature, value)
+    original = F.array(*[F.lit(int(i)) for i in idx])
+    long = out.select("vec_id", "label", F.posexplode("features").alias("_q_p", "value"))
+    return long.select("vec_id", "label", F.element_at(original, F.col("_q_p") + 1).cast("long").alias("feature"),
+                       "value")
 
 
 @register("shallow_tree", "P", section="J4")
