@@ -217,15 +217,17 @@ def top_items(users: DataFrame, items: DataFrame, top_n: int, clusters: int | No
     from pyspark.sql import Window
 
     dim = len(items.select("features").first()[0])
-    it = items.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("v"))
+    # read by every k-means pass and by the scoring: written once
+    it = items.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("v"),
+                      as_vector(F.col("features")).alias("_q_vec")).checkpoint(eager=True)
     n_items = it.count()
     k = clusters or max(1, min(1000, n_items // 20))
     # the clustering only steers the search (any clustering gives exact
     # results), so a cheap random start and few iterations are enough
-    km = KMeans(k=k, seed=seed, featuresCol="_q_vec", predictionCol="cluster", maxIter=5,
-                initMode="random").fit(it.withColumn("_q_vec", as_vector("v")))
+    km = KMeans(k=k, seed=seed, featuresCol="_q_vec", predictionCol="cluster", maxIter=3,
+                initMode="random").fit(it)
     centres = np.array([c for c in km.clusterCenters()])
-    assigned = km.transform(it.withColumn("_q_vec", as_vector("v"))).drop("_q_vec").checkpoint(eager=True)
+    assigned = km.transform(it).drop("_q_vec").checkpoint(eager=True)
     # one row per cluster (at most 1000): radius and bounding box; the
     # centres join as a k-row broadcast table
     cdf = users.sparkSession.createDataFrame(
@@ -297,5 +299,5 @@ def top_items(users: DataFrame, items: DataFrame, top_n: int, clusters: int | No
         pending = pending.checkpoint(eager=True)
         if m >= k or pending.isEmpty():
             break
-        m = min(m * 4, k)
+        m = min(m * 2, k)
     return done.select("user", "item", "score", "rank")
