@@ -222,7 +222,8 @@ def diff_in_diff(df: DataFrame, treated: Column, after: Column, value: str) -> D
     return s.withColumn("effect", effect)
 
 
-def user_sequence(events: DataFrame, user: str, order_cols, kind: str):
+def user_sequence(events: DataFrame, user: str, order_cols, kind: str, positions: bool = True,
+                  transitions: bool = True):
     """Each user's events in time order, and next-event counts.
 
     Returns (positions, transitions).  ``positions`` is (user, pos, ...):
@@ -233,15 +234,19 @@ def user_sequence(events: DataFrame, user: str, order_cols, kind: str):
     no per-user window.  ``transitions`` is (from_kind, to_kind, n).
     """
     ranked = global_rank(events.select(user, *order_cols, kind), [user] + list(order_cols), "_q_r")
-    starts = bounded_broadcast(materialize_small(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0"))))
-    positions = ranked.join(starts, user).withColumn(
-        "pos", F.col("_q_r") - F.col("_q_r0") + 1).drop("_q_r0")
-    nxt = ranked.select(F.col(user).alias("_q_nu"), (F.col("_q_r") - 1).alias("_q_r"),
-                        F.col(kind).alias("to_kind"))
-    pairs = ranked.join(nxt, "_q_r").filter(F.col(user) == F.col("_q_nu"))
-    transitions = pairs.groupBy(F.col(kind).alias("from_kind"), "to_kind").agg(
-        F.count(F.lit(1)).alias("n"))
-    return positions.drop("_q_r"), transitions
+    pos_df = trans_df = None
+    if positions:
+        # one row per user, written once (the size check and the join share it)
+        starts = bounded_broadcast(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0")).checkpoint(eager=True))
+        pos_df = ranked.join(starts, user).withColumn(
+            "pos", F.col("_q_r") - F.col("_q_r0") + 1).drop("_q_r0", "_q_r")
+    if transitions:
+        nxt = ranked.select(F.col(user).alias("_q_nu"), (F.col("_q_r") - 1).alias("_q_r"),
+                            F.col(kind).alias("to_kind"))
+        pairs = ranked.join(nxt, "_q_r").filter(F.col(user) == F.col("_q_nu"))
+        trans_df = pairs.groupBy(F.col(kind).alias("from_kind"), "to_kind").agg(
+            F.count(F.lit(1)).alias("n"))
+    return pos_df, trans_df
 
 
 def item_cooccurrence(lines: DataFrame, basket: str, item: str, anchors: int, top_n: int) -> DataFrame:

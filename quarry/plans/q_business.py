@@ -214,7 +214,8 @@ WITH s AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER
 SELECT event_type AS from_kind, nxt AS to_kind, count(*) AS n FROM s WHERE nxt IS NOT NULL GROUP BY 1, 2
 """)
 def q_user_sequence(spark, sf):
-    _, transitions = B.user_sequence(load(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+    _, transitions = B.user_sequence(load(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type",
+                                     positions=False)
     return transitions
 
 
@@ -224,7 +225,8 @@ SELECT user_id, ts, event_id, event_type,
 FROM events
 """)
 def q_user_sequence_positions(spark, sf):
-    positions, _ = B.user_sequence(load(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+    positions, _ = B.user_sequence(load(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type",
+                                   transitions=False)
     return positions
 
 
