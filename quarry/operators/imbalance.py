@@ -17,7 +17,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import stable_hash
+from quarry.functions.expr import materialize_small, stable_hash
 from quarry.functions.joins import bounded_broadcast
 from quarry.functions.rank import global_rank, rank_within
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
@@ -55,13 +55,17 @@ def minority_label(df: DataFrame, y: str):
 
 
 def undersample(df: DataFrame, y: str, key: str, seed: str, batch: str | None = None,
-                ratio: float = 1.0) -> DataFrame:
+                ratio: float = 1.0, margin_sd: float = 6.0) -> DataFrame:
     """Keep every row of the smallest class and, from each other class,
     ``ratio`` x that many rows - per batch when ``batch`` is given.
 
-    Rows are taken in ``md5(seed || key)`` order; the per-class rank comes
-    from one global sort (a large class is spread over many tasks).
-    Returns the kept rows.
+    Rows are taken in ``md5(seed || key)`` order (ties by key).  The hash is
+    uniform, so a class that keeps k of its n rows first keeps only rows
+    whose hash lies below a threshold set 6 standard deviations above the
+    expected k-th value (about k + 6 sqrt(k) rows); the count is checked and
+    a class that came up short takes all its rows.  Only these candidates
+    are ranked (one global sort), so the rest of a large class is never
+    sorted.  Returns the kept rows.
     """
     groups = [y] + ([batch] if batch else [])
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_n"))
@@ -72,11 +76,25 @@ def undersample(df: DataFrame, y: str, key: str, seed: str, batch: str | None =
         sizes = sizes.withColumn("_q_keep", F.min("_q_n").over(Window.partitionBy()))
     sizes = sizes.withColumn(
         "_q_keep", F.when(F.col("_q_n") == F.col("_q_keep"), F.col("_q_n"))
-        .otherwise(F.floor(F.col("_q_keep") * F.lit(ratio)))).drop("_q_n")
-    h = stable_hash(seed, F.col(key))
-    ranked = rank_within(df.withColumn("_q_h", h), groups, ["_q_h", key], "_q_rk")
-    out = ranked.join(bounded_broadcast(sizes, MAX_CLASSES), groups)
-    return out.filter(F.col("_q_rk") <= F.col("_q_keep")).drop("_q_h", "_q_rk", "_q_keep")
+        .otherwise(F.floor(F.col("_q_keep") * F.lit(ratio))))
+    span = float(2 ** 32)
+    n, k = F.col("_q_n").cast("double"), F.col("_q_keep").cast("double")
+    cut = F.least(F.lit(span), F.greatest(F.lit(0.0), F.ceil(
+        (k + F.lit(margin_sd) * F.sqrt(k) + F.lit(1.0)) / n * F.lit(span))))
+    sizes = sizes.withColumn("_q_t", F.when(F.col("_q_keep") >= F.col("_q_n"), F.lit(span)).otherwise(cut))
+    sizes = materialize_small(sizes)  # one row per (class, batch)
+    hashed = df.withColumn("_q_h", stable_hash(seed, F.col(key)))
+    cand = hashed.join(bounded_broadcast(sizes, MAX_CLASSES), groups).filter(F.col("_q_h") < F.col("_q_t"))
+    short = (cand.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_c"))
+             .join(sizes, groups, "right")
+             .filter(F.coalesce(F.col("_q_c"), F.lit(0)) < F.col("_q_keep")).select(*groups))
+    if not short.isEmpty():  # rare: those classes take every row
+        fixed = sizes.join(short.withColumn("_q_short", F.lit(True)), groups, "left").withColumn(
+            "_q_t", F.when(F.col("_q_short"), F.lit(span)).otherwise(F.col("_q_t"))).drop("_q_short")
+        sizes = materialize_small(fixed)
+        cand = hashed.join(bounded_broadcast(sizes, MAX_CLASSES), groups).filter(F.col("_q_h") < F.col("_q_t"))
+    ranked = rank_within(cand.drop("_q_n", "_q_t"), groups, ["_q_h", key], "_q_rk")
+    return ranked.filter(F.col("_q_rk") <= F.col("_q_keep")).drop("_q_h", "_q_rk", "_q_keep")
 
 
 def oversample_copies(df: DataFrame, y: str, minority, copies: int, copy_col: str = "copy") -> DataFrame:

@@ -409,3 +409,22 @@ def test_top_items_exact_against_brute_force(spark):
         want = list(np.lexsort((np.arange(len(V)), -S[uid]))[:4])
         assert list(g.sort_values("rank")["item"]) == want
     assert out["user"].nunique() == len(U)
+
+
+@pytest.mark.parametrize("margin", [6.0, -3.0])
+def test_undersample_matches_brute_force(spark, margin):
+    import hashlib
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    n = 6000
+    pdf = pd.DataFrame({"id": np.arange(n), "y": rng.choice([0, 1, 2], n, p=[0.7, 0.25, 0.05]),
+                        "b": rng.integers(0, 3, n)})
+    df = spark.createDataFrame(pdf)
+    out = G.undersample(df, "y", "id", "s9", batch="b", margin_sd=margin)
+    pdf["h"] = [int(hashlib.md5(f"s9{i}".encode()).hexdigest()[:8], 16) for i in pdf["id"]]
+    want = []
+    for b, g in pdf.groupby("b"):
+        keep = g.groupby("y").size().min()
+        for yv, gg in g.groupby("y"):
+            want += list(gg.sort_values(["h", "id"])["id"][:keep])
+    assert sorted(r.id for r in out.collect()) == sorted(want)
