@@ -39,7 +39,8 @@ def inverse_freq_weight(df: DataFrame, y: str, weight_col: str = "weight") -> Da
     """weight = 1 / p(y), so each class carries the same total weight in
     a loss.  The class table is broadcast behind a size check."""
     cb = class_balance(df, y).select(F.col(y).alias("_q_cls"), (1.0 / F.col("p")).alias(weight_col))
-    cb = bounded_broadcast(cb, MAX_CLASSES)
+    # one row per class, written once: the size check and the join share it
+    cb = bounded_broadcast(materialize_small(cb), MAX_CLASSES)
     return df.join(cb, F.col(y).eqNullSafe(F.col("_q_cls"))).drop("_q_cls")
 
 

@@ -58,7 +58,7 @@ def bayes_update(evidence: DataFrame, entity: str, order_cols, observation: str,
     names = {h: f"_q_h{i}" for i, h in enumerate(hyps)}
     lik = (likelihoods.withColumn("_q_lp", F.log(F.col("likelihood")))
            .groupBy(observation).pivot(hypothesis, hyps).agg(F.first("_q_lp")))
-    lik = lik.select(observation, *[F.col(str(h)).alias(names[h]) for h in hyps])
+    lik = materialize_small(lik.select(observation, *[F.col(str(h)).alias(names[h]) for h in hyps]))
     prior_row = priors.select(hypothesis, F.log("prior").alias("lp")).collect()
     log_prior = {r[0]: r[1] for r in prior_row}
     rows = evidence.select(*id_cols, entity, *order_cols, observation)
@@ -165,6 +165,8 @@ def combine_moments(parts: DataFrame, group: str) -> DataFrame:
     formula): N = sum n, mean = sum n mean / N,
     M2 = sum m2 + sum n (mean_i - mean)^2.  Returns (group, n, mean, var)
     with the sample variance M2 / (N - 1)."""
+    # partial moments (one row per pre-aggregation key) are read twice below
+    parts = parts.checkpoint(eager=True)
     first = parts.groupBy(group).agg(F.sum("n").alias("_q_N"),
                                      (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_q_mean"))
     j = parts.join(bounded_broadcast(first), group)
