@@ -55,8 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        # only a bare local session (tests) gets here; a cluster names its
+        # shared folder.  spark.checkpoint.dir itself cannot be set at run
+        # time, so the folder is handed to the SparkContext directly.
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

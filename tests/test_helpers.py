@@ -107,3 +107,25 @@ def test_hot_group_spreads_over_partitions(spark):
     finally:
         spark.conf.set(key, old)
     assert n == 10000 and spread >= 2
+
+
+def test_checkpoint_dir_when_unset(tmp_path):
+    """A session whose configuration names no checkpoint folder still works
+    (run in a fresh process with an empty Spark configuration folder)."""
+    import os
+    import subprocess
+    import sys
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "assert s.sparkContext.getCheckpointDir() is None\n"
+            "from quarry.session import ensure_checkpoint_dir\n"
+            "d = ensure_checkpoint_dir(s)\n"
+            "from quarry.functions.rank import global_rank\n"
+            "assert [r['rank'] for r in global_rank(s.range(5), ['id']).orderBy('id').collect()] == [1, 2, 3, 4, 5]\n"
+            "print('OK', d)\n") % os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, SPARK_CONF_DIR=str(conf))
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "OK" in out.stdout, out.stderr[-2000:]
