@@ -65,3 +65,20 @@ def rank_within(df: DataFrame, group_cols, order_cols, rank_col: str = "rank") -
     out = ranked.join(starts, cond, "inner")
     return (out.withColumn(rank_col, F.col("_q_grank") - F.col("_q_gstart") + F.lit(1))
             .drop("_q_grank", "_q_gstart", *[f"_q_g{i}" for i in range(len(group_cols))]))
+
+
+def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int, rank_col: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each group in ``order_cols`` order, ranked.
+
+    For small ``n`` this is ``row_number() <= n`` over a window: Spark puts a
+    partial group limit before the shuffle (``WindowGroupLimit``), so every
+    task ships at most ``n`` rows per group and a hot group costs no more
+    than a cold one.  Beyond Spark's limit threshold it falls back to
+    ``rank_within`` (one global sort).
+    """
+    spark = df.sparkSession
+    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > threshold:
+        return rank_within(df, group_cols, order_cols, rank_col).filter(F.col(rank_col) <= n)
+    w = Window.partitionBy(*group_cols).orderBy(*[col_of(c) for c in order_cols])
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).filter(F.col(rank_col) <= n)

@@ -129,3 +129,20 @@ def test_checkpoint_dir_when_unset(tmp_path):
     env = dict(os.environ, SPARK_CONF_DIR=str(conf))
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert "OK" in out.stdout, out.stderr[-2000:]
+
+
+def test_top_n_per_group_both_paths(spark):
+    from quarry.functions.rank import top_n_per_group
+    df = _skewed(spark, 500)
+    w = Window.partitionBy("g").orderBy(F.col("v").desc(), "t")
+    ref = sorted(tuple(r) for r in df.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").collect())
+    got = sorted(tuple(r) for r in top_n_per_group(df, ["g"], [F.col("v").desc(), "t"], 3).collect())
+    assert got == ref
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2")  # force the global-sort path
+    try:
+        got = sorted(tuple(r) for r in top_n_per_group(df, ["g"], [F.col("v").desc(), "t"], 3).collect())
+    finally:
+        spark.conf.set(key, old)
+    assert got == ref
