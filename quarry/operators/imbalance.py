@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import materialize_small, stable_hash
-from quarry.functions.joins import bounded_broadcast
+from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.rank import global_rank, rank_within
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
 
@@ -72,7 +72,7 @@ def undersample(df: DataFrame, y: str, key: str, seed: str, batch: str | None =
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_n"))
     if batch:
         keep = sizes.groupBy(batch).agg(F.min("_q_n").alias("_q_keep"))
-        sizes = sizes.join(keep, batch)
+        sizes = join_on_keys(sizes, keep, [batch])
     else:
         sizes = sizes.withColumn("_q_keep", F.min("_q_n").over(Window.partitionBy()))
     sizes = sizes.withColumn(
@@ -85,15 +85,16 @@ def undersample(df: DataFrame, y: str, key: str, seed: str, batch: str | None =
     sizes = sizes.withColumn("_q_t", F.when(F.col("_q_keep") >= F.col("_q_n"), F.lit(span)).otherwise(cut))
     sizes = materialize_small(sizes)  # one row per (class, batch)
     hashed = df.withColumn("_q_h", stable_hash(seed, F.col(key)))
-    cand = hashed.join(bounded_broadcast(sizes, MAX_CLASSES), groups).filter(F.col("_q_h") < F.col("_q_t"))
-    short = (cand.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_c"))
-             .join(sizes, groups, "right")
-             .filter(F.coalesce(F.col("_q_c"), F.lit(0)) < F.col("_q_keep")).select(*groups))
+    cand = join_on_keys(hashed, bounded_broadcast(sizes, MAX_CLASSES), groups).filter(
+        F.col("_q_h") < F.col("_q_t"))
+    short = join_on_keys(sizes, cand.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_c")), groups, "left")
+    short = short.filter(F.coalesce(F.col("_q_c"), F.lit(0)) < F.col("_q_keep")).select(*groups)
     if not short.isEmpty():  # rare: those classes take every row
-        fixed = sizes.join(short.withColumn("_q_short", F.lit(True)), groups, "left").withColumn(
+        fixed = join_on_keys(sizes, short.withColumn("_q_short", F.lit(True)), groups, "left").withColumn(
             "_q_t", F.when(F.col("_q_short"), F.lit(span)).otherwise(F.col("_q_t"))).drop("_q_short")
         sizes = materialize_small(fixed)
-        cand = hashed.join(bounded_broadcast(sizes, MAX_CLASSES), groups).filter(F.col("_q_h") < F.col("_q_t"))
+        cand = join_on_keys(hashed, bounded_broadcast(sizes, MAX_CLASSES), groups).filter(
+            F.col("_q_h") < F.col("_q_t"))
     ranked = rank_within(cand.drop("_q_n", "_q_t"), groups, ["_q_h", key], "_q_rk")
     return ranked.filter(F.col("_q_rk") <= F.col("_q_keep")).drop("_q_h", "_q_rk", "_q_keep")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import materialize_small
-from quarry.functions.joins import bounded_broadcast, has_at_most
+from quarry.functions.joins import bounded_broadcast, has_at_most, join_on_keys
 from quarry.functions.pvalues import chi2_p_value, t_p_value
 from quarry.functions.scan import running_sum
 
@@ -30,7 +30,8 @@ def bayes_posterior(df: DataFrame, a: str, b: str) -> DataFrame:
     total = pairs.agg(F.sum("n")).scalar()
     per_a = pairs.groupBy(a).agg(F.sum("n").alias("_q_na"))
     per_b = pairs.groupBy(b).agg(F.sum("n").alias("_q_nb"))
-    out = pairs.join(per_a, a).join(per_b, b)
+    # NULL is a value of a or b like any other: null-safe joins keep it
+    out = join_on_keys(join_on_keys(pairs, per_a, [a]), per_b, [b])
     return out.select(
         a, b, "n",
         (F.col("_q_na") / total).alias("prior"),
@@ -169,7 +170,7 @@ def combine_moments(parts: DataFrame, group: str) -> DataFrame:
     parts = parts.checkpoint(eager=True)
     first = parts.groupBy(group).agg(F.sum("n").alias("_q_N"),
                                      (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_q_mean"))
-    j = parts.join(bounded_broadcast(first), group)
+    j = join_on_keys(parts, bounded_broadcast(first), [group])
     return j.groupBy(group).agg(
         F.first("_q_N").alias("n"), F.first("_q_mean").alias("mean"),
         ((F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("_q_mean")) ** 2))
