@@ -428,3 +428,20 @@ def test_undersample_matches_brute_force(spark, margin):
         for yv, gg in g.groupby("y"):
             want += list(gg.sort_values(["h", "id"])["id"][:keep])
     assert sorted(r.id for r in out.collect()) == sorted(want)
+
+
+def test_srm_check_by_stratum(spark):
+    a = B.ab_assign(load(spark, SF001, "customer"), "c_custkey", "exp1", {"A": 0.5, "B": 0.5})
+    rows = B.srm_check(a, {"A": 0.5, "B": 0.5}, strata="c_mktsegment").collect()
+    by_seg = {}
+    for r in rows:
+        by_seg.setdefault(r.c_mktsegment, []).append(r)
+    assert len(by_seg) == 5
+    for seg_rows in by_seg.values():
+        total = sum(r.n for r in seg_rows)
+        assert all(abs(r.expected - total / 2) < 1e-9 for r in seg_rows)
+        chi = sum((r.n - r.expected) ** 2 / r.expected for r in seg_rows)
+        assert all(abs(r.chi2 - chi) < 1e-9 for r in seg_rows)
+    # the split is stable: the same ids land in the same arms again
+    again = B.ab_assign(load(spark, SF001, "customer"), "c_custkey", "exp1", {"A": 0.5, "B": 0.5})
+    assert a.select("c_custkey", "arm").exceptAll(again.select("c_custkey", "arm")).isEmpty()
