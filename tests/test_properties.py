@@ -445,3 +445,18 @@ def test_srm_check_by_stratum(spark):
     # the split is stable: the same ids land in the same arms again
     again = B.ab_assign(load(spark, SF001, "customer"), "c_custkey", "exp1", {"A": 0.5, "B": 0.5})
     assert a.select("c_custkey", "arm").exceptAll(again.select("c_custkey", "arm")).isEmpty()
+
+
+def test_business_and_bayes_laws(spark):
+    orders = load(spark, SF001, "orders")
+    d = {r.driver: r for r in B.gmv_drivers(orders, "o_custkey", "o_totalprice", "o_orderdate",
+                                            ("1996-01-01", "1997-01-01"), ("1997-01-01", "1998-01-01")).collect()}
+    parts = d["buyers"].log_effect + d["orders_per_buyer"].log_effect + d["value_per_order"].log_effect
+    assert abs(parts - d["gmv"].log_effect) < 1e-9
+    li = load(spark, SF001, "lineitem")
+    g = B.gmv_change(li, "l_returnflag", F.col("l_extendedprice"), "l_shipdate",
+                     ("1996-01-01", "1997-01-01"), ("1997-01-01", "1998-01-01")).collect()
+    assert abs(sum(r.share for r in g) - 1.0) < 1e-9
+    post = H.bayes_posterior(orders, "o_orderpriority", "o_orderstatus").collect()
+    for r in post:
+        assert abs(r.posterior - r.prior * r.likelihood / r.evidence) < 1e-12
