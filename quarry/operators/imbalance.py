@@ -287,11 +287,13 @@ def penalised_lda(df: DataFrame, features: str, y: str, positive, costs=None) ->
     for cls in (0, 1):
         part = data.filter(F.col("_q_y") == cls)
         s = part.select(Summarizer.metrics("mean", "std", "count").summary(F.col("_q_v")).alias("s")).first()["s"]
-        corr = Correlation.corr(part, "_q_v").first()[0].toArray()
-        std = s["std"].toArray()
-        corr = np.nan_to_num(corr)
-        np.fill_diagonal(corr, 1.0)
-        covs[cls] = corr * np.outer(std, std)
+        std = np.nan_to_num(s["std"].toArray())
+        if int(s["count"]) < 2:  # a one-row class has no spread (and no correlation)
+            covs[cls] = np.zeros((len(std), len(std)))
+        else:
+            corr = np.nan_to_num(Correlation.corr(part, "_q_v").first()[0].toArray())
+            np.fill_diagonal(corr, 1.0)
+            covs[cls] = corr * np.outer(std, std)
         stats[cls] = (s["mean"].toArray(), int(s["count"]))
     (m0, n0), (m1, n1) = stats[0], stats[1]
     pooled = ((n0 - 1) * covs[0] + (n1 - 1) * covs[1]) / max(n0 + n1 - 2, 1)

@@ -460,3 +460,10 @@ def test_business_and_bayes_laws(spark):
     post = H.bayes_posterior(orders, "o_orderpriority", "o_orderstatus").collect()
     for r in post:
         assert abs(r.posterior - r.prior * r.likelihood / r.evidence) < 1e-12
+
+
+def test_penalised_lda_one_row_class(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [1.5, 2.5], 0), (2, [0.5, 1.0], 0), (3, [3.0, 3.0], 1)],
+                               "vec_id int, embedding array<double>, label int")
+    out = [r.prediction for r in G.penalised_lda(df, "embedding", "label", 1).orderBy("vec_id").collect()]
+    assert out == [0.0, 0.0, 0.0, 1.0]
