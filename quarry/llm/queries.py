@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, packing, tokens
+from quarry.llm import mixing, packing, secrets, simhash, tokens
 from quarry.llm.common import read_table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -20,5 +28,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op10_packing": op10_packing}
+QUERIES = {"op3_simhash": op3_simhash, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op10_packing": op10_packing}
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
