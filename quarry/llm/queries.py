@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, secrets, simhash, tokens
+from quarry.llm import mixing, packing, secrets, simhash, tokens, topk
 from quarry.llm.common import read_table
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -28,5 +33,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op10_packing": op10_packing}
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
+QUERIES = {"op2_exact_topk": op2_exact_topk, "op3_simhash": op3_simhash, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op10_packing": op10_packing}
+ORACLES = {"op2_exact_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
