@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, mixing, packing, secrets, simhash, tokens, topk, toxicity
+from quarry.llm import fingerprints, html, mixing, packing, secrets, simhash, tokens, topk, toxicity
 from quarry.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = toxicity.as_categories(read_table(spark, sf_dir, "labels"))
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), labels)
@@ -42,5 +46,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_topk": op2_exact_topk, "op3_simhash": op3_simhash, "op5_fingerprints": op5_fingerprints, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES = {"op2_exact_topk": op2_exact_topk, "op3_simhash": op3_simhash, "op5_fingerprints": op5_fingerprints, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_html_text": op8_html_text, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 ORACLES = {"op2_exact_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
