@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, html, mixing, packing, secrets, simhash, tokens, topk, toxicity
+from quarry.llm import fingerprints, html, mixing, packing, secrets, simhash, suffixes, tokens, topk, toxicity
 from quarry.llm.common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
 
@@ -46,5 +51,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_topk": op2_exact_topk, "op3_simhash": op3_simhash, "op5_fingerprints": op5_fingerprints, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_html_text": op8_html_text, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_topk": op2_exact_topk, "op3_simhash": op3_simhash, "op5_fingerprints": op5_fingerprints, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_html_text": op8_html_text, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 ORACLES = {"op2_exact_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
