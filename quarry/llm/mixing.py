@@ -92,6 +92,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                          *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: left out, once or repeated.
+    Documents without words are not taken."""
+    key = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
+    keyed = docs.withColumn("_key", key)
+    taken = mix(keyed, id_col, text_col, source_col, keep=("_key",), **plan)
+    copies = (taken.filter(F.col("taken") > 0).groupBy("_key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_copies")))
+    rows = keyed.dropDuplicates(["_key"]).join(copies, "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
 #: the same result of the registered query, by one window over each source
 ORACLE_SQL = r"""
 WITH d AS (

@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -170,13 +171,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = C
     return score(docs, models, categories, text_col, {id_col: F.col(id_col)}).withColumn("toxic", F.col(f"p_{categories[-1]}") > limit)
 
 
+def _keeper(models: list[dict], text_col: str, limit: float):
+    """The rows of a batch whose last category's probability is not over ``limit``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(text_col).cast(pa.string()), "")], ["_text"])
+            p = next(_scorer(models)(iter([texts]))).column("_p").to_pylist()
+            yield batch.filter(pa.array([x[-1] <= limit for x in p], pa.bool_()))
+    return run
+
+
 def without_toxic(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col: str = "doc_id",
                   text_col: str = "text", limit: float = LIMIT, **sizes) -> DataFrame:
     """The rows of ``docs`` that are not toxic, as they are."""
     models = fit_chain(docs, labels, categories, id_col, text_col, **sizes)
-    names = docs.columns
-    kept = score(docs, models, categories, text_col, {"_row": F.struct(*docs.columns)})
-    return kept.filter(F.col(f"p_{categories[-1]}") <= limit).select(*[F.col("_row").getField(c).alias(c) for c in names])
+    return docs.mapInArrow(_keeper(models, text_col, limit), docs.schema)
 
 
 ship(__name__)
