@@ -88,9 +88,9 @@ def _telling_terms(train: DataFrame, category: str, most: int) -> list[str]:
     return [r["term"] for r in best.select("term").collect()]  # at most `most`
 
 
-def _constant(rate: float) -> dict:
+def _constant(rate: float, earlier: int) -> dict:
     rate = min(max(rate, 1e-6), 1 - 1e-6)
-    return {"terms": [], "weights": np.zeros(0), "intercept": float(np.log(rate / (1 - rate)))}
+    return {"terms": [], "weights": np.zeros(earlier), "intercept": float(np.log(rate / (1 - rate)))}
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text",
@@ -115,7 +115,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
     for i in range(len(categories)):
         n, positive = train.agg(F.count(F.lit(1)), F.sum(f"y{i}")).first()
         if not n or not 0 < positive < n:
-            models.append(_constant(positive / n if n else 0.0))
+            models.append(_constant(positive / n if n else 0.0, i))
             train = train.withColumn(f"p{i}", F.lit(positive / n if n else 0.0))
             continue
         terms = _telling_terms(train, f"y{i}", max_terms)
