@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_FLOOR, Decimal, InvalidOperation
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ def unit_hash(salt: str, *cols) -> Column:
     return stable_hash(salt, *cols) / F.lit(float(2 ** 32))
 
 
+_WHOLE = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
 def typed_literal(df: DataFrame, column: str, value) -> Column:
     """A literal cast to the type of ``df[column]``.
 
@@ -36,6 +41,48 @@ def typed_literal(df: DataFrame, column: str, value) -> Column:
     return F.lit(value).cast(df.schema[column].dataType)
 
 
+def compare(df: DataFrame, column: str, op: str, value) -> Column:
+    """``column op value`` for op ``=``, ``<>`` or ``>``, with the meaning of
+    the value as it is, on the raw column so that it is pushed down.
+
+    A number column may meet any number, or text that holds one.  Where the
+    column's type cannot hold the value, the bound is moved to the next value
+    it can hold (``x > -20.5`` on INT is ``x > -21``), or the test is settled
+    for all values (``x = 18.5`` is false, ``x <> 18.5`` true unless NULL).
+    Text that is no number compares as NULL: no rows.
+    """
+    c, kind = F.col(column), df.schema[column].dataType.simpleString()
+    apply = {"=": lambda v: c == v, "<>": lambda v: c != v, ">": lambda v: c > v}[op]
+    if kind not in _WHOLE and kind != "float":
+        if kind == "double" and isinstance(value, str):
+            return apply(F.lit(value).try_cast("double"))
+        return apply(typed_literal(df, column, value) if isinstance(value, str) else F.lit(value))
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        return F.lit(None).cast("boolean")
+    if not number.is_finite():
+        return apply(F.lit(float(number)))
+    never, always = c.isNull() & c.isNotNull(), c.isNotNull()
+    if kind == "float":
+        import numpy as np
+        held = np.float32(number)
+        if Decimal(float(held)) != number:
+            if op != ">":
+                return never if op == "=" else always
+            if Decimal(float(held)) > number:  # x > number is x > the next float below
+                held = np.nextafter(held, np.float32("-inf"))
+        return apply(F.lit(float(held)).cast("float"))
+    bits = _WHOLE[kind]
+    low, high = -(1 << bits - 1), (1 << bits - 1) - 1
+    down = int(number.to_integral_value(ROUND_FLOOR))
+    if op == ">":
+        return never if down >= high else always if down < low else apply(F.lit(down).cast(kind))
+    if down != number or not low <= down <= high:
+        return never if op == "=" else always
+    return apply(F.lit(down).cast(kind))
+
+
 def round_cols(df: DataFrame, digits: int, cols=None) -> DataFrame:
     """Round the given (default: all floating) columns to ``digits``."""
     names = cols if cols is not None else [

@@ -124,6 +124,32 @@ def _chi2_p_udf(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([chi2_upper(a, b) for a, b in zip(x, k)], dtype="float64")
 
 
+def t_upper_quantile(q: float, dof: float) -> float:
+    """The t that a Student's t stays under with probability ``q`` > 0.5."""
+    if q is None or dof is None or not np.isfinite(dof) or dof <= 0:
+        return float("nan")
+    low, high = 0.0, 1.0
+    while 1.0 - t_two_sided(high, dof) / 2.0 < q:
+        high *= 2.0
+    for _ in range(200):
+        mid = (low + high) / 2.0
+        if 1.0 - t_two_sided(mid, dof) / 2.0 < q:
+            low = mid
+        else:
+            high = mid
+    return (low + high) / 2.0
+
+
+@F.pandas_udf(DoubleType())
+def _t_q_udf(q: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([t_upper_quantile(a, b) for a, b in zip(q, dof)], dtype="float64")
+
+
+def t_quantile(q: Column, dof: Column) -> Column:
+    """Student-t quantile as a Column (for one-row results)."""
+    return _t_q_udf(q.cast("double"), dof.cast("double"))
+
+
 def t_p_value(t: Column, dof: Column) -> Column:
     """Two-sided Student-t p-value as a Column (for one-row results)."""
     return _t_p_udf(t.cast("double"), dof.cast("double"))

@@ -14,22 +14,25 @@ from pyspark.sql import functions as F
 
 from quarry.functions.expr import col_of
 from quarry.functions.joins import bounded_broadcast
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import work_path
 
 
 def global_rank(df: DataFrame, order_cols, rank_col: str = "rank") -> DataFrame:
     """Attach a 1-based rank in the total order given by ``order_cols``.
 
     ``order_cols`` should be a total order (ties only between identical rows)
-    for the rank to be reproducible.  The sorted, tagged rows are
-    checkpointed to the shared checkpoint folder so the counts and the ranks
-    come from one and the same sort, even if an executor is lost.
+    for the rank to be reproducible.  The sorted, tagged rows are written as
+    compressed parquet in the shared folder, so the counts (which read two
+    narrow columns) and the ranks come from one and the same sort, even if
+    an executor is lost.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*[col_of(c) for c in order_cols])
-              .withColumn("_q_pid", F.spark_partition_id())
-              .withColumn("_q_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    spark = df.sparkSession
+    path = work_path(spark, "sorted")
+    sorted_rows = (df.orderBy(*[col_of(c) for c in order_cols])
+                   .withColumn("_q_pid", F.spark_partition_id())
+                   .withColumn("_q_mid", F.monotonically_increasing_id()))
+    sorted_rows.write.parquet(path)
+    tagged = spark.read.schema(sorted_rows.schema).parquet(path)
     counts = tagged.groupBy("_q_pid").agg(
         F.count(F.lit(1)).alias("_q_n"), F.min("_q_mid").alias("_q_m0"))
     # One row per sorted partition: a window without PARTITION BY is bounded

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from quarry.functions.expr import materialize_small, stable_hash
 from quarry.functions.joins import bounded_broadcast
 
+from quarry.functions.pvalues import chi2_p_value, t_quantile
 from quarry.functions.rank import global_rank, top_n_per_group
-
-Z_95 = 1.959963984540054  # two-sided 95% normal quantile
+from quarry.session import work_path
 
 
 def record_coverage(users: DataFrame, records: DataFrame, user_key: str, record_key: str,
@@ -40,7 +40,7 @@ def _in_period(ts: Column, period) -> Column:
 
 def gmv_change(df: DataFrame, category: str, value: Column, ts: str, period_a, period_b) -> DataFrame:
     """GMV per category in two periods, the change, and each category's
-    share of the total change.
+    share of the total change (NULL if nothing changed in total).
 
     Periods are half-open ``(start, end)`` text pairs.  One pass with
     conditional sums; the share divides by a sum over the (small) category
@@ -52,15 +52,16 @@ def gmv_change(df: DataFrame, category: str, value: Column, ts: str, period_a, p
         F.sum(F.when(in_a, value).otherwise(F.lit(0.0))).alias("gmv_a"),
         F.sum(F.when(in_b, value).otherwise(F.lit(0.0))).alias("gmv_b"))
     g = g.withColumn("delta", F.col("gmv_b") - F.col("gmv_a"))
-    # one row per category: a window over all of it stays category-sized
-    return g.withColumn("share", F.col("delta") / F.sum("delta").over(Window.partitionBy()))
+    g = materialize_small(g)  # one row per category, read twice
+    return g.withColumn("share", F.try_divide(F.col("delta"), g.agg(F.sum("delta")).scalar()))
 
 
 def gmv_drivers(orders: DataFrame, buyer: str, value: str, ts: str, period_a, period_b) -> DataFrame:
     """GMV = buyers x orders per buyer x value per order, per period.
 
     ``log_effect`` = ln(b / a) of each factor; the three factor effects add
-    up to the GMV row's.  Returns (driver, value_a, value_b, log_effect).
+    up to the GMV row's.  A period without orders has no ratios: those
+    values and effects are NULL.  Returns (driver, value_a, value_b, log_effect).
     """
     t = F.col(ts)
     in_a, in_b = _in_period(t, period_a), _in_period(t, period_b)
@@ -73,17 +74,14 @@ def gmv_drivers(orders: DataFrame, buyer: str, value: str, ts: str, period_a, pe
         F.sum(F.when(in_b, F.col(value))).alias("gmv_b"))
     drivers = [
         ("buyers", F.col("buyers_a").cast("double"), F.col("buyers_b").cast("double")),
-        ("orders_per_buyer", F.col("orders_a") / F.col("buyers_a"), F.col("orders_b") / F.col("buyers_b")),
-        ("value_per_order", F.col("gmv_a") / F.col("orders_a"), F.col("gmv_b") / F.col("orders_b")),
+        ("orders_per_buyer", F.try_divide("orders_a", "buyers_a"), F.try_divide("orders_b", "buyers_b")),
+        ("value_per_order", F.try_divide("gmv_a", "orders_a"), F.try_divide("gmv_b", "orders_b")),
         ("gmv", F.col("gmv_a"), F.col("gmv_b")),
     ]
     rows = F.array(*[F.struct(F.lit(n).alias("driver"), a.alias("value_a"), b.alias("value_b"))
                      for n, a, b in drivers])
     out = s.select(F.explode(rows).alias("_q_d")).select("_q_d.*")
-    return out.withColumn("log_effect", F.log(F.col("value_b") / F.col("value_a")))
-
-
-_GRAIN_DAYS = {"day": 1, "week": 7}
+    return out.withColumn("log_effect", F.log(F.try_divide("value_b", "value_a")))
 
 
 def active_time_trend(events: DataFrame, user: str, duration: str, ts: str, grain: str = "day",
@@ -93,14 +91,15 @@ def active_time_trend(events: DataFrame, user: str, duration: str, ts: str, grai
 
     A user's active time in a period is the sum of ``duration``.  Per period:
     users, total, mean = total / users, and delta = change from the previous
-    period.  With ``groups`` (one row per user: ``group_key`` -> ``group``;
+    period that has events.  With ``groups`` (one row per user: ``group_key`` -> ``group``;
     users missing from it form group 'UNKNOWN') the change splits exactly
     into ``mix`` = sum_g (s_g,t - s_g,t-1) m_g,t-1 and ``within`` =
     sum_g s_g,t (m_g,t - m_g,t-1), where s is a group's share of users and m
     its mean; a group absent from a period has s = m = 0.
     Returns (period, users, total, mean, delta, mix, within).
     """
-    days = _GRAIN_DAYS[grain]
+    if grain not in ("day", "week"):
+        raise ValueError(grain)
     period = F.date_trunc(grain, F.col(ts))
     per_user = events.groupBy(F.col(user).alias("_q_u"), period.alias("period")).agg(
         F.sum(duration).alias("_q_t"))
@@ -121,8 +120,10 @@ def active_time_trend(events: DataFrame, user: str, duration: str, ts: str, grai
     share = cells.join(periods.select("period", F.col("users").alias("_q_pu")), "period").select(
         "period", "_q_g", (F.col("_q_users") / F.col("_q_pu")).alias("s"),
         (F.col("_q_total") / F.col("_q_users")).alias("m"))
-    prev = share.select((F.col("period") + F.expr(f"INTERVAL {days} DAYS")).alias("period"),
-                        "_q_g", F.col("s").alias("s0"), F.col("m").alias("m0"))
+    # a period is compared with the one present before it, also after a gap
+    after = periods.select(F.col("period").alias("_q_p0"), F.lead("period").over(order).alias("_q_p1")).filter(F.col("_q_p1").isNotNull())
+    prev = share.join(after, F.col("period") == F.col("_q_p0")).select(
+        F.col("_q_p1").alias("period"), "_q_g", F.col("s").alias("s0"), F.col("m").alias("m0"))
     both = share.join(prev, ["period", "_q_g"], "full").fillna(0.0, ["s", "m", "s0", "m0"])
     parts = both.groupBy("period").agg(
         F.sum((F.col("s") - F.col("s0")) * F.col("m0")).alias("mix"),
@@ -161,7 +162,7 @@ def ab_bucket(id_col, salt: str) -> Column:
 
 def ab_arm(id_col, salt: str, ratios: dict) -> Column:
     """Arm of an id: arms take consecutive bucket ranges sized by ``ratios``
-    (in the order given)."""
+    (in the order given).  A NULL id has no arm."""
     total = float(sum(ratios.values()))
     bucket = ab_bucket(id_col, salt)
     expr, edge = None, 0.0
@@ -169,7 +170,7 @@ def ab_arm(id_col, salt: str, ratios: dict) -> Column:
         edge += r / total
         cond = bucket < F.lit(int(round(edge * AB_BUCKETS)))
         expr = F.when(cond, F.lit(arm)) if expr is None else expr.when(cond, F.lit(arm))
-    return expr.otherwise(F.lit(list(ratios)[-1]))
+    return F.when(bucket.isNotNull(), expr.otherwise(F.lit(list(ratios)[-1])))
 
 
 def ab_assign(users: DataFrame, id_col: str, salt: str, ratios: dict) -> DataFrame:
@@ -183,31 +184,39 @@ def ab_assign(users: DataFrame, id_col: str, salt: str, ratios: dict) -> DataFra
 
 
 def srm_check(assigned: DataFrame, ratios: dict, strata: str | None = None) -> DataFrame:
-    """Per stratum and arm, observed vs expected counts, and the sample
-    ratio mismatch chi-square over arms (dof = arms - 1)."""
+    """Per stratum and arm, observed and expected counts, and the sample
+    ratio mismatch chi-square over the stratum's arms with its p.
+
+    Every arm of ``ratios`` counts, also one that got no rows.  Returns
+    (strata, arm, n, expected, chi2, dof, p).
+    """
     total = float(sum(ratios.values()))
     keys = [strata] if strata else []
-    counts = assigned.groupBy(*keys, "arm").agg(F.count(F.lit(1)).alias("n"))
-    share = F.create_map(*[x for a, r in ratios.items() for x in (F.lit(a), F.lit(r / total))])
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    counts = counts.withColumn("expected", F.sum("n").over(w) * share[F.col("arm")])
-    return counts.withColumn("chi2", F.sum((F.col("n") - F.col("expected")) ** 2 / F.col("expected")).over(w))
+    # one row per stratum, with a count for each arm
+    wide = assigned.groupBy(*keys).agg(*[F.count(F.when(F.col("arm") == a, 1)).alias(f"_q_a{i}") for i, a in enumerate(ratios)])
+    n = sum((F.col(f"_q_a{i}") for i in range(len(ratios))), F.lit(0))
+    cells = [F.struct(F.lit(a).alias("arm"), F.col(f"_q_a{i}").alias("n"), (n * F.lit(r / total)).alias("expected"))
+             for i, (a, r) in enumerate(ratios.items())]
+    chi2 = sum((F.try_divide((c["n"] - c["expected"]) ** 2, c["expected"]) for c in cells), F.lit(0.0))
+    out = wide.select(*keys, F.explode(F.array(*cells)).alias("_q_c"), chi2.alias("chi2"), F.lit(len(ratios) - 1).alias("dof"))
+    return out.select(*keys, "_q_c.arm", "_q_c.n", "_q_c.expected", "chi2", "dof", chi2_p_value(F.col("chi2"), F.col("dof")).alias("p"))
 
 
 def ab_test(df: DataFrame, arm: str, metric: str, control, treatment) -> DataFrame:
     """Difference of means between arms with a Welch t statistic, a 95%
-    interval (normal quantile) and a two-sided p.
+    interval (of the same t distribution) and a two-sided p.
 
     Returns (n_a, n_b, mean_a, mean_b, var_a, var_b, diff, stat, dof, low,
     high, p) with a = treatment, b = control.
     """
     from quarry.operators.stats import hypothesis_test
     out = hypothesis_test(df, arm, metric, treatment, control)
-    se = F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))
+    se = F.sqrt(F.try_divide("var_a", "n_a") + F.try_divide("var_b", "n_b"))
     diff = F.col("mean_a") - F.col("mean_b")
+    reach = t_quantile(F.lit(0.975), F.col("dof")) * se
     return out.select("n_a", "n_b", "mean_a", "mean_b", "var_a", "var_b", diff.alias("diff"),
-                      F.col("t").alias("stat"), "dof", (diff - Z_95 * se).alias("low"),
-                      (diff + Z_95 * se).alias("high"), "p")
+                      F.col("t").alias("stat"), "dof", (diff - reach).alias("low"),
+                      (diff + reach).alias("high"), "p")
 
 
 def diff_in_diff(df: DataFrame, treated: Column, after: Column, value: str) -> DataFrame:
@@ -249,33 +258,40 @@ def user_sequence(events: DataFrame, user: str, order_cols, kind: str, positions
     return pos_df, trans_df
 
 
-def item_cooccurrence(lines: DataFrame, basket: str, item: str, anchors: int, top_n: int) -> DataFrame:
-    """Items bought together with the ``anchors`` most frequent items.
+def item_cooccurrence(lines: DataFrame, basket: str, item: str, min_support: float, top_n: int, block: int = 64) -> DataFrame:
+    """For each item, the ``top_n`` items most often bought with it.
 
-    Counting every pair inside every basket would emit all pairs within a
-    group; instead the pairs are (anchor, other item) for a bounded anchor
-    set (the most frequent items, ties by id), so each basket emits at most
-    anchors x its size rows.  For each anchor: the ``top_n`` partners by
-    co-occurring baskets (ties by id) with support = n / baskets and
-    lift = n * baskets / (n_anchor * n_item).
-    Returns (anchor, item, n, support, lift, rank).
+    Items count if at least ``min_support`` of all baskets hold them (the
+    defining bound of frequent items).  A basket's items are dealt into blocks of about ``block``; its
+    pairs are made for each two of its blocks, so one giant basket is many
+    small pieces of work.  Partners are ranked by common baskets (ties by
+    id), with support = n / baskets and lift = n * baskets / (n_item *
+    n_other).  Returns (item, other, n, support, lift, rank).
     """
-    bi = lines.select(F.col(basket).alias("_q_b"), F.col(item).alias("_q_i")).distinct()
-    n_baskets = bi.select("_q_b").distinct().agg(F.count(F.lit(1))).scalar()
-    freq = bi.groupBy("_q_i").agg(F.count(F.lit(1)).alias("_q_n"))
-    top = freq.orderBy(F.col("_q_n").desc(), F.col("_q_i")).limit(anchors)  # top-k report
-    # at most ``anchors`` rows (a LIMIT): a proven bound
-    top = F.broadcast(top.select(F.col("_q_i").alias("anchor"), F.col("_q_n").alias("n_anchor")))
-    with_anchor = bi.join(top, F.col("_q_i") == F.col("anchor")).select(
-        F.col("_q_b"), "anchor", "n_anchor")
-    pairs = bi.join(with_anchor, "_q_b").filter(F.col("_q_i") != F.col("anchor"))
-    counts = pairs.groupBy("anchor", "n_anchor", "_q_i").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(freq, "_q_i").select(
-        "anchor", F.col("_q_i").alias("item"), "n",
-        (F.col("n") / n_baskets).alias("support"),
-        (F.col("n") * n_baskets / (F.col("n_anchor") * F.col("_q_n"))).alias("lift"))
-    # partial top-n per task before the shuffle: a hot anchor ships top_n rows per task
-    return top_n_per_group(counts, ["anchor"], [F.col("n").desc(), F.col("item")], top_n)
+    spark = lines.sparkSession
+    path = work_path(spark, "baskets")
+    lines.select(F.col(basket).alias("_q_b"), F.col(item).alias("_q_i")).filter(
+        F.col("_q_b").isNotNull() & F.col("_q_i").isNotNull()).distinct().write.parquet(path)
+    bi = spark.read.parquet(path)  # written once for the branches below
+    baskets = bi.groupBy("_q_b").agg(F.count(F.lit(1)).alias("_q_size"))
+    n_baskets = baskets.agg(F.count(F.lit(1))).first()[0]
+    freq = materialize_small(bi.groupBy("_q_i").agg(F.count(F.lit(1)).alias("_q_n")).filter(
+        F.col("_q_n") >= F.lit(min_support * n_baskets)))
+    kept = bi.join(freq.select("_q_i"), "_q_i", "left_semi").join(baskets, "_q_b")
+    blocks = F.ceil(F.col("_q_size") / F.lit(block)).cast("int")
+    dealt = (kept.withColumn("_q_k", blocks).withColumn("_q_m", F.pmod(F.xxhash64("_q_i"), F.col("_q_k").cast("long")).cast("int"))
+             .withColumn("_q_o", F.explode(F.sequence(F.lit(0), F.col("_q_k") - 1))))
+    left = dealt.select("_q_b", F.col("_q_m").alias("_q_x"), F.col("_q_o").alias("_q_y"), F.col("_q_i").alias("item"))
+    right = dealt.select("_q_b", F.col("_q_o").alias("_q_x"), F.col("_q_m").alias("_q_y"), F.col("_q_i").alias("other"))
+    pairs = left.join(right, ["_q_b", "_q_x", "_q_y"]).filter(F.col("item") < F.col("other"))
+    counts = pairs.groupBy("item", "other").agg(F.count(F.lit(1)).alias("n"))
+    both = counts.unionByName(counts.select(F.col("other").alias("item"), F.col("item").alias("other"), "n"))
+    sizes = [freq.select(F.col("_q_i").alias(c), F.col("_q_n").alias(f"_q_{c}")) for c in ("item", "other")]
+    scored = both.join(sizes[0], "item").join(sizes[1], "other").select(
+        "item", "other", "n", (F.col("n") / F.lit(n_baskets)).alias("support"),
+        (F.col("n") * F.lit(n_baskets) / (F.col("_q_item") * F.col("_q_other"))).alias("lift"))
+    # partial top-n per task before the shuffle: a hot item ships top_n rows per task
+    return top_n_per_group(scored, ["item"], [F.col("n").desc(), F.col("other")], top_n)
 
 
 def dense_index(df: DataFrame, column: str, out_col: str) -> DataFrame:
@@ -300,4 +316,5 @@ def gmv_rollup(level: DataFrame, level_key: str, mapping: DataFrame, key: str, p
     j = level.join(dim, F.col(level_key) == F.col("_q_k"))
     g = j.groupBy("category").agg(F.sum("gmv_a").alias("gmv_a"), F.sum("gmv_b").alias("gmv_b"))
     g = g.withColumn("delta", F.col("gmv_b") - F.col("gmv_a"))
-    return g.withColumn("share", F.col("delta") / F.sum("delta").over(Window.partitionBy()))
+    g = materialize_small(g)
+    return g.withColumn("share", F.try_divide(F.col("delta"), g.agg(F.sum("delta")).scalar()))

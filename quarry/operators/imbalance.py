@@ -10,9 +10,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +22,6 @@ from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.rank import global_rank, rank_within
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
 
-# Spark ML KMeans keeps k centres on the driver; above this many the
-# clustering runs per hash bucket instead (see cluster_undersample).
-MAX_DRIVER_K = 1000
 MAX_CLASSES = 10_000
 
 
@@ -84,7 +81,8 @@ def undersample(df: DataFrame, y: str, key: str, seed: str, batch: str | None =
         (k + F.lit(margin_sd) * F.sqrt(k) + F.lit(1.0)) / n * F.lit(span))))
     sizes = sizes.withColumn("_q_t", F.when(F.col("_q_keep") >= F.col("_q_n"), F.lit(span)).otherwise(cut))
     sizes = materialize_small(sizes)  # one row per (class, batch)
-    hashed = df.withColumn("_q_h", stable_hash(seed, F.col(key)))
+    # a NULL key hashes like any other value
+    hashed = df.withColumn("_q_h", stable_hash(seed, F.coalesce(F.col(key).cast("string"), F.lit("\x00"))))
     cand = join_on_keys(hashed, bounded_broadcast(sizes, MAX_CLASSES), groups).filter(
         F.col("_q_h") < F.col("_q_t"))
     short = join_on_keys(sizes, cand.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_c")), groups, "left")
@@ -179,24 +177,11 @@ def smote(df: DataFrame, key: str, features: str, y: str, minority, k: int, per_
 # ------------------------------------------------------------------ G7 cluster undersampling
 
 
-def _kmeans_numpy(x: np.ndarray, k: int, seed: int, iters: int = 20) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), size=k, replace=False)].copy()
-    for _ in range(iters):
-        d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(-1)
-        a = d.argmin(1)
-        for j in range(k):
-            m = a == j
-            if m.any():
-                centres[j] = x[m].mean(0)
-    return centres
-
-
 def _allocate(sizes: DataFrame, total: int, n: int) -> DataFrame:
-    """Split ``total`` centres over buckets (``_q_b``, ``_q_n`` rows) in
+    """Split ``total`` centres over groups (``_q_b``, ``_q_n`` rows) in
     proportion to their rows, by largest remainder, so the shares add up to
-    exactly ``total``.  Runs in Spark on the bucket table (one row per
-    bucket); returns (_q_b, _q_k)."""
+    exactly ``total`` and none is larger than its group.  Runs in Spark on
+    the group table (one row per group); returns (_q_b, _q_k)."""
     total = min(total, n)
     exact = F.col("_q_n") * F.lit(total) / F.lit(n)
     base = sizes.withColumn("_q_floor", F.floor(exact).cast("long")).withColumn(
@@ -207,48 +192,45 @@ def _allocate(sizes: DataFrame, total: int, n: int) -> DataFrame:
     return ranked.select("_q_b", (F.col("_q_floor") + extra).cast("int").alias("_q_k"))
 
 
-def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: int = 5,
-                        max_driver_k: int = MAX_DRIVER_K, bucket_rows: int = 50_000) -> DataFrame:
+def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: int = 5) -> DataFrame:
     """Replace the majority rows by N cluster centres, N = minority size,
     and keep every minority row.
 
-    N <= ``max_driver_k``: Spark ML KMeans (k=N) over all majority rows.
-    Larger N: majority rows are split into hash buckets and each bucket is
-    clustered on its own (``applyInPandas``) with a share of N proportional
-    to its rows - every task holds one bucket, never the whole class.
-    Returns (key, features, y, kind) with kind 'centre' or 'original'; a
-    centre's key is NULL.
+    The same at every size.  Spark ML KMeans parts the majority in about
+    sqrt(N) clusters; a (class, cluster) group gets its share of the N
+    centres, is ordered along a direction of its own (from its cluster's
+    centre to the next one) and cut into as many equal slices; a centre is
+    the mean of a slice, so it has one class and at least one row.  All
+    classes other than the smallest share the N centres by their rows; a
+    NULL class is a class.  Returns (key, features, y, kind) with kind
+    'centre' or 'original'; a centre's key is NULL.
     """
     mino_label, n_min = minority_label(df, y)
     base = df.select(key, F.col(features).cast("array<double>").alias(features), y)
-    minority = base.filter(F.col(y) == F.lit(mino_label)).withColumn("kind", F.lit("original"))
-    majority = base.filter(F.col(y) != F.lit(mino_label))
-    if n_min <= max_driver_k:
-        km = KMeans(k=int(n_min), seed=seed, featuresCol="_q_v", maxIter=30)
-        model = km.fit(majority.select(as_vector(features).alias("_q_v")))
-        rows = [(None, [float(v) for v in c], "centre") for c in model.clusterCenters()]
-        # the centres are k x d numbers already on the driver (k bounded above)
-        centres = df.sparkSession.createDataFrame(rows, f"{key} long, {features} array<double>, kind string")
-        label = majority.select(y).first()[0]
-        centres = centres.withColumn(y, F.lit(label))
+    is_minority = F.col(y).eqNullSafe(F.lit(mino_label))
+    minority = base.filter(is_minority).withColumn("kind", F.lit("original"))
+    majority = base.filter(~is_minority)
+    n_maj = majority.count()
+    if not n_maj:
+        return minority
+    parts = math.isqrt(max(0, int(n_min) - 1)) + 1
+    if parts > 1:
+        model = KMeans(k=parts, seed=seed, featuresCol="_q_v", predictionCol="_q_c", maxIter=30).fit(majority.select(as_vector(features).alias("_q_v")))
+        centres = [c.tolist() for c in model.clusterCenters()]  # about sqrt(N) of them
+        ways = [(np.array(centres[(i + 1) % len(centres)]) - np.array(c)) for i, c in enumerate(centres)]
+        placed = model.transform(majority.withColumn("_q_v", as_vector(features))).drop("_q_v")
+        along = dot(F.col(features), F.element_at(F.array(*[lit_array(w) for w in ways]), F.col("_q_c") + 1))
     else:
-        n_maj = majority.count()
-        buckets = max(1, math.ceil(n_maj / bucket_rows))
-        label_type = dict(df.dtypes)[y]
-        bucketed = majority.withColumn("_q_b", F.pmod(stable_hash(str(seed), F.col(key)), F.lit(buckets)))
-        alloc = _allocate(bucketed.groupBy("_q_b").agg(F.count(F.lit(1)).alias("_q_n")), int(n_min), n_maj)
-        rows = bucketed.join(bounded_broadcast(alloc), "_q_b").filter(F.col("_q_k") > 0)
-
-        def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-            kk = int(pdf["_q_k"].iloc[0])
-            x = np.stack(pdf[features].to_numpy())
-            c = _kmeans_numpy(x, kk, seed)
-            return pd.DataFrame({key: pd.Series([None] * kk, dtype="Int64"),
-                                 features: list(c), y: pdf[y].iloc[0], "kind": "centre"})
-
-        centres = rows.groupBy("_q_b", y).applyInPandas(
-            per_bucket, f"{key} long, {features} array<double>, {y} {label_type}, kind string")
-    return minority.unionByName(centres.select(key, features, y, "kind"))
+        placed, along = majority.withColumn("_q_c", F.lit(0)), F.element_at(features, 1)
+    placed = placed.withColumn("_q_b", F.struct(F.col(y).alias("y"), F.col("_q_c").alias("c"))).withColumn("_q_a", along)
+    alloc = materialize_small(placed.groupBy("_q_b").agg(F.count(F.lit(1)).alias("_q_n")))
+    shares = materialize_small(alloc.join(_allocate(alloc, int(n_min), n_maj), "_q_b").filter(F.col("_q_k") > 0))
+    ranked = rank_within(placed.join(bounded_broadcast(shares), "_q_b"), ["_q_b"], ["_q_a", F.col(key)], "_q_r")
+    sliced = ranked.withColumn("_q_s", F.floor((F.col("_q_r") - 1) * F.col("_q_k") / F.col("_q_n")))
+    means = sliced.groupBy("_q_b", "_q_s").agg(Summarizer.mean(as_vector(features)).alias("_q_m"))
+    centres = means.select(F.lit(None).cast(dict(df.dtypes)[key]).alias(key), vector_to_array("_q_m").alias(features),
+                           F.col("_q_b.y").alias(y), F.lit("centre").alias("kind"))
+    return minority.unionByName(centres)
 
 
 # ------------------------------------------------------------------ G8, G9 penalised models

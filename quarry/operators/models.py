@@ -23,17 +23,18 @@ def standardise(df: DataFrame, cols, kind: str = "zscore", suffix: str | None =
     """Z-score ((x - mean) / sample sd) or min-max ((x - min) / (max - min)).
 
     The statistics are one aggregate read back as a single scalar subquery
-    (one pass over the input); no join.
+    (one pass over the input); no join.  A column of one value has no scale:
+    NULL.
     """
     suffix = suffix or ("_z" if kind == "zscore" else "_mm")
     if kind == "zscore":
         st = scalar_struct(df.agg(*[F.avg(c).alias(f"a_{c}") for c in cols],
                                   *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]))
-        exprs = {f"{c}{suffix}": (F.col(c) - st[f"a_{c}"]) / st[f"s_{c}"] for c in cols}
+        exprs = {f"{c}{suffix}": F.try_divide(F.col(c) - st[f"a_{c}"], st[f"s_{c}"]) for c in cols}
     elif kind == "minmax":
         st = scalar_struct(df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
                                   *[F.max(c).alias(f"hi_{c}") for c in cols]))
-        exprs = {f"{c}{suffix}": (F.col(c) - st[f"lo_{c}"]) / (st[f"hi_{c}"] - st[f"lo_{c}"]) for c in cols}
+        exprs = {f"{c}{suffix}": F.try_divide(F.col(c) - st[f"lo_{c}"], st[f"hi_{c}"] - st[f"lo_{c}"]) for c in cols}
     else:
         raise ValueError("kind must be 'zscore' or 'minmax'")
     return df.withColumns(exprs)

@@ -158,8 +158,11 @@ def candidate_fk_profile(df: DataFrame, cols, parent: DataFrame, pk: str) -> Dat
     """
     cols = list(cols)
     key_type = parent.schema[pk].dataType
-    long = df.select([F.col(c).cast(key_type).alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "value").filter(F.col("value").isNotNull()).distinct()
+    # values are compared as text next to their value in the key's type; a value
+    # that the type cannot hold matches no key
+    long = df.select([F.struct(F.col(c).cast("string").alias("text"), F.col(c).try_cast(key_type).alias("value")).alias(c) for c in cols]).unpivot(
+        [], cols, "column_name", "_q_v").select("column_name", "_q_v.*").filter(F.col("text").isNotNull())
+    long = long.select("column_name", F.when(F.col("value").isNull(), F.col("text")).alias("text"), "value").distinct()
     keys = parent.select(F.col(pk).alias("_q_pk")).distinct()
     hit = long.join(keys, F.col("value") == F.col("_q_pk"), "left")
     return hit.groupBy("column_name").agg(

@@ -6,10 +6,12 @@ default collation of the database the reference talks to.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import col_of, scalar_struct, typed_literal
+from quarry.functions.expr import col_of, compare, scalar_struct
 from quarry.functions.joins import bounded_broadcast
 from quarry.functions.rank import global_rank
 
@@ -28,12 +30,12 @@ def filter_eq_string(df: DataFrame, column: str, value: str) -> DataFrame:
 
 def filter_eq_int(df: DataFrame, column: str, value: int) -> DataFrame:
     """``column = n``."""
-    return df.filter(F.col(column) == typed_literal(df, column, value))
+    return df.filter(compare(df, column, "=", value))
 
 
 def filter_gt(df: DataFrame, column: str, value) -> DataFrame:
     """``column > number``."""
-    return df.filter(F.col(column) > typed_literal(df, column, value))
+    return df.filter(compare(df, column, ">", value))
 
 
 def filter_gt_quoted(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -42,7 +44,7 @@ def filter_gt_quoted(df: DataFrame, column: str, value: str) -> DataFrame:
     The text is cast to the column's type, so the comparison is numeric and
     the predicate on the raw column is pushed down.
     """
-    return df.filter(F.col(column) > typed_literal(df, column, value))
+    return df.filter(compare(df, column, ">", value))
 
 
 def filter_type_mismatch(df: DataFrame, string_col, number: int) -> DataFrame:
@@ -87,7 +89,7 @@ def filter_and_prefix(df: DataFrame, preds) -> DataFrame:
 
 def filter_neq(df: DataFrame, column: str, value) -> DataFrame:
     """``<>``; rows where the column is NULL drop out."""
-    return df.filter(F.col(column) != typed_literal(df, column, value))
+    return df.filter(compare(df, column, "<>", value))
 
 
 def arith_increment(df: DataFrame, column: str, by: int = 1) -> DataFrame:
@@ -104,14 +106,26 @@ def bound_params(spark: SparkSession, sql: str, args: dict, **frames: DataFrame)
     return spark.sql(sql, args=args, **frames)
 
 
+_SPEC = re.compile(r"%(?:(\d+)\$)?[-#+ 0,(]*\d*(?:\.\d+)?([a-zA-Z%])")
+
+
 def format_row(df: DataFrame, template: str, cols, out_col: str = "line") -> DataFrame:
     """One text line per row, printf style.
 
     ``%d`` of a fractional number truncates toward zero, as Python's ``%d``
     does.  A NULL value prints ``null``.
     """
-    return df.select(*df.columns,
-                     F.format_string(template, *[col_of(c) for c in cols]).alias(out_col))
+    values = [col_of(c) for c in cols]
+    types = df.select(*values).schema
+    taken = 0
+    for place, spec in _SPEC.findall(template):
+        if spec in "%n":
+            continue
+        taken += not place
+        i = int(place or taken) - 1
+        if spec == "d" and i < len(values) and types[i].dataType.typeName() in ("float", "double", "decimal"):
+            values[i] = values[i].cast("bigint")
+    return df.select(*df.columns, F.format_string(template, *values).alias(out_col))
 
 
 # ---------------------------------------------------------------- C: joins

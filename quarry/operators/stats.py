@@ -10,14 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import materialize_small
-from quarry.functions.joins import bounded_broadcast, has_at_most, join_on_keys
+from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.pvalues import chi2_p_value, t_p_value
 from quarry.functions.scan import running_sum
 
-# Hypothesis and evidence vocabularies must stay this small to be pivoted.
-MAX_HYPOTHESES = 1000
-
-
 def bayes_posterior(df: DataFrame, a: str, b: str) -> DataFrame:
     """H1: prior P(a), likelihood P(b|a), evidence P(b), posterior P(a|b)
     for every observed (a, b).
@@ -48,37 +44,32 @@ def bayes_update(evidence: DataFrame, entity: str, order_cols, observation: str,
     ``priors`` is (hypothesis, prior); ``likelihoods`` is (hypothesis,
     observation, likelihood).  Evidence rows of one entity are taken as
     independent given the hypothesis, so the log posterior is
-    ln prior + running sum of ln likelihood, normalised over hypotheses.
-    The running sum is skew-safe (``functions.scan``).  Returns
-    (id_cols..., entity, hypothesis, posterior), one row per evidence row
-    and hypothesis.
+    ln prior + running sum of ln likelihood, normalised over hypotheses.  A
+    hypothesis that has met evidence of likelihood 0 (or has prior 0) stays
+    at 0; if all have, the posterior is NULL.  An observation that
+    ``likelihoods`` does not know at all changes nothing; one that it knows
+    for other hypotheses only has likelihood 0.  Hypotheses are rows, so
+    there may be any number, and the running sums are skew-safe
+    (``functions.scan``).  Returns (id_cols..., entity, hypothesis,
+    posterior), one row per evidence row and hypothesis.
     """
-    if not has_at_most(priors, MAX_HYPOTHESES):
-        raise ValueError(f"more than {MAX_HYPOTHESES} hypotheses")
-    hyps = [r[0] for r in priors.select(hypothesis).orderBy(hypothesis).collect()]
-    names = {h: f"_q_h{i}" for i, h in enumerate(hyps)}
-    lik = (likelihoods.withColumn("_q_lp", F.log(F.col("likelihood")))
-           .groupBy(observation).pivot(hypothesis, hyps).agg(F.first("_q_lp")))
-    lik = materialize_small(lik.select(observation, *[F.col(str(h)).alias(names[h]) for h in hyps]))
-    prior_row = priors.select(hypothesis, F.log("prior").alias("lp")).collect()
-    log_prior = {r[0]: r[1] for r in prior_row}
-    rows = evidence.select(*id_cols, entity, *order_cols, observation)
-    rows = rows.join(bounded_broadcast(lik), observation, "left")
-    cum = running_sum(rows, [entity], order_cols, list(names.values()), prefix="_q_cum")
-    post = {h: F.lit(log_prior[h]) + F.col(f"_q_cum{names[h]}") for h in hyps}
-    top = F.greatest(*post.values()) if len(hyps) > 1 else list(post.values())[0]
-    cum = cum.withColumn("_q_m", top)
-    denom = None
-    for h in hyps:
-        term = F.exp(post[h] - F.col("_q_m"))
-        denom = term if denom is None else denom + term
-    cum = cum.withColumn("_q_den", denom)
-    wide = cum.select(*id_cols, entity, *[
-        (F.exp(post[h] - F.col("_q_m")) / F.col("_q_den")).alias(names[h]) for h in hyps])
-    stack = F.explode(F.array(*[F.struct(F.lit(h).alias(hypothesis), F.col(names[h]).alias("posterior"))
-                                for h in hyps]))
-    return wide.select(*id_cols, entity, stack.alias("_q_s")).select(
-        *id_cols, entity, f"_q_s.{hypothesis}", "_q_s.posterior")
+    known = likelihoods.filter(F.col("likelihood").isNotNull()).groupBy(observation).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(hypothesis), F.col("likelihood")))).alias("_q_l"))
+    all_h = priors.agg(F.sort_array(F.collect_list(F.struct(F.col(hypothesis).alias("h"), F.col("prior").alias("p"))))).scalar()
+    row = F.struct(*[F.col(c) for c in dict.fromkeys([*id_cols, entity, *order_cols])])
+    rows = evidence.select(row.alias("_q_row"), F.col(observation)).join(known, observation, "left").select("_q_row", "_q_l", F.explode(all_h).alias("_q_h"))
+    given = F.when(F.col("_q_l").isNull(), F.lit(1.0)).otherwise(F.coalesce(F.element_at("_q_l", F.col("_q_h.h")).cast("double"), F.lit(0.0)))
+    steps = rows.select("_q_row", F.col("_q_h.h").alias("_q_hyp"), F.col("_q_h.p").alias("_q_p"), given.alias("_q_g")).select(
+        "*", F.when(F.col("_q_g") > 0, F.log("_q_g")).otherwise(F.lit(0.0)).alias("_q_lp"), F.when(F.col("_q_g") > 0, 0.0).otherwise(1.0).alias("_q_z"),
+        F.col(f"_q_row.{entity}").alias("_q_e"), *[F.col(f"_q_row.{c}").alias(f"_q_o{i}") for i, c in enumerate(order_cols)])
+    cum = running_sum(steps, ["_q_e", "_q_hyp"], [f"_q_o{i}" for i in range(len(order_cols))], ["_q_lp", "_q_z"], prefix="_q_cum")
+    alive = (F.col("_q_cum_q_z") == 0) & (F.col("_q_p") > 0)
+    cum = cum.withColumn("_q_lpost", F.when(alive, F.log("_q_p") + F.col("_q_cum_q_lp")))
+    same = Window.partitionBy("_q_row")  # the hypotheses of one evidence row
+    cum = cum.withColumn("_q_w", F.coalesce(F.exp(F.col("_q_lpost") - F.max("_q_lpost").over(same)), F.lit(0.0)))
+    posterior = F.try_divide(F.col("_q_w"), F.sum("_q_w").over(same))
+    return cum.select(*[F.col(f"_q_row.{c}").alias(c) for c in id_cols], F.col("_q_row").getField(entity).alias(entity),
+                      F.col("_q_hyp").alias(hypothesis), posterior.alias("posterior"))
 
 
 def total_probability(df: DataFrame, part: str, event: Column) -> DataFrame:
@@ -95,9 +86,11 @@ def total_probability(df: DataFrame, part: str, event: Column) -> DataFrame:
 def _welch(prefix_a: str, prefix_b: str):
     na, nb = F.col(f"n_{prefix_a}"), F.col(f"n_{prefix_b}")
     va, vb = F.col(f"var_{prefix_a}"), F.col(f"var_{prefix_b}")
-    se2 = va / na + vb / nb
-    t = (F.col(f"mean_{prefix_a}") - F.col(f"mean_{prefix_b}")) / F.sqrt(se2)
-    dof = (se2 * se2) / ((va / na) * (va / na) / (na - 1) + (vb / nb) * (vb / nb) / (nb - 1))
+    # a side of one row, or no spread at all, has no t: NULL
+    ra, rb = F.try_divide(va, na), F.try_divide(vb, nb)
+    se2 = ra + rb
+    t = F.try_divide(F.col(f"mean_{prefix_a}") - F.col(f"mean_{prefix_b}"), F.sqrt(se2))
+    dof = F.try_divide(se2 * se2, F.try_divide(ra * ra, na - 1) + F.try_divide(rb * rb, nb - 1))
     return t, dof
 
 
@@ -131,7 +124,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     ra = cells.groupBy(a).agg(F.sum("o").alias("_q_ra"))
     cb = cells.groupBy(b).agg(F.sum("o").alias("_q_cb"))
     n = F.col("_q_N")
-    joined = cells.join(ra, a).join(cb, b).withColumn("_q_N", F.sum("o").over(Window.partitionBy()))
+    joined = cells.join(ra, a).join(cb, b).withColumn("_q_N", cells.agg(F.sum("o")).scalar())
     e = F.col("_q_ra") * F.col("_q_cb") / n
     per = joined.select(((F.col("o") - e) * (F.col("o") - e) / e).alias("_q_x"), e.alias("_q_e"),
                         n.alias("_q_N"))
@@ -165,7 +158,7 @@ def combine_moments(parts: DataFrame, group: str) -> DataFrame:
     """Exact group moments from partial ones (Chan et al.'s parallel
     formula): N = sum n, mean = sum n mean / N,
     M2 = sum m2 + sum n (mean_i - mean)^2.  Returns (group, n, mean, var)
-    with the sample variance M2 / (N - 1)."""
+    with the sample variance M2 / (N - 1), NULL for a single row."""
     # partial moments (one row per pre-aggregation key) are read twice below
     parts = parts.checkpoint(eager=True)
     first = parts.groupBy(group).agg(F.sum("n").alias("_q_N"),
@@ -173,8 +166,8 @@ def combine_moments(parts: DataFrame, group: str) -> DataFrame:
     j = join_on_keys(parts, bounded_broadcast(first), [group])
     return j.groupBy(group).agg(
         F.first("_q_N").alias("n"), F.first("_q_mean").alias("mean"),
-        ((F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("_q_mean")) ** 2))
-         / (F.first("_q_N") - 1)).alias("var"))
+        (F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("_q_mean")) ** 2)).alias("_q_m2")).select(
+        group, "n", "mean", F.try_divide("_q_m2", F.col("n") - 1).alias("var"))
 
 
 def welch_from_moments(moments: DataFrame, group: str, a, b) -> DataFrame:

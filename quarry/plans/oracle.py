@@ -25,6 +25,19 @@ def duck_connection(sf_dir: str):
     return con
 
 
+def t_p_sql(t: str, dof: str) -> str:
+    """DuckDB: two-sided Student-t p, by Simpson's rule over [0, |t|]."""
+    density = (f"exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2) - 0.5 * ln({dof} * pi())"
+               f" - ({dof} + 1) / 2 * ln(1 + power(abs({t}) * i / 2000, 2) / {dof}))")
+    return (f"(SELECT round(greatest(0, 1 - 2 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density})"
+            f" * abs({t}) / 6000), 6) FROM range(0, 2001) r(i))")
+
+
+def chi2_p_sql(x: str, dof: str) -> str:
+    """DuckDB: upper chi-square tail for an even number of degrees of freedom, a finite sum."""
+    return f"(SELECT round(sum(exp(i * ln({x} / 2) - {x} / 2 - lgamma(i + 1))), 6) FROM range(0, ({dof} / 2)::BIGINT) r(i))"
+
+
 def _norm(v):
     if v is None:
         return None

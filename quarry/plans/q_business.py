@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.time import ts
 from quarry.operators import business as B
+from quarry.plans.oracle import t_p_sql
 from quarry.plans.registry import register
 from quarry.sources.tables import load
 
@@ -88,7 +89,8 @@ WITH pu AS (SELECT user_id AS u, date_trunc('day', ts) AS period, sum(value) AS
             FROM periods),
      share AS (SELECT c.period, c.g, c.users / p.users AS s, c.total / c.users AS m
                FROM cells c JOIN periods p USING (period)),
-     prev AS (SELECT period + INTERVAL 1 DAY AS period, g, s AS s0, m AS m0 FROM share),
+     nxt AS (SELECT period, min(period) OVER (ORDER BY period ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS after FROM periods),
+     prev AS (SELECT n.after AS period, s.g, s.s AS s0, s.m AS m0 FROM share s JOIN nxt n ON n.period = s.period WHERE n.after IS NOT NULL),
      both_ AS (SELECT coalesce(a.period, b.period) AS period, coalesce(a.s, 0) AS s, coalesce(a.m, 0) AS m,
                       coalesce(b.s0, 0) AS s0, coalesce(b.m0, 0) AS m0
                FROM share a FULL JOIN prev b ON a.period = b.period AND a.g = b.g),
@@ -127,9 +129,9 @@ FROM (SELECT c.c_mktsegment AS g, e.value AS v FROM events e JOIN customer c ON
 WHERE g IN ('BUILDING', 'AUTOMOBILE')"""
 
 
-@register("group_gap", "R", section="I5", sql=_welch_sql(_SEG_STATS).format(
+@register("group_gap", "R", section="I5", sql=f"SELECT w.*, {t_p_sql('w.t', 'w.dof')} AS p FROM (" + _welch_sql(_SEG_STATS).format(
     head="'BUILDING' AS group_a, 'AUTOMOBILE' AS group_b,",
-    extra="round(mean_a - mean_b, 6) AS gap,", tname="t"))
+    extra="round(mean_a - mean_b, 6) AS gap,", tname="t") + ") w")
 def q_group_gap(spark, sf):
     from quarry.operators import stats as H
     # per-user moments first: the join to customers moves one row per user
@@ -141,7 +143,7 @@ def q_group_gap(spark, sf):
     return out.select("group_a", "group_b", "n_a", "n_b", F.round("mean_a", 6).alias("mean_a"),
                       F.round("mean_b", 6).alias("mean_b"), F.round("var_a", 1).alias("var_a"),
                       F.round("var_b", 1).alias("var_b"), F.round("gap", 6).alias("gap"),
-                      F.round("t", 8).alias("t"), F.round("dof", 6).alias("dof"))
+                      F.round("t", 8).alias("t"), F.round("dof", 6).alias("dof"), F.round("p", 6).alias("p"))
 
 
 _BUCKET_SQL = "(('0x' || substr(md5('{salt}' || CAST({col} AS VARCHAR)), 1, 8))::BIGINT % 10000)"
@@ -161,6 +163,23 @@ def q_ab_assign(spark, sf):
     return B.ab_assign(c, "c_custkey", SALT, RATIOS)
 
 
+@register("sample_ratio", "R", section="I6", sql=f"""
+WITH c AS (SELECT c_mktsegment, {_arm_sql('c_custkey')} AS arm FROM customer),
+     g AS (SELECT c_mktsegment, count(*) AS total FROM c GROUP BY 1),
+     cells AS (SELECT g.c_mktsegment, a.arm, count(c.arm) AS n, g.total * a.share AS expected
+               FROM g JOIN (VALUES ('A', 0.5::DOUBLE), ('B', 0.4::DOUBLE), ('C', 0.1::DOUBLE)) a(arm, share) ON true
+               LEFT JOIN c ON c.c_mktsegment = g.c_mktsegment AND c.arm = a.arm GROUP BY g.c_mktsegment, a.arm, g.total, a.share),
+     x AS (SELECT *, sum(power(n - expected, 2) / expected) OVER (PARTITION BY c_mktsegment) AS chi2 FROM cells)
+SELECT c_mktsegment, arm, n, round(expected, 8) AS expected, round(chi2, 8) AS chi2, 2::INT AS dof, round(exp(-chi2 / 2), 6) AS p FROM x
+""")
+def q_sample_ratio(spark, sf):
+    # held against the ratios of a test with a third arm, which gets no customers
+    c = B.ab_assign(load(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", SALT, RATIOS)
+    out = B.srm_check(c, {"A": 0.5, "B": 0.4, "C": 0.1}, "c_mktsegment")
+    return out.select("c_mktsegment", "arm", "n", F.round("expected", 8).alias("expected"), F.round("chi2", 8).alias("chi2"), "dof",
+                      F.round("p", 6).alias("p"))
+
+
 _ARM_STATS = f"""
 SELECT count(*) FILTER (WHERE arm = 'B') AS n_a, count(*) FILTER (WHERE arm = 'A') AS n_b,
        avg(o_totalprice) FILTER (WHERE arm = 'B') AS mean_a, avg(o_totalprice) FILTER (WHERE arm = 'A') AS mean_b,
@@ -168,11 +187,17 @@ SELECT count(*) FILTER (WHERE arm = 'B') AS n_a, count(*) FILTER (WHERE arm = 'A
 FROM (SELECT o_totalprice, {_arm_sql('o_custkey')} AS arm FROM orders) x"""
 
 
+# the 97.5% point of Student's t for many degrees of freedom, as a series about the normal one
+_Z = "1.959963984540054"
+_T_975 = (f"({_Z} + (power({_Z}, 3) + {_Z}) / (4 * dof) + (5 * power({_Z}, 5) + 16 * power({_Z}, 3) + 3 * {_Z}) / (96 * power(dof, 2))"
+          f" + (3 * power({_Z}, 7) + 19 * power({_Z}, 5) + 17 * power({_Z}, 3) - 15 * {_Z}) / (384 * power(dof, 3)))")
+
+
 @register("ab_test", "R", section="I7", sql=f"""
 SELECT n_a, n_b, mean_a, mean_b, var_a, var_b, diff, stat, dof,
-       round(diff_raw - 1.959963984540054 * se, 6) AS low, round(diff_raw + 1.959963984540054 * se, 6) AS high
+       round(diff_raw - q * se, 6) AS low, round(diff_raw + q * se, 6) AS high, {t_p_sql('z.stat', 'z.dof')} AS p
 FROM (
-  SELECT *, round(mean_a_raw - mean_b_raw, 6) AS diff, mean_a_raw - mean_b_raw AS diff_raw,
+  SELECT *, {_T_975} AS q, round(mean_a_raw - mean_b_raw, 6) AS diff, mean_a_raw - mean_b_raw AS diff_raw,
          sqrt(var_a_raw / n_a + var_b_raw / n_b) AS se
   FROM ({_welch_sql(_ARM_STATS).format(
       head="", extra="mean_a AS mean_a_raw, mean_b AS mean_b_raw, var_a AS var_a_raw, var_b AS var_b_raw,",
@@ -186,7 +211,7 @@ def q_ab_test(spark, sf):
                       F.round("var_a", 1).alias("var_a"), F.round("var_b", 1).alias("var_b"),
                       F.round("diff", 6).alias("diff"), F.round("stat", 8).alias("stat"),
                       F.round("dof", 6).alias("dof"), F.round("low", 6).alias("low"),
-                      F.round("high", 6).alias("high"))
+                      F.round("high", 6).alias("high"), F.round("p", 6).alias("p"))
 
 
 @register("diff_in_diff", "R", section="I8", sql=f"""
@@ -233,18 +258,16 @@ def q_user_sequence_positions(spark, sf):
 @register("item_cooccurrence", "R", section="I10", sql="""
 WITH bi AS (SELECT DISTINCT l_orderkey AS b, l_partkey AS i FROM lineitem),
      nb AS (SELECT count(DISTINCT b) AS nb FROM bi),
-     freq AS (SELECT i, count(*) AS n FROM bi GROUP BY i),
-     top AS (SELECT i AS anchor, n AS n_anchor FROM freq ORDER BY n DESC, i LIMIT 10),
-     pairs AS (SELECT t.anchor, t.n_anchor, x.i AS item, count(*) AS n
-               FROM bi a JOIN top t ON a.i = t.anchor JOIN bi x ON x.b = a.b AND x.i <> t.anchor
-               GROUP BY 1, 2, 3),
-     scored AS (SELECT p.anchor, p.item, p.n, p.n / (SELECT nb FROM nb) AS support,
-                       p.n * (SELECT nb FROM nb) / (p.n_anchor * f.n) AS lift,
-                       row_number() OVER (PARTITION BY p.anchor ORDER BY p.n DESC, p.item) AS rank
-                FROM pairs p JOIN freq f ON f.i = p.item)
-SELECT anchor, item, n, round(support, 10) AS support, round(lift, 8) AS lift, rank FROM scored WHERE rank <= 5
+     freq AS (SELECT i, count(*) AS n FROM bi GROUP BY i HAVING count(*) >= 0.0001::DOUBLE * (SELECT nb FROM nb)),
+     pairs AS (SELECT x.i AS item, y.i AS other, count(*) AS n FROM bi x JOIN bi y ON x.b = y.b AND x.i <> y.i
+               WHERE x.i IN (SELECT i FROM freq) AND y.i IN (SELECT i FROM freq) GROUP BY 1, 2),
+     scored AS (SELECT p.item, p.other, p.n, p.n / (SELECT nb FROM nb) AS support,
+                       p.n * (SELECT nb FROM nb) / (f.n * g.n) AS lift,
+                       row_number() OVER (PARTITION BY p.item ORDER BY p.n DESC, p.other) AS rank
+                FROM pairs p JOIN freq f ON f.i = p.item JOIN freq g ON g.i = p.other)
+SELECT item, other, n, round(support, 10) AS support, round(lift, 8) AS lift, rank FROM scored WHERE rank <= 5
 """)
 def q_item_cooccurrence(spark, sf):
-    out = B.item_cooccurrence(load(spark, sf, "lineitem"), "l_orderkey", "l_partkey", anchors=10, top_n=5)
-    return out.select("anchor", "item", "n", F.round("support", 10).alias("support"),
+    out = B.item_cooccurrence(load(spark, sf, "lineitem"), "l_orderkey", "l_partkey", min_support=0.0001, top_n=5)
+    return out.select("item", "other", "n", F.round("support", 10).alias("support"),
                       F.round("lift", 8).alias("lift"), "rank")

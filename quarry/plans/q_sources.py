@@ -133,22 +133,36 @@ def _nulled_part(spark, sf):
         "p_size": F.nullif(F.col("p_size"), F.lit(30))})
 
 
+def _stored_part(spark, sf):
+    """The part table, with NULLs, as a stored table with its key."""
+    path = work_path(spark, "part_changes")
+    C.create_table(spark, path, PART_SCHEMA, key=["p_partkey"])
+    C.atomic_batch(spark, path, _nulled_part(spark, sf))
+    return path
+
+
 @register("update_where", "O", section="A10", sql=f"""
 SELECT p_partkey, p_name, p_brand, p_type,
        CASE WHEN p_brand = 'Brand#13' THEN p_size + 1 ELSE p_size END AS p_size, p_retailprice
 FROM {_NULLED_PART_SQL}
 """)
 def q_update_where(spark, sf):
-    df = _nulled_part(spark, sf)
-    return C.update_where(df, F.col("p_brand") == "Brand#13", {"p_size": F.col("p_size") + 1})
+    path = _stored_part(spark, sf)
+    done = C.change_table(spark, path, lambda t: C.update_where(t, F.col("p_brand") == "Brand#13", {"p_size": F.col("p_size") + 1}))
+    if not done.filter("committed").count():
+        raise RuntimeError("update refused")
+    return C.read_table(spark, path)
 
 
 @register("delete_where", "O", section="A11", sql=f"""
 SELECT * FROM {_NULLED_PART_SQL} WHERE NOT coalesce(p_size > CAST('20' AS INTEGER), false)
 """)
 def q_delete_where(spark, sf):
-    df = _nulled_part(spark, sf)
-    return C.delete_where(df, F.col("p_size") > F.lit("20").cast("int"))
+    path = _stored_part(spark, sf)
+    done = C.change_table(spark, path, lambda t: C.delete_where(t, F.col("p_size") > F.lit("20").cast("int")))
+    if not done.filter("committed").count():
+        raise RuntimeError("delete refused")
+    return C.read_table(spark, path)
 
 
 @register("clustered_write", "O", section="A12", sql="SELECT * FROM orders")

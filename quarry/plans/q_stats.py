@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.joins import has_at_most
 from quarry.operators import stats as H
+from quarry.plans.oracle import chi2_p_sql, t_p_sql
 from quarry.plans.registry import register
 from quarry.sources.tables import load
 
@@ -38,23 +38,13 @@ def segment_model(spark, sf):
     # (user, type) instead of one per event
     per_user = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     nhe = (per_user.join(cust, per_user.user_id == cust.c_custkey)
-           .groupBy("hypothesis").pivot("event_type").agg(F.sum("n")))
-    vocab = events.select("event_type").distinct()
-    if not has_at_most(vocab, H.MAX_HYPOTHESES):
-        raise ValueError("event-type vocabulary too large to pivot")
-    types = [r[0] for r in vocab.orderBy("event_type").collect()]
-    n_types = len(types)
-    wide = priors.join(nhe, "hypothesis", "left").fillna(0, subset=[t for t in types if t in nhe.columns])
-    def n_of(t):
-        return F.col(t) if t in nhe.columns else F.lit(0)
-
-    n_h = None
-    for t in types:
-        n_h = n_of(t) if n_h is None else n_h + n_of(t)
-    cells = [F.struct(F.lit(t).alias("event_type"),
-                      ((n_of(t) + 1) / (n_h + n_types)).alias("likelihood")) for t in types]
-    lik = wide.select("hypothesis", F.explode(F.array(*cells)).alias("_s")).select(
-        "hypothesis", "_s.event_type", "_s.likelihood")
+           .groupBy("hypothesis", "event_type").agg(F.sum("n").alias("n")))
+    types = events.select("event_type").distinct()
+    n_types = types.agg(F.count(F.lit(1))).scalar()
+    n_h = nhe.groupBy("hypothesis").agg(F.sum("n").alias("n_h"))
+    every = F.explode(types.agg(F.collect_list("event_type")).scalar())  # the vocabulary, for each hypothesis
+    lik = (priors.select("hypothesis", every.alias("event_type")).join(nhe, ["hypothesis", "event_type"], "left").join(n_h, "hypothesis", "left")
+           .na.fill(0, ["n", "n_h"]).select("hypothesis", "event_type", ((F.col("n") + 1) / (F.col("n_h") + n_types)).alias("likelihood")))
     return priors, lik
 
 
@@ -102,16 +92,16 @@ def q_total_probability(spark, sf):
 def _round_test(df):
     return df.select("n_a", "n_b", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"),
                      F.round("var_a", 1).alias("var_a"), F.round("var_b", 1).alias("var_b"),
-                     F.round("t", 8).alias("t"), F.round("dof", 6).alias("dof"))
+                     F.round("t", 8).alias("t"), F.round("dof", 6).alias("dof"), F.round("p", 6).alias("p"))
 
 
-_WELCH_SQL = """
+_WELCH_SQL = f"SELECT w.*, {t_p_sql('w.t', 'w.dof')} AS p FROM (" + """
 SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
        round(var_a, 1) AS var_a, round(var_b, 1) AS var_b,
        round((mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b), 8) AS t,
        round(power(var_a / n_a + var_b / n_b, 2)
              / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)), 6) AS dof
-FROM ({inner}) s
+FROM ({inner}) s) w
 """
 
 
@@ -126,7 +116,7 @@ def q_hypothesis_test(spark, sf):
     return _round_test(H.hypothesis_test(load(spark, sf, "orders"), "o_orderstatus", "o_totalprice", "F", "O"))
 
 
-@register("chi_square", "R", section="H5", sql="""
+@register("chi_square", "R", section="H5", sql=f"SELECT x.*, {chi2_p_sql('x.stat', 'x.dof')} AS p FROM (" + """
 WITH cells AS (SELECT c_nationkey AS a, c_mktsegment AS b, count(*) AS o FROM customer GROUP BY 1, 2),
      ra AS (SELECT a, sum(o) AS ra FROM cells GROUP BY a),
      cb AS (SELECT b, sum(o) AS cb FROM cells GROUP BY b),
@@ -134,11 +124,11 @@ WITH cells AS (SELECT c_nationkey AS a, c_mktsegment AS b, count(*) AS o FROM cu
      grid AS (SELECT ra.a, cb.b, ra.ra * cb.cb / n.n AS e FROM ra CROSS JOIN cb CROSS JOIN n)
 SELECT round(sum(power(coalesce(c.o, 0) - g.e, 2) / g.e), 8) AS stat,
        CAST(((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1) AS BIGINT) AS dof
-FROM grid g LEFT JOIN cells c ON c.a = g.a AND c.b = g.b
+FROM grid g LEFT JOIN cells c ON c.a = g.a AND c.b = g.b) x
 """)
 def q_chi_square(spark, sf):
     out = H.chi_square(load(spark, sf, "customer"), "c_nationkey", "c_mktsegment")
-    return out.select(F.round("stat", 8).alias("stat"), "dof")
+    return out.select(F.round("stat", 8).alias("stat"), "dof", F.round("p", 6).alias("p"))
 
 
 @register("pearson_corr", "R", section="H6",

@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         # only a bare local session (tests) gets here; a cluster names its
         # shared folder.  spark.checkpoint.dir itself cannot be set at run
         # time, so the folder is handed to the SparkContext directly.

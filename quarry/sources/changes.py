@@ -1,16 +1,16 @@
 """Table changes.
 
 Inserts, updates and deletes are DataFrame functions: they return the new
-table and never mutate the input.  A table kept on storage is a folder of
-committed batches::
+table and never mutate the input.  A table kept on storage is a folder::
 
-    <table>/_meta/           the declared schema (JSON, one text file)
-    <table>/data/b00000000/  one folder per committed batch
-    <table>/data/_stage-*    batches being written (hidden from readers)
+    <table>/_meta/           the declared schema, keys and rules (JSON)
+    <table>/data/<uuid>/     the rows of one commit, written by Spark
+    <table>/_versions/<n>    one small file per commit: the live data folders
 
-A batch is written by Spark into a hidden staging folder and then moved
-into place with a single rename, so readers see all of it or none of it.
-Appends never rewrite earlier batches.
+A commit writes its rows into a fresh folder and then creates the next
+version file, which only one writer can do.  Readers use the latest version,
+so they see all of a commit or none of it.  Appends never rewrite earlier
+rows.
 """
 
 from __future__ import annotations
@@ -27,65 +27,107 @@ from quarry.operators import quality as Q
 # ------------------------------------------------------------------ storage helpers
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed first, or is about to."""
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.exists(p))
 
 
-def _batches(spark: SparkSession, table: str) -> list[str]:
-    fs, p = _fs(spark, f"{table}/data")
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(n for n in names if n.startswith("b") and n[1:].isdigit())
-
-
-def create_table(spark: SparkSession, path: str, schema: StructType,
-                 drop_existing: bool = True) -> None:
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _snapshot(spark: SparkSession, table: str) -> tuple[int, dict]:
+    """The latest version and what it holds: data folders, and for each
+    named writer the last batch it applied."""
+    fs, p = _fs(spark, f"{table}/_versions")
+    names = sorted((s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().isdigit()), reverse=True) if fs.exists(p) else []
+    if not names:
+        return 0, {"data": [], "applied": {}}
+    try:
+        return int(names[0]), json.loads(_read_text(spark, f"{table}/_versions/{names[0]}"))
+    except ValueError:
+        raise CommitConflict(f"version {names[0]} of {table} is being written") from None
+
+
+def _commit(spark: SparkSession, table: str, version: int, state: dict) -> None:
+    """Create version ``version``; only one writer can."""
+    fs, p = _fs(spark, f"{table}/_versions/{version:012d}")
+    if not fs.createNewFile(p):
+        raise CommitConflict(f"version {version} of {table} exists")
+    stream = fs.create(p, True)
+    stream.write(bytearray(json.dumps(state).encode()))
+    stream.close()
+
+
+def create_table(spark: SparkSession, path: str, schema: StructType, drop_existing: bool = True,
+                 key=None, foreign=(), lengths: dict | None = None) -> None:
     """A5: drop the table if it exists, then create it with a declared schema.
 
     Spark file tables store ``NOT NULL`` but do not enforce it (an insert
-    without the column succeeds with NULL), so the schema is kept for the
-    checks of ``atomic_batch``.
+    without the column succeeds with NULL), so the schema, the primary
+    ``key``, the ``foreign`` keys (columns, parent table's path, parent's
+    columns) and the ``lengths`` (K5) are kept for the checks of every
+    commit.  A folder that is no such table is never dropped.
     """
     if _exists(spark, path):
         if not drop_existing:
             raise FileExistsError(path)
+        if not _exists(spark, f"{path}/_meta"):
+            raise ValueError(f"{path} is no table of this library")
         fs, p = _fs(spark, path)
         fs.delete(p, True)
-    meta = spark.createDataFrame([(schema.json(),)], "schema string")
+    rules = {"schema": schema.jsonValue(), "key": list(key or []), "lengths": lengths or {},
+             "foreign": [[list(c), p, list(pc)] for c, p, pc in foreign]}
+    meta = spark.createDataFrame([(json.dumps(rules),)], "rules string")
     meta.coalesce(1).write.text(f"{path}/_meta")
 
 
+def table_rules(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/_meta").first()[0])
+
+
 def table_schema(spark: SparkSession, path: str) -> StructType:
-    text = spark.read.text(f"{path}/_meta").first()[0]
-    return StructType.fromJson(json.loads(text))
+    return StructType.fromJson(table_rules(spark, path)["schema"])
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every committed batch (staging folders are hidden)."""
-    schema = table_schema(spark, path)
-    batches = _batches(spark, path)
-    if not batches:
+def _rows_of(spark: SparkSession, path: str, schema: StructType, state: dict) -> DataFrame:
+    if not state["data"]:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/data/{b}" for b in batches])
+    return spark.read.schema(schema).parquet(*[f"{path}/data/{b}" for b in state["data"]])
 
 
-def _conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Columns in table order and type; missing ones become NULL."""
-    have = set(df.columns)
-    return df.select([(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                      for f in schema.fields])
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the latest commit's data folders."""
+    return _rows_of(spark, path, table_schema(spark, path), _snapshot(spark, path)[1])
+
+
+def _conform(df: DataFrame, schema: StructType, lenient: bool = False) -> DataFrame:
+    """Columns in table order and type; missing ones become NULL, unknown
+    ones are refused.  ``lenient``: values that do not fit become NULL."""
+    if unknown := [c for c in df.columns if c not in schema.names]:
+        raise ValueError(f"no such columns: {unknown}")
+    have = {f.name: f.dataType for f in df.schema.fields}
+
+    def column(f):
+        c = F.col(f.name) if f.name in have else F.lit(None)
+        cast = c.try_cast if lenient and have.get(f.name, f.dataType) != f.dataType else c.cast
+        return cast(f.dataType).alias(f.name)
+    return df.select([column(f) for f in schema.fields])
 
 
 # ------------------------------------------------------------------ A6-A8 inserts
@@ -140,70 +182,105 @@ def delete_where(df: DataFrame, pred: Column) -> DataFrame:
 
 # ------------------------------------------------------------------ A9 atomic batch
 
+VERDICT = "rule string, violations long, committed boolean"
+
 
 def batch_checks(table: DataFrame, batch: DataFrame, schema: StructType, key=None,
-                 lengths: dict | None = None) -> DataFrame:
+                 lengths: dict | None = None, foreign=()) -> DataFrame:
     """Rule violations the batch would cause; (rule, violations).
 
+    * ``type``: values that their column's type cannot hold, for columns that
+      come in another type.
     * ``primary_key``: distinct batch keys that repeat inside the batch,
       meet an existing key, or are NULL.  Only existing rows whose key is in the
       batch are read past the scan (semi join), not the whole table.
+    * ``foreign_key``: batch rows whose key no parent row has (K3); ``foreign``
+      holds (columns, parent rows, parent columns).
     * ``not_null``: NULLs in the schema's non-nullable columns.
     * ``length_type``: values that do not fit ``lengths`` (K5).
     """
-    batch = _conform(batch, schema)
+    raw, batch = batch, _conform(batch, schema, lenient=True)
     parts = []
+
+    def add(rule: str, checked: DataFrame, count: Column) -> None:
+        parts.append(checked.agg(F.coalesce(count, F.lit(0)).cast("long").alias("violations")).select(F.lit(rule).alias("rule"), "violations"))
+
+    other = [f for f in schema.fields if f.name in raw.columns and raw.schema[f.name].dataType != f.dataType]
+    if other:
+        add("type", raw, sum((F.sum((F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).cast("long")) for f in other), F.lit(0)))
     if key:
         key = list(key)
         bkeys = batch.select(*key)
         existing = table.select(*key).join(bkeys.distinct(), key, "left_semi")
-        bad = Q.pk_check(existing.unionByName(bkeys), key)
-        parts.append(bad.agg(F.count(F.lit(1)).cast("long").alias("violations"))
-                     .select(F.lit("primary_key").alias("rule"), "violations"))
+        add("primary_key", Q.pk_check(existing.unionByName(bkeys), key), F.count(F.lit(1)))
+    for columns, parent, parent_columns in foreign:
+        add("foreign_key", Q.fk_check(batch, parent, list(columns), list(parent_columns)), F.count(F.lit(1)))
     required = [f.name for f in schema.fields if not f.nullable]
     if required:
-        parts.append(Q.not_null_check(batch, required).agg(
-            F.coalesce(F.sum("nulls"), F.lit(0)).cast("long").alias("violations"))
-            .select(F.lit("not_null").alias("rule"), "violations"))
+        add("not_null", Q.not_null_check(batch, required), F.sum("nulls"))
     if lengths:
-        parts.append(Q.length_type_check(batch, lengths).agg(
-            F.coalesce(F.sum("violations"), F.lit(0)).cast("long").alias("violations"))
-            .select(F.lit("length_type").alias("rule"), "violations"))
+        add("length_type", Q.length_type_check(batch, lengths), F.sum("violations"))
+    if not parts:
+        return table.sparkSession.createDataFrame([("none", 0)], "rule string, violations long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def atomic_batch(spark: SparkSession, table_path: str, batch: DataFrame, key=None,
-                 lengths: dict | None = None, batch_number: int | None = None) -> DataFrame:
+def _apply(spark: SparkSession, path: str, make, key, lengths, replace: bool, writer=None, number=None, retries: int = 5) -> DataFrame:
+    """Check and commit what ``make`` gives for the current rows."""
+    rules = table_rules(spark, path)
+    schema = StructType.fromJson(rules["schema"])
+    key = list(key) if key else rules["key"]
+    lengths = {**rules["lengths"], **(lengths or {})}
+    foreign = [(c, read_table(spark, p), pc) for c, p, pc in rules["foreign"]]
+    for attempt in range(retries):
+        version, state = _snapshot(spark, path)
+        if writer is not None and state["applied"].get(writer, -1) >= number:
+            return spark.createDataFrame([("replay", 0, True)], VERDICT)
+        table = _rows_of(spark, path, schema, state)
+        rows = make(table)
+        against = spark.createDataFrame([], schema) if replace else table
+        verdict = batch_checks(against, rows, schema, key, lengths, foreign).collect()  # a row for each rule
+        ok = all(r["violations"] == 0 for r in verdict)
+        if ok:
+            folder = uuid.uuid4().hex
+            _conform(rows, schema).write.parquet(f"{path}/data/{folder}")
+            applied = {**state["applied"], **({writer: number} if writer is not None else {})}
+            try:
+                _commit(spark, path, version + 1, {"data": [folder] if replace else [*state["data"], folder], "applied": applied})
+            except CommitConflict:  # someone else was first: check again against what is there now
+                fs, p = _fs(spark, f"{path}/data/{folder}")
+                fs.delete(p, True)
+                if attempt + 1 == retries:
+                    raise
+                continue
+        return spark.createDataFrame([(r["rule"], int(r["violations"]), ok) for r in verdict], VERDICT)
+    raise CommitConflict(path)
+
+
+def atomic_batch(spark: SparkSession, table_path: str, batch: DataFrame, key=None, lengths: dict | None = None,
+                 writer: str | None = None, batch_number: int | None = None) -> DataFrame:
     """All-or-nothing append.
 
-    Every rule is checked on the executors; the driver reads one small
-    verdict row per rule.  If any rule is broken nothing is written and the
-    table is unchanged; otherwise the batch is written to a hidden staging
-    folder and renamed into place as the next batch (or as batch
-    ``batch_number`` when given: if that batch is already committed, the call
-    is a replay and nothing is written again).  Returns
-    (rule, violations, committed).
+    The rules declared with the table, and any given here, are checked on
+    the executors; the driver reads one small verdict row per rule.  If any
+    is broken nothing is written and the table is unchanged; otherwise the
+    batch becomes part of the next version.  If another writer commits in
+    between, the checks are made again.  A ``writer`` with a
+    ``batch_number`` makes the call repeatable: a number it has already
+    applied is a replay and is not written again.  Returns (rule,
+    violations, committed).
     """
-    schema = table_schema(spark, table_path)
-    done = _batches(spark, table_path)
-    if batch_number is not None:
-        nxt = f"b{batch_number:08d}"
-        if nxt in done:  # a replay of a committed batch: nothing to do
-            return spark.createDataFrame([("replay", 0, True)],
-                                         "rule string, violations long, committed boolean")
-    else:
-        nxt = f"b{(int(done[-1][1:]) + 1) if done else 0:08d}"
-    table = read_table(spark, table_path)
-    verdict = batch_checks(table, batch, schema, key, lengths).collect()
-    ok = all(r["violations"] == 0 for r in verdict)
-    if ok:
-        stage = f"{table_path}/data/_stage-{uuid.uuid4().hex}"
-        _conform(batch, schema).write.parquet(stage)
-        fs, src = _fs(spark, stage)
-        if not fs.rename(src, _path(spark, f"{table_path}/data/{nxt}")):
-            raise RuntimeError(f"could not commit batch {nxt} of {table_path}")
-    rows = [(r["rule"], int(r["violations"]), ok) for r in verdict]
-    return spark.createDataFrame(rows, "rule string, violations long, committed boolean")
+    if (writer is None) != (batch_number is None):
+        raise ValueError("a batch number belongs to a named writer")
+    _conform(batch, table_schema(spark, table_path), lenient=True)  # unknown columns are refused at once
+    return _apply(spark, table_path, lambda rows: batch, key, lengths, False, writer, batch_number)
+
+
+def change_table(spark: SparkSession, table_path: str, change) -> DataFrame:
+    """A9 for ``change: DataFrame -> DataFrame`` (A10, A11): the changed rows
+    are checked as a whole and become the table's next version, or, if a
+    rule is broken, the table stays as it is.  Returns the verdict."""
+    return _apply(spark, table_path, change, None, None, True)

@@ -27,23 +27,27 @@ def stream_bayes_update(events: DataFrame, entity: str, order_cols, observation:
     (small tables, read once on the driver).  Returns a streaming
     DataFrame (id, entity, hypothesis, posterior) in append mode."""
     hyps = sorted(priors)
-    log_prior = np.array([np.log(priors[h]) for h in hyps])
     obs_values = sorted({o for _, o in likelihoods})
-    lik = {o: np.array([np.log(likelihoods[(h, o)]) for h in hyps]) for o in obs_values}
+    with np.errstate(divide="ignore"):  # likelihood 0: minus infinity, for good
+        log_prior = np.log(np.array([float(priors[h]) for h in hyps]))
+        lik = {o: np.log(np.array([float(likelihoods.get((h, o), 0.0)) for h in hyps])) for o in obs_values}
+    unseen = np.zeros(len(hyps))  # an observation that no hypothesis knows changes nothing
     order_cols = list(order_cols)
     entity_type = dict(events.dtypes)[entity]
     id_type = dict(events.dtypes)[id_col]
 
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total = np.array(state.get[0]) if state.exists else log_prior.copy()
-        for pdf in pdfs:
-            pdf = pdf.sort_values(order_cols, kind="mergesort")
-            steps = np.stack([lik[o] for o in pdf[observation]])
+        pdf = pd.concat(list(pdfs)).sort_values(order_cols, kind="mergesort")  # a trigger's rows of one entity
+        n = len(pdf)
+        if n:
+            steps = np.stack([lik.get(o, unseen) for o in pdf[observation]])
             cum = total[None, :] + np.cumsum(steps, axis=0)
             total = cum[-1]
-            post = np.exp(cum - cum.max(axis=1, keepdims=True))
-            post /= post.sum(axis=1, keepdims=True)
-            n = len(pdf)
+            top = cum.max(axis=1, keepdims=True)
+            post = np.exp(cum - np.where(np.isfinite(top), top, 0.0))
+            all_ = post.sum(axis=1, keepdims=True)
+            post = np.divide(post, all_, out=np.full_like(post, np.nan), where=all_ > 0)
             yield pd.DataFrame({
                 id_col: np.repeat(pdf[id_col].to_numpy(), len(hyps)),
                 entity: np.repeat(pdf[entity].to_numpy(), len(hyps)),

@@ -277,16 +277,31 @@ def test_near_neighbours_against_brute_force(spark):
         assert abs(r.dist2 - d[pos[r.vec_id], pos[r.nb_key]]) < 1e-6
 
 
-@pytest.mark.parametrize("max_k", [1000, 0])
-def test_cluster_undersample(spark, max_k):
+def test_cluster_undersample(spark):
     e = _emb(spark)
-    out = G.cluster_undersample(e, "vec_id", "embedding", "is_minority", max_driver_k=max_k, bucket_rows=100)
+    out = G.cluster_undersample(e, "vec_id", "embedding", "is_minority")
     n_min = e.filter("is_minority = 1").count()
-    assert out.filter("kind = 'centre'").count() == n_min
+    centres = out.filter("kind = 'centre'")
+    assert centres.count() == n_min and centres.select("is_minority").distinct().collect()[0][0] == 0
     orig = out.filter("kind = 'original'").select("vec_id").collect()
     assert sorted(r.vec_id for r in orig) == sorted(r.vec_id for r in e.filter("is_minority = 1").collect())
 
 
+def test_cluster_undersample_classes_duplicates_and_sizes(spark):
+    """Exactly N centres of the right classes, for one, equal and many points."""
+    def run(rows):
+        df = spark.createDataFrame(rows, "vec_id long, x array<double>, y int")
+        return [(r.y, tuple(r.x)) for r in G.cluster_undersample(df, "vec_id", "x", "y").filter("kind = 'centre'").collect()]
+    same = [(i, [1.0, 1.0], 0) for i in range(20)] + [(100 + i, [0.0, 0.0], 1) for i in range(6)]
+    assert run(same) == [(0, (1.0, 1.0))] * 6
+    one = [(i, [float(i), 0.0], i % 2) for i in range(10)] + [(50, [9.0, 9.0], 2)]
+    assert len(run(one)) == 1
+    three = [(i, [float(i % 7), 5.0 * (i % 2)], i % 2) for i in range(60)] + [(100 + i, [50.0, 50.0], None) for i in range(30)] + [(200 + i, [9.0, 9.0], 2) for i in range(10)]
+    got = run(three)
+    assert len(got) == 10 and {y for y, _ in got} == {0, 1, None}
+    assert all(x == (50.0, 50.0) for y, x in got if y is None) and all(0 <= x[0] <= 6 for y, x in got if y is not None)
+
+
 def _recall(df):
     pos = df.filter("target = 1")
     return pos.filter("prediction = 1").count() / pos.count()

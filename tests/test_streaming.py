@@ -36,8 +36,8 @@ def test_replayed_batch_is_not_written_twice(spark):
     table = work_path(spark, "replay-table")
     C.create_table(spark, table, SCHEMA)
     batch = spark.createDataFrame([(1, "a")], SCHEMA)
-    C.atomic_batch(spark, table, batch, key=["k"], batch_number=0)
-    C.atomic_batch(spark, table, batch, key=None, batch_number=0)
+    C.atomic_batch(spark, table, batch, key=["k"], writer="w", batch_number=0)
+    C.atomic_batch(spark, table, batch, key=None, writer="w", batch_number=0)
     assert C.read_table(spark, table).count() == 1
 
 
