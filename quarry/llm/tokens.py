@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ MODEL_FILE = "word_bpe_49k.json"
 #: characters of a chunk of a huge document, and of the first overlap
 CHUNK, OVERLAP = 48 * 1024, 1024
 #: words that a task's memo keeps
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_500_000
 
 
 def tokenizer_path(name: str = MODEL_FILE) -> str:
@@ -37,13 +38,52 @@ def tokenizer_path(name: str = MODEL_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memo:
+    """Where the ids of known words lie: hashes in order, place and number of
+    ids.  New words gather in a small part before they join the large one."""
+
+    def __init__(self):
+        self.parts = [[np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in range(2)]
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, place, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for have, at, n in self.parts:
+            if len(have):
+                i = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[i] == keys
+                known |= hit
+                place[hit], size[hit] = at[i[hit]], n[i[hit]]
+        return known, place, size
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts[1] = self._joined(self.parts[1], columns)
+        if len(self.parts[1][0]) > 50_000:
+            self.parts = [self._joined(*self.parts), [c[:0] for c in columns]]
+
+    @staticmethod
+    def _joined(a, b) -> list[np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(a, b)]
+        order = np.argsort(columns[0])
+        return [c[order] for c in columns]
+
+
 class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit numbers.
+    """Token ids of texts.
 
+    Words of a block of text are found, hashed (64 bits, by prefix sums) and
+    made distinct as arrays; the library encodes those that the memo lacks.
     The memo keeps the first ``memo_words`` words met and stays as it is
-    then; other words live as long as the block of texts that holds them.
+    then; other words live as long as their block.  Words of over 255 bytes
+    are encoded each time they occur.
     """
 
+    BLOCK, LONG = 1 << 20, 255
+    #: a word between words while learning; its ids mark where one ends
+    MARK = "\u2603"
+
     def __init__(self, path: str | None, memo_words: int = MEMO_WORDS):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,8 +91,15 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
-        self.memo_words = memo_words
+        self.memo_words, self.memo = memo_words, _Memo()
+        self.pool = np.zeros(0, np.uint32)
+        self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, np.uint32)
+        rng = np.random.default_rng(64)
+        self.of_byte = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.base = int(rng.integers(0, 1 << 63, dtype=np.uint64)) * 2 + 1
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
     @classmethod
     def of_worker(cls, path: str | None) -> WordEncoder:
@@ -65,68 +112,129 @@ class WordEncoder:
             kept[key] = cls(path)
         return kept[key]
 
-    def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        """Encodes the words joined by spaces, a call for many of them, and
-        deals the ids out by the places where tokens start."""
-        import numpy as np
+    def _grow(self, n: int) -> None:
+        while len(self.powers) < n:
+            m = len(self.powers)
+            self.powers, self.inverses = (
+                np.concatenate([x, x * np.uint64(pow(b, m, 1 << 64))]) for x, b in ((self.powers, self.base), (self.inverses, pow(self.base, -1, 1 << 64))))
+
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word; many words make one call."""
+        found: list[np.ndarray] = []
         for k in range(0, len(words), 2000):
-            part = words[k:k + 2000]
-            text = [w.decode() for w in part]
-            found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-            first = np.cumsum([0, *(len(w) + 1 for w in text)])
-            start = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            ids, cuts = np.array(found.ids, "<u4").tobytes(), 4 * np.searchsorted(start, first)
-            into.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the memo lacks.  A plain ASCII word that ends in
-        punctuation after a letter or digit is its lower-cased body and that
-        punctuation: the pre-tokenizer always parts the two.  ("<|" may begin
-        a special string, which is case-sensitive and never parted.)"""
-        memo, new, parted, plain = self.memo, {}, {}, set()
+            part = [w.decode() for w in words[k:k + 2000]]
+            if any(self.MARK in w or "<|" in w for w in part):
+                found += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in part]
+                continue
+            line = f" {self.MARK} ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(np.all([ids[i:len(ids) - len(self.mark) + 1 + i] == m for i, m in enumerate(self.mark)], axis=0))
+            starts, ends = [0, *(at + len(self.mark)).tolist()], [*at.tolist(), len(ids)]
+            if len(starts) != len(part):  # a word's own ids look like the mark
+                found += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in part]
+            else:
+                found += [ids[a:b] for a, b in zip(starts, ends)]
+        return found
+
+    def _learn(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of new words.  A plain ASCII word that ends in punctuation after
+        a letter or digit is its lower-cased body and that punctuation: the
+        pre-tokenizer always parts the two.  ("<|" may begin a special
+        string, which is case-sensitive and never parted.)"""
+        parted, plain = [], {}
         for w in words:
+            low, tail = w, b""
             if w.isascii() and b"<|" not in w:
                 low = w.lower()
                 body = low.rstrip(b".,;:!?*$%&#)\"]}|")
-                tail = low[len(body):]
-                if body and tail and body[-1:].isalnum():
-                    parted[w] = body, tail
-                    plain.update((body, tail))
-                else:
-                    parted[w] = low, b""
-                    plain.add(low)
-            else:
-                plain.add(w)
-        self._encode([w for w in plain if w and w not in memo], new)
-        new[b""] = b""
-        get = {**{w: memo[w] for w in plain if w in memo}, **new}
-        new.update((w, get[body] + get[tail]) for w, (body, tail) in parted.items())
-        room = self.memo_words - len(memo)
-        if room > 0:
-            memo.update(new if len(new) <= room else list(new.items())[:room])
-        return new
-
-    def ids_of(self, texts: list[bytes], block: int = 2 << 20) -> list[bytes]:
-        """The ids of each text (UTF-8), about ``block`` bytes at a time."""
-        out: list[bytes] = []
+                if body and body[-1:].isalnum():
+                    low, tail = body, low[len(body):]
+            parted.append((plain.setdefault(low, len(plain)), plain.setdefault(tail, len(plain)) if tail else -1))
+        ids = self._encode(list(plain))
+        return [ids[a] if b < 0 else np.concatenate([ids[a], ids[b]]) for a, b in parted]
+
+    def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start of each word, its place in the pool, its number of ids, the pool)."""
+        raw = np.frombuffer(data, np.uint8)
+        self._grow(len(raw) + 1)
+        blank = self.space[raw]
+        inside = np.concatenate([[False], ~blank, [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.of_byte[raw] * self.powers[:len(raw)], out=sums[1:])
+        key = (sums[end] - sums[start]) * self.inverses[start]
+        long = end - start > self.LONG
+        key[long] = np.arange(np.count_nonzero(long), dtype=np.uint64)  # no word is taken for another
+        order = np.argsort(key)
+        first = np.ones(len(key), bool)
+        first[1:] = key[order][1:] != key[order][:-1]
+        which = np.empty(len(key), np.int64)
+        which[order] = np.cumsum(first) - 1
+        example = order[first]
+        keys = key[example]
+        known, place, size = self.memo.find(keys)
+        known &= ~long[example]
+        new = np.flatnonzero(~known)
+        pool = self.pool
+        if len(new):
+            ids = self._learn([data[a:b] for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist())])
+            size[new] = [len(x) for x in ids]
+            place[new] = len(pool) + np.cumsum(size[new]) - size[new]
+            pool = np.concatenate([pool, *ids])
+            keep = new[~long[example[new]]]
+            if len(self.memo) + len(keep) <= self.memo_words:
+                self.memo.add(keys[keep], place[keep], size[keep])
+                self.pool = pool
+        return start, place[which], size[which], pool
+
+    def _blocks(self, texts: list[bytes]):
+        """(first text, number of texts, data) of about BLOCK bytes each; a longer
+        text comes in parts that end at white space."""
         at = 0
         while at < len(texts):
+            if len(texts[at]) > self.BLOCK:
+                text, a = texts[at], 0
+                while a < len(text):
+                    b = a + self.BLOCK
+                    while b < len(text) and not self.space[text[b]]:
+                        b += 1
+                    yield at, 1, text[a:b]
+                    a = b
+                at += 1
+                continue
             size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= block):
-                size += len(texts[to])
+            while to < len(texts) and (to == at or size + len(texts[to]) <= self.BLOCK):
+                size += len(texts[to]) + 1
                 to += 1
-            words = [t.split() for t in texts[at:to]]
-            # a small dictionary of the block's own words: most lookups stay in cache
-            known: dict[bytes, bytes] = {}
-            for x in words:
-                known.update(dict.fromkeys(x))
-            memo = self.memo
-            missing = known.keys() - memo.keys() if len(memo) < len(known) else {w for w in known if w not in memo}
-            known.update((w, memo[w]) for w in known if w in memo)
-            if missing:
-                known.update(self._learn(missing))
-            out.extend(b"".join([known[w] for w in x]) for x in words)
+            yield at, to - at, b"\n".join(texts[at:to])
             at = to
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """How many ids each text has."""
+        out = np.zeros(len(texts), np.int64)
+        for at, n, data in self._blocks(texts):
+            start, _, size, _ = self._block(data)
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts[at:at + n])])[:n] if n > 1 else np.zeros(1, np.int64)
+            total = np.concatenate([[0], np.cumsum(size)])[np.append(np.searchsorted(start, begins), len(start))]
+            out[at:at + n] += np.diff(total)
+        return out
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        for at, n, data in self._blocks(texts):
+            start, place, size, pool = self._block(data)
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = pool[np.repeat(place - (ends - size), size) + np.arange(total)].astype("<u4").tobytes()
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts[at:at + n])])[:n] if n > 1 else np.zeros(1, np.int64)
+            cuts = 4 * np.concatenate([[0], ends])[np.append(np.searchsorted(start, begins), len(start))]
+            found = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+            if len(out) > at:  # a further part of one text
+                out[at] += found[0]
+            else:
+                out += found
         return out
 
     def ids(self, text: bytes) -> bytes:
@@ -143,7 +251,7 @@ def _counter(path: str | None):
         encoder = WordEncoder.of_worker(path)
         for batch in batches:
             texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
-            n = [len(x) // 4 for x in encoder.ids_of(texts)]
+            n = encoder.counts(texts)
             keep = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64())],
                                              [*keep, "n_tokens"])
