@@ -49,6 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows as text take at most
+    ``most_bytes``, otherwise as it is.  ``df`` should be a written table."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

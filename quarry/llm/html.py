@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, text_of, written
+from quarry.llm.common import sent_if_small, ship, text_of, written
 
 # fixed values: how HTML elements behave
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
@@ -40,8 +40,6 @@ masthead footer share sharing social related recommended recommendations paginat
 #: below this a branch goes; a text seen on fewer pages of a site counts as unique
 LEAST, FEW_PAGES = 0.25, 3
 
-BLOCK = pa.struct([("path", pa.string()), ("text", pa.string()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
-
 
 def _parser():
     import re
@@ -147,25 +145,52 @@ def _parser():
     return parse
 
 
-def _block_maker():
+def _counter():
+    """Blocks of a batch's pages by host, path and text (its hash)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import defaultdict
+
         from xxhash import xxh64_intdigest
         parse = _parser()
         for batch in batches:
-            keep = [c for c in batch.schema.names if c != "_html"]
-            found = [[{"path": p, "text": t, "hash": xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), "chars": n, "links": k}
-                      for p, t, n, k in parse(x)] for x in batch.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(BLOCK))], [*keep, "_blocks"])
+            sums: dict = defaultdict(lambda: [0, 0, 0])
+            for host, page in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist()):
+                for path, text, chars, links in parse(page):
+                    x = sums[host, path, xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)]
+                    x[0] += 1
+                    x[1] += chars
+                    x[2] += links
+            columns = [*zip(*sums)] or [[]] * 3
+            numbers = [*zip(*sums.values())] or [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip([*columns, *numbers], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
+                ["_host", "path", "hash", "c", "chars", "links"])
+    return run
+
+
+def _extractor():
+    """The texts of the pages, without the branches in ``_low``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = _parser()
+        for batch in batches:
+            found = []
+            for page, low in zip(batch.column("_html").to_pylist(), batch.column("_low").to_pylist()):
+                blocks = parse(page)
+                low = set(low or ())
+                main = any(b[0].startswith("+") for b in blocks)
+                found.append("\n\n".join(b[1] for b in blocks if b[0] not in low and (not main or b[0].startswith("+"))))
+            keep = [c for c in batch.schema.names if c not in ("_html", "_low")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string())], [*keep, "text"])
     return run
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:
-    """(host, path, importance) of blocks (host, path, hash, chars, links, _row).
+    """(host, path, importance) of counted blocks (host, path, hash, c, chars, links).
 
     Counts by (host, path, text) come first, so a host with a third of all
     pages is summed by every task before it meets.
     """
-    texts = blocks.groupBy("_host", "path", "hash").agg(F.count(F.lit(1)).alias("c"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    texts = blocks.groupBy("_host", "path", "hash").agg(*[F.sum(k).alias(k) for k in ("c", "chars", "links")])
     nodes = texts.groupBy("_host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"),
                                               F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     entropy = F.when(F.col("n") <= FEW_PAGES, F.lit(1.0)).otherwise((F.log("n") - F.col("clogc") / F.col("n")) / F.log("n"))
@@ -186,23 +211,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), text_of(html_col).alias("_html"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    parsed = rows.mapInArrow(_block_maker(), f"_id {types['_id']}, _url {types['_url']}, _host string, "
-                             "_blocks array<struct<path:string,text:string,hash:long,chars:long,links:long>>")
-    parsed = written(parsed.withColumn("_row", F.monotonically_increasing_id()), "page-blocks")
-    blocks = parsed.select("_row", "_host", F.explode("_blocks").alias("b")).select("_row", "_host", "b.path", "b.hash", "b.chars", "b.links")
-    low = style_tree(blocks).filter(F.col("importance") < least).select("_host", "path")
-    # salted, so that a crowded host's branches meet its pages in several tasks
-    salts = 16
-    low = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    mine = blocks.select("_row", "_host", "path").distinct().withColumn("_salt", F.pmod(F.col("_row"), F.lit(salts)).cast("int"))
-    gone = mine.join(low, ["_host", "path", "_salt"]).groupBy("_row").agg(F.collect_set("path").alias("_low"))
-    pages_low = parsed.join(gone, "_row", "left")
-    has_main = F.exists("_blocks", lambda b: b["path"].startswith("+"))
-    stays = F.filter("_blocks", lambda b: ~F.coalesce(F.array_contains(F.col("_low"), b["path"]), F.lit(False))
-                     & (b["path"].startswith("+") | ~F.col("_main")))
-    text = F.array_join(F.transform(F.col("_stay"), lambda b: b["text"]), "\n\n")
-    done = pages_low.withColumn("_main", has_main).withColumn("_stay", stays).withColumn("text", text)
+    tree = style_tree(rows.select("_host", "_html").mapInArrow(_counter(), "_host string, path string, hash long, c long, chars long, links long"))
+    # a few branches for each host; the pages meet them where they are unless there are very many hosts
+    low = sent_if_small(written(tree.filter(F.col("importance") < least).groupBy("_host").agg(F.collect_list("path").alias("_low")), "style-tree"))
+    done = rows.join(low, "_host", "left").select("_id", "_url", "_html", "_low").mapInArrow(
+        _extractor(), f"_id {rows.schema['_id'].dataType.simpleString()}, _url {rows.schema['_url'].dataType.simpleString()}, text string")
     return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 
