@@ -100,13 +100,15 @@ def scalar_struct(agg: DataFrame) -> Column:
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small aggregated table that several branches of
-    a plan read, so the large input behind it is scanned once.
+    """Cut the lineage of an aggregated table that several branches of a plan
+    read, so the large input behind it is scanned once.
 
-    Uses a reliable ``checkpoint()`` into the shared checkpoint folder (it
-    survives a lost executor); only use it for tables whose size is bounded
-    by groups or periods, not by rows.
+    It is written as parquet in the shared folder (it survives a lost
+    executor, and its size is known to the planner).
     """
-    from quarry.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from quarry.session import work_path
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out

@@ -1,32 +1,30 @@
-"""Join helpers: a broadcast only behind a proven size bound."""
+"""Join helpers: a broadcast only behind a check of its bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may hold and still be shipped to every executor.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+from quarry.functions.expr import materialize_small
+from quarry.session import folder_bytes
 
+# Bytes of parquet that a side may have and still be shipped to every executor.
+DEFAULT_BROADCAST_BYTES = 8 << 20
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows.
 
-    ``take`` scans partitions incrementally (one, then a growing number)
-    and stops once ``max_rows + 1`` rows are found, so the check reads a
-    bounded amount however large the input is (``limit().count()`` would
-    start a task on every partition).  Only a constant column is taken.
-    """
-    return len(df.select(F.lit(1).alias("_q_one")).take(max_rows + 1)) <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it is proven small, else ``df`` unchanged.
+def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once in the shared folder (unless ``materialize_small``
+    has), and marked for broadcast if its files take at most ``max_bytes``.
 
-    Beyond the bound the join stays a shuffle join, which AQE may still turn
-    into a broadcast or split for skew at run time.
+    Meant for aggregated sides (classes, groups, carries).  The size is that
+    of the files, nothing is taken to the driver, and the side's plan runs
+    once.  Beyond the bound the join stays a shuffle join, which AQE may
+    still turn into a broadcast or split for skew at run time.
     """
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+    spark = df.sparkSession
+    side = df if hasattr(df, "_quarry_path") else materialize_small(df)
+    path = side._quarry_path
+    return F.broadcast(side) if folder_bytes(spark, path) <= max_bytes else side
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:

@@ -61,7 +61,7 @@ def rank_within(df: DataFrame, group_cols, order_cols, rank_col: str = "rank") -
     # written once (one row per group), so the size check and the join do
     # not aggregate the ranked rows twice
     starts = starts.select([F.col(c).alias(f"_q_g{i}") for i, c in enumerate(group_cols)]
-                           + ["_q_gstart"]).checkpoint(eager=True)
+                           + ["_q_gstart"])
     starts = bounded_broadcast(starts)
     # NULL group keys form a group of their own, so match them null-safely.
     cond = [ranked[c].eqNullSafe(starts[f"_q_g{i}"]) for i, c in enumerate(group_cols)]

@@ -32,17 +32,14 @@ def running_sum(df: DataFrame, group_cols, order_cols, value_cols, prefix: str =
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranked.withColumns({f"_q_l_{v}": F.sum(v).over(inside) for v in value_cols})
 
-    spans = (ranked.groupBy(*group_cols)
-             .agg(F.min("_q_b").alias("_q_b0"), F.max("_q_b").alias("_q_b1"))
-             .filter(F.col("_q_b0") < F.col("_q_b1")).select(*group_cols))
-    spans = bounded_broadcast(spans)
-    totals = (join_on_keys(ranked, spans, group_cols, "left_semi")
-              .groupBy(*group_cols, "_q_b").agg(*[F.sum(v).alias(f"_q_t_{v}") for v in value_cols]))
+    # one total for each (group, block); what a block carries are the totals of
+    # the group's earlier blocks, so a group inside one block has no carry
+    totals = ranked.groupBy(*group_cols, "_q_b").agg(*[F.sum(v).alias(f"_q_t_{v}") for v in value_cols])
     earlier = (Window.partitionBy(*group_cols).orderBy("_q_b")
                .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(*group_cols, "_q_b",
+    carry = totals.select(*group_cols, "_q_b", F.count(F.lit(1)).over(earlier).alias("_q_before"),
                           *[F.sum(f"_q_t_{v}").over(earlier).alias(f"_q_c_{v}") for v in value_cols])
-    carry = bounded_broadcast(carry)
+    carry = bounded_broadcast(carry.filter(F.col("_q_before") > 0).drop("_q_before"))
     out = join_on_keys(local, carry, group_cols + ["_q_b"], "left")
     out = out.withColumns({f"{prefix}{v}": F.col(f"_q_l_{v}") + F.coalesce(F.col(f"_q_c_{v}"), F.lit(0.0))
                            for v in value_cols})

@@ -232,28 +232,32 @@ def diff_in_diff(df: DataFrame, treated: Column, after: Column, value: str) -> D
 
 
 def user_sequence(events: DataFrame, user: str, order_cols, kind: str, positions: bool = True,
-                  transitions: bool = True):
+                  transitions: bool = True, block_rows: int = 1 << 18):
     """Each user's events in time order, and next-event counts.
 
     Returns (positions, transitions).  ``positions`` is (user, pos, ...):
     one row per event, never one array per user, so a user with a third of
     all events does not become one giant row.  Ranks come from one global
     sort on (user, order); the next event of rank r is rank r + 1 when it
-    belongs to the same user, found by an equi-join on the (unique) rank -
-    no per-user window.  ``transitions`` is (from_kind, to_kind, n).
+    belongs to the same user, found inside blocks of consecutive ranks - no
+    per-user window.  ``transitions`` is (from_kind, to_kind, n).
     """
     ranked = global_rank(events.select(user, *order_cols, kind), [user] + list(order_cols), "_q_r")
     pos_df = trans_df = None
     if positions:
-        # one row per user, written once (the size check and the join share it)
-        starts = bounded_broadcast(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0")).checkpoint(eager=True))
+        starts = bounded_broadcast(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0")))  # one row per user
         pos_df = ranked.join(starts, user).withColumn(
             "pos", F.col("_q_r") - F.col("_q_r0") + 1).drop("_q_r0", "_q_r")
     if transitions:
-        nxt = ranked.select(F.col(user).alias("_q_nu"), (F.col("_q_r") - 1).alias("_q_r"),
-                            F.col(kind).alias("to_kind"))
-        pairs = ranked.join(nxt, "_q_r").filter(F.col(user) == F.col("_q_nu"))
-        trans_df = pairs.groupBy(F.col(kind).alias("from_kind"), "to_kind").agg(
+        # the next event inside blocks of consecutive ranks; a block's last row gets the next block's first
+        narrow = ranked.select(F.col(user).alias("_q_u"), F.col(kind).alias("from_kind"), "_q_r",
+                               F.floor((F.col("_q_r") - 1) / F.lit(block_rows)).alias("_q_b"))
+        after = Window.partitionBy("_q_b").orderBy("_q_r")
+        heads = narrow.filter((F.col("_q_r") - 1) % block_rows == 0).select(
+            (F.col("_q_b") - 1).alias("_q_b"), F.struct("_q_u", F.col("from_kind").alias("k")).alias("_q_head"))
+        inside = narrow.withColumn("_q_in", F.lead(F.struct("_q_u", F.col("from_kind").alias("k"))).over(after))
+        both = inside.join(bounded_broadcast(heads), "_q_b", "left").withColumn("_q_next", F.coalesce("_q_in", "_q_head"))
+        trans_df = both.filter(F.col("_q_next._q_u") == F.col("_q_u")).groupBy("from_kind", F.col("_q_next.k").alias("to_kind")).agg(
             F.count(F.lit(1)).alias("n"))
     return pos_df, trans_df
 

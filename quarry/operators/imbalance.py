@@ -22,7 +22,6 @@ from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.rank import global_rank, rank_within
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
 
-MAX_CLASSES = 10_000
 
 
 def class_balance(df: DataFrame, y: str) -> DataFrame:
@@ -36,8 +35,7 @@ def inverse_freq_weight(df: DataFrame, y: str, weight_col: str = "weight") -> Da
     """weight = 1 / p(y), so each class carries the same total weight in
     a loss.  The class table is broadcast behind a size check."""
     cb = class_balance(df, y).select(F.col(y).alias("_q_cls"), (1.0 / F.col("p")).alias(weight_col))
-    # one row per class, written once: the size check and the join share it
-    cb = bounded_broadcast(materialize_small(cb), MAX_CLASSES)
+    cb = bounded_broadcast(cb)
     return df.join(cb, F.col(y).eqNullSafe(F.col("_q_cls"))).drop("_q_cls")
 
 
@@ -83,7 +81,7 @@ def undersample(df: DataFrame, y: str, key: str, seed: str, batch: str | None =
     sizes = materialize_small(sizes)  # one row per (class, batch)
     # a NULL key hashes like any other value
     hashed = df.withColumn("_q_h", stable_hash(seed, F.coalesce(F.col(key).cast("string"), F.lit("\x00"))))
-    cand = join_on_keys(hashed, bounded_broadcast(sizes, MAX_CLASSES), groups).filter(
+    cand = join_on_keys(hashed, bounded_broadcast(sizes), groups).filter(
         F.col("_q_h") < F.col("_q_t"))
     short = join_on_keys(sizes, cand.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_c")), groups, "left")
     short = short.filter(F.coalesce(F.col("_q_c"), F.lit(0)) < F.col("_q_keep")).select(*groups)
@@ -91,7 +89,7 @@ def undersample(df: DataFrame, y: str, key: str, seed: str, batch: str | None =
         fixed = join_on_keys(sizes, short.withColumn("_q_short", F.lit(True)), groups, "left").withColumn(
             "_q_t", F.when(F.col("_q_short"), F.lit(span)).otherwise(F.col("_q_t"))).drop("_q_short")
         sizes = materialize_small(fixed)
-        cand = join_on_keys(hashed, bounded_broadcast(sizes, MAX_CLASSES), groups).filter(
+        cand = join_on_keys(hashed, bounded_broadcast(sizes), groups).filter(
             F.col("_q_h") < F.col("_q_t"))
     ranked = rank_within(cand.drop("_q_n", "_q_t"), groups, ["_q_h", key], "_q_rk")
     return ranked.filter(F.col("_q_rk") <= F.col("_q_keep")).drop("_q_h", "_q_rk", "_q_keep")

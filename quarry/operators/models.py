@@ -8,6 +8,7 @@ expressions so it stays in the JVM.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression)
 from pyspark.ml.feature import PCA
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import scalar_struct
-from quarry.functions.vectors import as_array, as_vector, unit_from_hash
+from quarry.functions.rank import top_n_per_group
+from quarry.functions.vectors import as_array, as_vector, dot, unit_from_hash
+from quarry.session import work_path
 
 
 def standardise(df: DataFrame, cols, kind: str = "zscore", suffix: str | None = None) -> DataFrame:
@@ -189,116 +192,109 @@ def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, to
     data = r.select("_q_u", "_q_i", "_q_r")
     model = ALS(userCol="_q_u", itemCol="_q_i", ratingCol="_q_r", rank=rank, maxIter=max_iter,
                 seed=seed, coldStartStrategy="drop", nonnegative=True).fit(data)
-    recs = top_items(model.userFactors, model.itemFactors, top_n, seed=seed)
+    recs = top_items(model.userFactors, model.itemFactors, top_n)
     recs = recs.select(F.col("user").alias("_q_u"), F.col("item").alias("_q_i"), "score", "rank")
     recs = recs.join(ui, "_q_u") if ui is not None else recs.withColumn(user, F.col("_q_u").cast("long"))
     recs = recs.join(ii, "_q_i") if ii is not None else recs.withColumn(item, F.col("_q_i").cast("long"))
     return recs.select(user, item, "score", "rank")
 
 
-def top_items(users: DataFrame, items: DataFrame, top_n: int, clusters: int | None = None,
-              first: int = 32, seed: int = 1) -> DataFrame:
+USERS = "ids binary, vecs binary, least binary, stretches array<long>"
+ITEMS = "stretch long, ids binary, vecs binary, norm double"
+
+
+def _pilot_bounds(pilot: np.ndarray, top_n: int):
+    """Each user's ``top_n``-th best score among the pilot items, and how
+    long an item must be to beat it."""
+    def run(batches):
+        for batch in batches:
+            u = np.stack(batch.column("u").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, pilot.shape[1]))
+            least = np.full(len(u), -np.inf)
+            if len(pilot) >= top_n:
+                for k in range(0, len(u), 2048):  # bounded temporaries
+                    score = u[k:k + 2048] @ pilot.T
+                    least[k:k + 2048] = np.partition(score, -top_n, axis=1)[:, -top_n]
+            least -= 1e-9 * np.abs(np.where(np.isfinite(least), least, 0.0))  # rounding of another product
+            size = np.linalg.norm(u, axis=1)
+            reach = np.where(least > 0, np.divide(least, size, out=np.zeros(len(u)), where=size > 0), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("user"), batch.column("u"), pa.array(least), pa.array(reach)], ["user", "u", "least", "reach"])
+    return run
+
+
+def _user_blocks(block: int, stretches: np.ndarray, norms: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, block):
+                part = batch.slice(k, block)
+                least, reach = (part.column(c).to_numpy() for c in ("least", "reach"))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("user").to_numpy().tobytes()], pa.binary()),
+                                                  pa.array([np.stack(part.column("u").to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
+                                                  pa.array([least.tobytes()], pa.binary()),
+                                                  pa.array([stretches[norms >= reach.min()]], pa.list_(pa.int64()))],
+                                                 ["ids", "vecs", "least", "stretches"])
+    return run
+
+
+def _item_stretches(stretch: int):
+    def run(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for k in range(0, batch.num_rows, stretch):
+                part = batch.slice(k, stretch)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part.column("item").to_numpy().tobytes()], pa.binary()),
+                                                  pa.array([np.stack(part.column("v").to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
+                                                  pa.array([float(part.column("norm").to_numpy().max())])], ["stretch", "ids", "vecs", "norm"])
+                number += 1
+    return run
+
+
+def _block_scorer(top_n: int):
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                users, items = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["i_ids"], np.int64)
+                u, v = (np.frombuffer(r[c], np.float64).reshape(n, -1) for c, n in (("vecs", len(users)), ("i_vecs", len(items))))
+                score = u @ v.T
+                at, j = np.nonzero(score >= np.frombuffer(r["least"], np.float64)[:, None])
+                order = np.lexsort((items[j], -score[at, j], at))
+                at, j = at[order], j[order]
+                good = np.arange(len(at)) - np.searchsorted(at, at) < top_n
+                at, j = at[good], j[good]
+                yield pa.RecordBatch.from_arrays([pa.array(users[at]), pa.array(items[j]), pa.array(score[at, j])], ["user", "item", "score"])
+    return run
+
+
+def top_items(users: DataFrame, items: DataFrame, top_n: int, stretch: int = 8192, block: int = 2048, pilot: int = 2048) -> DataFrame:
     """Exact top ``top_n`` items per user by dot product of factors, without
     scoring every (user, item) pair.
 
-    Items are clustered (KMeans on their factors, about 20 items per
-    cluster, at most 1000 clusters).  For an item v in cluster c the score
-    u.v is bounded by both u.mu_c + |u| r_c (ball of radius r_c) and
-    sum_d max(u_d lo_cd, u_d hi_cd) (the cluster's bounding box).  Each user
-    visits clusters in order of that bound: the items of its ``m`` best
-    clusters are scored (an equi-join on cluster id), and the user is done
-    once its n-th best score reaches the bound of the next cluster; the
-    others go round again with four times as many clusters.  The result
-    equals scoring all items.  ``users``/``items`` are (id, features);
-    returns (user, item, score, rank).
+    A score is at most |u| |v|.  The ``pilot`` longest items give each user a
+    first bound, and with it the least length an item must have to beat it.
+    Items are range-sorted by length and packed in stretches, users in
+    blocks of like reach; a block meets only the stretches with items that
+    are long enough, and scores them as one matrix product.  The result
+    equals scoring all items.  ``users``/``items`` are (id, features), ids
+    whole numbers; returns (user, item, score, rank).
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.clustering import KMeans
-    from pyspark.sql import Window
-
-    dim = len(items.select("features").first()[0])
-    # read by every k-means pass and by the scoring: written once
-    it = items.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("v"),
-                      as_vector(F.col("features")).alias("_q_vec")).checkpoint(eager=True)
-    n_items = it.count()
-    k = clusters or max(1, min(1000, n_items // 20))
-    # the clustering only steers the search (any clustering gives exact
-    # results), so a cheap random start and few iterations are enough
-    km = KMeans(k=k, seed=seed, featuresCol="_q_vec", predictionCol="cluster", maxIter=3,
-                initMode="random").fit(it)
-    centres = np.array([c for c in km.clusterCenters()])
-    assigned = km.transform(it).drop("_q_vec").checkpoint(eager=True)
-    # one row per cluster (at most 1000): radius and bounding box; the
-    # centres join as a k-row broadcast table
-    cdf = users.sparkSession.createDataFrame(
-        [(j, [float(x) for x in c]) for j, c in enumerate(centres)], "cluster int, _q_c array<double>")
-    per = assigned.join(F.broadcast(cdf), "cluster")
-    d2 = sum(((F.col("v")[i] - F.col("_q_c")[i]) ** 2 for i in range(dim)), F.lit(0.0))
-    stats = per.groupBy("cluster").agg(
-        F.max(F.sqrt(d2)).alias("r"),
-        *[F.min(F.col("v")[i]).alias(f"lo{i}") for i in range(dim)],
-        *[F.max(F.col("v")[i]).alias(f"hi{i}") for i in range(dim)]).collect()
-    live = np.array(sorted(r["cluster"] for r in stats))
-    row = {r["cluster"]: r for r in stats}
-    cen = centres[live]
-    rad = np.array([row[c]["r"] for c in live])
-    lo = np.array([[row[c][f"lo{i}"] for i in range(dim)] for c in live])
-    hi = np.array([[row[c][f"hi{i}"] for i in range(dim)] for c in live])
-
-    def visit_plan(m):
-        """For each user: its m most promising clusters and the bound of the
-        next one (None when no cluster is left)."""
-        def plan(batches):
-            for pdf in batches:
-                for s0 in range(0, len(pdf), 1024):  # bounded temporaries per chunk
-                    part = pdf.iloc[s0:s0 + 1024]
-                    uu = np.stack(part["u"].to_numpy())
-                    ball = uu @ cen.T + np.linalg.norm(uu, axis=1)[:, None] * rad[None, :]
-                    # box: sum_d max(u_d lo_d, u_d hi_d)
-                    box = np.maximum(uu, 0) @ hi.T + np.minimum(uu, 0) @ lo.T
-                    b = np.minimum(ball, box)
-                    take = min(m + 1, b.shape[1])
-                    idx = np.argpartition(-b, take - 1, axis=1)[:, :take] if take < b.shape[1] \
-                        else np.tile(np.arange(b.shape[1]), (len(b), 1))
-                    vals = np.take_along_axis(b, idx, 1)
-                    order = np.argsort(-vals, axis=1, kind="stable")
-                    idx, vals = np.take_along_axis(idx, order, 1), np.take_along_axis(vals, order, 1)
-                    nxt = vals[:, m] if vals.shape[1] > m else np.full(len(vals), np.nan)
-                    yield pd.DataFrame({"user": part["user"].to_numpy(),
-                                        "clusters": list(live[idx[:, :m]].astype("int32")),
-                                        "next_bound": nxt})
-        return plan
-
-    u = users.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("u"))
-    pending = u.checkpoint(eager=True)
-    # broadcast when the catalogue is proven small: the scoring join then
-    # keeps rows partitioned by user, so the per-user top-n needs no shuffle
-    from quarry.functions.joins import bounded_broadcast
-    items_by_cluster = bounded_broadcast(assigned.select("cluster", "item", "v"))
-    dot_uv = sum((F.col("u")[i] * F.col("v")[i] for i in range(dim)), F.lit(0.0))
-    k = len(live)
-    done = None
-    m = min(first, k)
-    while True:
-        plan = pending.mapInPandas(visit_plan(m), "user int, clusters array<int>, next_bound double")
-        plan = plan.checkpoint(eager=True)
-        visit = pending.join(plan, "user").select("user", "u", F.explode("clusters").alias("cluster"))
-        scored = visit.join(items_by_cluster, "cluster").select("user", "item", dot_uv.alias("score"))
-        # a user's candidates are the items of at most m clusters: bounded
-        w = Window.partitionBy("user").orderBy(F.col("score").desc(), F.col("item"))
-        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-        best = best.checkpoint(eager=True)  # top_n rows per user, scored once
-        nth = best.groupBy("user").agg(F.min("score").alias("_q_nth"), F.count(F.lit(1)).alias("_q_cnt"))
-        check = plan.join(nth, "user", "left")
-        ok = F.col("next_bound").isNull() | F.isnan("next_bound") | (
-            (F.col("_q_cnt") >= top_n) & (F.col("_q_nth") >= F.col("next_bound")))
-        check = check.select("user", ok.alias("_q_ok")).checkpoint(eager=True)
-        finished = best.join(check.filter("_q_ok").select("user"), "user", "left_semi")
-        done = finished if done is None else done.unionByName(finished)
-        pending = pending.join(check.filter(~F.col("_q_ok")).select("user"), "user", "left_semi")
-        pending = pending.checkpoint(eager=True)
-        if m >= k or pending.isEmpty():
-            break
-        m = min(m * 2, k)
-    return done.select("user", "item", "score", "rank")
+    spark = users.sparkSession
+    it = items.select(F.col("id").cast("long").alias("item"), F.col("features").cast("array<double>").alias("v"))
+    it = it.withColumn("norm", F.sqrt(dot("v", "v")))
+    longest = it.orderBy(F.desc("norm"), "item").limit(pilot).select("v").collect()  # a fixed number of items
+    if not longest:
+        return spark.createDataFrame([], "user long, item long, score double, rank long")
+    n = it.count()
+    path = work_path(spark, "item-stretches")
+    (it.repartitionByRange(max(1, -(-n // stretch)), F.desc("norm"), F.col("item")).sortWithinPartitions(F.desc("norm"), "item")
+     .mapInArrow(_item_stretches(stretch), ITEMS).write.parquet(path))
+    packed = spark.read.parquet(path)
+    sizes = packed.select("stretch", "norm").collect()  # two numbers for each ``stretch`` items
+    lengths = np.array([r[0] for r in sizes]), np.array([r[1] for r in sizes])
+    u = users.select(F.col("id").cast("long").alias("user"), F.col("features").cast("array<double>").alias("u"))
+    bounded = u.mapInArrow(_pilot_bounds(np.array([r[0] for r in longest]), top_n), "user long, u array<double>, least double, reach double")
+    blocks = (bounded.repartitionByRange(max(1, -(-users.count() // (4 * block))), "reach").sortWithinPartitions("reach")
+              .mapInArrow(_user_blocks(block, *lengths), USERS))
+    sent = blocks.withColumn("stretch", F.explode("stretches")).drop("stretches")
+    pairs = sent.join(packed.select("stretch", F.col("ids").alias("i_ids"), F.col("vecs").alias("i_vecs")), "stretch")
+    best = pairs.mapInArrow(_block_scorer(top_n), "user long, item long, score double")
+    return top_n_per_group(best, ["user"], [F.col("score").desc(), F.col("item")], top_n)

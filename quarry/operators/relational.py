@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import col_of, compare, scalar_struct
-from quarry.functions.joins import bounded_broadcast
 from quarry.functions.rank import global_rank
 
 # ---------------------------------------------------------------- B: select / where
@@ -155,17 +154,15 @@ def full_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return _join(left, right, on, "full")
 
 
-def fk_lookup_join(child: DataFrame, parent: DataFrame, fk: str, pk: str, attrs,
-                   max_parent_rows: int = 1_000_000) -> DataFrame:
+def fk_lookup_join(child: DataFrame, parent: DataFrame, fk: str, pk: str, attrs) -> DataFrame:
     """Child rows with parent attributes through a foreign key.
 
-    A left join, so a child with a NULL or dangling key is kept.  The parent
-    is broadcast only when it is proven to hold at most ``max_parent_rows``
-    rows; otherwise it stays a shuffle join.
+    A left join, so a child with a NULL or dangling key is kept.  Only the
+    key and the wanted attributes of the parent are read; whether they are
+    broadcast is Spark's choice, by their bytes.
     """
-    p = parent.select(F.col(pk).alias("_q_pk"), *[F.col(a) for a in attrs])
-    p = bounded_broadcast(p, max_parent_rows)
-    return child.join(p, child[fk] == p["_q_pk"], "left").drop("_q_pk")
+    p = parent.select(F.col(pk).alias("_q_pk"), *attrs)
+    return child.join(p, F.col(fk) == F.col("_q_pk"), "left").drop("_q_pk")
 
 
 # ---------------------------------------------------------------- D: aggregates

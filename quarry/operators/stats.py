@@ -160,7 +160,7 @@ def combine_moments(parts: DataFrame, group: str) -> DataFrame:
     M2 = sum m2 + sum n (mean_i - mean)^2.  Returns (group, n, mean, var)
     with the sample variance M2 / (N - 1), NULL for a single row."""
     # partial moments (one row per pre-aggregation key) are read twice below
-    parts = parts.checkpoint(eager=True)
+    parts = materialize_small(parts)
     first = parts.groupBy(group).agg(F.sum("n").alias("_q_N"),
                                      (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_q_mean"))
     j = join_on_keys(parts, bounded_broadcast(first), [group])

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.joins import bounded_broadcast
 from quarry.functions.time import ts
 from quarry.operators import relational as R
 from quarry.plans.registry import register
@@ -34,7 +33,7 @@ def q_derived_table_filter(spark, sf):
     cust = load(spark, sf, "customer")
     s = R.derived_table_filter(cust, ["c_nationkey"], "c_acctbal", 4500.0, "avg_acctbal")
     nation = load(spark, sf, "nation")
-    out = s.join(bounded_broadcast(nation.select("n_nationkey", "n_name")),
+    out = s.join(nation.select("n_nationkey", "n_name"),
                  F.col("c_nationkey") == F.col("n_nationkey"))
     return out.select("c_nationkey", "n_name", F.round("avg_acctbal", 6).alias("avg_acctbal"))
 

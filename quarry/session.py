@@ -65,14 +65,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder.
 
-    Written tables (snapshots, clustered layouts, staged files) go here so
-    every executor of a cluster sees them.
+    Written tables (snapshots, clustered layouts, sorted rows) go here so
+    every executor of a cluster sees them.  The application's folder goes
+    when the application ends.
     """
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/quarry-work/{name}-{uuid.uuid4().hex[:12]}"
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-work/{spark.sparkContext.applicationId}"
+    fs, p = _hadoop_path(spark, base)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """What the files of a folder take."""
+    fs, p = _hadoop_path(spark, path)
+    return fs.getContentSummary(p).getLength()
 
 
 def local_path(path: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import pvalues
-from quarry.functions.joins import bounded_broadcast, has_at_most
+from quarry.functions.joins import bounded_broadcast
 from quarry.functions.rank import global_rank, rank_within
 from quarry.functions.scan import running_sum
 from quarry.sources.jdbc import jdbc_options
@@ -50,11 +50,14 @@ def test_running_sum_blocks(spark, block_rows):
 
 
 def test_bounded_broadcast(spark):
-    small = spark.range(10)
-    assert has_at_most(small, 10) and not has_at_most(small, 9)
-    plan = small.join(bounded_broadcast(spark.range(5).withColumnRenamed("id", "k"), 100),
-                      F.col("id") == F.col("k"))._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan
+    left = spark.range(10)
+    side = spark.range(5).withColumnRenamed("id", "k")
+
+    def plan(df):
+        return df._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in plan(left.join(bounded_broadcast(side), left.id == F.col("k")))
+    assert "strategy=broadcast" not in plan(left.join(bounded_broadcast(side, 10), left.id == F.col("k")))
+    assert left.join(bounded_broadcast(side, 10), left.id == F.col("k")).count() == 5
 
 
 def test_pvalues_known_values():

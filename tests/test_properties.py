@@ -412,13 +412,14 @@ def test_als_topn(spark):
     assert bad.count() == 0
 
 
-def test_top_items_exact_against_brute_force(spark):
+@pytest.mark.parametrize("pilot", [2, 40, 1000])
+def test_top_items_exact_against_brute_force(spark, pilot):
     rng = np.random.default_rng(3)
     U = rng.normal(size=(150, 6))
     V = rng.normal(size=(400, 6))
     users = spark.createDataFrame([(i, U[i].tolist()) for i in range(len(U))], "id int, features array<double>")
     items = spark.createDataFrame([(i, V[i].tolist()) for i in range(len(V))], "id int, features array<double>")
-    out = J.top_items(users, items, 4, clusters=20, first=2).toPandas()
+    out = J.top_items(users, items, 4, stretch=32, block=16, pilot=pilot).toPandas()
     S = U @ V.T
     for uid, g in out.groupby("user"):
         want = list(np.lexsort((np.arange(len(V)), -S[uid]))[:4])
