@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from quarry.functions.expr import materialize_small, stable_hash
 from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.rank import global_rank, rank_within
+from quarry.operators.stats import exact_quantile
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
 
 
@@ -161,6 +164,10 @@ def smote(df: DataFrame, key: str, features: str, y: str, minority, k: int, per_
     """
     mino = df.filter(F.col(y) == F.lit(minority)).select(key, F.col(features).cast("array<double>").alias(features))
     nbs = near_neighbours(mino, key, features, k, seed=seed, projections=projections)
+    # a row without a neighbour (a minority of one) is its own: its copies are the row itself
+    alone = mino.join(nbs.select(key), key, "left_anti").select(key, F.col(key).alias("nb_key"), F.col(features).alias("nb_features"),
+                                                                F.lit(0.0).alias("dist2"), F.lit(1).alias("nb_rank"))
+    nbs = nbs.unionByName(alone)
     n_nb = nbs.groupBy(key).agg(F.count(F.lit(1)).alias("_q_nn"))
     copies = mino.join(n_nb, key).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
     pick = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("copy")), F.col("_q_nn")) + 1)
@@ -301,16 +308,21 @@ def _predict(model, data: DataFrame, name: str) -> DataFrame:
     model.setPredictionCol(name)
     if hasattr(model, "setProbabilityCol"):
         model.setProbabilityCol(f"{name}_prob")
-    model.setRawPredictionCol(f"{name}_raw")
+    if hasattr(model, "setRawPredictionCol"):
+        model.setRawPredictionCol(f"{name}_raw")
     out = model.transform(data)
     return out.drop(*[c for c in (f"{name}_prob", f"{name}_raw") if c in out.columns])
 
 
 def divide_conquer_ensemble(df: DataFrame, features: str, y: str, positive, n_models: int = 3,
-                            seed: int = 3) -> DataFrame:
+                            seed: int = 3, value: str | None = None) -> DataFrame:
     """Split the majority into L clusters; model l sees cluster l plus
     every minority row; the final call is the majority vote (sum > L/2; a
-    tie is 0).  Returns df + (votes, prediction)."""
+    tie is 0).  Returns df + (votes, prediction).
+
+    With ``value`` the task is regression: model l is a linear regression of
+    that column and the prediction is the mean of the models'; ``votes`` is
+    then their sum."""
     data = df.withColumn("_q_y", (F.col(y) == F.lit(positive)).cast("double")).withColumn(
         "_q_v", as_vector(features))
     majority = data.filter(F.col("_q_y") == 0)
@@ -321,11 +333,14 @@ def divide_conquer_ensemble(df: DataFrame, features: str, y: str, positive, n_mo
     votes = None
     for l in range(n_models):
         train = clustered.filter(F.col("_q_c") == l).drop("_q_c").unionByName(minority)
-        model = _fit_lr(train)
+        if value is None:
+            model = _fit_lr(train)
+        else:
+            model = LinearRegression(featuresCol="_q_v", labelCol=value, regParam=0.01, elasticNetParam=0.0).fit(train)
         out = _predict(model, out, f"_q_m{l}")
         votes = F.col(f"_q_m{l}") if votes is None else votes + F.col(f"_q_m{l}")
-    out = out.withColumn("votes", votes).withColumn(
-        "prediction", (F.col("votes") > F.lit(n_models / 2.0)).cast("double"))
+    final = (F.col("votes") > F.lit(n_models / 2.0)).cast("double") if value is None else F.col("votes") / F.lit(n_models)
+    out = out.withColumn("votes", votes).withColumn("prediction", final)
     return out.drop("_q_v", *[f"_q_m{l}" for l in range(n_models)]).withColumnRenamed("_q_y", "target")
 
 
@@ -363,27 +378,57 @@ def layered_ensemble(train: DataFrame, test: DataFrame, features: str, y: str, p
         "_q_v").withColumnRenamed("_q_y", "target")
 
 
+def _mixture_score(model, features: str):
+    """Minus the log density of a Gaussian mixture, as a Column."""
+    rows = model.gaussiansDF.collect()  # k means and covariances
+    weights = np.array(model.weights)
+    means = np.array([r["mean"].toArray() for r in rows])
+    covs = [r["cov"].toArray() for r in rows]
+    d = means.shape[1]
+    covs = [c + np.eye(d) * 1e-9 * max(np.trace(c), 1e-9) for c in covs]
+    roots = np.array([np.linalg.inv(np.linalg.cholesky(c)) for c in covs])
+    logs = np.log(np.maximum(weights, 1e-300)) + np.array([np.log(np.diag(r)).sum() for r in roots]) - d / 2 * np.log(2 * np.pi)
+
+    def run(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        v = np.stack(x.to_numpy())
+        each = np.stack([logs[i] - 0.5 * (((v - means[i]) @ roots[i].T) ** 2).sum(1) for i in range(len(means))])
+        top = each.max(0)
+        return pd.Series(-(top + np.log(np.exp(each - top).sum(0))))
+    return F.pandas_udf(run, "double")(F.col(features).cast("array<double>"))
+
+
 def anomaly_then_classify(df: DataFrame, features: str, y: str, positive, share: float = 0.1,
-                          k: int = 8, seed: int = 9) -> DataFrame:
+                          k: int = 8, seed: int = 9, method: str = "kmeans") -> DataFrame:
     """Outliers first, then a classifier trained on them.
 
-    Score = squared distance to the row's own KMeans centre; rows above the
-    (1 - share) quantile (``percentile_approx``) are outliers.  A logistic
-    model is fitted on the outliers (both classes needed, else on all rows)
-    and predicts every row.  Returns df + (score, outlier, prediction).
+    Score by ``method``: ``kmeans``, the squared distance to the row's own of
+    k centres (k = 1: to the mean); ``mixture``, minus the log density of a
+    mixture of k Gaussians.  Rows above the ceil((1 - share) n)-th smallest
+    score are outliers, exactly.  A logistic model is fitted on the outliers
+    (both classes needed, else on all rows) and predicts every row.  Returns
+    df + (score, outlier, prediction).
     """
     data = df.withColumn("_q_y", (F.col(y) == F.lit(positive)).cast("double")).withColumn(
         "_q_v", as_vector(features))
-    km = KMeans(k=k, seed=seed, featuresCol="_q_v", predictionCol="_q_c").fit(data)
-    # k x d centres on the driver (k is a small parameter)
-    centres = F.array(*[lit_array(c) for c in km.clusterCenters()])
-    scored = km.transform(data).withColumn(
-        "score", sq_dist(F.col(features).cast("array<double>"), F.element_at(centres, F.col("_q_c") + 1)))
-    cut = scored.select(F.percentile_approx("score", 1.0 - share, 10000)).scalar()
-    scored = scored.withColumn("outlier", F.col("score") > cut).drop("_q_c")
+    x = F.col(features).cast("array<double>")
+    if method == "mixture":
+        model = GaussianMixture(k=k, seed=seed, featuresCol="_q_v", maxIter=30).fit(data)
+        scored = data.withColumn("score", _mixture_score(model, features))
+    elif method == "kmeans" and k == 1:
+        mean = data.select(Summarizer.mean(F.col("_q_v"))).first()[0].toArray()
+        scored = data.withColumn("score", sq_dist(x, lit_array(mean)))
+    elif method == "kmeans":
+        km = KMeans(k=k, seed=seed, featuresCol="_q_v", predictionCol="_q_c").fit(data)
+        # k x d centres on the driver (k is a small parameter)
+        centres = F.array(*[lit_array(c) for c in km.clusterCenters()])
+        scored = km.transform(data).withColumn("score", sq_dist(x, F.element_at(centres, F.col("_q_c") + 1))).drop("_q_c")
+    else:
+        raise ValueError(method)
+    cut = exact_quantile(scored, "score", 1.0 - share)
+    scored = scored.withColumn("outlier", F.col("score") > F.lit(cut))
     outliers = scored.filter("outlier")
     two = outliers.select("_q_y").distinct().count() == 2
     model = _fit_lr(outliers if two else scored)
     return _predict(model, scored, "prediction").drop("_q_v").withColumnRenamed("_q_y", "target")
-
-

@@ -7,18 +7,21 @@ expressions so it stays in the JVM.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression)
 from pyspark.ml.feature import PCA
 from pyspark.ml.recommendation import ALS
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import scalar_struct
+from quarry.functions.expr import scalar_struct, unit_hash
 from quarry.functions.rank import top_n_per_group
-from quarry.functions.vectors import as_array, as_vector, dot, unit_from_hash
+from quarry.functions.vectors import as_array, as_vector, dot
 from quarry.session import work_path
 
 
@@ -53,10 +56,20 @@ def _finish(out: DataFrame) -> DataFrame:
     return out.drop(*drop).withColumnRenamed("_q_y", "target")
 
 
-def elastic_net(df: DataFrame, features: str, y: str, positive, alpha: float, lam: float):
+def elastic_net(df: DataFrame, features: str, y: str, positive, alpha: float, lam: float, task: str = "classification"):
     """Logistic regression with the elastic-net penalty
-    lam * (alpha * L1 + (1 - alpha) / 2 * L2).  Returns (df + prediction,
-    model)."""
+    lam * (alpha * L1 + (1 - alpha) / 2 * L2); with ``task`` "regression",
+    least squares of the number ``y`` (``positive`` unused) with the same
+    penalty on the coefficients of the columns as they are.  Returns
+    (df + prediction, model)."""
+    if task == "regression":
+        data = df.withColumn("_q_v", as_vector(features)).withColumn("_q_y", F.col(y).cast("double"))
+        spread = data.agg(F.stddev_pop("_q_y")).first()[0] or 1.0
+        # Spark divides the penalty by the label's spread; multiplied here, lam means what it says
+        est = LinearRegression(featuresCol="_q_v", labelCol="_q_y", elasticNetParam=alpha, regParam=lam * spread if alpha == 0 else lam,
+                               standardization=False, maxIter=100, solver="normal" if alpha == 0 else "auto")
+        model = est.fit(data)
+        return _finish(model.transform(data)), model
     data = _prep(df, features, y, positive)
     model = LogisticRegression(featuresCol="_q_v", labelCol="_q_y", elasticNetParam=alpha,
                                regParam=lam, maxIter=100).fit(data)
@@ -83,27 +96,24 @@ def feature_subset(df: DataFrame, features: str, share: float, seed: str, out_co
 
 
 def shallow_tree(df: DataFrame, features: str, y: str, positive, max_depth: int = 3,
-                 min_instances: int = 1):
+                 min_instances: int = 1, max_bins: int = 64):
     """A decision tree bounded in depth.  Returns (df + prediction, model)."""
     data = _prep(df, features, y, positive)
     model = DecisionTreeClassifier(featuresCol="_q_v", labelCol="_q_y", maxDepth=max_depth,
-                                   minInstancesPerNode=min_instances, seed=1).fit(data)
+                                   minInstancesPerNode=min_instances, maxBins=max_bins, seed=1).fit(data)
     return _finish(model.transform(data)), model
 
 
-# inverse CDF of Poisson(1): P(N <= n) for n = 0..12 (a rule: sum e^-1 / k!)
-_POISSON1_CDF = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) for k in range(13)])
+# P(N <= n) for Poisson(1), n = 0 to 12 (a rule: sum e^-1 / k!); the hash has 32 bits, and beyond 12
+# lies less than 2^-32, so no value of it is cut off
+_POISSON1_CDF = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)])
 
 
-def bootstrap_weight(*cols) -> Column:
+def bootstrap_weight(salt: str, *cols) -> Column:
     """Poisson(1) bootstrap count of a row from a hash of ``cols``: the
     distributed bootstrap (no resampled copy of the data is built)."""
-    u = unit_from_hash(*cols)
-    expr = None
-    for n, edge in enumerate(_POISSON1_CDF):
-        cond = u < F.lit(float(edge))
-        expr = F.when(cond, F.lit(float(n))) if expr is None else expr.when(cond, F.lit(float(n)))
-    return expr.otherwise(F.lit(float(len(_POISSON1_CDF))))
+    u = unit_hash(salt, *cols)
+    return sum(((u >= F.lit(float(edge))).cast("double") for edge in _POISSON1_CDF), F.lit(0.0))
 
 
 def bagging_mixed(df: DataFrame, features: str, y: str, positive, key: str, seed: int = 17,
@@ -116,7 +126,7 @@ def bagging_mixed(df: DataFrame, features: str, y: str, positive, key: str, seed
     names = []
     for i, kind in enumerate(models):
         w = f"_q_w{i}"
-        train = data.withColumn(w, bootstrap_weight(F.lit(seed), F.lit(i), F.col(key)))
+        train = data.withColumn(w, bootstrap_weight(f"{seed}.{i}.", F.col(key)))
         if kind == "logistic":
             est = LogisticRegression(featuresCol="_q_v", labelCol="_q_y", weightCol=w, regParam=0.01)
         elif kind == "tree":

@@ -6,12 +6,17 @@ shuffle on small keys); p-values are computed from the one result row.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import materialize_small
 from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.pvalues import chi2_p_value, t_p_value
+from quarry.functions.rank import global_rank
 from quarry.functions.scan import running_sum
 
 def bayes_posterior(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -145,6 +150,37 @@ def linear_regression(df: DataFrame, x: str, y: str) -> DataFrame:
                   F.regr_r2(y, x).alias("r2"))
 
 
+def multiple_regression(df: DataFrame, xs, y: str) -> DataFrame:
+    """H7 with several regressors: ordinary least squares by the normal
+    equations (one distributed pass; only d x d numbers reach the driver).
+    Rows with a NULL are left out.  Returns (term, coefficient, r2), one row
+    per regressor and one for the intercept."""
+    xs = list(xs)
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in [*xs, y]]).dropna().select(
+        array_to_vector(F.array(*xs)).alias("_q_v"), F.col(y).alias("_q_y"))
+    model = LinearRegression(featuresCol="_q_v", labelCol="_q_y", solver="normal").fit(data)
+    rows = [*zip(xs, map(float, model.coefficients)), ("intercept", float(model.intercept))]
+    return df.sparkSession.createDataFrame([(t, c, float(model.summary.r2)) for t, c in rows], "term string, coefficient double, r2 double")
+
+
+def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The ceil(q n)-th smallest value, exactly.
+
+    ``percentile_approx`` brackets it; only the rows inside the bracket (a
+    few in ten thousand) are ranked.  NULLs do not count; None without rows.
+    """
+    values = df.select(F.col(column).alias("_q_x")).filter(F.col("_q_x").isNotNull())
+    n, low, high = values.agg(F.count(F.lit(1)), F.percentile_approx("_q_x", max(0.0, q - 3e-4), 10000),
+                              F.percentile_approx("_q_x", min(1.0, q + 3e-4), 10000)).first()
+    if not n:
+        return None
+    k = max(1, math.ceil(q * n - 1e-9))
+    below = values.filter(F.col("_q_x") < low).count()
+    ranked = global_rank(values.filter(F.col("_q_x").between(low, high)), ["_q_x"], "_q_r")
+    hit = ranked.filter(F.col("_q_r") == k - below).select("_q_x").collect()
+    return hit[0][0] if hit else values.agg(F.max("_q_x")).first()[0]
+
+
 def partial_moments(df: DataFrame, keys, value: str) -> DataFrame:
     """Per-key count, mean and M2 (sum of squared deviations) of ``value``:
     the state to pre-aggregate before a join, combined exactly later by

@@ -44,6 +44,6 @@ def register(name: str, check: str, sql: str | None = None, section: str = "",
 
 def load_all() -> dict[str, Query]:
     """Import every query module so the registry is complete."""
-    from quarry.plans import (q_business, q_imbalance, q_models, q_quality,  # noqa: F401
-                              q_relational, q_sources, q_stats)
+    from quarry.plans import (q_business, q_closed_form, q_imbalance, q_models,  # noqa: F401
+                              q_quality, q_relational, q_sources, q_stats)
     return REGISTRY

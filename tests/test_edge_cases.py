@@ -221,3 +221,43 @@ def test_create_table_spares_other_folders(spark):
     with pytest.raises(ValueError):
         C.create_table(spark, path, SCHEMA)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_divide_and_conquer_regression_is_the_mean_of_its_models(spark):
+    rows = [(i, [float(i % 10), float(i % 7)], int(i % 9 == 0), 2.0 * (i % 10) - (i % 7) + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y int, v double")
+    out = G.divide_conquer_ensemble(df, "x", "y", 1, n_models=3, value="v").collect()
+    assert len(out) == 200
+    for r in out:
+        assert abs(r.prediction - r.votes / 3) < 1e-9 and abs(r.prediction - r.v) < 0.5
+
+
+def test_gaussian_mixture_scores_and_outliers(spark):
+    import numpy as np
+    from types import SimpleNamespace
+
+    from pyspark.ml.linalg import DenseMatrix, Vectors
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(0, 1, (150, 2)), rng.normal(20, 2, (150, 2))])
+    df = spark.createDataFrame([(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)], "id int, x array<double>, y int")
+    means, covs, weights = [[0.0, 0.0], [20.0, 20.0]], [np.array([[1.0, 0.3], [0.3, 2.0]]), np.eye(2) * 4], [0.4, 0.6]
+    rows = [{"mean": Vectors.dense(m), "cov": DenseMatrix(2, 2, c.ravel().tolist())} for m, c in zip(means, covs)]
+    model = SimpleNamespace(weights=weights, gaussiansDF=SimpleNamespace(collect=lambda: rows))
+    got = {r.id: r.s for r in df.select("id", G._mixture_score(model, "x").alias("s")).collect()}
+    for i, v in enumerate(x):
+        density = sum(w * np.exp(-0.5 * (v - m) @ np.linalg.inv(c) @ (v - m)) / (2 * np.pi * np.sqrt(np.linalg.det(c))) for w, m, c in zip(weights, means, covs))
+        assert abs(got[i] + np.log(density)) < 1e-6 * (1 + abs(got[i]))
+    out = G.anomaly_then_classify(df, "x", "y", 1, share=0.1, k=2, method="mixture")
+    assert out.filter("outlier").count() == 30
+    low, high = out.agg(F.min(F.when(F.col("outlier"), F.col("score"))), F.max(F.when(~F.col("outlier"), F.col("score")))).first()
+    assert low > high
+
+
+def test_smote_of_a_single_row_and_exact_quantile(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 1)] + [(i, [float(i), 0.0], 0) for i in range(2, 12)], "id int, x array<double>, y int")
+    assert [tuple(r.x) for r in G.smote(df, "id", "x", "y", 1, k=3, per_row=2).collect()] == [(1.0, 2.0)] * 2
+    values = spark.createDataFrame([(float(v),) for v in [5, 1, 1, 4, 2, None, 9, 9] if v is not None] + [(None,)], "v double")
+    ordered = [1, 1, 2, 4, 5, 9, 9]
+    for q in (0.0, 0.1, 0.3, 0.5, 0.9, 1.0):
+        assert H.exact_quantile(values, "v", q) == ordered[max(1, math.ceil(q * 7 - 1e-9)) - 1]
+    assert H.exact_quantile(values.limit(0), "v", 0.5) is None

@@ -382,7 +382,7 @@ def test_bagging_vote(spark):
 
 
 def test_bootstrap_weights_mean_one(spark):
-    w = spark.range(200000).select(J.bootstrap_weight(F.lit(1), F.col("id")).alias("w"))
+    w = spark.range(200000).select(J.bootstrap_weight("1", F.col("id")).alias("w"))
     r = w.agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()
     assert abs(r.m - 1) < 0.02 and abs(r.v - 1) < 0.03
 
