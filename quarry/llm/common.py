@@ -27,6 +27,16 @@ def text_of(column="text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no helper column can meet their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def row_key(row: str = "_row") -> Column:
+    """128 bits of hash over a struct column."""
+    return F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), F.col(row)).alias("b"))
+
+
 @contextmanager
 def shuffle_files_dropped(spark: SparkSession):
     """Inside, a finished query's shuffle files go at once; what it wrote stays."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.joins import bounded_broadcast
 from quarry.functions.rank import global_rank
-from quarry.llm.common import text_of, written
+from quarry.llm.common import row_key, text_of, whole_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: documents of a block, and blocks of a block group, on average
@@ -95,12 +95,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: left out, once or repeated.
     Documents without words are not taken."""
-    key = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
-    keyed = docs.withColumn("_key", key)
-    taken = mix(keyed, id_col, text_col, source_col, keep=("_key",), **plan)
+    row = F.col("_row")
+    keyed = docs.select(whole_row(docs).alias("_row")).withColumn("_key", row_key())
+    flat = keyed.select("_key", row.getField(id_col).alias("_i"), row.getField(text_col).alias("_t"), row.getField(source_col).alias("_s"))
+    taken = mix(flat, "_i", "_t", "_s", keep=("_key",), **plan)
     copies = (taken.filter(F.col("taken") > 0).groupBy("_key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_copies")))
     rows = keyed.dropDuplicates(["_key"]).join(copies, "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 #: the same result of the registered query, by one window over each source

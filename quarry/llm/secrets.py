@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, text_of, written
+from quarry.llm.common import row_key, ship, text_of, whole_row, written
 
 # fixed values: what counts as a base secret, in the order of the kinds
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -126,26 +126,28 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     replaced only if a single owner holds them.  Texts without secrets, null
     texts among them, stay as they are; the length column follows the text.
     """
-    repo = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repository])
-    key = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
-    found = found_spans(docs, text_col, F.col(owner), repo, {"key": key})
+    keyed = docs.select(whole_row(docs).alias("_row")).withColumn("_key", row_key())
+    field = lambda c: F.col("_row").getField(c)
+    flat = keyed.select("_key", field(text_col).alias("_t"), field(owner).alias("_o"),
+                        F.concat_ws("\x01", *[F.coalesce(field(c).cast("string"), F.lit("")) for c in repository]).alias("_r"))
+    found = found_spans(flat, "_t", F.col("_o"), F.col("_r"), {"key": F.col("_key")})
     candidates, holders = ownership(found)
     gone = holders.filter(F.col("owners") < example_owners)
     cut = candidates.join(gone, "value").filter((F.col("kind") < 3) | (F.col("owners") == 1))
-    by_row = cut.groupBy("_row").agg(F.collect_set(F.struct("vstart", "vend")).alias("_cut"))
-    by_key = (found.select("_row", F.col("_keep_key").alias("_key")).join(by_row, "_row").dropDuplicates(["_key"]).select("_key", "_cut"))
-    names = docs.columns
-    rows = docs.withColumn("_key", key).join(by_key, "_key", "left")
+    by_row = cut.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("vstart", "vend"))).alias("_cut"))
+    by_key = found.select("_row", F.col("_keep_key").alias("_key")).join(by_row, "_row").dropDuplicates(["_key"]).select("_key", "_cut")
+    rows = keyed.join(by_key, "_key", "left").withColumn("_text", field(text_col))
     # the cuts in order; what each replaces begins where the furthest one before it ended
-    sorted_cuts = F.array_sort("_cut")
-    kept = F.aggregate(sorted_cuts, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), lambda a, s: F.struct(
-        F.concat(a["text"], F.when(s["vstart"] >= a["at"], F.concat(F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (s["vstart"] - a["at"]).cast("int")), F.lit(mark)))
+    kept = F.aggregate("_cut", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), lambda a, s: F.struct(
+        F.concat(a["text"], F.when(s["vstart"] >= a["at"], F.concat(F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (s["vstart"] - a["at"]).cast("int")), F.lit(mark)))
                  .otherwise(F.lit(""))).alias("text"), F.greatest(a["at"], s["vend"]).alias("at")))
     rows = rows.withColumn("_kept", F.when(F.col("_cut").isNotNull(), kept))
-    new = F.concat(F.col("_kept.text"), F.substr(F.col(text_col), (F.col("_kept.at") + 1).cast("int")))
-    rows = rows.withColumn("_new", F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(new))
-    changed = {text_col: F.col("_new"), length_col: F.when(F.col("_kept").isNull(), F.col(length_col)).otherwise(F.length("_new").cast(docs.schema[length_col].dataType))}
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in names])
+    rest = F.substr(F.col("_text"), (F.col("_kept.at") + 1).cast("int"))
+    rows = rows.withColumn("_new", F.when(F.col("_kept").isNotNull(), F.concat(F.col("_kept.text"), rest)))
+    new = {text_col: F.col("_new")}
+    if length_col in docs.columns:
+        new[length_col] = F.length("_new").cast(docs.schema[length_col].dataType)
+    return rows.select(*[F.when(F.col("_new").isNotNull(), new[c]).otherwise(field(c)).alias(c) if c in new else field(c).alias(c) for c in docs.columns])
 
 
 ship(__name__)

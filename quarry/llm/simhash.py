@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, shuffle_partitions, text_of, written
+from quarry.llm.common import row_key, ship, shuffle_partitions, text_of, whole_row, written
 from quarry.llm.components import stars
 
 SHINGLE, MOST_BITS, SEED = 3, 3, 42
@@ -232,11 +232,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null
     after all others), of rows with that id the one with the least hash."""
-    key = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
-    rows = written(fingerprints(docs.select(F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).alias("id"), key.alias("key")).alias("_order"), text_of(text_col).alias("_text")), shingle), "simhash")
+    keyed = docs.select(whole_row(docs).alias("_row")).withColumn("_key", row_key())
+    ident = F.col("_row").getField(id_col)
+    ordered = keyed.select(F.struct(ident.isNull().alias("null_id"), ident.alias("id"), F.col("_key").alias("key")).alias("_order"),
+                           F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = written(fingerprints(ordered, shingle), "simhash")
     first = rows.groupBy("_fp").agg(F.min("_order").alias("_order")).join(_classes(rows, most_bits), "_fp", "left")
     stay = first.groupBy(F.coalesce("_root", "_fp")).agg(F.min("_order").alias("_order")).select(F.col("_order").getField("key").alias("_key"))
-    return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 ship(__name__)

@@ -85,3 +85,14 @@ def test_entry_points_hold_all_queries():
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= names
     assert "corpus_pipeline" in sys.modules
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    """Helper columns never meet the table's own; rows without columns named for the operators pass through."""
+    names = ["_key", "_row", "_cut", "_text", "_copy", "_kept", "_p", "size", "taken"]
+    docs = corpus[0].limit(60).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).checkpoint()
+    for stage in (simhash.one_of_each, secrets.redact, mixing.mixed, lambda d: toxicity.without_toxic(d, toxicity.as_categories(corpus[1].limit(0)))):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count()
+        bad = [F.col(n) != F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names]
+        assert not out.filter(F.greatest(*[b.cast("int") for b in bad]) == 1).count()
