@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, shuffle_partitions, text_of, written
+from quarry.llm.common import ship, shuffle_partitions, text_of, tidy, written
 
 LENGTH, KMER = 100, 20
 #: fixed values: a difference cover, every difference modulo 31 occurs in it
@@ -166,17 +167,8 @@ def _cut(hasher: _Hasher, data: np.ndarray, begin: np.ndarray, size: np.ndarray,
     d, place = doc[first], at[first]
     stretches = {"h": least[first] >> np.uint64(24), "id": ids["id"][d], "none": ids["none"][d], "th": ids["th"][d],
                  "start": ids["start"][d] + place - begin[d], "run": run}
-    # of equal stretches only the earliest is sorted: the others go, whatever else is found
-    whole = hasher.strings(place, place + run + LENGTH - 1)
-    order = _order(stretches)
-    leader = _first_of_equals(whole, order)
-    again = np.flatnonzero(order[leader] < order)
-    if len(again):
-        raw = data.tobytes()
-        ends = run + LENGTH - 1
-        same = [ends[i] == ends[j] and raw[place[i]:place[i] + ends[i]] == raw[place[j]:place[j] + ends[j]] for i, j in zip(again, leader[again])]
-        again = again[np.array(same)]
-    spans = {**{k: stretches[k][again] for k in ("id", "none", "th", "start")}, "end": stretches["start"][again] + run[again] + LENGTH - 1}
+    again = _repeated_whole(hasher, data, stretches, place)
+    spans = _whole_spans(stretches, again)
     spans["h"] = stretches["h"][again]
     stay = np.ones(len(first), bool)
     stay[again] = False
@@ -184,6 +176,18 @@ def _cut(hasher: _Hasher, data: np.ndarray, begin: np.ndarray, size: np.ndarray,
     return _Blob(stretches, data[_ranges(place[stay], stretches["run"] + LENGTH - 1)], spans)
 
 
+def _repeated_whole(hasher: _Hasher, data: np.ndarray, stretches: dict, place: np.ndarray) -> np.ndarray:
+    """Which stretches, at ``place`` in ``data``, an earlier one equals byte by
+    byte.  All their suffixes are repeats; only the earliest is sorted."""
+    size = stretches["run"].astype(np.int64) + LENGTH - 1
+    order = _order(stretches)
+    leader = _first_of_equals(hasher.strings(place, place + size), order)
+    again = np.flatnonzero(order[leader] < order)
+    raw, first = memoryview(data), leader[again]
+    same = [n == m and raw[i:i + n] == raw[j:j + n] for i, n, j, m in zip(place[again].tolist(), size[again].tolist(), place[first].tolist(), size[first].tolist())]
+    return again[np.array(same, bool)]
+
+
 def _order(columns: dict) -> np.ndarray:
     """Numbers in the order of (id, null last; start), equal for equal ones."""
     by = np.lexsort((columns["start"], columns["id"], columns["none"]))
@@ -242,7 +246,12 @@ def _mapper(buckets: int):
                         held, size = [], 0
         if held:
             yield rows(held)
-    return run
+    return tidy(run)
+
+
+def _whole_spans(stretches: dict, which: np.ndarray) -> dict:
+    end = stretches["start"][which] + stretches["run"][which].astype(np.int64) + LENGTH - 1
+    return {**{k: stretches[k][which] for k in ("id", "none", "th", "start")}, "end": end}
 
 
 # --- sorting a bucket ------------------------------------------------------------
@@ -368,16 +377,34 @@ def _network(cells: np.ndarray, compare) -> np.ndarray:
     return cells
 
 
-def _spans_of(blob: _Blob) -> dict:
-    """Intervals that go, of all documents of a bucket."""
-    h = blob.stretches["h"]
+def _met_again(h: np.ndarray) -> np.ndarray:
+    """The places of values that occur more than once, in order."""
     by = np.argsort(h)
     new = np.concatenate([[True], h[by][1:] != h[by][:-1]])[:len(h)]
     size = np.diff(np.append(np.flatnonzero(new), len(by)))
-    several = np.sort(by[np.repeat(size > 1, size)])  # a hash met once has no equal
-    if not len(several):
-        return blob.spans
+    return np.sort(by[np.repeat(size > 1, size)])
+
+
+def _spans_of(blob: _Blob, hasher: _Hasher) -> dict:
+    """Intervals that go, of all documents of a bucket."""
+    gone = [blob.spans]
+    several = _met_again(blob.stretches["h"])  # a hash met once has no equal
     blob = blob.taken(several)
+    if len(several):  # equal stretches of different pieces
+        size = blob.stretches["run"].astype(np.int64) + LENGTH - 1
+        hasher.load(blob.text)
+        again = _repeated_whole(hasher, blob.text, blob.stretches, np.cumsum(size) - size)
+        gone.append(_whole_spans(blob.stretches, again))
+        stay = np.ones(len(size), bool)
+        stay[again] = False
+        stay = np.flatnonzero(stay)
+        blob = blob.taken(stay[_met_again(blob.stretches["h"][stay])])
+    if len(blob.stretches["h"]):
+        gone.append(_sorted_spans(blob))
+    return {k: np.concatenate([x[k] for x in gone]) for k, _ in SPANS}
+
+
+def _sorted_spans(blob: _Blob) -> dict:
     s = blob.stretches
     run = s["run"].astype(np.int64)
     begin = np.cumsum(run + LENGTH - 1) - (run + LENGTH - 1)
@@ -391,8 +418,7 @@ def _spans_of(blob: _Blob) -> dict:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(gone)) - 1 if len(gone) else first
     o = owner[gone[first]]
-    found = {"id": s["id"][o], "none": s["none"][o], "th": s["th"][o], "start": start[gone[first]], "end": start[gone[last]] + LENGTH}
-    return {k: np.concatenate([blob.spans[k], found[k]]) for k, _ in SPANS}
+    return {"id": s["id"][o], "none": s["none"][o], "th": s["th"][o], "start": start[gone[first]], "end": start[gone[last]] + LENGTH}
 
 
 def _sorter(most: int | None):
@@ -438,7 +464,7 @@ def _sorter(most: int | None):
             for k, x in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
                 if k != bucket:
                     if held:
-                        yield spans(_spans_of(_Blob.joined(held)))
+                        yield spans(_spans_of(_Blob.joined(held), hasher))
                     held, size, bucket = [], 0, k
                 blob = _Blob.unpack(x.as_py(), reader)
                 size += len(blob.text)
@@ -449,8 +475,8 @@ def _sorter(most: int | None):
                 else:
                     held.append(blob)
         if held:
-            yield spans(_spans_of(_Blob.joined(held)))
-    return run
+            yield spans(_spans_of(_Blob.joined(held), hasher))
+    return tidy(run)
 
 
 def _remover():
@@ -458,31 +484,43 @@ def _remover():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
         for batch in batches:
+            cuts = batch.column("_cuts")
+            many = pc.fill_null(pc.list_value_length(cuts), 0).to_numpy(zero_copy_only=False)
+            flat = cuts.flatten()
+            row = np.repeat(np.arange(len(many)), many) << 40
+            a, b = (row + flat.field(k).to_numpy() for k in range(2))
+            order = np.argsort(a)
+            a, b = a[order], np.maximum.accumulate(b[order]) if len(order) else b
+            new = np.ones(len(a), bool)
+            new[1:] = a[1:] > b[:-1]
+            first = np.flatnonzero(new)
+            a, b = a[first], b[np.append(first[1:], len(b)) - 1 if len(first) else first]
+            each = np.searchsorted(a, np.arange(len(many) + 1) << 40)
+            mask = (1 << 40) - 1
+            a, b = (a & mask).tolist(), (b & mask).tolist()
             n_bytes, removed, spans, sha, kept = [], [], [], [], []
-            for text, cuts in zip(batch.column("_text").cast(pa.large_binary()), batch.column("_cuts")):
-                raw = text.as_py()
-                merged: list[list[int]] = []
-                for c in sorted((c["start"], c["end"]) for c in cuts.as_py() or ()):
-                    if merged and c[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], c[1])
-                    else:
-                        merged.append(list(c))
-                digest, at, left = hashlib.sha256(), 0, []
-                for a, b in [*merged, (len(raw), len(raw))]:
-                    digest.update(raw[at:a])
-                    left.append([at, a])
-                    at = b
+            for i, text in enumerate(batch.column("_text").cast(pa.large_binary())):
+                raw, digest, at, left, out = memoryview(text.as_py()), hashlib.sha256(), 0, [], 0
+                for c in range(each[i], each[i + 1]):
+                    digest.update(raw[at:a[c]])
+                    if at < a[c]:
+                        left.append([at, a[c]])
+                    out += b[c] - a[c]
+                    at = b[c]
+                digest.update(raw[at:])
+                if at < len(raw):
+                    left.append([at, len(raw)])
                 n_bytes.append(len(raw))
-                removed.append(sum(b - a for a, b in merged))
-                spans.append(len(merged))
+                removed.append(out)
+                spans.append(int(each[i + 1] - each[i]))
                 sha.append(digest.hexdigest())
-                kept.append([x for x in left if x[0] < x[1]])
+                kept.append(left)
             keep = [c for c in batch.schema.names if c not in ("_text", "_cuts")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
                  pa.array(sha, pa.string()), pa.array(kept, pa.list_(pa.list_(pa.int64())))],
                 [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-    return run
+    return tidy(run)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
