@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import sent_if_small, ship, text_of, written
+from quarry.llm.common import sent_if_small, ship, text_of, tidy, written
 
 # fixed values: how HTML elements behave
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
@@ -165,7 +165,7 @@ def _counter():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip([*columns, *numbers], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
                 ["_host", "path", "hash", "c", "chars", "links"])
-    return run
+    return tidy(run)
 
 
 def _extractor():
@@ -181,7 +181,7 @@ def _extractor():
                 found.append("\n\n".join(b[1] for b in blocks if b[0] not in low and (not main or b[0].startswith("+"))))
             keep = [c for c in batch.schema.names if c not in ("_html", "_low")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string())], [*keep, "text"])
-    return run
+    return tidy(run)
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:

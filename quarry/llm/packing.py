@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shuffle_partitions, ship, text_of, written
+from quarry.llm.common import ship, shuffle_partitions, text_of, tidy, written
 from quarry.llm.tokens import WordEncoder
 
 CAPACITY, END_ID = 4096, 1
@@ -176,7 +176,7 @@ def _cutter(path: str | None, capacity: int):
                 [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in keep), pa.array(piece, pa.int32()),
                  pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 [*keep, "piece", "start", "length", "ids_crc32"])
-    return run
+    return tidy(run)
 
 
 def _placer(slots: dict[str, np.ndarray]):
@@ -192,7 +192,7 @@ def _placer(slots: dict[str, np.ndarray]):
             keep = [c for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)],
                                              [*keep, "sequence_id", "offset"])
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,

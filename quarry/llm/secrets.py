@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, ship, text_of, whole_row, written
+from quarry.llm.common import row_key, ship, text_of, tidy, whole_row, written
 
 # fixed values: what counts as a base secret, in the order of the kinds
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,7 +61,7 @@ def _finder():
             keep = [c for c in batch.schema.names if c != "_text"]
             kind = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("vstart", pa.int64()), ("vend", pa.int64()), ("value", pa.string())])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(kind))], [*keep, "_spans"])
-    return run
+    return tidy(run)
 
 
 def _shown(spans: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, ship, shuffle_partitions, text_of, whole_row, written
+from quarry.llm.common import row_key, ship, shuffle_partitions, text_of, tidy, whole_row, written
 from quarry.llm.components import stars
 
 SHINGLE, MOST_BITS, SEED = 3, 3, 42
@@ -58,7 +58,7 @@ def _fingerprinter(shingle: int):
             found = [fingerprint(t) for t in batch.column("_text").cast(pa.large_binary()).to_pylist()]
             keep = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.int64())], [*keep, "_fp"])
-    return run
+    return tidy(run)
 
 
 def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -168,7 +168,7 @@ def _matcher(most_bits: int, most: int):
                 yield edges(*(x[rest] for x in got))
         if carry is not None:
             yield edges(*carry)
-    return run
+    return tidy(run)
 
 
 MATCHED = "_key long, _side int, u long, v long"

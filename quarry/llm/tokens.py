@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, text_of, written
+from quarry.llm.common import ship, text_of, tidy, written
 
 MODEL_FILE = "word_bpe_49k.json"
 #: characters of a chunk of a huge document, and of the first overlap
@@ -255,7 +255,7 @@ def _counter(path: str | None):
             keep = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64())],
                                              [*keep, "n_tokens"])
-    return run
+    return tidy(run)
 
 
 def _chunk_encoder(path: str | None, chunk: int, overlap: int):
@@ -276,7 +276,7 @@ def _chunk_encoder(path: str | None, chunk: int, overlap: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))],
                     ["sha", "seam", "right", "pos", "token", "n"])
-    return run
+    return tidy(run)
 
 
 def _huge_counts(texts: DataFrame, path: str | None, chunk: int, overlap: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.rank import top_n_per_group
-from quarry.llm.common import ship, written
+from quarry.llm.common import ship, tidy, written
 
 SCALE, K, PIVOTS = 64, 20, 64
 #: vectors of an annulus, of a stretch of the index, queries of a block
@@ -69,7 +69,7 @@ def _assigner(pivots: np.ndarray, most: float, dim: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_q"), pa.array(near.astype(np.int32)), pa.array(away[np.arange(len(v)), near]),
                  pa.array([x.tobytes() for x in v], pa.binary())], ["_id", "_q", "_pivot", "_dist", "_vec"])
-    return run
+    return tidy(run)
 
 
 INDEX = "stretch int, ids binary, vecs binary, cuts binary, pivots binary, low binary, high binary, queries binary"
@@ -102,7 +102,7 @@ def _packer(dim: int, annulus: int, stretch: int):
             held = table.to_batches()
         if held and sum(b.num_rows for b in held):
             yield packed(pa.Table.from_batches(held))
-    return run
+    return tidy(run)
 
 
 class _Stretch:
@@ -145,7 +145,7 @@ def _query_maker(dim: int, k: int, kind):
                         [pa.array(s.ids[a:b][at]), pa.array([x.tobytes() for x in s.vecs[a:b][at].astype(np.int32)], pa.binary()),
                          pa.array(least), pa.array(np.full(len(at), s.pivots[g])), pa.array(np.full(len(at), s.low[g]))],
                         ["_id", "vec", "least", "pivot", "low"])
-    return run
+    return tidy(run)
 
 
 def _block_maker(queries: int):
@@ -156,7 +156,7 @@ def _block_maker(queries: int):
                 blobs = [part.column("_id").to_numpy().tobytes(), b"".join(part.column("vec").to_pylist()),
                          part.column("least").to_numpy().tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["qids", "qvecs", "least"])
-    return run
+    return tidy(run)
 
 
 def _searcher(pivots: np.ndarray, most: float, dim: int, k: int, kind):
@@ -193,7 +193,7 @@ def _searcher(pivots: np.ndarray, most: float, dim: int, k: int, kind):
                 good = score >= least[q]
                 yield pa.RecordBatch.from_arrays([pa.array(qids[q[good]]), pa.array(ids[good]), pa.array(score[good])],
                                                  ["query_id", "vec_id", "score"])
-    return run
+    return tidy(run)
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,

@@ -16,14 +16,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, text_of, written
+from quarry.llm.common import ship, text_of, tidy, written
 
 #: bounds of the training sample and of the features of one category
 MAX_TRAIN, MAX_TERMS, FOLDS = 10_000, 1500, 3
@@ -48,32 +47,39 @@ def _term_lister():
                 part = batch.slice(k, 500)
                 terms = [sorted(_terms(t)) for t in part.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(terms, pa.list_(pa.string()))], [*keep, "terms"])
-    return run
+    return tidy(run)
+
+
+def _probabilities(models: list[dict]):
+    """A function from a text to its categories' probabilities, in order."""
+    place: dict[str, int] = {}
+    for m in models:
+        for t in m["terms"]:
+            place.setdefault(t, len(place))
+    weights = np.zeros((len(models), len(place)))
+    for c, m in enumerate(models):
+        weights[c, [place[t] for t in m["terms"]]] = m["weights"][:len(m["terms"])]
+    known = place.keys()
+
+    def of(text: str) -> list[float]:
+        at = [place[t] for t in known & _terms(text)]
+        earlier: list[float] = []
+        for c, m in enumerate(models):
+            z = weights[c, at].sum() + np.dot(m["weights"][len(m["terms"]):], earlier) + m["intercept"]
+            earlier.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+        return earlier
+    return of
 
 
 def _scorer(models: list[dict]):
     """Adds an array of the categories' probabilities."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        for m in models:
-            for t in m["terms"]:
-                place.setdefault(t, len(place))
-        weights = np.zeros((len(models), len(place)))
-        for c, m in enumerate(models):
-            weights[c, [place[t] for t in m["terms"]]] = m["weights"][:len(m["terms"])]
-        known = place.keys()
+        of = _probabilities(models)
         for batch in batches:
-            found = []
-            for text in batch.column("_text").to_pylist():
-                at = [place[t] for t in known & _terms(text)]
-                earlier: list[float] = []
-                for c, m in enumerate(models):
-                    z = weights[c, at].sum() + np.dot(m["weights"][len(m["terms"]):], earlier) + m["intercept"]
-                    earlier.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
-                found.append(earlier)
+            found = [of(t.as_py()) for t in batch.column("_text")]
             keep = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], [*keep, "_p"])
-    return run
+    return tidy(run)
 
 
 def _telling_terms(train: DataFrame, category: str, most: int) -> list[str]:
@@ -123,7 +129,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
         columns = ["_bag", *[f"p{j}" for j in range(i)]]
         balance = F.when(F.col(f"y{i}") == 1, F.lit(float(n - positive) / positive) ** 0.5).otherwise(F.lit(1.0))
         data = VectorAssembler(inputCols=columns, outputCol="x").transform(vectors).withColumn("w", balance)
-        regression = LogisticRegression(featuresCol="x", labelCol=f"y{i}", weightCol="w", regParam=0.002, maxIter=40)
+        regression = LogisticRegression(featuresCol="x", labelCol=f"y{i}", weightCol="w", regParam=0.002, maxIter=25)
         model = regression.fit(data)
         models.append({"terms": terms or ["="], "weights": np.array(model.coefficients.toArray()), "intercept": float(model.intercept)})
         if i + 1 == len(categories):
@@ -174,11 +180,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = C
 def _keeper(models: list[dict], text_col: str, limit: float):
     """The rows of a batch whose last category's probability is not over ``limit``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _probabilities(models)
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(text_col).cast(pa.string()), "")], ["_text"])
-            p = next(_scorer(models)(iter([texts]))).column("_p").to_pylist()
-            yield batch.filter(pa.array([x[-1] <= limit for x in p], pa.bool_()))
-    return run
+            stays = [of(str(t.as_py()) if t.is_valid else "")[-1] <= limit for t in batch.column(text_col)]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+    return tidy(run)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col: str = "doc_id",
