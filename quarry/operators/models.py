@@ -8,20 +8,21 @@ expressions so it stays in the JVM.
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression)
-from pyspark.ml.feature import PCA
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import scalar_struct, unit_hash
 from quarry.functions.rank import top_n_per_group
-from quarry.functions.vectors import as_array, as_vector, dot
+from quarry.functions.vectors import as_vector, dot, lit_array
 from quarry.session import work_path
 
 
@@ -164,11 +165,25 @@ def early_stopping(df: DataFrame, features: str, y: str, positive, is_validation
 
 def pca(df: DataFrame, features: str, k: int):
     """The first k principal components of the feature vectors.
-    Returns (df + components array, model)."""
+
+    The covariance matrix is aggregated on the executors (standard deviations
+    and correlations); only its d x d numbers reach the driver, which takes
+    the eigenvectors.  Rows are projected as they are, not centred.  Returns
+    (df + components array, model) with the model's ``pc`` (d x k),
+    ``explainedVariance`` and ``covariance``.
+    """
     data = df.withColumn("_q_v", as_vector(features))
-    model = PCA(k=k, inputCol="_q_v", outputCol="_q_pc").fit(data)
-    out = model.transform(data).withColumn("components", as_array("_q_pc")).drop("_q_v", "_q_pc")
-    return out, model
+    std = np.nan_to_num(data.select(Summarizer.std(F.col("_q_v"))).first()[0].toArray())
+    corr = np.nan_to_num(Correlation.corr(data, "_q_v").first()[0].toArray())
+    np.fill_diagonal(corr, 1.0)
+    covariance = corr * np.outer(std, std)
+    values, vectors = np.linalg.eigh(covariance)
+    order = np.argsort(values)[::-1][:k]
+    pc = vectors[:, order]
+    x = F.col(features).cast("array<double>")
+    out = df.withColumn("components", F.array(*[dot(x, lit_array(c)) for c in pc.T]))
+    total = float(values.sum()) or 1.0
+    return out, SimpleNamespace(pc=pc, explainedVariance=values[order] / total, covariance=covariance)
 
 
 def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, top_n: int = 5,

@@ -396,10 +396,12 @@ def test_early_stopping_trees(spark):
 
 def test_pca_orthonormal(spark):
     _, m = J.pca(_emb(spark), "embedding", 4)
-    pc = m.pc.toArray()
+    pc = m.pc
     assert np.allclose(pc.T @ pc, np.eye(4), atol=1e-8)
-    ev = m.explainedVariance.toArray()
+    ev = m.explainedVariance
     assert all(ev[i] >= ev[i + 1] for i in range(3))
+    x = np.array([r[0] for r in _emb(spark).select("embedding").collect()])
+    assert np.allclose(m.covariance, np.cov(x.T), atol=1e-9)
 
 
 def test_als_topn(spark):
