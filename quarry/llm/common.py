@@ -90,22 +90,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def byte_slices(batch, column: str, limit: int):
-    """Row ranges of an Arrow batch of at most ``limit`` bytes of ``column``
-    (or one row)."""
-    import numpy as np
-    import pyarrow.compute as pc
-    n = batch.num_rows
-    if not n:
-        return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes.astype(np.int64))
-    at = 0
-    while at < n:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
-        yield at, min(n, to)
-        at = to
+def in_slices(batches, rows: int = 1000):
+    """The batches in parts of at most ``rows`` rows: what a function makes of
+    a part stays small, however large Spark's batches are."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 ship(__name__)

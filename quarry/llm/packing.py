@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, shuffle_partitions, text_of, tidy, written
+from quarry.llm.common import in_slices, ship, shuffle_partitions, text_of, tidy, written
 from quarry.llm.tokens import WordEncoder
 
 CAPACITY, END_ID = 4096, 1
@@ -159,7 +159,7 @@ def _cutter(path: str | None, capacity: int):
         import zlib
         encoder = WordEncoder.of_worker(path)
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in in_slices(batches):
             rows, piece, start, length, crc = [], [], [], [], []
             texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
             for r, ids in enumerate(encoder.ids_of(texts)):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, ship, text_of, tidy, whole_row, written
+from quarry.llm.common import in_slices, row_key, ship, text_of, tidy, whole_row, written
 
 # fixed values: what counts as a base secret, in the order of the kinds
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,7 +56,7 @@ def _finder():
             return [{"start": a, "kind": k, "end": b, "vstart": c, "vend": d,
                      "value": hashlib.sha256(text[c:d].encode()).hexdigest()[:32]} for a, k, b, c, d in sorted(found)]
 
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [spans(t) for t in batch.column("_text").to_pylist()]
             keep = [c for c in batch.schema.names if c != "_text"]
             kind = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("vstart", pa.int64()), ("vend", pa.int64()), ("value", pa.string())])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, ship, shuffle_partitions, text_of, tidy, whole_row, written
+from quarry.llm.common import in_slices, row_key, ship, shuffle_partitions, text_of, tidy, whole_row, written
 from quarry.llm.components import stars
 
 SHINGLE, MOST_BITS, SEED = 3, 3, 42
@@ -54,7 +54,7 @@ def _fingerprinter(shingle: int):
             bits = np.packbits(2 * counts.reshape(-1) > n, bitorder="little")
             return int(bits.view(np.int64)[0])
 
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [fingerprint(t) for t in batch.column("_text").cast(pa.large_binary()).to_pylist()]
             keep = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.int64())], [*keep, "_fp"])

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, text_of, tidy, written
+from quarry.llm.common import in_slices, ship, text_of, tidy, written
 
 MODEL_FILE = "word_bpe_49k.json"
 #: characters of a chunk of a huge document, and of the first overlap
 CHUNK, OVERLAP = 48 * 1024, 1024
 #: words that a task's memo keeps
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_000_000
 
 
 def tokenizer_path(name: str = MODEL_FILE) -> str:
@@ -249,7 +249,7 @@ class WordEncoder:
 def _counter(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of_worker(path)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
             n = encoder.counts(texts)
             keep = [c for c in batch.schema.names if c != "_text"]
