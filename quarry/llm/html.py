@@ -2,13 +2,15 @@
 
 The DOMs of a host's pages are merged into one tree of style nodes: the
 elements of a path with the same tags and the same class and id words.  A
-node's presentation importance comes from what its elements are for and how
-much of its text is links, weighed by how its blocks' presentation varies
-over the site; its content importance is the entropy of its texts over the
-site, relative to the most it could be, so that what every page repeats
-scores 0.  Branches of low importance are removed from each page and the
-rest is the page's text.  What lies in an article (or main) element and is
-not marked as something else is content even where pages copy each other.
+node's content importance is how much its texts tell of the page they are on
+(their mutual information with the pages' own texts, relative to the most it
+could be), so that what every page repeats scores 0, in an article as well as
+outside.  The entropy of its presentation, how often it stands on a page, adds
+to that.  What its elements are for and how much of its text is links is the
+weight by which both count.  Branches of low importance are removed from each
+page and the rest is the page's text.  Where the pages themselves are copies
+of each other, repetition tells nothing, and what lies in an article (or main)
+element stays.
 """
 
 from __future__ import annotations
@@ -146,25 +148,39 @@ def _parser():
 
 
 def _counter():
-    """Blocks of a batch's pages by host, path and text (its hash)."""
+    """Blocks of a batch's pages by host, path, text and page (hashes), and as
+    rows without a page the pages by how many blocks of a path they have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import defaultdict
+        from collections import Counter, defaultdict
 
         from xxhash import xxh64_intdigest
         parse = _parser()
+
+        def hashed(text: str) -> int:
+            return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+        def story(blocks: list[tuple[str, str, int, int]]) -> int:
+            """What the page is about: the texts in or outside articles, whichever are more."""
+            sides = [[b for b in blocks if b[0][0] == kind] for kind in "+."]
+            return hashed("\n".join(b[1] for b in max(sides, key=lambda side: sum(b[2] - b[3] for b in side))))
+
         for batch in batches:
             sums: dict = defaultdict(lambda: [0, 0, 0])
             for host, page in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist()):
-                for path, text, chars, links in parse(page):
-                    x = sums[host, path, xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)]
+                blocks = parse(page)
+                about = story(blocks)
+                for path, text, chars, links in blocks:
+                    x = sums[host, path, hashed(text), about]
                     x[0] += 1
                     x[1] += chars
                     x[2] += links
-            columns = [*zip(*sums)] or [[]] * 3
+                for path, times in Counter(b[0] for b in blocks).items():
+                    sums[host, path, times, None][0] += 1
+            columns = [*zip(*sums)] or [[]] * 4
             numbers = [*zip(*sums.values())] or [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip([*columns, *numbers], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
-                ["_host", "path", "hash", "c", "chars", "links"])
+                [pa.array(c, t) for c, t in zip([*columns, *numbers], (pa.string(), pa.string(), *[pa.int64()] * 5))],
+                ["_host", "path", "hash", "page", "c", "chars", "links"])
     return tidy(run)
 
 
@@ -177,41 +193,51 @@ def _extractor():
             for page, low in zip(batch.column("_html").to_pylist(), batch.column("_low").to_pylist()):
                 blocks = parse(page)
                 low = set(low or ())
-                main = any(b[0].startswith("+") for b in blocks)
-                found.append("\n\n".join(b[1] for b in blocks if b[0] not in low and (not main or b[0].startswith("+"))))
+                found.append("\n\n".join(b[1] for b in blocks if b[0] not in low))
             keep = [c for c in batch.schema.names if c not in ("_html", "_low")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string())], [*keep, "text"])
     return tidy(run)
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:
-    """(host, path, importance) of counted blocks (host, path, hash, c, chars, links).
+    """(host, path, importance) of counted blocks (host, path, hash, page, c, chars, links).
 
-    Counts by (host, path, text) come first, so a host with a third of all
-    pages is summed by every task before it meets.
+    Counts by (host, path, text and page, text, or page) come first, so a host
+    with a third of all pages is summed by every task before it meets.
     """
-    texts = blocks.groupBy("_host", "path", "hash").agg(*[F.sum(k).alias(k) for k in ("c", "chars", "links")])
-    nodes = texts.groupBy("_host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"),
-                                              F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    entropy = F.when(F.col("n") <= FEW_PAGES, F.lit(1.0)).otherwise((F.log("n") - F.col("clogc") / F.col("n")) / F.log("n"))
+    views = F.when(F.col("page").isNull(), F.array(F.lit("shape"))).otherwise(F.array(*[F.lit(v) for v in ("both", "text", "page")]))
+    keys = [F.when(F.col("view") != "page", F.col("hash")).alias("hash"), F.when(F.col("view") != "text", F.col("page")).alias("page")]
+    seen = (blocks.withColumn("view", F.explode(views)).groupBy("_host", "path", "view", *keys)
+            .agg(*[F.sum(k).alias(k) for k in ("c", "chars", "links")]))
+
+    def total(view: str, value):
+        return F.sum(F.when(F.col("view") == view, value))
+
+    nodes = seen.groupBy("_host", "path").agg(
+        *[total("both", F.col(k)).alias(k) for k in ("chars", "links")], total("both", F.col("c")).alias("n"), total("shape", F.col("c")).alias("pages"),
+        *[total(v, F.col("c") * F.log("c")).alias(v) for v in ("both", "text", "page", "shape")])
+    text, page, both = (F.log("n") - F.col(v) / F.col("n") for v in ("text", "page", "both"))
     kind = F.substring("path", 1, 1)
-    presentation = F.when(kind == "-", 0.0).when(kind == "+", 1.0).otherwise(0.6) * (1 - 0.8 * F.try_divide(F.col("links"), F.col("chars")))
-    # inside the article copies of a text are no sign of a template; its links are its own
-    importance = F.when(kind == "+", F.lit(1.0)).otherwise(presentation * entropy)
-    return nodes.select("_host", "path", importance.alias("importance"))
+    copies = (F.col("pages") <= FEW_PAGES) | (page < 1e-9)  # no pages to tell apart
+    content = (F.when((F.col("n") <= FEW_PAGES) | copies & (kind == "+"), F.lit(1.0)).when(copies, text / F.log("n"))
+               .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (text + page - both) / page))))
+    shape = F.when(F.col("pages") <= FEW_PAGES, F.lit(0.0)).otherwise((F.log("pages") - F.col("shape") / F.col("pages")) / F.log("pages"))
+    links = F.coalesce(F.try_divide(F.col("links"), F.col("chars")), F.lit(0.0))
+    # the links of an article are more its own
+    weight = F.when(kind == "-", 0.0).when(kind == "+", 1 - 0.5 * links).otherwise(0.6 * (1 - 0.8 * links))
+    return nodes.select("_host", "path", (weight * (content + (1 - content) * shape / 5)).alias("importance"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:
     """(id, url, text, n_chars), one row per row of ``pages``.
 
     A null or empty html gives an empty text; a null or odd url is a host of
-    its own kind.  If a page has blocks in an article, the blocks outside it
-    are no part of the text.  Repeated rows and ids keep their rows; other
+    its own kind.  Repeated rows and ids keep their rows; other
     columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), text_of(html_col).alias("_html"))
-    tree = style_tree(rows.select("_host", "_html").mapInArrow(_counter(), "_host string, path string, hash long, c long, chars long, links long"))
+    tree = style_tree(rows.select("_host", "_html").mapInArrow(_counter(), "_host string, path string, hash long, page long, c long, chars long, links long"))
     # a few branches for each host; the pages meet them where they are unless there are very many hosts
     low = sent_if_small(written(tree.filter(F.col("importance") < least).groupBy("_host").agg(F.collect_list("path").alias("_low")), "style-tree"))
     done = rows.join(low, "_host", "left").select("_id", "_url", "_html", "_low").mapInArrow(

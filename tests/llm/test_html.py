@@ -51,3 +51,19 @@ def test_repeated_branches_of_a_site_go(spark):
     want = [(i, f"story {i}", len(f"story {i}")) for i in range(30)] + [(100 + i, "the same", 8) for i in range(30)] + [(200, "alone", 5)] * 2 + [(None, "", 0)]
     assert got == sorted(want, key=str)
     assert html.main_text(df.limit(0)).count() == 0
+
+
+def texts(spark, pages):
+    df = spark.createDataFrame([(i, "http://a.example/x", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"].split("\n\n") for r in html.main_text(df).orderBy("page_id").collect()]
+
+
+def test_entropy_decides_in_and_beside_articles(spark):
+    """A body beside teaser cards stays and repeated cards go; what every article repeats goes, copies of articles stay."""
+    cards = "<article><h3>Our best</h3></article><article><h3>Our newest</h3></article>"
+    assert texts(spark, [f"<div><p>story {i} of the site</p><p>end {i}</p></div>{cards}" for i in range(30)]) == [
+        [f"story {i} of the site", f"end {i}"] for i in range(30)]
+    box = "<div><p>Why us</p><p>Read on</p><p>Write to us</p></div>"
+    assert texts(spark, [f"<p>{i}</p><article><h1>T {i % 3}</h1><p>story {i % 3}</p>{box}</article>" for i in range(30)]) == [
+        [str(i), f"T {i % 3}", f"story {i % 3}"] for i in range(30)]
+    assert texts(spark, [f"<p>{i}</p><article><h1>T</h1><p>story</p></article>" for i in range(30)]) == [[str(i), "T", "story"] for i in range(30)]
