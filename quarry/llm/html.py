@@ -6,8 +6,9 @@ node's content importance is how much its texts tell of the page they are on
 (their mutual information with the pages' own texts, relative to the most it
 could be), so that what every page repeats scores 0, in an article as well as
 outside.  The entropy of its presentation, how often it stands on a page, adds
-to that.  What its elements are for and how much of its text is links is the
-weight by which both count.  Branches of low importance are removed from each
+to that.  What its elements are for (tags, roles, class and id words) and how
+much of its text is links is the weight by which both count, so both together
+override a mark.  A mark around the article or most of a page's text is none.  Branches of low importance are removed from each
 page and the rest is the page's text.  Where the pages themselves are copies
 of each other, repetition tells nothing, and what lies in an article (or main)
 element stays.
@@ -51,25 +52,36 @@ def _parser():
     styles: dict[tuple[str, str], tuple[str, int]] = {}
 
     def style(tag: str, attributes: str) -> tuple[str, int]:
-        """The style node's name, and -1 if marked as not the article, 1 if as it."""
+        """The style node's name, and -3 if marked as not shown, -2 (by a class or id word, or as a form) or -1 as not the article, 1 as it."""
         if not attributes and (tag, "") in styles:
             return styles[tag, ""]
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in attribute.finditer(attributes)} if attributes.strip() else {}
         words = [w.lower() for w in part.findall(found.get("class", "") + " " + found.get("id", ""))]
         names = sorted({w for w in words if not w.isdigit()})[:8]
-        marked = (tag in NOT_MAIN_TAGS or found.get("role", "").lower() in NOT_MAIN_ROLES or not NOT_MAIN_WORDS.isdisjoint(words)
-                  or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower())
-        main = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-        out = ".".join([tag, *names]), -1 if marked and tag not in ("body", "html") else 1 if main else 0
+        role = found.get("role", "").lower()
+        if tag in ("body", "html"):
+            own = 0
+        elif "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+            own = -3
+        elif role in NOT_MAIN_ROLES:
+            own = -1
+        elif tag in ("article", "main") or role in ("main", "article"):
+            own = 1
+        else:
+            own = -2 if tag == "form" else -1 if tag in NOT_MAIN_TAGS else 0 if NOT_MAIN_WORDS.isdisjoint(words) else -2
+        out = ".".join([tag, *names]), own
         if len(styles) < 100_000:
             styles[tag, attributes] = out
         return out
 
     def parse(html: str) -> list[tuple[str, str, int, int]]:
-        """(path, text, characters, characters in links) of the blocks."""
+        """(path, text, characters, characters in links) of the blocks.  The
+        path begins with ! for what is not shown, - for what is marked as not
+        the article, + for what is in it, and . for the rest."""
         from html import unescape
-        blocks: list[tuple[str, str, int, int]] = []
-        stack: list[tuple[str, str, int]] = []  # tag, path, marked (-1), in the article (1) or neither
+        blocks: list[tuple[str, str, int, int, bool, int]] = []  # and whether in the article, and the mark it is under
+        stack: list[tuple[str, str, bool, int]] = []  # tag, path, whether in the article, mark (0: none)
+        marks: list[list] = [[0, 0, False, 0, 0]]  # the mark above, kind, whether in the article, characters outside links, those of articles within
         words: list[str] = []
         links = inside_link = 0
 
@@ -78,25 +90,47 @@ def _parser():
             if words:
                 text = " ".join("".join(words).split())
                 if text:
-                    _, path, kind = stack[-1] if stack else ("", "", 0)
-                    blocks.append(("-+"[kind > 0] + path if kind else "." + path, text, len(text), min(links, len(text))))
+                    _, path, main, mark = stack[-1] if stack else ("", "", False, 0)
+                    blocks.append((path, text, len(text), min(links, len(text)), main, mark))
                 words.clear()
             links = 0
 
         def push(tag: str, attributes: str) -> None:
             name, own = style(tag, attributes)
-            _, path, kind = stack[-1] if stack else ("", "", 0)
-            if tag == "header" and kind <= 0:
+            _, path, main, mark = stack[-1] if stack else ("", "", False, 0)
+            if tag == "header" and not main and own > -3:
                 own = -1
-            kind = -1 if kind < 0 or own < 0 else 1 if kind > 0 or own > 0 else 0
-            stack.append((tag, f"{path}/{name}" if len(path) < 400 else path, kind))
+            if own < 0:
+                marks.append([mark, own, main, 0, 0])
+                mark = len(marks) - 1
+            stack.append((tag, f"{path}/{name}" if len(path) < 400 else path, main or own > 0, mark))
 
         def pop_to(at: int) -> None:
             nonlocal inside_link
-            for tag, _, _ in stack[at:]:
+            for tag, *_ in stack[at:]:
                 inside_link -= tag == "a"
             del stack[at:]
 
+        def kinds() -> list[str]:
+            """The kind of each mark.  A word or form around most of the text
+            of the page's articles marks nothing, and no mark does around most
+            of the page's text, unless an article lies beside it."""
+            for _, _, chars, links, main, mark in blocks:
+                marks[mark][3] += chars - links
+                marks[mark][4] += (chars - links) * main
+            for above, _, _, chars, of_main in marks[:0:-1]:
+                marks[above][3] += chars
+                marks[above][4] += of_main
+            around = [own == -2 and not main and 2 * of_main > marks[0][4] for _, own, main, _, of_main in marks]
+            for beside in (False, True):
+                out = [""]
+                for (above, own, *_), void in zip(marks[1:], around[1:]):
+                    out.append(out[above] if void or out[above] == "!" else "!" if own == -3 else "-")
+                if not beside:
+                    article = any(main and not out[mark] for *_, main, mark in blocks)
+                    around = [a or 2 * x[3] > marks[0][3] and (x[2] or not article) for a, x in zip(around, marks)]
+            return out
+
         at, raw = 0, None
         for m in token.finditer(html):
             if m.start() < at:
@@ -142,7 +176,8 @@ def _parser():
         if raw is None and at < len(html):
             words.append(unescape(html[at:]))
         flush()
-        return blocks
+        kind = kinds()
+        return [((kind[mark] or ".+"[main]) + path, *block) for path, *block, main, mark in blocks]
 
     return parse
 
@@ -224,8 +259,10 @@ def style_tree(blocks: DataFrame) -> DataFrame:
     shape = F.when(F.col("pages") <= FEW_PAGES, F.lit(0.0)).otherwise((F.log("pages") - F.col("shape") / F.col("pages")) / F.log("pages"))
     links = F.coalesce(F.try_divide(F.col("links"), F.col("chars")), F.lit(0.0))
     # the links of an article are more its own
-    weight = F.when(kind == "-", 0.0).when(kind == "+", 1 - 0.5 * links).otherwise(0.6 * (1 - 0.8 * links))
-    return nodes.select("_host", "path", (weight * (content + (1 - content) * shape / 5)).alias("importance"))
+    weight = F.when(kind == "+", 1 - 0.5 * links).otherwise(F.when(kind == ".", 0.6).when(kind == "-", 0.4).otherwise(0.0) * (1 - 0.8 * links))
+    # a mark is overridden where both vary
+    entropy = F.when(kind == "-", content * (1 + shape) / 2).otherwise(content + (1 - content) * shape / 5)
+    return nodes.select("_host", "path", (weight * entropy).alias("importance"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:

@@ -67,3 +67,20 @@ def test_entropy_decides_in_and_beside_articles(spark):
     assert texts(spark, [f"<p>{i}</p><article><h1>T {i % 3}</h1><p>story {i % 3}</p>{box}</article>" for i in range(30)]) == [
         [str(i), f"T {i % 3}", f"story {i % 3}"] for i in range(30)]
     assert texts(spark, [f"<p>{i}</p><article><h1>T</h1><p>story</p></article>" for i in range(30)]) == [[str(i), "T", "story"] for i in range(30)]
+
+
+@pytest.mark.parametrize("page", [
+    '<article class="post comments-open"><h1>T</h1><p>{0}</p></article>', '<main class="no-sidebar"><h1>T</h1><p>{0}</p></main>',
+    '<div id="page" class="has-menu"><nav><a href="/">home and more</a></nav><h1>T</h1><p>{0}</p></div>',
+    '<form id="aspnetForm"><article><h1>T</h1><p>{0}</p></article></form><footer>f</footer>',
+    '<article><h1>T</h1><p>{0}</p></article><div class=ad>an advertisement that is longer than all the rest of it</div>',
+    '<div class="has-sidebar"><article><h1>T</h1><p>{0}</p></article></div><footer>a very long footer of the whole site, longer than it all</footer>'])
+def test_marks_around_the_article_are_none(page):
+    assert [t for p, t, *_ in html._parser()(page.format("words of the article")) if p[0] in "+."] == ["T", "words of the article"]
+
+
+def test_entropy_overrides_marks(spark):
+    """A marked part whose texts and number of blocks vary stays; marked parts that do not, and hidden ones, go."""
+    pages = ["<p>" + f"front {i} " * 30 + f"</p><div class=notice>sale {i}</div><div hidden>{i}</div><div class=social-story>"
+             + "".join(f"<p>part {i} {j}</p>" for j in range(1 + i % 5)) + "</div>" for i in range(30)]
+    assert texts(spark, pages) == [[("front %d " % i * 30).strip(), *(f"part {i} {j}" for j in range(1 + i % 5))] for i in range(30)]
