@@ -1,7 +1,8 @@
 """Main text of web pages through a site style tree.
 
 The DOMs of a host's pages are merged into one tree of style nodes: the
-elements of a path with the same tags and the same class and id words.  A
+elements of a path with the same tags and the same class and id words, all of
+them, as a running 64-bit hash.  A
 node's content importance is how much its texts tell of the page they are on
 (their mutual information with the pages' own texts, relative to the most it
 could be), so that what every page repeats scores 0, in an article as well as
@@ -46,6 +47,8 @@ LEAST, FEW_PAGES = 0.25, 3
 
 def _parser():
     import re
+
+    from xxhash import xxh64_intdigest
     token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
     attribute = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
     part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -57,7 +60,7 @@ def _parser():
             return styles[tag, ""]
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in attribute.finditer(attributes)} if attributes.strip() else {}
         words = [w.lower() for w in part.findall(found.get("class", "") + " " + found.get("id", ""))]
-        names = sorted({w for w in words if not w.isdigit()})[:8]
+        names = sorted({w for w in words if not w.isdigit()})
         role = found.get("role", "").lower()
         if tag in ("body", "html"):
             own = 0
@@ -79,8 +82,8 @@ def _parser():
         path begins with ! for what is not shown, - for what is marked as not
         the article, + for what is in it, and . for the rest."""
         from html import unescape
-        blocks: list[tuple[str, str, int, int, bool, int]] = []  # and whether in the article, and the mark it is under
-        stack: list[tuple[str, str, bool, int]] = []  # tag, path, whether in the article, mark (0: none)
+        blocks: list[tuple[int, str, int, int, bool, int]] = []  # and whether in the article, and the mark it is under
+        stack: list[tuple[str, int, bool, int]] = []  # tag, path, whether in the article, mark (0: none)
         marks: list[list] = [[0, 0, False, 0, 0]]  # the mark above, kind, whether in the article, characters outside links, those of articles within
         words: list[str] = []
         links = inside_link = 0
@@ -90,20 +93,20 @@ def _parser():
             if words:
                 text = " ".join("".join(words).split())
                 if text:
-                    _, path, main, mark = stack[-1] if stack else ("", "", False, 0)
+                    _, path, main, mark = stack[-1] if stack else ("", 0, False, 0)
                     blocks.append((path, text, len(text), min(links, len(text)), main, mark))
                 words.clear()
             links = 0
 
         def push(tag: str, attributes: str) -> None:
             name, own = style(tag, attributes)
-            _, path, main, mark = stack[-1] if stack else ("", "", False, 0)
+            _, path, main, mark = stack[-1] if stack else ("", 0, False, 0)
             if tag == "header" and not main and own > -3:
                 own = -1
             if own < 0:
                 marks.append([mark, own, main, 0, 0])
                 mark = len(marks) - 1
-            stack.append((tag, f"{path}/{name}" if len(path) < 400 else path, main or own > 0, mark))
+            stack.append((tag, xxh64_intdigest(name.encode("utf-8", "surrogatepass"), path), main or own > 0, mark))
 
         def pop_to(at: int) -> None:
             nonlocal inside_link
@@ -177,7 +180,7 @@ def _parser():
             words.append(unescape(html[at:]))
         flush()
         kind = kinds()
-        return [((kind[mark] or ".+"[main]) + path, *block) for path, *block, main, mark in blocks]
+        return [(f"{kind[mark] or '.+'[main]}{path:016x}", *block) for path, *block, main, mark in blocks]
 
     return parse
 

@@ -84,3 +84,11 @@ def test_entropy_overrides_marks(spark):
     pages = ["<p>" + f"front {i} " * 30 + f"</p><div class=notice>sale {i}</div><div hidden>{i}</div><div class=social-story>"
              + "".join(f"<p>part {i} {j}</p>" for j in range(1 + i % 5)) + "</div>" for i in range(30)]
     assert texts(spark, pages) == [[("front %d " % i * 30).strip(), *(f"part {i} {j}" for j in range(1 + i % 5))] for i in range(30)]
+
+
+@pytest.mark.parametrize("around,one,other", [
+    ('<div class="elementor section wrap">' * 40, "<div class=story>", "<div class=box>"),
+    ("", '<div class="a b c d e f g h story">', '<div class="a b c d e f g h teaser">')])
+def test_paths_are_whole(spark, around, one, other):
+    """Deep branches and long class lists are told apart by all they hold."""
+    assert texts(spark, [f"{around}{one}story {i}</div>{other}{'read on ' * 9}</div>" for i in range(30)]) == [[f"story {i}"] for i in range(30)]
