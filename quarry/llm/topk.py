@@ -26,26 +26,31 @@ from quarry.llm.common import ship, tidy, written
 SCALE, K, PIVOTS = 64, 20, 64
 #: vectors of an annulus, of a stretch of the index, queries of a block
 ANNULUS, STRETCH, QUERIES = 1024, 16_384, 1024
-#: components of larger size would not leave a score in 64 bits
-LARGEST = 1 << 24
+#: scores of vectors under this squared length (a little under 2^63) fit 64 bits
+LARGEST = 9.2e18
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
     """(_id, _v) with _v the whole-number components.  Rows without an id, and
-    vectors that are null, empty or hold a null, non-finite or (times scale)
-    2^24 or larger component take no part."""
+    vectors that are null, empty, hold a null or non-finite component or (times
+    scale) have a squared length of ``LARGEST`` or more take no part."""
     def fit(x):
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < F.lit(float(LARGEST)))
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < F.lit(LARGEST ** 0.5))
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_x"))
     rows = rows.filter(F.col("_id").isNotNull() & (F.size("_x") > 0) & F.forall("_x", fit))
-    return rows.select("_id", F.transform("_x", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("_v"))
+    rows = rows.select("_id", F.transform("_x", lambda x: F.floor(x.cast("double") * scale)).alias("_v"))
+    return rows.filter(squared("_v") < F.lit(LARGEST))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def squared(column: str) -> Column:
+    return F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+
+
+def _matrix(column: pa.Array, dim: int, whole) -> np.ndarray:
     """List column as rows of ``dim``; shorter vectors are filled with zeros."""
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(sizes), dim), np.int32)
+    out = np.zeros((len(sizes), dim), whole)
     out[np.arange(dim) < sizes[:, None]] = flat
     return out
 
@@ -59,11 +64,16 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T))
 
 
-def _assigner(pivots: np.ndarray, most: float, dim: int):
+def _slack(most: float, dim: int) -> float:
+    """More than rounding can move a distance between lifted vectors."""
+    return 1e-6 + 8 * float(np.sqrt((dim + 8) * 2.0 ** -52 * most))
+
+
+def _assigner(pivots: np.ndarray, most: float, dim: int, whole):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lifted = _lifted(pivots, most)
         for batch in batches:
-            v = _matrix(batch.column("_v"), dim)
+            v = _matrix(batch.column("_v"), dim, whole)
             away = _distances(_lifted(v, most), lifted)
             near = away.argmin(1)
             yield pa.RecordBatch.from_arrays(
@@ -106,9 +116,9 @@ def _packer(dim: int, annulus: int, stretch: int):
 
 
 class _Stretch:
-    def __init__(self, row: dict, dim: int, kind):
+    def __init__(self, row: dict, dim: int, kind, whole):
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vecs = np.frombuffer(row["vecs"], np.int32).reshape(-1, dim).astype(kind)
+        self.vecs = np.frombuffer(row["vecs"], whole).reshape(-1, dim).astype(kind)
         self.cuts, self.pivots = (np.frombuffer(row[c], np.int64) for c in ("cuts", "pivots"))
         self.low, self.high = (np.frombuffer(row[c], np.float64) for c in ("low", "high"))
 
@@ -126,12 +136,12 @@ def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int, k: int, lea
     return q[good], score[good], ids[good], least
 
 
-def _query_maker(dim: int, k: int, kind):
+def _query_maker(dim: int, k: int, kind, whole):
     """Each query with its annulus and the k-th best score there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s, is_query = _Stretch(row, dim, kind), np.frombuffer(row["queries"], np.uint8)
+                s, is_query = _Stretch(row, dim, kind, whole), np.frombuffer(row["queries"], np.uint8)
                 for g, (a, b) in enumerate(zip(s.cuts, s.cuts[1:])):
                     at = np.flatnonzero(is_query[a:b])
                     if not len(at):
@@ -142,7 +152,7 @@ def _query_maker(dim: int, k: int, kind):
                         score[s.ids[a:b][at][:, None] == s.ids[a:b]] = np.iinfo(np.int64).min
                         least = np.partition(score, -k, axis=1)[:, -k]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.ids[a:b][at]), pa.array([x.tobytes() for x in s.vecs[a:b][at].astype(np.int32)], pa.binary()),
+                        [pa.array(s.ids[a:b][at]), pa.array([x.tobytes() for x in s.vecs[a:b][at].astype(whole)], pa.binary()),
                          pa.array(least), pa.array(np.full(len(at), s.pivots[g])), pa.array(np.full(len(at), s.low[g]))],
                         ["_id", "vec", "least", "pivot", "low"])
     return tidy(run)
@@ -159,14 +169,14 @@ def _block_maker(queries: int):
     return tidy(run)
 
 
-def _searcher(pivots: np.ndarray, most: float, dim: int, k: int, kind):
+def _searcher(pivots: np.ndarray, most: float, dim: int, k: int, kind, stored):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lifted = _lifted(pivots, most)
+        lifted, slack = _lifted(pivots, most), _slack(most, dim)
         for batch in batches:
             for row in batch.to_pylist():
-                s = _Stretch(row, dim, kind)
+                s = _Stretch(row, dim, kind, stored)
                 qids, least = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["least"], np.int64)
-                whole = np.frombuffer(row["qvecs"], np.int32).reshape(-1, dim)
+                whole = np.frombuffer(row["qvecs"], stored).reshape(-1, dim)
                 wide, n = whole.astype(np.float64), len(qids)
                 square = (wide * wide).sum(1)
                 away = _distances(np.hstack([wide, np.zeros((n, 1))]), lifted)[:, s.pivots]
@@ -179,7 +189,7 @@ def _searcher(pivots: np.ndarray, most: float, dim: int, k: int, kind):
                     next_one = order[alive, t]
                     lower = bound[alive, next_one]
                     far = np.sqrt(np.maximum(0, square[alive] + most - 2 * least[alive].astype(np.float64)))
-                    going = lower <= far * (1 + 1e-9) + 1e-6
+                    going = lower <= far * (1 + 1e-9) + slack
                     alive, next_one = alive[going], next_one[going]
                     if not len(alive):
                         break
@@ -212,20 +222,20 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     """
     spark = vectors.sparkSession
     rows = whole_vectors(vectors, id_col, vec_col, scale).withColumn("_q", is_query)
-    square = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    n, dim, most, largest = rows.agg(F.count(F.lit(1)), F.max(F.size("_v")), F.max(square),
+    n, dim, most, largest = rows.agg(F.count(F.lit(1)), F.max(F.size("_v")), F.max(squared("_v")),
                                      F.max(F.array_max(F.transform("_v", lambda x: F.abs(x))))).first()
     dim, most, largest = dim or 1, most or 0.0, largest or 0
     kind = np.float32 if dim * largest ** 2 < 1 << 24 else np.float64 if dim * largest ** 2 < 1 << 53 else np.int64
+    whole = np.int32 if largest < 1 << 31 else np.int64
     chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(pivots).select("_v").collect()  # a fixed number of vectors
-    centres = np.zeros((max(1, len(chosen)), dim), np.int32)
+    centres = np.zeros((max(1, len(chosen)), dim), whole)
     for i, row in enumerate(chosen):
         centres[i, :len(row[0])] = row[0]
-    keyed = rows.mapInArrow(_assigner(centres, most, dim), "_id long, _q boolean, _pivot int, _dist double, _vec binary")
+    keyed = rows.mapInArrow(_assigner(centres, most, dim, whole), "_id long, _q boolean, _pivot int, _dist double, _vec binary")
     order = ("_pivot", "_dist", "_id")
     index = written(keyed.repartitionByRange(max(1, -(-n // stretch)), *order).sortWithinPartitions(*order)
                     .mapInArrow(_packer(dim, annulus, stretch), INDEX), "pivot-index")
-    found = index.mapInArrow(_query_maker(dim, k, kind), "_id long, vec binary, least long, pivot long, low double")
+    found = index.mapInArrow(_query_maker(dim, k, kind, whole), "_id long, vec binary, least long, pivot long, low double")
     # one query for each id
     single = found.groupBy("_id").agg(F.min(F.struct("vec", "least", "pivot", "low")).alias("x")).select("_id", "x.*")
     blocks = written(single.sortWithinPartitions("pivot", "low").select("_id", "vec", "least")
@@ -234,7 +244,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     # every block of queries goes to every stretch of the index, by its number
     sent = blocks.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
     pairs = index.drop("queries").join(sent, "stretch")
-    best = pairs.mapInArrow(_searcher(centres, most, dim, k, kind), "query_id long, vec_id long, score long")
+    best = pairs.mapInArrow(_searcher(centres, most, dim, k, kind, whole), "query_id long, vec_id long, score long")
     ranked = top_n_per_group(best, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, "rank")
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

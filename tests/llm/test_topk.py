@@ -53,3 +53,16 @@ def test_large_components_are_exact(spark):
 def test_empty_table_and_a_single_vector(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
+
+
+@pytest.mark.parametrize("size", [262144.0, 5e6, 4e7])
+@pytest.mark.parametrize("kw", [{}, {"annulus": 4, "stretch": 16, "queries": 8, "pivots": 5}])
+def test_rows_of_any_size_whose_scores_fit(spark, size, kw):
+    """Large finite vectors are queries and candidates; only those whose scores do not fit a long are none."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.4, 3)]) for i in range(60)]
+    rows += [(60 + i, [float(np.float32(size * (1 - i / 99))), -0.5 * i, size / 8]) for i in range(9)]
+    whole = {i: [math.floor(64 * y) for y in v] for i, v in rows}
+    want = [(i, r + 1, j, -s) for i, q in whole.items() if i % 3 == 0
+            for r, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole.items() if j != i)[:5])]
+    assert run(spark, [*rows, (99, [1e9, 0.0, 0.0]), (100, [3e38, 1.0, 1.0])], **kw) == sorted(want)
