@@ -485,3 +485,33 @@ def test_penalised_lda_one_row_class(spark):
                                "vec_id int, embedding array<double>, label int")
     out = [r.prediction for r in G.penalised_lda(df, "embedding", "label", 1).orderBy("vec_id").collect()]
     assert out == [0.0, 0.0, 0.0, 1.0]
+
+
+def test_pca_and_lda_over_all_components_against_sql_covariances(spark):
+    """Covariances and means of all components from SQL give the axes, the projections and the scores."""
+    import duckdb
+    table = f"(SELECT vec_id, label = 3 AS pos, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM '{SF001}/embeddings.parquet')"
+    dim = len(_emb(spark).first()["embedding"])
+
+    def moments(where):
+        """Rows, means and covariances."""
+        n, mean, cov = 0, np.zeros(dim), np.zeros((dim, dim))
+        for i, j, n, m, c in duckdb.sql(f"SELECT a.i, b.i, count(*), avg(a.x), covar_samp(a.x, b.x) FROM {table} a JOIN {table} b USING (vec_id) "
+                                        f"WHERE {where} GROUP BY 1, 2").fetchall():
+            mean[i - 1], cov[i - 1, j - 1] = m, c
+        return n, mean, cov
+
+    out, m = J.pca(_emb(spark), "embedding", 4)
+    _, _, cov = moments("true")
+    top = np.sort(np.linalg.eigvalsh(cov))[::-1][:4]
+    assert np.allclose(cov @ m.pc, m.pc * top, atol=1e-8)
+    assert np.allclose(m.explainedVariance, top / np.trace(cov), atol=1e-8)
+    rows = out.select("embedding", "components").collect()
+    assert np.allclose([r["components"] for r in rows], np.array([r["embedding"] for r in rows]) @ m.pc, atol=1e-8)
+
+    (n0, m0, c0), (n1, m1, c1) = moments("NOT a.pos"), moments("a.pos")
+    w = np.linalg.solve(((n0 - 1) * c0 + (n1 - 1) * c1) / (n0 + n1 - 2), m1 - m0)
+    rows = G.penalised_lda(_emb(spark), "embedding", "label", 3).select("embedding", "score", "prediction").collect()
+    want = (np.array([r["embedding"] for r in rows]) - (m0 + m1) / 2) @ w
+    assert np.allclose([r["score"] for r in rows], want, rtol=1e-5, atol=1e-6)
+    assert [r["prediction"] for r in rows] == [float(r["score"] > 0) for r in rows]
