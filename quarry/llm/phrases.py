@@ -12,9 +12,9 @@ elementwise.  A phrase can only be frequent if the one without its last and
 the one without its first word are, so a Bloom filter of the frequent phrases
 of one length (of at most ``FILTER_BITS``, whatever the corpus; where it is
 too full it holds back less and nothing is lost) decides which places are
-counted at the next.  Prefixes that are frequent enough to make large stripes
-(at most ``HOT`` a length) are cut into slots by their next word, as the empty
-prefix always is.
+counted at the next.  Stripes travel in buckets dealt by the prefix; prefixes that
+are frequent enough to make large stripes (at most ``HOT`` a length) are dealt
+by their next word too, as the empty prefix always is.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, text_of, tidy, written
+from quarry.llm.common import ship, shuffle_partitions, text_of, tidy, written
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
-#: bytes of text counted at once; slots of a hot prefix; hot prefixes of a length at most, and the least count of one
-SLICE, SLOTS, HOT, HOT_LEAST = 16 << 20, 256, 1 << 16, 1 << 20
+#: bytes of text counted at once, and for each bucket; hot prefixes of a length at most, and the least count of one
+SLICE, BUCKET, HOT, HOT_LEAST = 16 << 20, 16 << 20, 1 << 16, 1 << 20
 #: bits of the filter at most (16 MB), bits for each phrase below that, and bits set by a phrase
 FILTER_BITS, BITS_EACH, PROBES = 1 << 27, 16, 4
 
@@ -41,7 +41,8 @@ BREAK, AHEAD = b"\xff", b"\xfe"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
 _CUT = re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
 
-STRIPES = "lang string, prefix string, slot int, next array<string>, c array<long>"
+STRIPES = "bucket long, lang string, blob binary"
+MERGED = "lang string, prefix string, bucket long, total long, stripe array<struct<next:string,c:bigint>>"
 
 
 def _parts(text: bytes, most: int, longest: int) -> Iterator[bytes]:
@@ -64,9 +65,8 @@ class _Words:
         data = BREAK.join(texts).replace(BREAK, b" " + BREAK + b" ")
         whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data))
         coded = pc.ascii_split_whitespace(whole).flatten().dictionary_encode()
-        self.names = coded.dictionary.cast(pa.large_binary())
         ids = coded.indices.to_numpy()
-        names = self.names.to_pylist()
+        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
         number = {special: names.index(special) for special in (BREAK, AHEAD, b"") if special in names}
         end, later = ids == number.get(BREAK, -1), ids == number.get(AHEAD, -1)
         own = np.ones(len(ids), bool)
@@ -107,15 +107,36 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slice_stripes(lang: str, texts: list[bytes], length: int, bits, hot) -> pa.RecordBatch:
-    """The stripes of prefixes of ``length`` - 1 words in some texts."""
+class _Stripes:
+    """Some stripes of one language: ``prefix`` (bytes) and ``size`` (entries) of
+    each, and of all entries ``next`` (bytes, one after the other) and ``c``."""
+
+    REST = b"\n"  # stands for whatever makes no phrase; no word holds it
+
+    @staticmethod
+    def pack(prefix: list[bytes], size: np.ndarray, following: list[bytes], c: np.ndarray, codec) -> bytes:
+        words, names = b" ".join(following), b"\n".join(prefix)
+        head = np.array([len(size), len(c), len(names)], np.int64)
+        return codec.compress(b"".join([head.tobytes(), size.astype(np.uint32).tobytes(), c.astype(np.uint32).tobytes(), names, words]))
+
+    @staticmethod
+    def unpack(blob: bytes, codec) -> tuple[list[bytes], np.ndarray, list[bytes], np.ndarray]:
+        data = codec.decompress(blob)
+        n, m, names = np.frombuffer(data, np.int64, 3).tolist()
+        at = 24 + 4 * (n + m)
+        return (data[at:at + names].split(b"\n"), np.frombuffer(data, np.uint32, n, 24).astype(np.int64), data[at + names:].split(b" "),
+                np.frombuffer(data, np.uint32, m, 24 + 4 * n).astype(np.int64))
+
+
+def _slice_stripes(lang: str, texts: list[bytes], length: int, bits, hot, buckets: int, codec) -> pa.RecordBatch:
+    """The stripes of prefixes of ``length`` - 1 words in some texts, by buckets."""
     words = _Words(texts)
     h, ids, before = words.hashes(), words.ids, length - 1
     if not before:
         count = np.bincount(ids[words.own], minlength=len(h))
         following = np.flatnonzero(count)
-        count, prefix = count[following], np.zeros(len(following), np.int64)
-        first, slot = np.zeros(1, np.int64), (h[following] % np.uint64(SLOTS)).astype(np.int64)
+        count, prefix, first = count[following], np.zeros(len(following), np.int64), np.zeros(1, np.int64)
+        bucket = h[following] % np.uint64(buckets)
     else:
         at = np.flatnonzero(words.room >= before)
         key = np.full(len(at), _seed(lang))
@@ -139,48 +160,117 @@ def _slice_stripes(lang: str, texts: list[bytes], length: int, bits, hot) -> pa.
                 _, first, prefix = np.unique(np.stack([ids[at + j] for j in range(before)], 1), axis=0, return_index=True, return_inverse=True)
         pairs, count = np.unique(prefix.astype(np.int64) * (len(h) + 1) + following, return_counts=True)
         prefix, following = np.divmod(pairs, len(h) + 1)
-        slot = np.where(np.isin(key[first], hot)[prefix] & (following < len(h)), np.append(h, 0)[following] % np.uint64(SLOTS), 0).astype(np.int64)
+        spread = np.where(np.isin(key[first], hot)[prefix] & (following < len(h)), np.append(h, np.uint64(0))[following], np.uint64(0))
+        bucket = _chained(key[first][prefix], spread) % np.uint64(buckets)
         first = at[first]
-    by = np.lexsort((slot, prefix))
-    prefix, slot, following, count = prefix[by], slot[by], following[by], count[by]
+    by = np.lexsort((prefix, bucket))
+    prefix, bucket, following, count = prefix[by], bucket[by].astype(np.int64), following[by], count[by]
     new = np.ones(len(by), bool)
-    new[1:] = (prefix[1:] != prefix[:-1]) | (slot[1:] != slot[:-1])
+    new[1:] = (prefix[1:] != prefix[:-1]) | (bucket[1:] != bucket[:-1])
     begin = np.flatnonzero(new)
-    offsets = pa.array(np.append(begin, len(by)), pa.int32())
-    starts = first[prefix[begin]]
-    names = [b" ".join(words.bytes[i] for i in ids[p:p + before]).decode("utf-8", "replace") for p in starts]
-    values = pa.concat_arrays([words.names, pa.array([b""], pa.large_binary())]).take(pa.array(following)).cast(pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(begin), pa.string()), pa.array(names, pa.string()), pa.array(slot[begin], pa.int32()),
-         pa.ListArray.from_arrays(offsets, values), pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))],
-        ["lang", "prefix", "slot", "next", "c"])
-
-
-def _striper(length: int, longest: int, bits, hot, most: int):
+    size = np.diff(np.append(begin, len(by)))
+    names = [b" ".join([words.bytes[i] for i in ids[p:p + before]]) for p in first[prefix[begin]].tolist()]
+    nexts = [*words.bytes, _Stripes.REST]
+    each, of = np.unique(bucket, return_index=True)
+    blobs = []
+    for a, b in zip(of.tolist(), [*of[1:].tolist(), len(by)]):
+        i, j = np.searchsorted(begin, [a, b])
+        blobs.append(_Stripes.pack(names[i:j], size[i:j], [nexts[k] for k in following[a:b].tolist()], count[a:b], codec))
+    return pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), pa.array([lang] * len(each), pa.string()), pa.array(blobs, pa.binary())], ["bucket", "lang", "blob"])
+
+
+def _striper(length: int, longest: int, bits, hot, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        codec = zstandard.ZstdCompressor(level=1)
         held: dict[str, list[bytes]] = {}
         size = 0
+
+        def done():
+            for lang, texts in held.items():
+                yield _slice_stripes(lang, texts, length, bits and bits.value, hot, buckets, codec)
+
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("_text").cast(pa.large_binary())):
                 for part in _parts(text.as_py(), most, longest):
                     held.setdefault(lang.as_py(), []).append(part)
                     size += len(part) + 100
                     if size >= most:
-                        for one, texts in held.items():
-                            yield _slice_stripes(one, texts, length, bits and bits.value, hot)
-                        held, size = {}, 0
-        for one, texts in held.items():
-            yield _slice_stripes(one, texts, length, bits and bits.value, hot)
+                        yield from done()
+                        held.clear()
+                        size = 0
+        yield from done()
+    return tidy(run)
+
+
+class _Merge:
+    """Stripes added elementwise."""
+
+    MOST = 4_000_000  # entries held before equal ones are added up
+
+    def __init__(self):
+        self.prefixes: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {_Stripes.REST: 0}
+        self.keys, self.counts, self.held = [], [], 0
+
+    def add(self, prefix: list[bytes], size: np.ndarray, following: list[bytes], c: np.ndarray) -> None:
+        rows = np.array([self.prefixes.setdefault(p, len(self.prefixes)) for p in prefix], np.int64)
+        words = np.array([self.words.setdefault(w, len(self.words)) for w in following], np.int64)
+        self.keys.append(np.repeat(rows, size) << 32 | words)
+        self.counts.append(c)
+        self.held += len(c)
+        if self.held > self.MOST:
+            self.keys, self.counts = [[x] for x in self.sums()]
+            self.held = len(self.counts[0])
+            self.MOST = max(self.MOST, 2 * self.held)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        by = np.argsort(keys)
+        keys, counts = keys[by], counts[by]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[begin], np.add.reduceat(counts, begin)
+
+    def result(self, lang: str, bucket: int, least: int) -> pa.RecordBatch:
+        keys, c = self.sums()
+        row, word = keys >> 32, keys & 0xFFFFFFFF
+        first = np.searchsorted(row, np.arange(len(self.prefixes)))
+        total = np.add.reduceat(c, first)
+        keep = np.flatnonzero((c >= least) & (word > 0))
+        offsets = np.append(np.searchsorted(row[keep], np.arange(len(self.prefixes))), len(keep))
+        names = list(self.words)
+        stripe = pa.StructArray.from_arrays([pa.array([names[k].decode("utf-8", "replace") for k in word[keep].tolist()], pa.string()), pa.array(c[keep], pa.int64())], ["next", "c"])
+        n = len(total)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * n, pa.string()), pa.array([p.decode("utf-8", "replace") for p in self.prefixes], pa.string()), pa.array([bucket] * n, pa.int64()),
+             pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), stripe)], ["lang", "prefix", "bucket", "total", "stripe"])
+
+
+def _merger(least: int):
+    """Rows (bucket, lang, blob), sorted by both, as merged stripes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        codec = zstandard.ZstdDecompressor()
+        group, merge = None, None
+        for batch in batches:
+            for bucket, lang, blob in zip(*(batch.column(k) for k in ("bucket", "lang", "blob"))):
+                here = bucket.as_py(), lang.as_py()
+                if here != group:
+                    if merge:
+                        yield merge.result(group[1], group[0], least)
+                    group, merge = here, _Merge()
+                merge.add(*_Stripes.unpack(blob.as_py(), codec))
+        if merge:
+            yield merge.result(group[1], group[0], least)
     return tidy(run)
 
 
 def merged(stripes: DataFrame, least: int) -> DataFrame:
-    """(lang, prefix, slot, total, stripe): stripes added elementwise, with the
-    entries of at least ``least``; one shuffle."""
-    each = (stripes.repartition("lang", "prefix", "slot").select("lang", "prefix", "slot", F.explode(F.arrays_zip("next", "c")).alias("x"))
-            .groupBy("lang", "prefix", "slot", F.col("x.next").alias("next")).agg(F.sum("x.c").alias("c")))
-    kept = F.when((F.col("c") >= least) & (F.col("next") != ""), F.struct("next", "c"))
-    return each.groupBy("lang", "prefix", "slot").agg(F.sum("c").alias("total"), F.collect_list(kept).alias("stripe"))
+    """(lang, prefix, bucket, total, stripe): stripes (bucket, lang, blob) added
+    elementwise, with the entries of at least ``least``; one shuffle.  A hot
+    prefix has a row in each bucket that holds some of its words."""
+    dealt = stripes.repartition(shuffle_partitions(stripes.sparkSession), "bucket").sortWithinPartitions("bucket", "lang")
+    return dealt.mapInArrow(_merger(least), MERGED)
 
 
 def _keys():
@@ -236,8 +326,11 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longes
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("_text"))
 
+    size = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    buckets = max(64, size // BUCKET)
+
     def counted(length: int, bits, hot) -> DataFrame:
-        return written(merged(rows.mapInArrow(_striper(length, longest, bits, hot, slice_bytes), STRIPES), least), f"stripes-{length}")
+        return written(merged(rows.mapInArrow(_striper(length, longest, bits, hot, buckets, slice_bytes), STRIPES), least), f"stripes-{length}")
 
     stripes = counted(1, None, np.zeros(0, np.uint64))
     totals = written(stripes.groupBy("lang").agg(F.sum("total").alias("n")), "phrase-totals")
