@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, html, mixing, packing, phrases, secrets, simhash, suffixes, tokens, topk, toxicity
+from quarry.llm import fingerprints, html, langid, mixing, packing, phrases, secrets, simhash, suffixes, tokens, topk, toxicity, tries
 from quarry.llm.common import read_table
 
 
@@ -55,6 +55,14 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(read_table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_topk": op2_exact_topk, "op3_simhash": op3_simhash, "op5_fingerprints": op5_fingerprints, "op6_secret_scan": op6_secret_scan, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_html_text": op8_html_text, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing,
-           "op11_phrases": op11_phrases}
+           "op11_phrases": op11_phrases, "op12_language_id": op12_language_id, "op13_prefix_trie": op13_prefix_trie}
 ORACLES = {"op2_exact_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}
