@@ -69,6 +69,18 @@ def shuffle_files_dropped(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20):
+    """Inside, Spark hands Python its rows in batches bounded by bytes, too."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: cuts the lineage, and a
     lost executor loses nothing of it."""

@@ -4,7 +4,8 @@ Only suffixes' first ``length`` (100) bytes matter here.  The suffix space is
 cut into buckets by content: the bucket of a suffix is given by the least
 k-mer hash among its first ``length`` bytes, so equal strings share it, and
 neighbouring suffixes mostly do.  Runs of neighbours (stretches) travel as one
-piece of text, and one bucket is sorted at a time, in bounded memory:
+piece of text, and one bucket is sorted at a time (in up to 100 bytes of memory
+for each byte of its text, of which there are ``BUCKET_MOST`` at most):
 
 * a difference cover of the places modulo 31 is sampled, and the sample's
   strings of 100 - 31 + 1 = 70 bytes are ranked;
@@ -15,7 +16,9 @@ piece of text, and one bucket is sorted at a time, in bounded memory:
 
 Equal neighbours in the sorted order are repeats; all but the earliest are
 removed.  A bucket that outgrows its bound is split by the hash of the whole
-string, and its parts are done in a second pass.
+string, and its parts are done in another pass, and again until every part
+keeps to the bound.  Of equal strings that meet on the way only the earliest
+goes on, so a string repeated without end is no part that cannot be split.
 """
 
 from __future__ import annotations
@@ -28,15 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, shuffle_partitions, text_of, tidy, written
+from quarry.llm.common import ship, shuffle_partitions, small_batches, text_of, tidy, written
 
 LENGTH, KMER = 100, 20
 #: fixed values: a difference cover, every difference modulo 31 occurs in it
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
 #: bytes of text that the mapper cuts at once; of a bucket on average, and at most
-PIECE, BUCKET, BUCKET_MOST = 2 << 20, 12 << 20, 96 << 20
-#: parts of a bucket that is too large
+PIECE, BUCKET, BUCKET_MOST = 2 << 20, 1 << 20, 4 << 20
+#: parts of a bucket that is too large, each time
 PARTS = 64
 
 #: columns of a stretch: least hash, document (id, whether null, hash of its text), start, number of suffixes
@@ -421,9 +424,40 @@ def _sorted_spans(blob: _Blob) -> dict:
     return {"id": s["id"][o], "none": s["none"][o], "th": s["th"][o], "start": start[gone[first]], "end": start[gone[last]] + LENGTH}
 
 
-def _sorter(most: int | None):
+def _singles(blob: _Blob, hasher: _Hasher) -> _Blob:
+    """Each suffix for itself with the hash of its string; of equal ones the
+    earliest, the others are intervals that go."""
+    s, run = blob.stretches, blob.stretches["run"].astype(np.int64)
+    begin = np.cumsum(run + LENGTH - 1) - (run + LENGTH - 1)
+    at, owner = _ranges(begin, run), np.repeat(np.arange(len(run)), run)
+    hasher.load(blob.text)
+    h = hasher.strings(at, at + LENGTH)
+    single = {"h": h, "id": s["id"][owner], "none": s["none"][owner], "th": s["th"][owner], "start": _ranges(s["start"], run), "run": np.ones(len(at), np.uint8)}
+    order = _order(single)
+    leader = _first_of_equals(h, order)
+    raw = memoryview(blob.text)
+    again = np.flatnonzero(order[leader] < order)
+    again = again[np.array([raw[i:i + LENGTH] == raw[j:j + LENGTH] for i, j in zip(at[again].tolist(), at[leader[again]].tolist())], bool)]
+    gone = {**{k: single[k][again] for k in ("id", "none", "th", "start")}, "end": single["start"][again] + LENGTH}
+    stay = np.ones(len(h), bool)
+    stay[again] = False
+    stay = np.flatnonzero(stay)
+    return _Blob({k: v[stay] for k, v in single.items()}, blob.text[_ranges(at[stay], np.full(len(stay), LENGTH))], {k: np.concatenate([gone[k], blob.spans[k]]) for k, _ in SPANS})
+
+
+def _slices(blob: _Blob, most: int) -> Iterator[_Blob]:
+    """The blob in parts whose suffixes take about ``most`` bytes as singles."""
+    which = np.cumsum(blob.stretches["run"].astype(np.int64) * LENGTH) // most
+    for k in np.unique(which):
+        part = blob.taken(np.flatnonzero(which == k))
+        yield _Blob(part.stretches, part.text, _no_spans())
+    yield _Blob({k: np.zeros(0, t) for k, t in FIELDS}, np.zeros(0, np.uint8), blob.spans)
+
+
+def _sorter(most: int, level: int):
     """Rows (bucket, blob), sorted by bucket: intervals (bucket -1), or the
-    parts of a bucket of more than ``most`` bytes as rows for a second pass."""
+    parts of a bucket of more than ``most`` bytes as rows for the next pass.
+    From the second pass (``level``) on suffixes come as singles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         reader, codec, hasher = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), _Hasher()
@@ -435,47 +469,50 @@ def _sorter(most: int | None):
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, -1)), pa.nulls(n, pa.binary()), *(
                 pa.array(found[k].astype(bool) if k == "none" else found[k], t) for (k, _), t in zip(SPANS, kinds))], names)
 
-        def parted(bucket: int, blob: _Blob):
-            """Each suffix for itself, dealt out by the hash of its string."""
-            s, run = blob.stretches, blob.stretches["run"].astype(np.int64)
-            begin = np.cumsum(run + LENGTH - 1) - (run + LENGTH - 1)
-            at, owner = _ranges(begin, run), np.repeat(np.arange(len(run)), run)
-            hasher.load(blob.text)
-            h = hasher.strings(at, at + LENGTH)
-            single = {"h": h, "id": s["id"][owner], "none": s["none"][owner], "th": s["th"][owner], "start": _ranges(s["start"], run), "run": np.ones(len(at), np.uint8)}
-            leader = _first_of_equals(h, _order(single))
-            raw = blob.text.tobytes()
-            again = np.flatnonzero(leader != np.arange(len(h)))
-            again = again[np.array([raw[at[i]:at[i] + LENGTH] == raw[at[j]:at[j] + LENGTH] for i, j in zip(again, leader[again])], bool)] if len(again) else again
-            later = again[_order(single)[again] > _order(single)[leader[again]]]
-            gone = {**{k: single[k][later] for k in ("id", "none", "th", "start")}, "end": single["start"][later] + LENGTH}
-            stay = np.ones(len(h), bool)
-            stay[later] = False
-            stay = np.flatnonzero(stay)
-            small = _Blob({k: v[stay] for k, v in single.items()}, blob.text[_ranges(at[stay], np.full(len(stay), LENGTH))], _no_spans())
-            rows = list(_blobs_by(small, bucket * PARTS + _bucket_of(small.stretches["h"], PARTS), np.zeros(0, np.int64), codec))
+        def parted(blob: _Blob):
+            """Singles, dealt out by the hash of their strings with the pass."""
+            part = _bucket_of(_mixed(blob.stretches["h"] + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))), PARTS)
+            rows = list(_blobs_by(_Blob(blob.stretches, blob.text, _no_spans()), part, np.zeros(0, np.int64), codec))
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary()),
+            yield pa.RecordBatch.from_arrays([pa.array([bucket * PARTS + k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary()),
                                               *(pa.nulls(n, t) for t in kinds)], names)
-            yield spans({k: np.concatenate([gone[k], blob.spans[k]]) for k, _ in SPANS})
+            yield spans(blob.spans)
+
+        held, size, bucket, split = [], 0, None, False
+
+        def overfull():
+            """What is held as singles; the repeats among them are settled."""
+            nonlocal held, size, split
+            blobs, held, size = held, [], 0
+            if level > 1:
+                blobs = [_singles(_Blob.joined(blobs), hasher)]
+                if not split and len(blobs[0].text) <= most // 2:  # mostly equal strings: they still fit
+                    yield spans(blobs[0].spans)
+                    held, size = [_Blob(blobs[0].stretches, blobs[0].text, _no_spans())], len(blobs[0].text)
+                    return
+            else:
+                blobs = (_singles(part, hasher) for b in blobs for part in _slices(b, most))
+            split = True
+            for b in blobs:
+                yield from parted(b)
+
+        def done():
+            if held and split:
+                yield from overfull()
+            elif held:
+                yield spans(_spans_of(_Blob.joined(held), hasher))
 
-        held, size, bucket = [], 0, None
         for batch in batches:
             for k, x in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
                 if k != bucket:
-                    if held:
-                        yield spans(_spans_of(_Blob.joined(held), hasher))
-                    held, size, bucket = [], 0, k
+                    yield from done()
+                    held, size, bucket, split = [], 0, k, False
                 blob = _Blob.unpack(x.as_py(), reader)
+                held.append(blob)
                 size += len(blob.text)
-                if most and size > most:
-                    for b in [*held, blob]:
-                        yield from parted(k, b)
-                    held = []
-                else:
-                    held.append(blob)
-        if held:
-            yield spans(_spans_of(_Blob.joined(held), hasher))
+                if size > most:
+                    yield from overfull()
+        yield from done()
     return tidy(run)
 
 
@@ -542,12 +579,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buckets = max(4 * shuffle_partitions(spark), 4 * total // BUCKET + 1)
     out = f"{ROWS}, {SPAN_SCHEMA}"
     sort = lambda df: df.select("bucket", "blob").repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    cut = rows.mapInArrow(_mapper(buckets), ROWS)
-    found = written(sort(cut).mapInArrow(_sorter(bucket_most), out), "suffix-spans")
-    gone = found.filter("bucket < 0")
-    parts = found.filter("bucket >= 0")
-    if parts.limit(1).count():
-        gone = gone.unionByName(written(sort(parts).mapInArrow(_sorter(None), out), "suffix-parts"))
+    dealt, gone, level = rows.mapInArrow(_mapper(buckets), ROWS), None, 1
+    while True:  # a pass splits a bucket in PARTS
+        with small_batches(spark):
+            found = written(sort(dealt).mapInArrow(_sorter(bucket_most, level), out), f"suffix-spans-{level}")
+        here = found.filter("bucket < 0")
+        gone = here if gone is None else gone.unionByName(here)
+        dealt, level = found.filter("bucket >= 0"), level + 1
+        if not dealt.limit(1).count():
+            break
     cuts = (gone.withColumn("id", F.when(~F.col("none"), F.col("id"))).groupBy("id", "th")
             .agg(F.collect_set(F.struct("start", "end")).alias("_cuts")))
     joined = rows.join(cuts, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left")

@@ -64,6 +64,39 @@ def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+CROWDED = """
+import resource, sys
+import numpy as np, pyarrow as pa
+sys.path.insert(0, {root!r})
+from quarry.llm import suffixes as S
+
+rng = np.random.default_rng(3)
+some = rng.integers(97, 123, 4 << 20).astype(np.uint8).tobytes()
+texts = [some[k:k + (1 << 18)] for k in range(0, len(some), 1 << 18)] + [some[100_000:1_500_000], b"-" * 1_000_000]
+rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.decode() for t in texts]), pa.array([0] * len(texts), pa.int32())], ["_id", "_text", "_th"])
+dealt = [b for b in S._mapper(1)(iter([rows])) if b.num_rows]
+before, parts, most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, [], 0
+for b in S._sorter(S.BUCKET_MOST, 1)(iter(dealt)):
+    for k, x in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
+        if k == 7:
+            parts.append(x)
+one = pa.RecordBatch.from_arrays([pa.array([7] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["bucket", "blob"])
+n = sum(b.num_rows for b in S._sorter(S.BUCKET_MOST, 2)(iter([one])))
+print(len(parts), n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_crowded_bucket_keeps_to_its_memory():
+    """More text in a bucket than its bound: it is split, and neither pass takes more than 600 MB."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", CROWDED.format(root=root)], capture_output=True, text=True, timeout=600)
+    parts, found, peak = map(int, done.stdout.split()[-3:])
+    assert parts and found and peak < 600, done.stdout + done.stderr
+
+
 def test_sorting_network_orders_ties():
     rng = np.random.default_rng(0)
     lines = [b"h" * 33 + bytes(rng.integers(97, 99, 8).astype(np.uint8)) + b"m" * 59 for _ in range(300)]
