@@ -4,8 +4,9 @@ Only suffixes' first ``length`` (100) bytes matter here.  The suffix space is
 cut into buckets by content: the bucket of a suffix is given by the least
 k-mer hash among its first ``length`` bytes, so equal strings share it, and
 neighbouring suffixes mostly do.  Runs of neighbours (stretches) travel as one
-piece of text, and one bucket is sorted at a time (in up to 100 bytes of memory
-for each byte of its text, of which there are ``BUCKET_MOST`` at most):
+piece of text.  A task holds one dealt bucket at a time and cuts it again by hash
+into buckets of about ``SORT`` bytes, which are sorted one by one (in up to 100
+bytes of memory for each byte, of which there are ``SORT_MOST`` at most):
 
 * a difference cover of the places modulo 31 is sampled, and the sample's
   strings of 100 - 31 + 1 = 70 bytes are ranked;
@@ -37,8 +38,10 @@ LENGTH, KMER = 100, 20
 #: fixed values: a difference cover, every difference modulo 31 occurs in it
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
-#: bytes of text that the mapper cuts at once; of a bucket on average, and at most
-PIECE, BUCKET, BUCKET_MOST = 2 << 20, 1 << 20, 4 << 20
+#: bytes of text that the mapper cuts at once; of a dealt bucket on average, and as held at most
+PIECE, BUCKET, BUCKET_MOST = 2 << 20, 12 << 20, 48 << 20
+#: bytes of text that are sorted at once on average, and at most
+SORT, SORT_MOST = 2 << 20, 4 << 20
 #: parts of a bucket that is too large, each time
 PARTS = 64
 
@@ -454,10 +457,11 @@ def _slices(blob: _Blob, most: int) -> Iterator[_Blob]:
     yield _Blob({k: np.zeros(0, t) for k, t in FIELDS}, np.zeros(0, np.uint8), blob.spans)
 
 
-def _sorter(most: int, level: int):
+def _sorter(most: int, level: int, sort: int = SORT, sort_most: int = SORT_MOST):
     """Rows (bucket, blob), sorted by bucket: intervals (bucket -1), or the
-    parts of a bucket of more than ``most`` bytes as rows for the next pass.
-    From the second pass (``level``) on suffixes come as singles."""
+    parts of a bucket as rows for the next pass, if it has more than ``most``
+    bytes or some to sort at once are more than ``sort_most``.  From the second
+    pass (``level``) on suffixes come as singles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         reader, codec, hasher = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), _Hasher()
@@ -480,18 +484,21 @@ def _sorter(most: int, level: int):
 
         held, size, bucket, split = [], 0, None, False
 
-        def overfull():
-            """What is held as singles; the repeats among them are settled."""
-            nonlocal held, size, split
-            blobs, held, size = held, [], 0
+        def singles(blobs: list[_Blob]) -> Iterator[_Blob]:
+            """What is left of repeats among the suffixes of some blobs."""
             if level > 1:
-                blobs = [_singles(_Blob.joined(blobs), hasher)]
-                if not split and len(blobs[0].text) <= most // 2:  # mostly equal strings: they still fit
-                    yield spans(blobs[0].spans)
-                    held, size = [_Blob(blobs[0].stretches, blobs[0].text, _no_spans())], len(blobs[0].text)
-                    return
+                yield _singles(_Blob.joined(blobs), hasher)
             else:
-                blobs = (_singles(part, hasher) for b in blobs for part in _slices(b, most))
+                yield from (_singles(part, hasher) for b in blobs for part in _slices(b, sort_most))
+
+        def overfull():
+            """What is held moves on, but for mostly equal strings, of which little is left."""
+            nonlocal held, size, split
+            blobs, held, size = list(singles(held)) if level > 1 else singles(held), [], 0
+            if level > 1 and not split and len(blobs[0].text) <= most // 2:
+                yield spans(blobs[0].spans)
+                held, size = [_Blob(blobs[0].stretches, blobs[0].text, _no_spans())], len(blobs[0].text)
+                return
             split = True
             for b in blobs:
                 yield from parted(b)
@@ -499,8 +506,22 @@ def _sorter(most: int, level: int):
         def done():
             if held and split:
                 yield from overfull()
-            elif held:
-                yield spans(_spans_of(_Blob.joined(held), hasher))
+                return
+            several = size // sort + 1
+            turn = [(_mixed(b.stretches["h"] ^ np.uint64(level)) >> np.uint64(20)) % np.uint64(several) for b in held]
+            for b in held:
+                yield spans(b.spans)
+            for k in range(several if held else 0):
+                blob = _Blob.joined([b.taken(np.flatnonzero(t == k)) for b, t in zip(held, turn)])
+                blob = _Blob(blob.stretches, blob.text, _no_spans())
+                if len(blob.text) <= sort_most:
+                    yield spans(_spans_of(blob, hasher))
+                    continue
+                for b in singles([blob]):
+                    if level > 1 and len(b.text) <= sort_most:
+                        yield spans(_spans_of(b, hasher))
+                    else:
+                        yield from parted(b)
 
         for batch in batches:
             for k, x in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
@@ -561,7 +582,7 @@ def _remover():
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
-                   bucket_most: int = BUCKET_MOST) -> DataFrame:
+                   bucket_most: int = BUCKET_MOST, sort: int = SORT, sort_most: int = SORT_MOST) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per row of
     ``docs``; ``kept`` has the byte ranges that stay.
 
@@ -578,11 +599,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
         buckets = max(4 * shuffle_partitions(spark), 4 * total // BUCKET + 1)
     out = f"{ROWS}, {SPAN_SCHEMA}"
-    sort = lambda df: df.select("bucket", "blob").repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
+    by_bucket = lambda df: df.select("bucket", "blob").repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
     dealt, gone, level = rows.mapInArrow(_mapper(buckets), ROWS), None, 1
     while True:  # a pass splits a bucket in PARTS
         with small_batches(spark):
-            found = written(sort(dealt).mapInArrow(_sorter(bucket_most, level), out), f"suffix-spans-{level}")
+            found = written(by_bucket(dealt).mapInArrow(_sorter(bucket_most, level, sort, sort_most), out), f"suffix-spans-{level}")
         here = found.filter("bucket < 0")
         gone = here if gone is None else gone.unionByName(here)
         dealt, level = found.filter("bucket >= 0"), level + 1

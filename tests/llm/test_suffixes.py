@@ -43,7 +43,7 @@ def cases():
     return rows + [(100 + i, word[5][i:] + str(i)) for i in range(40)]
 
 
-@pytest.mark.parametrize("kw", [{}, {"buckets": 3, "bucket_most": 2000}])
+@pytest.mark.parametrize("kw", [{}, {"buckets": 3, "bucket_most": 2000}, {"buckets": 2, "sort": 500, "sort_most": 1500}])
 def test_nulls_ties_repeats_and_periods(spark, kw):
     check(spark, cases(), **kw)
 
@@ -76,7 +76,8 @@ texts = [some[k:k + (1 << 18)] for k in range(0, len(some), 1 << 18)] + [some[10
 rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.decode() for t in texts]), pa.array([0] * len(texts), pa.int32())], ["_id", "_text", "_th"])
 dealt = [b for b in S._mapper(1)(iter([rows])) if b.num_rows]
 before, parts, most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, [], 0
-for b in S._sorter(S.BUCKET_MOST, 1)(iter(dealt)):
+held = sum(b.num_rows for b in S._sorter(S.BUCKET_MOST, 1)(iter(dealt)))
+for b in S._sorter(S.SORT_MOST, 1)(iter(dealt)):
     for k, x in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
         if k == 7:
             parts.append(x)
@@ -87,7 +88,7 @@ print(len(parts), n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - befor
 
 
 def test_crowded_bucket_keeps_to_its_memory():
-    """More text in a bucket than its bound: it is split, and neither pass takes more than 600 MB."""
+    """A bucket in turns, one of more text than its bound, and the next pass take no more than 600 MB."""
     import os
     import subprocess
     import sys
