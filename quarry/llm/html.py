@@ -7,12 +7,18 @@ node's content importance is how much its texts tell of the page they are on
 (their mutual information with the pages' own texts, relative to the most it
 could be), so that what every page repeats scores 0, in an article as well as
 outside.  The entropy of its presentation, how often it stands on a page, adds
-to that.  What its elements are for (tags, roles, class and id words) and how
-much of its text is links is the weight by which both count, so both together
-override a mark.  A mark around the article or most of a page's text is none.  Branches of low importance are removed from each
-page and the rest is the page's text.  Where the pages themselves are copies
-of each other, repetition tells nothing, and what lies in an article (or main)
-element stays.
+to that, and how much of its text is links is the weight by which both count.
+Few pages tell little, so what they tell is mixed with what a node is likely
+to be: text in an article, or on a page without one, is the page's own; text
+beside an article that holds most of the page is not.  Branches of low importance
+are removed from each page and the rest is the page's text.  Where the pages
+themselves are copies of each other, repetition tells nothing of the article.
+
+What is not shown, and branches whose tags, roles, class or id words mark them
+as something other than the article (menus, headers, footers, sidebars,
+notices, adverts, forms, comments), go whatever they hold.  Only a class or id
+word, or a form, that lies around the article marks nothing; so does one
+without which the page would have no text at all.
 """
 
 from __future__ import annotations
@@ -41,8 +47,11 @@ NOT_MAIN_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisem
 comment comments reply replies respond discussion disqus cookie cookies consent gdpr notice notices notification notifications alert
 popup modal overlay newsletter subscribe subscription signup sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs
 masthead footer share sharing social related recommended recommendations pagination pager widget widgets toolbar login hidden""".split())
-#: below this a branch goes; a text seen on fewer pages of a site counts as unique
-LEAST, FEW_PAGES = 0.25, 3
+#: below this a branch goes
+LEAST = 0.25
+#: for text in an article (+), on a page without one (.) and beside one (,): its weight, what links take off it,
+#: how likely it is the page's own, and how many further pages outweigh that
+PRIORS = {"+": (1.0, 0.5, 1.0, 1), ".": (0.6, 0.8, 1.0, 1), ",": (0.6, 0.8, 0.2, 2)}
 
 
 def _parser():
@@ -80,7 +89,8 @@ def _parser():
     def parse(html: str) -> list[tuple[str, str, int, int]]:
         """(path, text, characters, characters in links) of the blocks.  The
         path begins with ! for what is not shown, - for what is marked as not
-        the article, + for what is in it, and . for the rest."""
+        the article, + for what is in it, the comma for what lies beside one
+        that holds most of the rest, and . for all else."""
         from html import unescape
         blocks: list[tuple[int, str, int, int, bool, int]] = []  # and whether in the article, and the mark it is under
         stack: list[tuple[str, int, bool, int]] = []  # tag, path, whether in the article, mark (0: none)
@@ -115,24 +125,23 @@ def _parser():
             del stack[at:]
 
         def kinds() -> list[str]:
-            """The kind of each mark.  A word or form around most of the text
-            of the page's articles marks nothing, and no mark does around most
-            of the page's text, unless an article lies beside it."""
+            """The kind of each mark: a word or form around most of the text of
+            the page's articles marks nothing, nor does one around most of a
+            page that would have no text otherwise."""
             for _, _, chars, links, main, mark in blocks:
                 marks[mark][3] += chars - links
                 marks[mark][4] += (chars - links) * main
             for above, _, _, chars, of_main in marks[:0:-1]:
                 marks[above][3] += chars
                 marks[above][4] += of_main
-            around = [own == -2 and not main and 2 * of_main > marks[0][4] for _, own, main, _, of_main in marks]
-            for beside in (False, True):
+            void = [own == -2 and not main and 2 * of_main > marks[0][4] for _, own, main, _, of_main in marks]
+            for last in (False, True):
                 out = [""]
-                for (above, own, *_), void in zip(marks[1:], around[1:]):
-                    out.append(out[above] if void or out[above] == "!" else "!" if own == -3 else "-")
-                if not beside:
-                    article = any(main and not out[mark] for *_, main, mark in blocks)
-                    around = [a or 2 * x[3] > marks[0][3] and (x[2] or not article) for a, x in zip(around, marks)]
-            return out
+                for (above, own, *_), none in zip(marks[1:], void[1:]):
+                    out.append(out[above] if none or out[above] == "!" else "!" if own == -3 else "-")
+                if last or any(not out[mark] for *_, mark in blocks):
+                    return out
+                void = [v or x[1] == -2 and not x[2] and 2 * x[3] > marks[0][3] for v, x in zip(void, marks)]
 
         at, raw = 0, None
         for m in token.finditer(html):
@@ -180,7 +189,9 @@ def _parser():
             words.append(unescape(html[at:]))
         flush()
         kind = kinds()
-        return [(f"{kind[mark] or '.+'[main]}{path:016x}", *block) for path, *block, main, mark in blocks]
+        own, beside = (sum(chars - links for _, _, chars, links, main, mark in blocks if not kind[mark] and main == side) for side in (True, False))
+        sides = {True: "+", False: "," if own > beside else "."}
+        return [(f"{kind[mark] or sides[main]}{path:016x}", *block) for path, *block, main, mark in blocks]
 
     return parse
 
@@ -199,13 +210,13 @@ def _counter():
 
         def story(blocks: list[tuple[str, str, int, int]]) -> int:
             """What the page is about: the texts in or outside articles, whichever are more."""
-            sides = [[b for b in blocks if b[0][0] == kind] for kind in "+."]
+            sides = [[b for b in blocks if b[0][0] in kind] for kind in ("+", ".,")]
             return hashed("\n".join(b[1] for b in max(sides, key=lambda side: sum(b[2] - b[3] for b in side))))
 
         for batch in batches:
             sums: dict = defaultdict(lambda: [0, 0, 0])
             for host, page in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist()):
-                blocks = parse(page)
+                blocks = [b for b in parse(page) if b[0][0] in PRIORS]
                 about = story(blocks)
                 for path, text, chars, links in blocks:
                     x = sums[host, path, hashed(text), about]
@@ -223,7 +234,7 @@ def _counter():
 
 
 def _extractor():
-    """The texts of the pages, without the branches in ``_low``."""
+    """The texts of the pages, without marked branches and those in ``_low``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = _parser()
         for batch in batches:
@@ -231,7 +242,7 @@ def _extractor():
             for page, low in zip(batch.column("_html").to_pylist(), batch.column("_low").to_pylist()):
                 blocks = parse(page)
                 low = set(low or ())
-                found.append("\n\n".join(b[1] for b in blocks if b[0] not in low))
+                found.append("\n\n".join(b[1] for b in blocks if b[0][0] in PRIORS and b[0] not in low))
             keep = [c for c in batch.schema.names if c not in ("_html", "_low")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string())], [*keep, "text"])
     return tidy(run)
@@ -256,16 +267,18 @@ def style_tree(blocks: DataFrame) -> DataFrame:
         *[total(v, F.col("c") * F.log("c")).alias(v) for v in ("both", "text", "page", "shape")])
     text, page, both = (F.log("n") - F.col(v) / F.col("n") for v in ("text", "page", "both"))
     kind = F.substring("path", 1, 1)
-    copies = (F.col("pages") <= FEW_PAGES) | (page < 1e-9)  # no pages to tell apart
-    content = (F.when((F.col("n") <= FEW_PAGES) | copies & (kind == "+"), F.lit(1.0)).when(copies, text / F.log("n"))
-               .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (text + page - both) / page))))
-    shape = F.when(F.col("pages") <= FEW_PAGES, F.lit(0.0)).otherwise((F.log("pages") - F.col("shape") / F.col("pages")) / F.log("pages"))
+
+    def prior(k: int):
+        return F.element_at(F.create_map(*[F.lit(x) for name, values in PRIORS.items() for x in (name, float(values[k]))]), kind)
+
+    copies = page < 1e-9  # no pages to tell apart
+    tells = F.when(~copies, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (text + page - both) / page))).when((kind == ",") & (F.col("n") > 1), text / F.log("n"))
+    further = F.when(tells.isNull(), 0.0).otherwise(F.col("pages") - 1.0)
+    content = (further * F.coalesce(tells, F.lit(0.0)) + prior(3) * prior(2)) / (further + prior(3))
+    shape = F.when(F.col("pages") > 1, (F.log("pages") - F.col("shape") / F.col("pages")) / F.log("pages")).otherwise(0.0)
     links = F.coalesce(F.try_divide(F.col("links"), F.col("chars")), F.lit(0.0))
-    # the links of an article are more its own
-    weight = F.when(kind == "+", 1 - 0.5 * links).otherwise(F.when(kind == ".", 0.6).when(kind == "-", 0.4).otherwise(0.0) * (1 - 0.8 * links))
-    # a mark is overridden where both vary
-    entropy = F.when(kind == "-", content * (1 + shape) / 2).otherwise(content + (1 - content) * shape / 5)
-    return nodes.select("_host", "path", (weight * entropy).alias("importance"))
+    weight = prior(0) * (1 - prior(1) * links)
+    return nodes.select("_host", "path", (weight * (content + (1 - content) * shape / 5)).alias("importance"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:

@@ -38,7 +38,7 @@ def test_markup(page, want):
     parse = html._parser()
     blocks = parse(page or "")
     main = any(p.startswith("+") for p, *_ in blocks)
-    assert [t for p, t, _, _ in blocks if p.startswith("+" if main else (".", "+"))] == want
+    assert [t for p, t, _, _ in blocks if p.startswith("+" if main else (".", ","))] == want
 
 
 def test_repeated_branches_of_a_site_go(spark):
@@ -79,11 +79,81 @@ def test_marks_around_the_article_are_none(page):
     assert [t for p, t, *_ in html._parser()(page.format("words of the article")) if p[0] in "+."] == ["T", "words of the article"]
 
 
-def test_entropy_overrides_marks(spark):
-    """A marked part whose texts and number of blocks vary stays; marked parts that do not, and hidden ones, go."""
-    pages = ["<p>" + f"front {i} " * 30 + f"</p><div class=notice>sale {i}</div><div hidden>{i}</div><div class=social-story>"
-             + "".join(f"<p>part {i} {j}</p>" for j in range(1 + i % 5)) + "</div>" for i in range(30)]
-    assert texts(spark, pages) == [[("front %d " % i * 30).strip(), *(f"part {i} {j}" for j in range(1 + i % 5))] for i in range(30)]
+STORY = "<h1>T {0}</h1><p>" + "front {0} " * 30 + "</p>"
+PARTS = {
+    "comments": lambda i: "<section class=comments>" + "".join(f"<p>comment {i} {j} of reader {i * j}</p>" for j in range(1 + i % 6)) + "</section>",
+    "long comments": lambda i: "<div id=disqus_thread class=comment-list>" + "".join(f"<p>{f'said {i} {j} ' * 40}</p>" for j in range(1 + i % 4)) + "</div>",
+    "sidebar": lambda i: "<aside class=sidebar>" + "".join(f"<p><a href=/{i}/{j}>See also {i} {j}</a> of {i + j}</p>" for j in range(1 + i % 5)) + "</aside>",
+    "nav": lambda i: f"<nav><ul>{''.join(f'<li>chapter {i} {j}' for j in range(200))}</ul></nav>",
+    "hidden": lambda i: f"<div hidden><p>{f'draft {i} ' * 90}</p></div>",
+    "not displayed": lambda i: f'<div style="color:red; display: none"><p>{f"draft {i} " * 90}</p></div>',
+    "advert": lambda i: f"<div class=ad-slot>{''.join(f'<p>buy {i} {j} now</p>' for j in range(1 + i % 3))}</div>",
+    "form": lambda i: f"<form><p>{f'write to us {i} ' * 50}</p></form>",
+    "dialog": lambda i: f"<div role=dialog><p>{f'accept {i} ' * 60}</p></div>",
+    "footer": lambda i: f"<footer><p>{f'imprint {i} ' * 60}</p></footer>"}
+
+
+@pytest.mark.parametrize("layout", ["<article>{0}</article>{1}", "<article>{0}{1}</article>", "{0}{1}", "<div class=body>{1}{0}</div>"])
+def test_marked_and_hidden_parts_go(spark, layout):
+    """Inside or beside an article, or without one, however long and varied they are."""
+    for few in (1, 2, 60):
+        made = [(name, i, layout.format(STORY.format(i), part(i))) for name, part in PARTS.items() for i in range(few)]
+        df = spark.createDataFrame([(k, f"http://{name.replace(' ', '')}.example/x", page) for k, (name, _, page) in enumerate(made)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"].split("\n\n") for r in html.main_text(df).collect()}
+        for k, (name, i, _) in enumerate(made):
+            assert got[k] == [f"T {i}", ("front %d " % i * 30).strip()], (few, name)
+
+
+def test_boilerplate_beside_articles_of_small_sites_goes(spark):
+    """On one page as on many."""
+    for few in (1, 2, 3, 5):
+        pages = [f"<div class=top>Welcome to us</div><article><p>{f'story {i} ' * 9}</p></article><div class=end>All rights ours</div>" for i in range(few)]
+        assert texts(spark, pages) == [[f"{f'story {i} ' * 9}".strip()] for i in range(few)]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div class=comments><p>only these</p></div>", ["only these"]),  # the page would have no text
+    ("<div class=comments><p>the most of it by far</p></div><p>short</p>", ["short"]),
+    ("<nav><p>only a menu</p></nav>", []), ("<div hidden><p>only a draft</p></div><nav>n</nav>", []),
+    ("<div class=sidebar-layout><div class=comments><p>theirs, longer than ours</p></div><article><p>ours</p></article></div>", ["ours"])])
+def test_when_marks_are_none(page, want):
+    assert [t for p, t, *_ in html._parser()(page) if p[0] in html.PRIORS] == want
+
+
+def entropy(values):
+    from collections import Counter
+    from math import log
+    counts = Counter(values)
+    n = sum(counts.values())
+    return sum(-c / n * log(c / n) for c in counts.values())
+
+
+def test_style_tree_against_plain_entropies(spark):
+    """Importance of every node of small hosts, from its texts and pages one by one."""
+    from collections import Counter, defaultdict
+    from math import log
+    pages = [(f"h{i % 3}", f"<div class=a>{'same' if i % 2 else i}</div>" + "".join(f"<p>t {i % 4} {j}<a>l {j}</a></p>" for j in range(i % 3)) + f"<article><p>{i % 5}</p>{'<h2>x</h2>' * (i % 2)}</article>") for i in range(36)]
+    rows = spark.createDataFrame(pages, "_host string, _html string").repartition(3)
+    counted = rows.mapInArrow(html._counter(), "_host string, path string, hash long, page long, c long, chars long, links long")
+    got = {(r["_host"], r["path"]): r["importance"] for r in html.style_tree(counted).collect()}
+    parse, seen = html._parser(), defaultdict(list)
+    for i, (host, page) in enumerate(pages):
+        blocks = parse(page)
+        side = max(("+", ".,"), key=lambda k: sum(b[2] - b[3] for b in blocks if b[0][0] in k))
+        about = "\n".join(b[1] for b in blocks if b[0][0] in side)
+        for path, text, chars, links in blocks:
+            seen[host, path].append((i, text, about, chars, links))
+    assert got.keys() == seen.keys()
+    for key, xs in seen.items():
+        weight, off, likely, strength = html.PRIORS[key[1][0]]
+        ids, texts_, abouts, chars, links = zip(*xs)
+        n, many = len(xs), len(set(ids))
+        about = entropy(abouts)
+        tells = min(1, max(0, (entropy(texts_) + about - entropy(zip(texts_, abouts))) / about)) if about > 1e-9 else entropy(texts_) / log(n) if key[1][0] == "," and n > 1 else None
+        further = 0 if tells is None else many - 1
+        content = (further * (tells or 0) + strength * likely) / (further + strength)
+        shape = entropy([Counter(ids)[i] for i in set(ids)]) / log(many) if many > 1 else 0
+        assert abs(got[key] - weight * (1 - off * sum(links) / sum(chars)) * (content + (1 - content) * shape / 5)) < 1e-9, key
 
 
 @pytest.mark.parametrize("around,one,other", [
