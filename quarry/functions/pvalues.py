@@ -4,19 +4,26 @@ The statistics themselves are Spark aggregates; these formulas turn the one
 result row into a p-value.  SciPy is not available, so the regularized
 incomplete beta and gamma functions are evaluated here with the classical
 continued-fraction / series expansions (Abramowitz & Stegun 6.5, 26.5).
-They run inside an Arrow-batched pandas UDF on the (tiny) result rows.
+They run inside an Arrow-batched pandas UDF on the (tiny) result rows.  This
+module is sent to the workers by value, so they need no copy of the package.
 """
 
 from __future__ import annotations
 
 import math
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# before the UDFs below are made: what they call goes with them
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EPS = 1e-15
 _TINY = 1e-300
 _MAX_ITER = 500

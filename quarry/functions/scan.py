@@ -45,3 +45,27 @@ def running_sum(df: DataFrame, group_cols, order_cols, value_cols, prefix: str =
                            for v in value_cols})
     drop = ["_q_r", "_q_b"] + [f"_q_l_{v}" for v in value_cols] + [f"_q_c_{v}" for v in value_cols]
     return out.drop(*drop)
+
+
+def running_array_sum(df: DataFrame, group_cols, order_cols, value: str, out_col: str, block_rows: int = 1 << 14) -> DataFrame:
+    """Add ``out_col``: the elementwise sum of the array column ``value`` over the
+    group's rows up to and including this one, ties in some order.
+
+    All elements are summed at once over blocks of consecutive ranks, as in
+    ``running_sum``: the array is spread over as many columns as it has elements
+    (the same in every row), so each sum is an ordinary window sum.
+    """
+    group_cols = list(group_cols)
+    width = df.agg(F.max(F.size(value))).first()[0] or 0
+    names = [f"_q_v{i}" for i in range(width)]
+    ranked = global_rank(df, group_cols + list(order_cols), "_q_r").withColumn("_q_b", F.floor((F.col("_q_r") - 1) / F.lit(block_rows)))
+    inside = (Window.partitionBy("_q_b", *group_cols).orderBy("_q_r").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranked.withColumns({name: F.sum(F.col(value)[i]).over(inside) for i, name in enumerate(names)})
+    totals = ranked.groupBy(*group_cols, "_q_b").agg(*[F.sum(F.col(value)[i]).alias(name) for i, name in enumerate(names)], F.count(F.lit(1)).alias("_q_n"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*group_cols, "_q_b", F.count(F.lit(1)).over(earlier).alias("_q_before"),
+                          F.array(*[F.sum(name).over(earlier) for name in names]).cast("array<double>").alias("_q_c"))
+    carry = bounded_broadcast(carry.filter(F.col("_q_before") > 0).drop("_q_before"))
+    out = join_on_keys(local, carry, group_cols + ["_q_b"], "left")
+    sums = F.array(*[F.col(name) + F.coalesce(F.col("_q_c")[i], F.lit(0.0)) for i, name in enumerate(names)]).cast("array<double>")
+    return out.withColumn(out_col, sums).drop("_q_r", "_q_b", "_q_c", *names)

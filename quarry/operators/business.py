@@ -240,14 +240,15 @@ def user_sequence(events: DataFrame, user: str, order_cols, kind: str, positions
     all events does not become one giant row.  Ranks come from one global
     sort on (user, order); the next event of rank r is rank r + 1 when it
     belongs to the same user, found inside blocks of consecutive ranks - no
-    per-user window.  ``transitions`` is (from_kind, to_kind, n).
+    per-user window.  A NULL user is a user like any other.  ``transitions`` is (from_kind, to_kind, n).
     """
     ranked = global_rank(events.select(user, *order_cols, kind), [user] + list(order_cols), "_q_r")
     pos_df = trans_df = None
     if positions:
-        starts = bounded_broadcast(ranked.groupBy(user).agg(F.min("_q_r").alias("_q_r0")))  # one row per user
-        pos_df = ranked.join(starts, user).withColumn(
-            "pos", F.col("_q_r") - F.col("_q_r0") + 1).drop("_q_r0", "_q_r")
+        # one row per user; rows without a user are one user's
+        starts = bounded_broadcast(ranked.groupBy(F.col(user).alias("_q_u0")).agg(F.min("_q_r").alias("_q_r0")))
+        pos_df = ranked.join(starts, F.col(user).eqNullSafe(F.col("_q_u0"))).withColumn(
+            "pos", F.col("_q_r") - F.col("_q_r0") + 1).drop("_q_r0", "_q_r", "_q_u0")
     if transitions:
         # the next event inside blocks of consecutive ranks; a block's last row gets the next block's first
         narrow = ranked.select(F.col(user).alias("_q_u"), F.col(kind).alias("from_kind"), "_q_r",
@@ -257,7 +258,7 @@ def user_sequence(events: DataFrame, user: str, order_cols, kind: str, positions
             (F.col("_q_b") - 1).alias("_q_b"), F.struct("_q_u", F.col("from_kind").alias("k")).alias("_q_head"))
         inside = narrow.withColumn("_q_in", F.lead(F.struct("_q_u", F.col("from_kind").alias("k"))).over(after))
         both = inside.join(bounded_broadcast(heads), "_q_b", "left").withColumn("_q_next", F.coalesce("_q_in", "_q_head"))
-        trans_df = both.filter(F.col("_q_next._q_u") == F.col("_q_u")).groupBy("from_kind", F.col("_q_next.k").alias("to_kind")).agg(
+        trans_df = both.filter(F.col("_q_next").isNotNull() & F.col("_q_next._q_u").eqNullSafe(F.col("_q_u"))).groupBy("from_kind", F.col("_q_next.k").alias("to_kind")).agg(
             F.count(F.lit(1)).alias("n"))
     return pos_df, trans_df
 

@@ -10,14 +10,14 @@ import math
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.expr import materialize_small
 from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.pvalues import chi2_p_value, t_p_value
 from quarry.functions.rank import global_rank
-from quarry.functions.scan import running_sum
+from quarry.functions.scan import running_array_sum
 
 def bayes_posterior(df: DataFrame, a: str, b: str) -> DataFrame:
     """H1: prior P(a), likelihood P(b|a), evidence P(b), posterior P(a|b)
@@ -53,28 +53,38 @@ def bayes_update(evidence: DataFrame, entity: str, order_cols, observation: str,
     hypothesis that has met evidence of likelihood 0 (or has prior 0) stays
     at 0; if all have, the posterior is NULL.  An observation that
     ``likelihoods`` does not know at all changes nothing; one that it knows
-    for other hypotheses only has likelihood 0.  Hypotheses are rows, so
-    there may be any number, and the running sums are skew-safe
-    (``functions.scan``).  Returns (id_cols..., entity, hypothesis,
-    posterior), one row per evidence row and hypothesis.
+    for other hypotheses only has likelihood 0.  Rows alike in all columns are
+    pieces of evidence of their own, one after the other.
+
+    The hypotheses' log likelihoods are one array a row, and the running sums
+    add arrays up (``functions.scan.running_array_sum``, skew-safe), so the rows are sorted once and
+    hypotheses only become rows at the end.  Returns (id_cols..., entity,
+    hypothesis, posterior), one row per evidence row and hypothesis.
     """
     known = likelihoods.filter(F.col("likelihood").isNotNull()).groupBy(observation).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(hypothesis), F.col("likelihood")))).alias("_q_l"))
-    all_h = priors.agg(F.sort_array(F.collect_list(F.struct(F.col(hypothesis).alias("h"), F.col("prior").alias("p"))))).scalar()
-    row = F.struct(*[F.col(c) for c in dict.fromkeys([*id_cols, entity, *order_cols])])
-    rows = evidence.select(row.alias("_q_row"), F.col(observation)).join(known, observation, "left").select("_q_row", "_q_l", F.explode(all_h).alias("_q_h"))
-    given = F.when(F.col("_q_l").isNull(), F.lit(1.0)).otherwise(F.coalesce(F.element_at("_q_l", F.col("_q_h.h")).cast("double"), F.lit(0.0)))
-    steps = rows.select("_q_row", F.col("_q_h.h").alias("_q_hyp"), F.col("_q_h.p").alias("_q_p"), given.alias("_q_g")).select(
-        "*", F.when(F.col("_q_g") > 0, F.log("_q_g")).otherwise(F.lit(0.0)).alias("_q_lp"), F.when(F.col("_q_g") > 0, 0.0).otherwise(1.0).alias("_q_z"),
-        F.col(f"_q_row.{entity}").alias("_q_e"), *[F.col(f"_q_row.{c}").alias(f"_q_o{i}") for i, c in enumerate(order_cols)])
-    cum = running_sum(steps, ["_q_e", "_q_hyp"], [f"_q_o{i}" for i in range(len(order_cols))], ["_q_lp", "_q_z"], prefix="_q_cum")
-    alive = (F.col("_q_cum_q_z") == 0) & (F.col("_q_p") > 0)
-    cum = cum.withColumn("_q_lpost", F.when(alive, F.log("_q_p") + F.col("_q_cum_q_lp")))
-    same = Window.partitionBy("_q_row")  # the hypotheses of one evidence row
-    cum = cum.withColumn("_q_w", F.coalesce(F.exp(F.col("_q_lpost") - F.max("_q_lpost").over(same)), F.lit(0.0)))
-    posterior = F.try_divide(F.col("_q_w"), F.sum("_q_w").over(same))
-    return cum.select(*[F.col(f"_q_row.{c}").alias(c) for c in id_cols], F.col("_q_row").getField(entity).alias(entity),
-                      F.col("_q_hyp").alias(hypothesis), posterior.alias("posterior"))
+    # one row per hypothesis: the array of all of them
+    all_h = priors.agg(F.sort_array(F.collect_list(F.struct(F.col(hypothesis).alias("h"), F.col("prior").cast("double").alias("p"))))).scalar()
+    carried = list(dict.fromkeys([*id_cols, entity]))
+    rows = evidence.select(F.struct(*carried).alias("_q_row"), F.col(entity).alias("_q_e"), F.struct(*order_cols, observation).alias("_q_o"), F.col(observation))
+    rows = rows.join(known, observation, "left").select("_q_row", "_q_e", "_q_o", "_q_l", all_h.alias("_q_h"))
+    given = F.transform("_q_h", lambda h: F.when(F.col("_q_l").isNull(), F.lit(1.0)).otherwise(
+        F.coalesce(F.element_at("_q_l", h["h"]).cast("double"), F.lit(0.0))))
+    steps = rows.select("_q_row", "_q_e", "_q_o", "_q_h", given.alias("_q_g"))
+    # ln of what is possible, then how many pieces of evidence were impossible
+    logs = F.concat(F.transform("_q_g", lambda g: F.when(g > 0, F.log(g)).otherwise(F.lit(0.0))),
+                    F.transform("_q_g", lambda g: F.when(g > 0, F.lit(0.0)).otherwise(F.lit(1.0))))
+    cum = running_array_sum(steps.select("_q_row", "_q_e", "_q_o", "_q_h", logs.alias("_q_v")), ["_q_e"], ["_q_o", "_q_row"], "_q_v", "_q_cum")
+    n = F.size("_q_h")
+    logpost = F.transform(F.arrays_zip(F.col("_q_h").alias("h"), F.slice("_q_cum", 1, n).alias("s"), F.slice("_q_cum", n + 1, n).alias("z")), lambda x: F.when(
+        (x["z"] == 0) & (x["h"]["p"] > 0), F.log(x["h"]["p"]) + x["s"]))
+    top = F.array_max("_q_lp")
+    weights = F.transform("_q_lp", lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
+    cum = cum.withColumn("_q_lp", logpost).withColumn("_q_w", weights)
+    cum = cum.withColumn("_q_sum", F.aggregate("_q_w", F.lit(0.0), lambda x, y: x + y))
+    each = cum.select("_q_row", "_q_sum", F.explode(F.arrays_zip(F.col("_q_h.h").alias("h"), F.col("_q_w").alias("w"))).alias("_q_x"))
+    return each.select(*[F.col(f"_q_row.{c}").alias(c) for c in id_cols], F.col("_q_row").getField(entity).alias(entity),
+                       F.col("_q_x.h").alias(hypothesis), F.try_divide("_q_x.w", "_q_sum").alias("posterior"))
 
 
 def total_probability(df: DataFrame, part: str, event: Column) -> DataFrame:

@@ -7,15 +7,16 @@ table and never mutate the input.  A table kept on storage is a folder::
     <table>/data/<uuid>/     the rows of one commit, written by Spark
     <table>/_versions/<n>    one small file per commit: the live data folders
 
-A commit writes its rows into a fresh folder and then creates the next
-version file, which only one writer can do.  Readers use the latest version,
-so they see all of a commit or none of it.  Appends never rewrite earlier
+A commit writes its rows into a fresh folder, claims the next version, which
+only one writer can do, and renames a finished file to its number.  Readers use the latest version,
+so they see all of a commit or none of it, also if a writer dies on the way.  Appends never rewrite earlier
 rows.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,10 @@ from quarry.operators import quality as Q
 # ------------------------------------------------------------------ storage helpers
 
 
+#: how long a claim to a version holds without its version file
+CLAIM_SECONDS = 60.0
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed first, or is about to."""
 
@@ -56,22 +61,44 @@ def _snapshot(spark: SparkSession, table: str) -> tuple[int, dict]:
     named writer the last batch it applied."""
     fs, p = _fs(spark, f"{table}/_versions")
     names = sorted((s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().isdigit()), reverse=True) if fs.exists(p) else []
-    if not names:
-        return 0, {"data": [], "applied": {}}
-    try:
-        return int(names[0]), json.loads(_read_text(spark, f"{table}/_versions/{names[0]}"))
-    except ValueError:
-        raise CommitConflict(f"version {names[0]} of {table} is being written") from None
+    for name in names:  # a file that cannot be read is what a dead writer left: the version before holds
+        try:
+            return int(names[0]), json.loads(_read_text(spark, f"{table}/_versions/{name}"))
+        except ValueError:
+            continue
+    return int(names[0]) if names else 0, {"data": [], "applied": {}}
 
 
 def _commit(spark: SparkSession, table: str, version: int, state: dict) -> None:
-    """Create version ``version``; only one writer can."""
+    """Create version ``version``, whole or not at all; only one writer can.
+
+    The state is written under a name that no reader looks at, and gets its
+    number by a rename that never replaces a file, so a writer may die at any
+    point.  A store whose rename would replace files is refused by the check
+    before it unless two writers come in the same moment.
+    """
     fs, p = _fs(spark, f"{table}/_versions/{version:012d}")
-    if not fs.createNewFile(p):
-        raise CommitConflict(f"version {version} of {table} exists")
-    stream = fs.create(p, True)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/_versions/draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
     stream.write(bytearray(json.dumps(state).encode()))
     stream.close()
+    if fs.exists(p) or not _claimed(spark, table, version) or not fs.rename(draft, p):
+        fs.delete(draft, False)
+        raise CommitConflict(f"version {version} of {table} exists")
+
+
+def _claimed(spark: SparkSession, table: str, version: int) -> bool:
+    """Take the right to write a version: a file that only one can create.  A
+    claim whose writer died is taken over after ``CLAIM_SECONDS``, by deleting
+    it and claiming again."""
+    fs, claim = _fs(spark, f"{table}/_versions/claim-{version:012d}")
+    if fs.createNewFile(claim):
+        return True
+    age = time.time() - fs.getFileStatus(claim).getModificationTime() / 1000
+    if age < CLAIM_SECONDS:
+        return False
+    fs.delete(claim, False)
+    return bool(fs.createNewFile(claim))
 
 
 def create_table(spark: SparkSession, path: str, schema: StructType, drop_existing: bool = True,
