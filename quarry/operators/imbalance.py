@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quarry.functions.expr import materialize_small, stable_hash
 from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.rank import global_rank, rank_within
+from quarry.operators.neighbours import nearest_neighbours
 from quarry.operators.stats import exact_quantile
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
 
@@ -108,62 +109,24 @@ def oversample_copies(df: DataFrame, y: str, minority, copies: int, copy_col: st
 # ------------------------------------------------------------------ G6 SMOTE
 
 
-def near_neighbours(df: DataFrame, key: str, features: str, k: int, seed: int = 7,
-                    projections: int = 16, window: int | None = None) -> DataFrame:
-    """Near neighbours of every row without comparing all pairs.
-
-    The rows are placed along ``projections`` random directions and ordered
-    by (projection, position) in one global range sort; the candidates of a
-    row are the ``window`` rows on either side of it in each projection,
-    found by an equi-join on rank +/- j.
-    Exact distances are computed for the candidates and the ``k`` closest
-    kept.  Work is linear in the rows; no group is ever all-pairs.  With the
-    defaults (16 projections, window 2k) 88-100% of the true 5 nearest
-    neighbours were found on the embeddings fixtures (measured against brute
-    force; see the tests).
-    Returns (key, nb_key, nb_features, dist2, nb_rank).
-    """
-    window = window or 2 * k
-    dim = len(df.select(features).first()[0])
-    rng = np.random.default_rng(seed)
-    base = df.select(F.col(key).alias("_q_k"), F.col(features).cast("array<double>").alias("_q_x"))
-    # every row once per projection: (projection, position along it)
-    dirs = F.array(*[F.struct(F.lit(p).alias("p"), lit_array(rng.standard_normal(dim)).alias("d"))
-                     for p in range(projections)])
-    proj = base.select("_q_k", "_q_x", F.explode(dirs).alias("_q_dir")).select(
-        "_q_k", F.col("_q_dir.p").alias("_q_pj"), dot(F.col("_q_x"), F.col("_q_dir.d")).alias("_q_p"))
-    # one global sort orders all projections; neighbours in one projection
-    # have consecutive ranks
-    ranked = global_rank(proj, ["_q_pj", "_q_p", "_q_k"], "_q_r").select("_q_k", "_q_pj", "_q_r")
-    offsets = F.array(*[F.lit(j) for j in range(-window, window + 1) if j != 0])
-    probe = ranked.select("_q_k", "_q_pj", "_q_r", F.explode(offsets).alias("_q_o")).select(
-        "_q_k", "_q_pj", (F.col("_q_r") + F.col("_q_o")).alias("_q_r"))
-    other = ranked.select(F.col("_q_k").alias("_q_nk"), F.col("_q_pj").alias("_q_npj"), "_q_r")
-    cands = probe.join(other, "_q_r").filter(F.col("_q_pj") == F.col("_q_npj")).select("_q_k", "_q_nk")
-    cands = cands.distinct()
-    left = base
-    right = base.select(F.col("_q_k").alias("_q_nk"), F.col("_q_x").alias("_q_nx"))
-    scored = cands.join(left, "_q_k").join(right, "_q_nk").withColumn(
-        "dist2", sq_dist(F.col("_q_x"), F.col("_q_nx")))
-    # each row has at most 2 * window * projections candidates: a bounded group
-    w = Window.partitionBy("_q_k").orderBy("dist2", "_q_nk")
-    best = scored.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
-    return best.select(F.col("_q_k").alias(key), F.col("_q_nk").alias("nb_key"),
-                       F.col("_q_nx").alias("nb_features"), "dist2", "nb_rank")
+def near_neighbours(df: DataFrame, key: str, features: str, k: int) -> DataFrame:
+    """The ``k`` nearest other rows of every row, exactly; (key, nb_key,
+    nb_features, dist2, nb_rank), see ``neighbours.nearest_neighbours``."""
+    return nearest_neighbours(df, key, features, k)
 
 
 def smote(df: DataFrame, key: str, features: str, y: str, minority, k: int, per_row: int,
-          seed: int = 11, projections: int = 16) -> DataFrame:
-    """Synthetic minority rows between a row and one of its near neighbours.
+          seed: int = 11) -> DataFrame:
+    """Synthetic minority rows between a row and one of its nearest neighbours.
 
     For minority row x, copy c in 1..per_row: neighbour nb = one of its k
-    near neighbours (chosen by hash of (seed, key, c)); attribute j becomes
+    nearest neighbours (chosen by hash of (seed, key, c)); attribute j becomes
     x_j + u_j (nb_j - x_j) with u_j in [0, 1) from a hash of
     (seed, key, c, j) - each attribute moved on its own.  Returns
     (key, copy, features, y) for the new rows only.
     """
     mino = df.filter(F.col(y) == F.lit(minority)).select(key, F.col(features).cast("array<double>").alias(features))
-    nbs = near_neighbours(mino, key, features, k, seed=seed, projections=projections)
+    nbs = near_neighbours(mino, key, features, k)
     # a row without a neighbour (a minority of one) is its own: its copies are the row itself
     alone = mino.join(nbs.select(key), key, "left_anti").select(key, F.col(key).alias("nb_key"), F.col(features).alias("nb_features"),
                                                                 F.lit(0.0).alias("dist2"), F.lit(1).alias("nb_rank"))

@@ -70,6 +70,19 @@ def q_oversample_copies(spark, sf):
     return G.oversample_copies(load(spark, sf, "labels"), "toxic", 1, 3)
 
 
+@register("nearest_neighbours", "R", section="G6", sql=f"""
+WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = {MINORITY}),
+     d AS (SELECT x.vec_id, y.vec_id AS nb_key, list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist2
+           FROM m x JOIN m y ON x.vec_id <> y.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist2, nb_key) AS nb_rank FROM d)
+SELECT vec_id, nb_key, round(dist2, 8) AS dist2, nb_rank::INT AS nb_rank FROM r WHERE nb_rank <= 5
+""")
+def q_nearest_neighbours(spark, sf):
+    """The minority's exact neighbours, between which smote makes its rows."""
+    minority = _emb(spark, sf).filter(F.col("is_minority") == 1)
+    return G.near_neighbours(minority, "vec_id", "embedding", 5).select("vec_id", "nb_key", F.round("dist2", 8).alias("dist2"), "nb_rank")
+
+
 @register("smote", "P", section="G6")
 def q_smote(spark, sf):
     return G.smote(_emb(spark, sf), "vec_id", "embedding", "is_minority", 1, k=5, per_row=2)

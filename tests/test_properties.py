@@ -270,7 +270,7 @@ def test_near_neighbours_against_brute_force(spark):
         assert r.nb_key != r.vec_id
     assert all(len(v) == 5 for v in got.values()) and set(got) == set(truth)
     recall = np.mean([len(truth[k] & got[k]) / 5 for k in truth])
-    assert recall >= 0.8, recall
+    assert recall == 1.0, recall
     # distances reported are exact
     pos = {v: i for i, v in enumerate(ids)}
     for r in rows[:50]:
