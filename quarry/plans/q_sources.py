@@ -148,7 +148,7 @@ FROM {_NULLED_PART_SQL}
 """)
 def q_update_where(spark, sf):
     path = _stored_part(spark, sf)
-    done = C.change_table(spark, path, lambda t: C.update_where(t, F.col("p_brand") == "Brand#13", {"p_size": F.col("p_size") + 1}))
+    done = C.update_stored(spark, path, F.col("p_brand") == "Brand#13", {"p_size": F.col("p_size") + 1})
     if not done.filter("committed").count():
         raise RuntimeError("update refused")
     return C.read_table(spark, path)
@@ -159,7 +159,7 @@ SELECT * FROM {_NULLED_PART_SQL} WHERE NOT coalesce(p_size > CAST('20' AS INTEGE
 """)
 def q_delete_where(spark, sf):
     path = _stored_part(spark, sf)
-    done = C.change_table(spark, path, lambda t: C.delete_where(t, F.col("p_size") > F.lit("20").cast("int")))
+    done = C.delete_stored(spark, path, F.col("p_size") > F.lit("20").cast("int"))
     if not done.filter("committed").count():
         raise RuntimeError("delete refused")
     return C.read_table(spark, path)

@@ -21,7 +21,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from quarry.operators import quality as Q
 
@@ -287,6 +287,76 @@ def _apply(spark: SparkSession, path: str, make, key, lengths, replace: bool, wr
     raise CommitConflict(path)
 
 
+def _holding(spark: SparkSession, path: str, table: DataFrame, hit: Column, folders: list[str]) -> list[str]:
+    """The data folders that hold a row for which ``hit`` is true: one scan of
+    the predicate's columns, one row a folder."""
+    if not folders:
+        return []
+    folder = F.regexp_extract(F.input_file_name(), "/data/([0-9a-f]+)/", 1)
+    found = {r[0] for r in table.filter(hit).select(folder.alias("_q_folder")).distinct().collect()}
+    return [f for f in folders if f in found]
+
+
+def _change_where(spark: SparkSession, path: str, pred: Column, assignments: dict | None, retries: int = 5) -> DataFrame:
+    rules = table_rules(spark, path)
+    schema = StructType.fromJson(rules["schema"])
+    hit = F.coalesce(pred, F.lit(False))
+    touched = set(assignments or ())
+    if unknown := touched - set(schema.names):
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    key = rules["key"] if touched & set(rules["key"]) else None
+    lengths = {c: v for c, v in rules["lengths"].items() if c in touched}
+    loose = StructType([f if f.name in touched else StructField(f.name, f.dataType) for f in schema.fields])  # what is not assigned is not checked again
+    for attempt in range(retries):
+        version, state = _snapshot(spark, path)
+        table = _rows_of(spark, path, schema, state)
+        folders = _holding(spark, path, table, hit, state["data"])
+        if not folders:
+            return spark.createDataFrame([("none", 0, True)], VERDICT)
+        old = _rows_of(spark, path, schema, {"data": folders})
+        verdict, ok, new = [{"rule": "none", "violations": 0}], True, None
+        if assignments is None:
+            new = delete_where(old, pred)
+        else:
+            new = update_where(old, pred, assignments)
+            foreign = [(c, read_table(spark, p), pc) for c, p, pc in rules["foreign"] if touched & set(c)]
+            changed = update_where(old.filter(hit), F.lit(True), assignments)
+            verdict = batch_checks(table.filter(~hit), changed, loose, key, lengths, foreign).collect()  # a row for each rule
+            ok = all(r["violations"] == 0 for r in verdict)
+        if ok:
+            folder = uuid.uuid4().hex
+            _conform(new, schema).write.parquet(f"{path}/data/{folder}")
+            stay = [f for f in state["data"] if f not in folders]
+            try:
+                _commit(spark, path, version + 1, {"data": [*stay, folder], "applied": state["applied"]})
+            except CommitConflict:
+                fs, p = _fs(spark, f"{path}/data/{folder}")
+                fs.delete(p, True)
+                if attempt + 1 == retries:
+                    raise
+                continue
+        return spark.createDataFrame([(r["rule"], int(r["violations"]), ok) for r in verdict], VERDICT)
+    raise CommitConflict(path)
+
+
+def update_stored(spark: SparkSession, table_path: str, pred: Column, assignments: dict) -> DataFrame:
+    """A10 on a stored table, as its next version; returns the verdict.
+
+    Copy-on-write by data folder: only folders that hold a row with a true
+    ``pred`` are written anew, all others stay as they are, and without such a
+    row there is no new version.  Only the changed rows are checked, against
+    the rules of the assigned columns; the key is compared with the rest of the
+    table only if a key column is assigned.  A broken rule changes nothing.
+    """
+    return _change_where(spark, table_path, pred, assignments)
+
+
+def delete_stored(spark: SparkSession, table_path: str, pred: Column) -> DataFrame:
+    """A11 on a stored table, by data folder as ``update_stored``: what stays
+    breaks no rule that it kept before, so nothing is checked."""
+    return _change_where(spark, table_path, pred, None)
+
+
 def atomic_batch(spark: SparkSession, table_path: str, batch: DataFrame, key=None, lengths: dict | None = None,
                  writer: str | None = None, batch_number: int | None = None) -> DataFrame:
     """All-or-nothing append.

@@ -108,3 +108,35 @@ def test_p_values_on_workers_without_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(root=ROOT)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "fine" in done.stdout, done.stderr[-2000:]
+
+
+def test_changes_rewrite_the_folders_they_hit(spark, tmp_path):
+    """One changed row, one folder anew; NULL predicates hit nothing; a broken rule changes nothing."""
+    path = f"file:{tmp_path}/t"
+    C.create_table(spark, path, SCHEMA, key=["k"], lengths={"v": "char(3)"})
+    for lot in range(4):
+        batch = spark.createDataFrame([(lot * 10 + i, "ab" if i else None) for i in range(5)], SCHEMA)
+        assert C.atomic_batch(spark, path, batch).first()["committed"]
+
+    def folders():
+        return C._snapshot(spark, path)[1]["data"]
+
+    def rows():
+        return {r["k"]: r["v"] for r in C.read_table(spark, path).collect()}
+    before, was = folders(), rows()
+    done = C.update_stored(spark, path, F.col("k") == 21, {"v": F.lit("new")}).collect()
+    assert all(r["committed"] for r in done) and not {r["rule"] for r in done} & {"primary_key", "not_null"}
+    assert len(set(before) & set(folders())) == 3 and len(folders()) == 4 and rows() == {**was, 21: "new"}
+    version = C._snapshot(spark, path)[0]
+    assert C.update_stored(spark, path, F.col("k") == 99, {"v": F.lit("x")}).first()["committed"]
+    assert C.update_stored(spark, path, F.col("v") == F.lit(None).cast("string"), {"v": F.lit("x")}).first()["committed"]
+    for bad in ({"v": F.lit("long")}, {"k": F.lit(1)}, {"k": F.lit(None).cast("long")}):
+        assert not C.update_stored(spark, path, F.col("k") == 21, bad).first()["committed"]
+    assert C._snapshot(spark, path)[0] == version and rows() == {**was, 21: "new"}
+    # keys may move where others make room
+    assert C.update_stored(spark, path, F.col("k") < 10, {"k": F.col("k") + 1000}).first()["committed"]
+    assert C.delete_stored(spark, path, F.col("v") == "new").first()["committed"]
+    want = {(k + 1000 if k < 10 else k): v for k, v in was.items() if k != 21}
+    assert rows() == want and len(set(before) & set(folders())) == 2
+    with pytest.raises(ValueError):
+        C.update_stored(spark, path, F.col("k") == 1, {"nope": F.lit(1)})
