@@ -8,9 +8,12 @@ Model fitting uses Spark ML estimators (distributed per iteration).
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +29,8 @@ from quarry.operators.neighbours import nearest_neighbours
 from quarry.operators.stats import exact_quantile
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
 
+# what tasks call goes with them: workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def class_balance(df: DataFrame, y: str) -> DataFrame:
@@ -160,15 +165,88 @@ def _allocate(sizes: DataFrame, total: int, n: int) -> DataFrame:
     return ranked.select("_q_b", (F.col("_q_floor") + extra).cast("int").alias("_q_k"))
 
 
+#: rows of a cell that one task clusters at most, and steps of Lloyd's method at most
+CELL_ROWS, LLOYD_STEPS = 1 << 16, 50
+
+
+def _spread_start(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """k rows of x, each next one by its squared distance from those before."""
+    first = int(rng.integers(len(x)))
+    chosen, near = [first], ((x - x[first]) ** 2).sum(1)
+    for _ in range(k - 1):
+        total = near.sum()
+        if total > 0:
+            at = min(int(np.searchsorted(np.cumsum(near), rng.random() * total, "right")), len(x) - 1)
+        else:  # fewer distinct rows than centres
+            at = len(chosen)
+        chosen.append(at)
+        near = np.minimum(near, ((x - x[at]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _two_nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest centre, distance from it, distance from the second)."""
+    out = np.empty(len(x), np.int64), np.empty(len(x)), np.full(len(x), np.inf)
+    square = (centres * centres).sum(1)
+    for i in range(0, len(x), 4096):
+        part = x[i:i + 4096]
+        d = np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ centres.T, 0)
+        at = d.argmin(1)
+        rows = np.arange(len(part))
+        out[0][i:i + 4096], out[1][i:i + 4096] = at, np.sqrt(d[rows, at])
+        if len(centres) > 1:
+            d[rows, at] = np.inf
+            out[2][i:i + 4096] = np.sqrt(d.min(1))
+    return out
+
+
+def _lloyd(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means centres of x.  Hamerly's bounds leave out rows whose centre
+    cannot have changed; a centre without rows stays where it is."""
+    centres = _spread_start(x, k, np.random.default_rng(seed))
+    if k >= len(x):
+        return centres
+    at, near, far = _two_nearest(x, centres)
+    for _ in range(LLOYD_STEPS):
+        count = np.bincount(at, minlength=k)
+        order = np.argsort(at, kind="stable")
+        some = np.flatnonzero(count)
+        moved = centres.copy()
+        moved[some] = np.add.reduceat(x[order], np.cumsum(count[some]) - count[some]) / count[some, None]
+        step = np.sqrt(((moved - centres) ** 2).sum(1))
+        centres = moved
+        if step.max() <= 1e-9 * (1 + np.abs(centres).max()):
+            break
+        near, far = near + step[at], far - step.max()
+        check = np.flatnonzero(near > far)
+        near[check] = np.sqrt(((x[check] - centres[at[check]]) ** 2).sum(1))
+        check = check[near[check] > far[check]]
+        at[check], near[check], far[check] = _two_nearest(x[check], centres)
+    return centres
+
+
+def _cell_centres(seed: int):
+    """The centres of one cell: (y, features), ``_q_k`` of them."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_q_r").combine_chunks()
+        x = rows.column("_q_x").combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        k = int(rows.column("_q_k")[0].as_py())
+        centres = _lloyd(x, k, seed)
+        return pa.table({"y": rows.column("_q_y").take(pa.array([0] * k)), "features": pa.array(list(centres), pa.list_(pa.float64()))})
+    return run
+
+
 def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: int = 5) -> DataFrame:
     """Replace the majority rows by N cluster centres, N = minority size,
     and keep every minority row.
 
-    The same at every size.  Spark ML KMeans parts the majority in about
-    sqrt(N) clusters; a (class, cluster) group gets its share of the N
-    centres, is ordered along a direction of its own (from its cluster's
-    centre to the next one) and cut into as many equal slices; a centre is
-    the mean of a slice, so it has one class and at least one row.  All
+    Two levels of k-means, the same at every size.  Spark ML KMeans parts the
+    majority in about sqrt(N) clusters; a (class, cluster) cell of more than
+    ``CELL_ROWS`` rows is ordered along a direction of its own (from its cluster's centre to the
+    next one) and cut into equal slices.  Each cell gets its share of the N
+    centres, which a task finds by Lloyd's method with Hamerly's bounds from a
+    spread start, so neither N nor a hot cluster is ever in one place.  All
     classes other than the smallest share the N centres by their rows; a
     NULL class is a class.  Returns (key, features, y, kind) with kind
     'centre' or 'original'; a centre's key is NULL.
@@ -190,14 +268,17 @@ def cluster_undersample(df: DataFrame, key: str, features: str, y: str, seed: in
         along = dot(F.col(features), F.element_at(F.array(*[lit_array(w) for w in ways]), F.col("_q_c") + 1))
     else:
         placed, along = majority.withColumn("_q_c", F.lit(0)), F.element_at(features, 1)
-    placed = placed.withColumn("_q_b", F.struct(F.col(y).alias("y"), F.col("_q_c").alias("c"))).withColumn("_q_a", along)
-    alloc = materialize_small(placed.groupBy("_q_b").agg(F.count(F.lit(1)).alias("_q_n")))
-    shares = materialize_small(alloc.join(_allocate(alloc, int(n_min), n_maj), "_q_b").filter(F.col("_q_k") > 0))
-    ranked = rank_within(placed.join(bounded_broadcast(shares), "_q_b"), ["_q_b"], ["_q_a", F.col(key)], "_q_r")
-    sliced = ranked.withColumn("_q_s", F.floor((F.col("_q_r") - 1) * F.col("_q_k") / F.col("_q_n")))
-    means = sliced.groupBy("_q_b", "_q_s").agg(Summarizer.mean(as_vector(features)).alias("_q_m"))
-    centres = means.select(F.lit(None).cast(dict(df.dtypes)[key]).alias(key), vector_to_array("_q_m").alias(features),
-                           F.col("_q_b.y").alias(y), F.lit("centre").alias("kind"))
+    placed = placed.withColumn("_q_cell", F.struct(F.col(y).alias("y"), F.col("_q_c").alias("c"))).withColumn("_q_a", along)
+    whole = materialize_small(placed.groupBy("_q_cell").agg(F.count(F.lit(1)).alias("_q_m")))
+    ranked = rank_within(placed.join(bounded_broadcast(whole), "_q_cell"), ["_q_cell"], ["_q_a", F.col(key)], "_q_r")
+    slices = F.ceil(F.col("_q_m") / CELL_ROWS)
+    cut = ranked.select(F.struct("_q_cell.y", "_q_cell.c", F.floor((F.col("_q_r") - 1) * slices / F.col("_q_m")).alias("s")).alias("_q_b"),
+                        "_q_r", F.col(features).alias("_q_x"), F.col(y).alias("_q_y"))
+    alloc = materialize_small(cut.groupBy("_q_b").agg(F.count(F.lit(1)).alias("_q_n")))
+    shares = materialize_small(_allocate(alloc, int(n_min), n_maj).filter(F.col("_q_k") > 0))
+    kind = df.schema[y].dataType.simpleString()
+    found = cut.join(bounded_broadcast(shares), "_q_b").groupBy("_q_b").applyInArrow(_cell_centres(seed), f"y {kind}, features array<double>")
+    centres = found.select(F.lit(None).cast(dict(df.dtypes)[key]).alias(key), F.col("features").alias(features), F.col("y").alias(y), F.lit("centre").alias("kind"))
     return minority.unionByName(centres)
 
 
