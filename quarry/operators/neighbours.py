@@ -205,6 +205,8 @@ def nearest_neighbours(df: DataFrame, key: str, features: str, k: int, pivots: i
         found = _written(own.unionByName(sent).repartition("bid").sortWithinPartitions("bid", "apart").mapInArrow(_searcher(k), out), "neighbours")
     else:
         found = spark.createDataFrame([], out)
-    one, two = rows.select("id", F.col("key").alias(key)), rows.select(F.col("id").alias("nb"), F.col("key").alias("nb_key"), F.col("x").alias("nb_features"))
-    return found.join(one, "id").join(two, "nb").select(key, "nb_key", "nb_features", "dist2", "nb_rank")
+    one = rows.select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key"))
+    two = rows.select(F.col("id").alias("_q_nb"), F.col("key").alias("nb_key"), F.col("x").alias("nb_features"))
+    pairs = found.withColumnsRenamed({"id": "_q_id", "nb": "_q_nb"}).join(one, "_q_id").join(two, "_q_nb")
+    return pairs.select(F.col("_q_key").alias(key), "nb_key", "nb_features", "dist2", "nb_rank")
 

@@ -36,6 +36,9 @@ def test_against_all_pairs(spark, pivots, block):
 def test_few_rows(spark):
     assert found(spark, [], 3) == [] and found(spark, [(1, [1.0])], 3) == []
     assert found(spark, [(1, [1.0]), (2, [4.0])], 3) == [(1, 2, 9.0, 1), (2, 1, 9.0, 1)]
+    for key in ("id", "nb", "x", "key", "cell"):  # names that the operator uses itself
+        df = spark.createDataFrame([("a", [1.0]), ("b", [4.0])], f"{key} string, v array<double>")
+        assert sorted(r[0] + r[1] for r in N.nearest_neighbours(df, key, "v", 1).collect()) == ["ab", "ba"]
 
 
 def test_far_blocks_are_not_sent(spark, monkeypatch):
