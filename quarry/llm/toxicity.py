@@ -3,9 +3,10 @@
 The categories are predicted one after the other by linear models; the
 probability of each earlier category is a feature of all later ones.  While
 training, these probabilities are out of fold: they come from models that
-have not seen the document.  The features are a document's words and word
-beginnings, as far as they tell a category's documents from the others in
-the training sample.  The models are fitted on at most ``max_train`` labelled
+were not fitted on the document.  The features are a document's words (of up to
+24 letters) and word beginnings, as far as they tell a category's documents
+from the others in the training sample; which ones do is found with the labels
+of the whole sample, for all folds alike.  The models are fitted on at most ``max_train`` labelled
 documents; every document is scored, on its whole text.
 """
 
