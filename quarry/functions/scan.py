@@ -47,18 +47,22 @@ def running_sum(df: DataFrame, group_cols, order_cols, value_cols, prefix: str =
     return out.drop(*drop)
 
 
-def running_array_sum(df: DataFrame, group_cols, order_cols, value: str, out_col: str, block_rows: int = 1 << 14) -> DataFrame:
+def running_array_sum(df: DataFrame, group_cols, order_cols, value: str, out_col: str, block_rows: int = 1 << 14, wide: int = 64) -> DataFrame:
     """Add ``out_col``: the elementwise sum of the array column ``value`` over the
     group's rows up to and including this one, ties in some order.
 
     All elements are summed at once over blocks of consecutive ranks, as in
     ``running_sum``: the array is spread over as many columns as it has elements
-    (the same in every row), so each sum is an ordinary window sum.
+    (the same in every row), so each sum is an ordinary window sum.  Arrays of
+    more than ``wide`` elements are spread over rows instead, since a plan of so
+    many columns is slow to make.
     """
     group_cols = list(group_cols)
     width = df.agg(F.max(F.size(value))).first()[0] or 0
     names = [f"_q_v{i}" for i in range(width)]
     ranked = global_rank(df, group_cols + list(order_cols), "_q_r").withColumn("_q_b", F.floor((F.col("_q_r") - 1) / F.lit(block_rows)))
+    if width > wide:
+        return _running_by_element(ranked, group_cols, value, out_col)
     inside = (Window.partitionBy("_q_b", *group_cols).orderBy("_q_r").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranked.withColumns({name: F.sum(F.col(value)[i]).over(inside) for i, name in enumerate(names)})
     totals = ranked.groupBy(*group_cols, "_q_b").agg(*[F.sum(F.col(value)[i]).alias(name) for i, name in enumerate(names)], F.count(F.lit(1)).alias("_q_n"))
@@ -69,3 +73,17 @@ def running_array_sum(df: DataFrame, group_cols, order_cols, value: str, out_col
     out = join_on_keys(local, carry, group_cols + ["_q_b"], "left")
     sums = F.array(*[F.col(name) + F.coalesce(F.col("_q_c")[i], F.lit(0.0)) for i, name in enumerate(names)]).cast("array<double>")
     return out.withColumn(out_col, sums).drop("_q_r", "_q_b", "_q_c", *names)
+
+
+def _running_by_element(ranked: DataFrame, group_cols: list, value: str, out_col: str) -> DataFrame:
+    """The sums of ``running_array_sum`` with a row for each element."""
+    each = ranked.select(*group_cols, "_q_r", "_q_b", F.posexplode(value).alias("_q_i", "_q_x"))
+    inside = Window.partitionBy("_q_b", *group_cols, "_q_i").orderBy("_q_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*group_cols, "_q_i").orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = each.groupBy(*group_cols, "_q_b", "_q_i").agg(F.sum("_q_x").alias("_q_t"))
+    carry = totals.withColumn("_q_c", F.sum("_q_t").over(earlier)).filter(F.col("_q_c").isNotNull()).drop("_q_t")
+    local = each.withColumn("_q_l", F.sum("_q_x").over(inside)).drop("_q_x")
+    out = join_on_keys(local, bounded_broadcast(carry), [*group_cols, "_q_b", "_q_i"], "left")
+    pair = F.struct("_q_i", (F.col("_q_l") + F.coalesce("_q_c", F.lit(0.0))).alias("s"))
+    sums = out.groupBy("_q_r").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["s"]).alias(out_col))
+    return ranked.join(sums, "_q_r").drop("_q_r", "_q_b")

@@ -28,11 +28,12 @@ def test_bayes_update_counts_repeated_evidence(spark):
                           ("None", "a", 0.8), ("None", "b", 0.2), ("3", "a", 1.0), ("3", "b", 0.0), ("3", "a", 1.0), ("3", "b", 0.0)])
 
 
-def test_bayes_update_across_blocks(spark):
-    """A long entity's sums carry from block to block."""
+@pytest.mark.parametrize("wide", [64, 1])
+def test_bayes_update_across_blocks(spark, wide):
+    """A long entity's sums carry from block to block, by columns and by rows."""
     from quarry.functions.scan import running_array_sum
     df = spark.range(1000).select((F.col("id") % 3 == 0).alias("g"), "id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
-    got = {r["id"]: list(r["s"]) for r in running_array_sum(df, ["g"], ["id"], "v", "s", block_rows=64).collect()}
+    got = {r["id"]: list(r["s"]) for r in running_array_sum(df, ["g"], ["id"], "v", "s", block_rows=64, wide=wide).collect()}
     for i in (0, 3, 63, 64, 500, 999):
         mine = [j for j in range(i + 1) if (j % 3 == 0) == (i % 3 == 0)]
         assert got[i] == [len(mine), sum(mine)]
