@@ -8,13 +8,15 @@ one.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from quarry.functions.expr import materialize_small
 from quarry.functions.rank import global_rank
 
 
@@ -117,34 +119,136 @@ def auto_increment(batch: DataFrame, start, order_cols, id_col: str = "id") -> D
     return ranked.withColumn(id_col, (start_col + F.col("_q_r")).cast("long")).drop("_q_r")
 
 
+#: registers, or kept values, of a sketch: 2 to this power; its relative error
+#: (1.04 / sqrt(registers)), and how many errors rule a group out
+SKETCH_LOG_VALUES, SKETCH_ERROR, SKETCH_MARGIN = 12, 0.017, 6
+#: sketches in one pass, and groups counted in one job
+PASS_GROUPS, JOB_GROUPS = 128, 16
+#: a group is first searched for repeats in one of this many classes of a column's values
+SLICES = 64
+
+
+def _in_parts(things: list, n: int):
+    return (things[i:i + n] for i in range(0, len(things), n))
+
+
+def _union(parts: list) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _any_null(group) -> Column:
+    return functools.reduce(lambda x, y: x | y, [F.col(c).isNull() for c in group])
+
+
+def _sketched(group) -> Column:
+    """About how many combinations without NULL there are (one small binary
+    buffer a group)."""
+    hashed = F.when(~_any_null(group), F.xxhash64(*group))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(SKETCH_LOG_VALUES)))
+
+
+def _column_facts(df: DataFrame, cols) -> tuple[int, dict, dict]:
+    """Row count, and per column its NULLs and a sketched number of values: one
+    pass, one row."""
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)],
+                 *[_sketched((c,)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return (row["n"], {c: row["n"] - row[f"c{i}"] for i, c in enumerate(cols)},
+            {c: row[f"d{i}"] for i, c in enumerate(cols)})
+
+
+def _distinct_of(df: DataFrame, group) -> DataFrame:
+    """One row (distinct_rows): the exact number of distinct combinations, of
+    one column without NULL.  Reads the group's columns only; tasks drop their
+    own repeats before the shuffle."""
+    part = df.select(*[F.col(c).alias(f"_q_g{i}") for i, c in enumerate(group)])
+    if len(group) == 1:
+        part = part.filter(F.col("_q_g0").isNotNull())
+    return part.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
+
+
+def _repeats_in_slice(df: DataFrame, groups: list, values: dict) -> DataFrame:
+    """The numbers (g) of the groups with a combination that repeats in their
+    slice: the rows whose value of the group's most varied column has its
+    hash in one of ``SLICES`` classes.  All rows of a combination are in
+    its slice or none, so a repeat there is a repeat; only the slices' rows
+    are hashed by group and shuffled, as 128-bit hashes."""
+    by_column: dict[str, list] = {}
+    for i, g in enumerate(groups):
+        by_column.setdefault(max(g, key=lambda c: values[c]), []).append(
+            F.struct(F.lit(i).alias("g"), F.xxhash64(*g).alias("h"), F.xxhash64(F.lit("second"), *g).alias("h2")))
+    parts = [df.filter(F.pmod(F.xxhash64(c), F.lit(SLICES)) == 0).select(
+        F.explode(F.array(*marks)).alias("m")).select("m.*") for c, marks in by_column.items()]
+    return _union(parts).groupBy("g", "h", "h2").count().filter("count > 1").select("g").distinct()
+
+
 def candidate_key_profile(df: DataFrame, max_width: int = 2, cols=None) -> DataFrame:
     """K7: which columns, or column groups up to ``max_width``, identify a row.
 
-    One aggregate computes the row count and, per group, the distinct
-    combinations and the rows holding a NULL.  Returns
-    (columns, rows, distinct_rows, null_rows, is_key).
+    Exact figures for every group, level by level: a group that holds a key
+    of the level before has as many distinct combinations as rows and is not
+    counted; every other one is counted from its own columns, so no row is
+    multiplied by the number of groups.  NULL rows come from one pass, and
+    for columns without NULL from none.  Returns (columns, rows,
+    distinct_rows, null_rows, is_key); an empty table's groups are all keys.
+    ``minimal_keys`` answers only which groups are keys, for far less.
     """
+    spark = df.sparkSession
     cols = list(cols or df.columns)
+    n, nulls, _ = _column_facts(df, cols)
     groups = [g for w in range(1, max_width + 1) for g in itertools.combinations(cols, w)]
-    aggs = [F.count(F.lit(1)).alias("_q_rows")]
-    for i, g in enumerate(groups):
-        key = F.col(g[0]) if len(g) == 1 else F.struct(*[F.col(c) for c in g])
-        any_null = None
-        for c in g:
-            any_null = F.col(c).isNull() if any_null is None else (any_null | F.col(c).isNull())
-        aggs.append(F.count_distinct(key).alias(f"_q_d{i}"))
-        aggs.append(F.sum(any_null.cast("long")).alias(f"_q_n{i}"))
-    wide = df.agg(*aggs)
-    parts = [F.struct(F.lit(",".join(g)).alias("columns"),
-                      F.col(f"_q_d{i}").alias("distinct_rows"),
-                      F.coalesce(F.col(f"_q_n{i}"), F.lit(0)).alias("null_rows"))
-             for i, g in enumerate(groups)]
-    long = wide.select(F.col("_q_rows").alias("rows"), F.explode(F.array(*parts)).alias("p"))
-    return long.select(
-        F.col("p.columns").alias("columns"), "rows",
-        F.col("p.distinct_rows").cast("long").alias("distinct_rows"),
-        F.col("p.null_rows").cast("long").alias("null_rows"),
-        ((F.col("p.distinct_rows") == F.col("rows")) & (F.col("p.null_rows") == 0)).alias("is_key"))
+    mixed = [g for g in groups if sum(nulls[c] > 0 for c in g) > 1]
+    null_rows = {g: max(nulls[c] for c in g) for g in groups}
+    for part in _in_parts(mixed, PASS_GROUPS):
+        row = df.agg(*[F.count(F.when(_any_null(g), 1)).alias(f"n{i}") for i, g in enumerate(part)]).first()
+        null_rows.update({g: row[f"n{i}"] for i, g in enumerate(part)})
+    distinct: dict[tuple, int] = {}
+    for w in range(1, max_width + 1):
+        level = list(itertools.combinations(cols, w))
+        whole = {g for g, d in distinct.items() if d == n}
+        distinct.update({g: n for g in level if n == 0 or any(s in whole for s in itertools.combinations(g, w - 1))})
+        open_ = [g for g in level if g not in distinct]
+        for part in _in_parts(open_, JOB_GROUPS):
+            counted = _union([_distinct_of(df, g).withColumn("g", F.lit(i)) for i, g in enumerate(part)])
+            distinct.update({part[r["g"]]: r["distinct_rows"] for r in counted.collect()})  # one row a group
+    out = [(",".join(g), n, distinct[g], null_rows[g], distinct[g] == n and not null_rows[g]) for g in groups]
+    return spark.createDataFrame(out, "columns string, rows long, distinct_rows long, null_rows long, is_key boolean")
+
+
+def minimal_keys(df: DataFrame, max_width: int = 3, cols=None) -> DataFrame:
+    """K7: the smallest column groups, of up to ``max_width`` columns, that
+    identify a row.  Returns (columns, width), a row for each.
+
+    A lattice search.  A column with a NULL is in no key.  Going up a width
+    at a time, a group is left out when it holds a key (not minimal), when
+    its columns' numbers of values multiply to less than the row count, when
+    a combination repeats in a slice of about a 64th of the rows, or when a
+    sketch of its combinations stays six standard errors below the row
+    count.  Only what is left is counted exactly, from its own columns.  A
+    group is a key only by its exact count.
+    """
+    spark = df.sparkSession
+    cols = list(cols or df.columns)
+    n, nulls, values = _column_facts(df, cols)
+    reach = n * (1 - SKETCH_MARGIN * SKETCH_ERROR)
+    keys: list[tuple] = []
+    usable = [c for c in cols if not nulls[c]]
+    for w in range(1, max_width + 1):
+        level = [g for g in itertools.combinations(usable, w) if not any(set(k) <= set(g) for k in keys)]
+        level = [g for g in level
+                 if math.prod(max(values[c], 1) for c in g) * (1 + SKETCH_MARGIN * SKETCH_ERROR) ** w >= n]
+        seen = set()
+        for part in _in_parts(level, PASS_GROUPS):
+            seen |= {part[r["g"]] for r in _repeats_in_slice(df, part, values).collect()}  # at most one row a group
+        level = [g for g in level if g not in seen]
+        for part in _in_parts(level, PASS_GROUPS):
+            row = df.agg(*[_sketched(g).alias(f"d{i}") for i, g in enumerate(part)]).first()
+            seen |= {g for i, g in enumerate(part) if row[f"d{i}"] < reach}
+        level = [g for g in level if g not in seen]
+        for part in _in_parts(level, JOB_GROUPS):
+            counted = _union([_distinct_of(df, g).withColumn("g", F.lit(i)) for i, g in enumerate(part)])
+            keys += [part[r["g"]] for r in counted.collect() if r["distinct_rows"] == n]  # one row a group
+    return spark.createDataFrame([(",".join(k), len(k)) for k in keys], "columns string, width int")
 
 
 def candidate_fk_profile(df: DataFrame, cols, parent: DataFrame, pk: str) -> DataFrame:
@@ -171,3 +275,69 @@ def candidate_fk_profile(df: DataFrame, cols, parent: DataFrame, pk: str) -> Dat
         "ratio", F.round(F.col("found") / F.col("distinct_values"), 6))
 
 
+def _value_class(kind) -> str | None:
+    """Columns are compared within one of these classes."""
+    name = kind.typeName()
+    if name in ("byte", "short", "integer", "long"):
+        return "bigint"
+    return name if name in ("string", "date", "timestamp", "timestamp_ntz") else None
+
+
+def inclusion_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """K8 over all column pairs of all ``tables``: where may a foreign key be?
+
+    Returns (child_table, child_column, parent_table, parent_column,
+    distinct_values): every non-empty whole-number, text, date or timestamp
+    column, all of whose values (NULL aside) are in another column of the same
+    class that is a key of its table (no NULL, no repeat).
+
+    One pass a table keeps, of each column, the values with the smallest
+    hashes.  If a column's values all lie in another, no kept hash below
+    both sketches' bounds is missing there, so a pair whose sketches differ
+    is ruled out without error.  Only the pairs left are joined, on
+    distinct values.  The driver holds names and numbers of columns, no
+    values; sketches (at most 32 KB a column) go through a join of columns.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    facts, sketches = [], []
+    for name, df in tables.items():
+        kinds = {f.name: _value_class(f.dataType) for f in df.schema.fields}
+        cols = [c for c, k in kinds.items() if k]
+        if not cols:
+            continue
+        hashed = [F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast(kinds[c]))) for c in cols]
+        wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)],
+                      *[F.theta_sketch_agg(h, F.lit(SKETCH_LOG_VALUES)).alias(f"s{i}") for i, h in enumerate(hashed)])
+        sketches.append(wide.select(F.col("n"), F.explode(F.array(*[
+            F.struct(F.lit(name).alias("t"), F.lit(c).alias("c"), F.lit(kinds[c]).alias("k"), F.col(f"c{i}").alias("filled"),
+                     F.col(f"s{i}").alias("s")) for i, c in enumerate(cols)])).alias("x")).select("n", "x.*"))
+    schema = "child_table string, child_column string, parent_table string, parent_column string, distinct_values long"
+    if not sketches:
+        return spark.createDataFrame([], schema)
+    every = materialize_small(_union(sketches))  # a row for each column
+    child, parent = every.filter("filled > 0").alias("a"), every.filter("filled = n").alias("b")
+    apart = F.theta_sketch_estimate(F.theta_difference(F.col("a.s"), F.col("b.s")))
+    size = F.theta_sketch_estimate(F.col("b.s"))
+    # a key has as many values as rows, give or take the sketch's error
+    near_key = size >= F.col("b.n") * (1 - SKETCH_MARGIN / 2 ** (SKETCH_LOG_VALUES / 2))
+    same = (F.col("a.k") == F.col("b.k")) & ((F.col("a.t") != F.col("b.t")) | (F.col("a.c") != F.col("b.c")))
+    pairs = child.join(parent, same & (apart == 0) & near_key).select("a.t", "a.c", "b.t", "b.c", "a.k").collect()
+    values = {}
+    for t, c, k in {(p[0], p[1], p[4]) for p in pairs} | {(p[2], p[3], p[4]) for p in pairs}:
+        values[t, c] = tables[t].select(F.col(c).cast(k).alias("_q_v")).filter(F.col("_q_v").isNotNull())
+    repeats = {}
+    for part in _in_parts(sorted({(p[2], p[3]) for p in pairs}), JOB_GROUPS):
+        counted = _union([values[x].groupBy("_q_v").count().agg(F.max("count").alias("most")).withColumn("g", F.lit(i))
+                          for i, x in enumerate(part)])
+        repeats.update({part[r["g"]]: r["most"] for r in counted.collect()})
+    found = []
+    for part in _in_parts([p for p in pairs if repeats[p[2], p[3]] == 1], JOB_GROUPS):
+        checks = []
+        for t, c, pt, pc, _ in part:
+            hit = values[t, c].distinct().join(values[pt, pc].select(F.col("_q_v").alias("_q_p")), F.col("_q_v") == F.col("_q_p"), "left")
+            checks.append(hit.agg(F.count(F.lit(1)).alias("distinct_values"), F.count("_q_p").alias("_q_found")).filter(
+                F.col("distinct_values") == F.col("_q_found")).select(
+                F.lit(t).alias("child_table"), F.lit(c).alias("child_column"), F.lit(pt).alias("parent_table"),
+                F.lit(pc).alias("parent_column"), "distinct_values"))
+        found.append(materialize_small(_union(checks)))
+    return _union(found) if found else spark.createDataFrame([], schema)

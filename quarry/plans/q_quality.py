@@ -128,3 +128,56 @@ GROUP BY column_name
 def q_candidate_fk_profile(spark, sf):
     return Q.candidate_fk_profile(load(spark, sf, "events"), ["user_id", "event_id"],
                                   load(spark, sf, "customer"), "c_custkey")
+
+
+_LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _minimal_keys_sql(width: int):
+    groups = [g for w in range(1, width + 1) for g in itertools.combinations(_LINE_COLS, w)]
+    counts = "\nUNION ALL\n".join(
+        f"SELECT {list(g)!r} AS cols, count(*) = (SELECT count(*) FROM lineitem) AS whole FROM (SELECT DISTINCT {', '.join(g)} FROM lineitem WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in g) + ")" for g in groups)
+    return f"""WITH k AS ({counts}), w AS (SELECT cols FROM k WHERE whole)
+SELECT array_to_string(cols, ',') AS columns, CAST(len(cols) AS INTEGER) AS width FROM w
+WHERE NOT EXISTS (SELECT 1 FROM w s WHERE len(s.cols) < len(w.cols) AND list_has_all(w.cols, s.cols))"""
+
+
+@register("minimal_keys", "O", section="K7", sql=_minimal_keys_sql(2))
+def q_minimal_keys(spark, sf):
+    return Q.minimal_keys(load(spark, sf, "lineitem"), 2, _LINE_COLS)
+
+
+_STAR = {
+    "region": {"r_regionkey": "i", "r_name": "s"},
+    "nation": {"n_nationkey": "i", "n_name": "s", "n_regionkey": "i"},
+    "customer": {"c_custkey": "i", "c_name": "s", "c_nationkey": "i", "c_mktsegment": "s"},
+    "supplier": {"s_suppkey": "i", "s_name": "s", "s_nationkey": "i"},
+    "part": {"p_partkey": "i", "p_name": "s", "p_brand": "s", "p_type": "s", "p_size": "i"},
+    "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_orderdate": "t", "o_orderpriority": "s"},
+    "lineitem": {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_returnflag": "s",
+                 "l_linestatus": "s", "l_shipdate": "t"},
+    "events": {"event_id": "i", "ts": "t", "user_id": "i", "event_type": "s", "props": "s"},
+}
+
+
+def _inclusion_sql():
+    # every column with its class (whole number, text, timestamp); doubles take no part
+    parts = "\nUNION ALL\n".join(f"SELECT '{t}' AS t, '{c}' AS c, '{k}' AS k, CAST({c} AS VARCHAR) AS v FROM {t}"
+                                  for t, cols in _STAR.items() for c, k in cols.items())
+    return f"""WITH a AS ({parts}),
+u AS (SELECT t, c, k, v, count(*) AS n FROM a GROUP BY ALL),
+d AS (SELECT t, c, k, v FROM u WHERE v IS NOT NULL),
+s AS (SELECT t, c, count(*) AS distinct_values FROM d GROUP BY ALL),
+p AS (SELECT t, c FROM u GROUP BY ALL HAVING max(n) = 1 AND count(*) = count(v)),
+m AS (SELECT d.t, d.c, q.t AS pt, q.c AS pc, count(*) AS hits
+      FROM d JOIN (SELECT d.* FROM d SEMI JOIN p ON d.t = p.t AND d.c = p.c) q ON d.k = q.k AND d.v = q.v
+      WHERE d.t <> q.t OR d.c <> q.c GROUP BY ALL)
+SELECT m.t AS child_table, m.c AS child_column, m.pt AS parent_table, m.pc AS parent_column, s.distinct_values
+FROM m JOIN s ON m.t = s.t AND m.c = s.c WHERE m.hits = s.distinct_values"""
+
+
+@register("inclusion_profile", "O", section="K8", sql=_inclusion_sql())
+def q_inclusion_profile(spark, sf):
+    return Q.inclusion_profile({t: load(spark, sf, t) for t in _STAR})
