@@ -2,12 +2,12 @@
 
 The categories are predicted one after the other by linear models; the
 probability of each earlier category is a feature of all later ones.  While
-training, these probabilities are out of fold: they come from models that
-were not fitted on the document.  The features are a document's words (of up to
-24 letters) and word beginnings, as far as they tell a category's documents
-from the others in the training sample; which ones do is found with the labels
-of the whole sample, for all folds alike.  The models are fitted on at most ``max_train`` labelled
-documents; every document is scored, on its whole text.
+training, these probabilities are out of fold: they come from models whose
+terms and weights were found without the document and its labels.  The
+features are a document's words and word beginnings, as far as they tell a
+category's documents from the others in the rows that the model is fitted
+on.  The models are fitted on at most ``max_train`` labelled documents; every
+document is scored, on its whole text.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ BEGINNINGS = (4, 6)
 def _terms(text: str) -> set[str]:
     import re
     words = set(re.findall(r"\w+", text.lower()))
-    terms = {"=" + w for w in words if len(w) <= 24}
+    terms = {"=" + w for w in words}
     for n in BEGINNINGS:
         terms.update(w[:n] for w in words)
     return terms
@@ -100,6 +100,21 @@ def _constant(rate: float, earlier: int) -> dict:
     return {"terms": [], "weights": np.zeros(earlier), "intercept": float(np.log(rate / (1 - rate)))}
 
 
+def _fit(rows: DataFrame, i: int, max_terms: int):
+    """The terms of category ``i``, its model, and the function that gives rows
+    their vectors ``x``: everything from ``rows``, which hold both values."""
+    n, positive = rows.agg(F.count(F.lit(1)), F.sum(f"y{i}")).first()
+    terms = _telling_terms(rows, f"y{i}", max_terms) or ["="]
+    bag = CountVectorizerModel.from_vocabulary(terms, "terms", "_bag").setBinary(True)
+    assembler = VectorAssembler(inputCols=["_bag", *[f"p{j}" for j in range(i)]], outputCol="x")
+
+    def as_vectors(of: DataFrame) -> DataFrame:
+        return assembler.transform(bag.transform(of))
+    balance = F.when(F.col(f"y{i}") == 1, F.lit(float(n - positive) / positive) ** 0.5).otherwise(F.lit(1.0))
+    regression = LogisticRegression(featuresCol="x", labelCol=f"y{i}", weightCol="w", regParam=0.002, maxIter=25)
+    return terms, regression.fit(as_vectors(rows).withColumn("w", balance)), as_vectors
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text",
               max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS, folds: int = FOLDS) -> list[dict]:
     """One model for each category, in order: terms, their weights and those
@@ -125,23 +140,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
             models.append(_constant(positive / n if n else 0.0, i))
             train = train.withColumn(f"p{i}", F.lit(positive / n if n else 0.0))
             continue
-        terms = _telling_terms(train, f"y{i}", max_terms)
-        vectors = CountVectorizerModel.from_vocabulary(terms or ["="], "terms", "_bag").setBinary(True).transform(train)
-        columns = ["_bag", *[f"p{j}" for j in range(i)]]
-        balance = F.when(F.col(f"y{i}") == 1, F.lit(float(n - positive) / positive) ** 0.5).otherwise(F.lit(1.0))
-        data = VectorAssembler(inputCols=columns, outputCol="x").transform(vectors).withColumn("w", balance)
-        regression = LogisticRegression(featuresCol="x", labelCol=f"y{i}", weightCol="w", regParam=0.002, maxIter=25)
-        model = regression.fit(data)
-        models.append({"terms": terms or ["="], "weights": np.array(model.coefficients.toArray()), "intercept": float(model.intercept)})
+        terms, model, _ = _fit(train, i, max_terms)
+        models.append({"terms": terms, "weights": np.array(model.coefficients.toArray()), "intercept": float(model.intercept)})
         if i + 1 == len(categories):
             break
         parts = []
         for f in range(folds):
-            seen, unseen = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
+            seen, unseen = train.filter(F.col("fold") != f), train.filter(F.col("fold") == f)
             if seen.agg(F.countDistinct(f"y{i}")).first()[0] < 2:
                 part = unseen.withColumn(f"p{i}", F.lit(positive / n))
             else:
-                part = regression.fit(seen).transform(unseen).withColumn(f"p{i}", vector_to_array("probability")[1])
+                _, fitted, as_vectors = _fit(seen, i, max_terms)
+                part = fitted.transform(as_vectors(unseen)).withColumn(f"p{i}", vector_to_array("probability")[1])
             parts.append(part.select(*train.columns, f"p{i}"))
         train = written(reduce(DataFrame.unionByName, parts), "toxicity-folds")
     return models

@@ -96,3 +96,19 @@ def test_stages_keep_columns_of_any_name(spark, corpus):
         assert out.columns == docs.columns and out.count()
         bad = [F.col(n) != F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names]
         assert not out.filter(F.greatest(*[b.cast("int") for b in bad]) == 1).count()
+
+
+def test_fold_models_find_their_own_terms(spark):
+    """Terms and weights come from the rows given: a word that only the held-out
+    fold's toxic documents use is unknown to that fold's model."""
+    from quarry.llm import toxicity as T
+    rows = [(f, float(k % 2), sorted(T._terms(f"calm word{k} " + (f"insult secret{f} " if k % 2 else "thanks ")))) for f in range(3) for k in range(8)]
+    train = spark.createDataFrame(rows, "fold int, y0 double, terms array<string>")
+    terms, model, as_vectors = T._fit(train.filter("fold <> 0"), 0, 100)
+    assert {"=secret1", "=secret2", "=insult"} <= set(terms) and "=secret0" not in terms
+    assert model.transform(as_vectors(train.filter("fold = 0"))).filter("prediction <> y0").count() == 0
+
+
+def test_words_of_any_length_are_terms():
+    from quarry.llm.toxicity import _terms
+    assert "=" + "x" * 300 in _terms("a " + "x" * 300)
