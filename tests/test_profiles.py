@@ -59,8 +59,7 @@ def test_inclusions(spark):
     child = spark.range(30000).selectExpr("if(id % 5 = 0, NULL, cast(id AS int)) AS inside", "id + 20001 AS one_out",
                                           "cast(NULL AS int) AS none", "cast(id * 2 % 100 AS string) AS text", "'' AS blank", "id / 1.0 AS real")
     got = {tuple(r) for r in Q.inclusion_profile({"p": parent, "c": child}).collect()}
-    assert got == {("c", "inside", "p", "k", 24000), ("c", "text", "p", "name", 50), ("p", "grp", "p", "k", 10),
-                   ("p", "grp", "c", "one_out", 10)} - {("p", "grp", "c", "one_out", 10)}
+    assert got == {("c", "inside", "p", "k", 24000), ("c", "text", "p", "name", 50), ("p", "grp", "p", "k", 10)}
     exact = child.selectExpr("one_out - 2 AS v")
     assert [tuple(r) for r in Q.inclusion_profile({"p": parent.select("k"), "c": exact}).collect()] == [("c", "v", "p", "k", 30000)]
     assert Q.inclusion_profile({"r": child.select("real")}).count() == 0
