@@ -1,9 +1,12 @@
 """Order MinHash fingerprints."""
 
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from quarry.llm import fingerprints
 
@@ -51,6 +54,46 @@ def test_equal_texts_and_likeness(spark):
     assert 0.1 < got[9]["near_edited"] <= 1.0
 
 
+def plain_signatures(t):
+    """{slot: 24 bits}, by the method in plain Python."""
+    def h(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed
+    words = [w.encode() for w in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", t)]
+    pairs = list(zip(words, words[1:])) if len(words) > 1 else [(w,) for w in words]
+    times, slots = Counter(), {}
+    for place, pair in enumerate(pairs):
+        kmer = h(*pair) % 2 ** 33
+        numbered = h(kmer.to_bytes(8, "little"), times[kmer].to_bytes(4, "little")) % 2 ** 33
+        times[kmer] += 1
+        slots.setdefault(numbered >> 27, []).append((numbered, place))
+    least = {slot: sorted(sorted(found)[:2], key=lambda x: x[1]) for slot, found in slots.items()}
+    return {slot: h(*(n.to_bytes(8, "little") for n, _ in found)) % 2 ** 24 for slot, found in sorted(least.items())}
+
+
+def test_signatures_and_likeness_against_plain_python(spark):
+    rng = np.random.default_rng(7)
+    texts = [text(rng, int(rng.integers(1, 400))) for _ in range(60)]
+    texts += ["", None, "one", "one  two", "a " * 500, "x\ty\nz w   v", "\U0001f600" * 40 + " é", "w" * 33, *texts[:5]]
+    texts += [" ".join(texts[3].split()[5:] + texts[4].split()[:9]), texts[5] + " more"]
+    got = {r["doc_id"]: r for r in run(spark, list(enumerate(texts)))}
+    plain = [plain_signatures(t or "") for t in texts]
+
+    def shown(signatures):
+        return "".join(f"{slot << 24 | s:08x}" for slot, s in signatures.items())
+
+    def alike(a, b):
+        return sum(a.get(s) == b.get(s) for s in a) / len(a.keys() | b.keys()) if a or b else 1.0
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[i - 1] or ""
+        edited = plain_signatures(t[:len(t) - len(t) // 3] + after[:len(t) // 3])
+        assert got[i]["fingerprint"] == shown(plain[i]) and got[i]["edited_fingerprint"] == shown(edited)
+        assert got[i]["near_edited"] == pytest.approx(alike(plain[i], edited))
+        assert got[i]["near_next"] == pytest.approx(alike(plain[i], plain[i - 1]))
+
+
 def test_occurrences_count(spark):
     got = {r["doc_id"]: r for r in run(spark, [(2, "a b " * 50), (1, "a b " * 5)])}
     assert got[2]["fingerprint"] != got[1]["fingerprint"]
