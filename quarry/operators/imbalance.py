@@ -2,7 +2,8 @@
 
 Sampling is deterministic: rows are ordered by a hash of (seed, key), so the
 same seed keeps the same rows on any cluster, and DuckDB reproduces it.
-Model fitting uses Spark ML estimators (distributed per iteration).
+Model fitting uses Spark ML estimators (distributed per iteration); the
+logistic members of the ensembles are fitted by Newton's method.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -26,6 +27,7 @@ from quarry.functions.expr import materialize_small, stable_hash
 from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.rank import global_rank, rank_within
 from quarry.operators.neighbours import nearest_neighbours
+from quarry.operators.newton import LogisticModel, fit_logistic
 from quarry.operators.stats import exact_quantile
 from quarry.functions.vectors import as_vector, dot, lit_array, sq_dist, unit_from_hash
 
@@ -341,28 +343,18 @@ def penalised_lda(df: DataFrame, features: str, y: str, positive, costs=None) ->
 # ------------------------------------------------------------------ G10-G12 ensembles
 
 
-def _fit_lr(data: DataFrame, label: str = "_q_y", weight: str | None = None, reg: float = 0.01):
-    lr = LogisticRegression(featuresCol="_q_v", labelCol=label, regParam=reg, maxIter=50)
-    if weight:
-        lr.setWeightCol(weight)
-    return lr.fit(data)
-
-
-def _predict(model, data: DataFrame, name: str) -> DataFrame:
-    model.setPredictionCol(name)
-    if hasattr(model, "setProbabilityCol"):
-        model.setProbabilityCol(f"{name}_prob")
-    if hasattr(model, "setRawPredictionCol"):
-        model.setRawPredictionCol(f"{name}_raw")
-    out = model.transform(data)
-    return out.drop(*[c for c in (f"{name}_prob", f"{name}_raw") if c in out.columns])
+def _member(data: DataFrame, features: str) -> LogisticModel:
+    """A logistic member: Newton's method on ``_q_y``."""
+    return fit_logistic(data, features, "_q_y", reg=0.01)
 
 
 def divide_conquer_ensemble(df: DataFrame, features: str, y: str, positive, n_models: int = 3,
-                            seed: int = 3, value: str | None = None) -> DataFrame:
+                            seed: int = 3, value: str | None = None, split: Column | None = None) -> DataFrame:
     """Split the majority into L clusters; model l sees cluster l plus
     every minority row; the final call is the majority vote (sum > L/2; a
-    tie is 0).  Returns df + (votes, prediction).
+    tie is 0).  ``split`` numbers the majority's rows 0 to L - 1 in place of
+    the clusters; a row with another number, or NULL, is in no member's
+    sample.  Returns df + (votes, prediction).
 
     With ``value`` the task is regression: model l is a linear regression of
     that column and the prediction is the mean of the models'; ``votes`` is
@@ -370,18 +362,20 @@ def divide_conquer_ensemble(df: DataFrame, features: str, y: str, positive, n_mo
     data = df.withColumn("_q_y", (F.col(y) == F.lit(positive)).cast("double")).withColumn(
         "_q_v", as_vector(features))
     majority = data.filter(F.col("_q_y") == 0)
-    km = KMeans(k=n_models, seed=seed, featuresCol="_q_v", predictionCol="_q_c").fit(majority)
-    clustered = km.transform(majority)
+    if split is None:
+        clustered = KMeans(k=n_models, seed=seed, featuresCol="_q_v", predictionCol="_q_c").fit(majority).transform(majority)
+    else:
+        clustered = majority.withColumn("_q_c", split)
     minority = data.filter(F.col("_q_y") == 1)
     out = data
     votes = None
     for l in range(n_models):
         train = clustered.filter(F.col("_q_c") == l).drop("_q_c").unionByName(minority)
         if value is None:
-            model = _fit_lr(train)
+            out = out.withColumn(f"_q_m{l}", _member(train, features).prediction(features))
         else:
             model = LinearRegression(featuresCol="_q_v", labelCol=value, regParam=0.01, elasticNetParam=0.0).fit(train)
-        out = _predict(model, out, f"_q_m{l}")
+            out = model.setPredictionCol(f"_q_m{l}").transform(out)
         votes = F.col(f"_q_m{l}") if votes is None else votes + F.col(f"_q_m{l}")
     final = (F.col("votes") > F.lit(n_models / 2.0)).cast("double") if value is None else F.col("votes") / F.lit(n_models)
     out = out.withColumn("votes", votes).withColumn("prediction", final)
@@ -406,20 +400,19 @@ def layered_ensemble(train: DataFrame, test: DataFrame, features: str, y: str, p
     rows hold a single class cannot be fitted and falls back to L1.
     Returns test + (p1, p2, p3, prediction)."""
     def prep(d):
-        return d.withColumn("_q_y", (F.col(y) == F.lit(positive)).cast("double")).withColumn(
-            "_q_v", as_vector(features))
+        return d.withColumn("_q_y", (F.col(y) == F.lit(positive)).cast("double"))
+
+    def fitted(rows: DataFrame, otherwise: LogisticModel) -> LogisticModel:
+        return _member(rows, features) if rows.select("_q_y").distinct().count() == 2 else otherwise
 
     tr, te = prep(train), prep(test)
-    m1 = _fit_lr(tr)
-    tr1 = _predict(m1, tr, "p1")
-    wrong = tr1.filter(F.col("p1") != F.col("_q_y")).drop("p1")
-    m2 = _fit_lr(wrong) if wrong.select("_q_y").distinct().count() == 2 else m1
-    tr2 = _predict(m2, tr1, "p2")
-    split = tr2.filter(F.col("p1") != F.col("p2")).drop("p1", "p2")
-    m3 = _fit_lr(split) if split.select("_q_y").distinct().count() == 2 else m1
-    out = _predict(m3, _predict(m2, _predict(m1, te, "p1"), "p2"), "p3")
-    return out.withColumn("prediction", vote_rule(F.col("p1"), F.col("p2"), F.col("p3"), rule)).drop(
-        "_q_v").withColumnRenamed("_q_y", "target")
+    m1 = _member(tr, features)
+    p1 = m1.prediction(features)
+    m2 = fitted(tr.filter(p1 != F.col("_q_y")), m1)
+    p2 = m2.prediction(features)
+    m3 = fitted(tr.filter(p1 != p2), m1)
+    out = te.withColumns({"p1": p1, "p2": p2, "p3": m3.prediction(features)})
+    return out.withColumn("prediction", vote_rule(F.col("p1"), F.col("p2"), F.col("p3"), rule)).withColumnRenamed("_q_y", "target")
 
 
 def _mixture_score(model, features: str):
@@ -474,5 +467,5 @@ def anomaly_then_classify(df: DataFrame, features: str, y: str, positive, share:
     scored = scored.withColumn("outlier", F.col("score") > F.lit(cut))
     outliers = scored.filter("outlier")
     two = outliers.select("_q_y").distinct().count() == 2
-    model = _fit_lr(outliers if two else scored)
-    return _predict(model, scored, "prediction").drop("_q_v").withColumnRenamed("_q_y", "target")
+    model = _member(outliers if two else scored, features)
+    return scored.withColumn("prediction", model.prediction(features)).drop("_q_v").withColumnRenamed("_q_y", "target")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.functions.expr import scalar_struct, unit_hash
 from quarry.functions.rank import top_n_per_group
 from quarry.functions.vectors import as_vector, dot, lit_array
+from quarry.operators.newton import fit_logistic
 from quarry.session import work_path
 
 
@@ -128,23 +129,24 @@ def bagging_mixed(df: DataFrame, features: str, y: str, positive, key: str, seed
     for i, kind in enumerate(models):
         w = f"_q_w{i}"
         train = data.withColumn(w, bootstrap_weight(f"{seed}.{i}.", F.col(key)))
+        name = f"pred_{kind}"
+        names.append(name)
         if kind == "logistic":
-            est = LogisticRegression(featuresCol="_q_v", labelCol="_q_y", weightCol=w, regParam=0.01)
-        elif kind == "tree":
+            out = out.withColumn(name, fit_logistic(train, features, "_q_y", w, reg=0.01).prediction(features))
+            continue
+        if kind == "tree":
             est = DecisionTreeClassifier(featuresCol="_q_v", labelCol="_q_y", weightCol=w, maxDepth=5, seed=seed)
         elif kind == "svm":
             est = LinearSVC(featuresCol="_q_v", labelCol="_q_y", weightCol=w, regParam=0.01)
         else:
             raise ValueError(kind)
         model = est.fit(train)
-        name = f"pred_{kind}"
         model.setPredictionCol(name)
         model.setRawPredictionCol(f"_q_raw{i}")
         if hasattr(model, "setProbabilityCol"):
             model.setProbabilityCol(f"_q_prob{i}")
         out = model.transform(out)
         out = out.drop(*[c for c in (f"_q_raw{i}", f"_q_prob{i}") if c in out.columns])
-        names.append(name)
     votes = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     out = out.withColumn("votes", votes).withColumn(
         "prediction", (F.col("votes") > F.lit(len(names) / 2.0)).cast("double"))

@@ -1,7 +1,8 @@
 """Instances of the model operators that have a closed form, so that DuckDB
 can check them: G9 and J7 in the plane, J2 as ridge regression, J4 as a
 stump, H7 with two regressors, G12 with one centre, I11's search, the
-bootstrap of J5 and the votes of the ensembles (G10, G11, J5)."""
+bootstrap of J5, and the ensembles' logistic members in the plane with their
+votes (G10, G11, J5)."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.operators import imbalance as G
 from quarry.operators import models as J
 from quarry.operators import stats as H
+from quarry.operators.newton import fit_logistic
 from quarry.plans.q_imbalance import MINORITY, _emb, split_train_test
 from quarry.plans.registry import register
 from quarry.sources.tables import load
@@ -126,12 +128,80 @@ def q_top_items(spark, sf):
     return J.top_items(e, e, 5).withColumn("score", F.round("score", 6))
 
 
+def _newton_sql(name: str, rows: str, steps: int = 14) -> str:
+    """CTEs ending in ``name`` (ca, cb, c0): a logistic model of (a, b) -> y with
+    weights w, penalty 0.01 on scaled features, by ``steps`` Newton steps from zero."""
+    ctes = [f"""{name}_c AS (SELECT sum(w) AS n, sum(w * w) AS q, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM {rows})""",
+            f"""{name}_s AS MATERIALIZED (SELECT any_value(n) AS n, any_value(ma) AS ma, any_value(mb) AS mb,
+       sqrt(sum(w * power(a - ma, 2)) / any_value(n - q / n)) AS sa, sqrt(sum(w * power(b - mb, 2)) / any_value(n - q / n)) AS sb FROM {rows}, {name}_c)""",
+            f"{name}_z AS MATERIALIZED (SELECT w / n AS w, y, (a - ma) / sa AS a, (b - mb) / sb AS b FROM {rows}, {name}_s)",
+            f"{name}_0 AS (SELECT 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS w2)"]
+    for k in range(steps):
+        ctes.append(f"""{name}_{k + 1} AS MATERIALIZED (
+  WITH p AS (SELECT *, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS p FROM {name}_z, {name}_{k}),
+       h AS (SELECT any_value(w0) AS v0, any_value(w1) AS v1, any_value(w2) AS v2,
+                    sum(w * (p - y)) AS g0, sum(w * (p - y) * a) + 0.01 * any_value(w1) AS g1, sum(w * (p - y) * b) + 0.01 * any_value(w2) AS g2,
+                    sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * a) AS h01, sum(w * p * (1 - p) * b) AS h02,
+                    sum(w * p * (1 - p) * a * a) + 0.01 AS h11, sum(w * p * (1 - p) * a * b) AS h12, sum(w * p * (1 - p) * b * b) + 0.01 AS h22 FROM p),
+       e AS (SELECT *, h11 - h01 * h01 / h00 AS e11, h12 - h01 * h02 / h00 AS e12, h22 - h02 * h02 / h00 AS e22,
+                    g1 - g0 * h01 / h00 AS r1, g2 - g0 * h02 / h00 AS r2 FROM h),
+       d AS (SELECT *, (e22 * r1 - e12 * r2) / (e11 * e22 - e12 * e12) AS d1, (e11 * r2 - e12 * r1) / (e11 * e22 - e12 * e12) AS d2 FROM e)
+  SELECT v0 - (g0 - h01 * d1 - h02 * d2) / h00 AS w0, v1 - d1 AS w1, v2 - d2 AS w2 FROM d)""")
+    ctes.append(f"{name} AS MATERIALIZED (SELECT w1 / sa AS ca, w2 / sb AS cb, w0 - w1 * ma / sa - w2 * mb / sb AS c0 FROM {name}_{steps}, {name}_s)")
+    return ",\n".join(ctes)
+
+
+def _call(model: str) -> str:
+    return f"({model}.c0 + {model}.ca * x.a + {model}.cb * x.b > 0)::DOUBLE"
+
+
+_NOISY = "x AS (SELECT p_partkey, p_size::DOUBLE AS a, p_partkey / 1000.0::DOUBLE AS b, (p_size > 30 OR p_partkey % 5 = 0)::DOUBLE AS y, 1::DOUBLE AS w FROM part)"
+
+
+def _noisy(spark, sf):
+    return _part(spark, sf).select("p_partkey", "x", ((F.col("a") > 30) | (F.col("p_partkey") % 5 == 0)).cast("int").alias("y"))
+
+
+@register("logistic_newton", "R", section="G10, G11, J5", sql=f"""
+WITH {_NOISY}, {_newton_sql('m', 'x')}
+SELECT 'a' AS term, round(ca, 6) AS coefficient FROM m UNION ALL SELECT 'b', round(cb, 6) FROM m UNION ALL SELECT 'intercept', round(c0, 6) FROM m
+""")
+def q_logistic_newton(spark, sf):
+    model = fit_logistic(_noisy(spark, sf), "x", "y")
+    found = zip(("a", "b", "intercept"), (*model.coefficients, model.intercept))
+    return spark.createDataFrame([(t, float(c)) for t, c in found], "term string, coefficient double").withColumn(
+        "coefficient", F.round("coefficient", 6))
+
+
+@register("divide_members", "O", section="G10", sql=f"""
+WITH {_NOISY}, {', '.join(f"t{i} AS (SELECT * FROM x WHERE y = 1 OR p_partkey % 3 = {i})" for i in range(3))},
+{', '.join(_newton_sql(f"m{i}", f"t{i}") for i in range(3))},
+v AS (SELECT x.p_partkey, x.y AS target, {' + '.join(_call(f"m{i}") for i in range(3))} AS votes FROM x, m0, m1, m2)
+SELECT p_partkey, target, votes, (votes > 1.5)::DOUBLE AS prediction FROM v
+""")
+def q_divide_members(spark, sf):
+    out = G.divide_conquer_ensemble(_noisy(spark, sf), "x", "y", 1, n_models=3, split=F.pmod("p_partkey", F.lit(3)))
+    return out.select("p_partkey", "target", "votes", "prediction")
+
+
+@register("layered_members", "O", section="G11", sql=f"""
+WITH {_NOISY}, {_newton_sql('l1', 'x')},
+w AS (SELECT x.* FROM x, l1 WHERE {_call('l1')} <> y), {_newton_sql('l2', 'w')},
+s AS (SELECT x.* FROM x, l1, l2 WHERE {_call('l1')} <> {_call('l2')}), {_newton_sql('l3', 's')},
+v AS (SELECT x.p_partkey, x.y AS target, {_call('l1')} AS p1, {_call('l2')} AS p2, {_call('l3')} AS p3 FROM x, l1, l2, l3)
+SELECT *, (p1 + p2 + p3 >= 2)::DOUBLE AS prediction FROM v
+""")
+def q_layered_members(spark, sf):
+    p = _noisy(spark, sf)
+    return G.layered_ensemble(p, p, "x", "y", 1).select("p_partkey", "target", "p1", "p2", "p3", "prediction")
+
+
 # a rule: the distribution function of Poisson(1)
 _CDF = [float(x) for x in J._POISSON1_CDF]
 
 
-def _weight_sql(salt):
-    u = f"(('0x' || substr(md5('{salt}' || CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+def _weight_sql(salt, key="vec_id"):
+    u = f"(('0x' || substr(md5('{salt}' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
     return " + ".join(f"({u} >= {x!r}::DOUBLE)::INT" for x in _CDF)
 
 
@@ -142,6 +212,15 @@ def q_bootstrap_weights(spark, sf):
     return load(spark, sf, "embeddings").select("vec_id", *[J.bootstrap_weight(f"17.{i}.", F.col("vec_id")).alias(f"w{i}") for i in range(3)])
 
 
+@register("bagged_logistic", "O", section="J5", sql=f"""
+WITH {_NOISY}, t AS (SELECT p_partkey, a, b, y, ({_weight_sql('17.0.', 'p_partkey')})::DOUBLE AS w FROM x), {_newton_sql('m', 't')}
+SELECT x.p_partkey, x.y AS target, {_call('m')} AS pred_logistic FROM x, m
+""")
+def q_bagged_logistic(spark, sf):
+    out = J.bagging_mixed(_noisy(spark, sf), "x", "y", 1, "p_partkey", models=("logistic",))
+    return out.select("p_partkey", "target", "pred_logistic")
+
+
 @register("ensemble_votes", "O", section="G10, G11, J5", bench=False, sql=f"""
 WITH e AS (SELECT (label = {MINORITY})::DOUBLE AS target, ('0x' || substr(md5('split' || CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM embeddings)
 SELECT kind, target, count(*) AS n, count(*) AS as_voted FROM e, (VALUES ('bagging'), ('divide'), ('layers')) k(kind)
