@@ -12,12 +12,10 @@ import math
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +24,8 @@ from pyspark.sql import functions as F
 from quarry.functions.expr import materialize_small, stable_hash
 from quarry.functions.joins import bounded_broadcast, join_on_keys
 from quarry.functions.rank import global_rank, rank_within
+from quarry.operators.mixture import fit_mixture
+from quarry.operators.models import pca
 from quarry.operators.neighbours import nearest_neighbours
 from quarry.operators.newton import LogisticModel, fit_logistic
 from quarry.operators.stats import exact_quantile
@@ -415,34 +415,15 @@ def layered_ensemble(train: DataFrame, test: DataFrame, features: str, y: str, p
     return out.withColumn("prediction", vote_rule(F.col("p1"), F.col("p2"), F.col("p3"), rule)).withColumnRenamed("_q_y", "target")
 
 
-def _mixture_score(model, features: str):
-    """Minus the log density of a Gaussian mixture, as a Column."""
-    rows = model.gaussiansDF.collect()  # k means and covariances
-    weights = np.array(model.weights)
-    means = np.array([r["mean"].toArray() for r in rows])
-    covs = [r["cov"].toArray() for r in rows]
-    d = means.shape[1]
-    covs = [c + np.eye(d) * 1e-9 * max(np.trace(c), 1e-9) for c in covs]
-    roots = np.array([np.linalg.inv(np.linalg.cholesky(c)) for c in covs])
-    logs = np.log(np.maximum(weights, 1e-300)) + np.array([np.log(np.diag(r)).sum() for r in roots]) - d / 2 * np.log(2 * np.pi)
-
-    def run(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="float64")
-        v = np.stack(x.to_numpy())
-        each = np.stack([logs[i] - 0.5 * (((v - means[i]) @ roots[i].T) ** 2).sum(1) for i in range(len(means))])
-        top = each.max(0)
-        return pd.Series(-(top + np.log(np.exp(each - top).sum(0))))
-    return F.pandas_udf(run, "double")(F.col(features).cast("array<double>"))
-
-
 def anomaly_then_classify(df: DataFrame, features: str, y: str, positive, share: float = 0.1,
-                          k: int = 8, seed: int = 9, method: str = "kmeans") -> DataFrame:
+                          k: int = 8, seed: int = 9, method: str = "kmeans", components: int = 4,
+                          max_steps: int = 30, tol: float = 1e-4) -> DataFrame:
     """Outliers first, then a classifier trained on them.
 
     Score by ``method``: ``kmeans``, the squared distance to the row's own of
     k centres (k = 1: to the mean); ``mixture``, minus the log density of a
-    mixture of k Gaussians.  Rows above the ceil((1 - share) n)-th smallest
+    mixture of k Gaussians, on the first ``components`` principal components
+    if the vectors are longer (``fit_mixture`` has ``max_steps`` and ``tol``).  Rows above the ceil((1 - share) n)-th smallest
     score are outliers, exactly.  A logistic model is fitted on the outliers
     (both classes needed, else on all rows) and predicts every row.  Returns
     df + (score, outlier, prediction).
@@ -451,8 +432,11 @@ def anomaly_then_classify(df: DataFrame, features: str, y: str, positive, share:
         "_q_v", as_vector(features))
     x = F.col(features).cast("array<double>")
     if method == "mixture":
-        model = GaussianMixture(k=k, seed=seed, featuresCol="_q_v", maxIter=30).fit(data)
-        scored = data.withColumn("score", _mixture_score(model, features))
+        size = data.agg(F.max(F.size(features))).first()[0] or 0
+        points = (pca(data, features, components)[0].withColumnRenamed("components", "_q_p") if size > components
+                  else data.withColumn("_q_p", x))
+        model = fit_mixture(points, "_q_p", k, max_steps, tol)
+        scored = points.withColumn("score", -model.log_density("_q_p") if model else F.lit(None).cast("double")).drop("_q_p")
     elif method == "kmeans" and k == 1:
         mean = data.select(Summarizer.mean(F.col("_q_v"))).first()[0].toArray()
         scored = data.withColumn("score", sq_dist(x, lit_array(mean)))

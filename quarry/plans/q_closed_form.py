@@ -1,6 +1,7 @@
 """Instances of the model operators that have a closed form, so that DuckDB
 can check them: G9 and J7 in the plane, J2 as ridge regression, J4 as a
-stump, H7 with two regressors, G12 with one centre, I11's search, the
+stump, H7 with two regressors, G12 with one centre and with a mixture in the
+plane, I11's search, the
 bootstrap of J5, and the ensembles' logistic members in the plane with their
 votes (G10, G11, J5)."""
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.operators import imbalance as G
 from quarry.operators import models as J
 from quarry.operators import stats as H
+from quarry.operators.mixture import fit_mixture
 from quarry.operators.newton import fit_logistic
 from quarry.plans.q_imbalance import MINORITY, _emb, split_train_test
 from quarry.plans.registry import register
@@ -117,6 +119,51 @@ def q_anomaly_distance(spark, sf):
     return out.select("vec_id", F.round("score", 8).alias("score"), "outlier")
 
 
+def _mixture_sql(steps: int) -> str:
+    """CTEs g0 to g<steps>, the two components after each step, and d<step>,
+    each row's log density before the next."""
+    ctes = [f"x AS ({_PART_XY})",
+            "o AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_samp(a) AS sa, stddev_samp(b) AS sb, covar_samp(a, b) AS cv FROM x)",
+            """g0 AS (SELECT c, 0.5::DOUBLE AS w, ma + (c - 0.5) * sa AS ma, mb + (c - 0.5) * sb AS mb, sa * sa + 1e-9 * (sa * sa + sb * sb) AS va,
+       sb * sb + 1e-9 * (sa * sa + sb * sb) AS vb, cv FROM o, (VALUES (0), (1)) k(c))"""]
+    for k in range(steps + 1):
+        ctes += [f"""e{k} AS (SELECT x.p_partkey, a, b, c, ln(w) - ln(2 * pi()) - 0.5 * ln(va * vb - cv * cv)
+       - 0.5 * (vb * power(a - ma, 2) - 2 * cv * (a - ma) * (b - mb) + va * power(b - mb, 2)) / (va * vb - cv * cv) AS t FROM x, g{k})""",
+                 f"d{k} AS (SELECT p_partkey, ln(sum(exp(t))) AS l FROM e{k} GROUP BY 1)"]
+        if k < steps:
+            ctes.append(f"""g{k + 1} AS (
+  WITH r AS (SELECT a, b, c, exp(t - l) AS r FROM e{k} JOIN d{k} USING (p_partkey)),
+       m AS (SELECT c, sum(r) AS n, sum(r * a) / sum(r) AS ma, sum(r * b) / sum(r) AS mb FROM r GROUP BY c),
+       v AS (SELECT c, sum(r * power(a - ma, 2)) / any_value(n) AS va, sum(r * power(b - mb, 2)) / any_value(n) AS vb,
+                    sum(r * (a - ma) * (b - mb)) / any_value(n) AS cv FROM r JOIN m USING (c) GROUP BY c)
+  SELECT c, n / (SELECT count(*) FROM x) AS w, ma, mb, va + 1e-9 * (va + vb) AS va, vb + 1e-9 * (va + vb) AS vb, cv FROM m JOIN v USING (c))""")
+    return ",\n".join(ctes)
+
+
+@register("mixture_steps", "R", section="G12", sql=f"""
+WITH {_mixture_sql(3)}
+SELECT c AS component, round(w, 8) AS weight, round(ma, 6) AS mean_a, round(mb, 8) AS mean_b, round(va, 5) AS var_a, round(vb, 8) AS var_b,
+       round(cv, 6) AS cov_ab, round((SELECT avg(l) FROM d2), 8) AS log_likelihood FROM g3
+""")
+def q_mixture_steps(spark, sf):
+    m = fit_mixture(_part(spark, sf), "x", 2, max_steps=3, tol=float("-inf"))
+    rows = [(c, float(m.weights[c]), *map(float, m.means[c]), *map(float, (v[0, 0], v[1, 1], v[0, 1])), float(m.gains[-1])) for c, v in enumerate(m.covariances)]
+    names = ["weight", "mean_a", "mean_b", "var_a", "var_b", "cov_ab", "log_likelihood"]
+    out = spark.createDataFrame(rows, "component int, " + ", ".join(f"{n} double" for n in names))
+    return out.select("component", *[F.round(n, p).alias(n) for n, p in zip(names, (8, 6, 8, 5, 8, 6, 8))])
+
+
+@register("anomaly_mixture", "R", section="G12", sql=f"""
+WITH {_mixture_sql(3)},
+     r AS (SELECT p_partkey, -l AS score, row_number() OVER (ORDER BY -l) AS k, count(*) OVER () AS n FROM d3)
+SELECT p_partkey, round(score, 7) AS score, k > ceil(0.9 * n - 1e-9) AS outlier FROM r
+""")
+def q_anomaly_mixture(spark, sf):
+    p = _part(spark, sf).withColumn("label", F.pmod("p_partkey", F.lit(2)))
+    out = G.anomaly_then_classify(p, "x", "label", 1, share=0.1, k=2, method="mixture", max_steps=3, tol=float("-inf"))
+    return out.select("p_partkey", F.round("score", 7).alias("score"), "outlier")
+
+
 @register("top_items", "R", section="I11", sql="""
 WITH s AS (SELECT u.vec_id AS user, i.vec_id AS item, list_inner_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score
            FROM embeddings u, embeddings i),

@@ -234,16 +234,14 @@ def test_divide_and_conquer_regression_is_the_mean_of_its_models(spark):
 
 def test_gaussian_mixture_scores_and_outliers(spark):
     import numpy as np
-    from types import SimpleNamespace
 
-    from pyspark.ml.linalg import DenseMatrix, Vectors
+    from quarry.operators.mixture import Mixture
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 1, (150, 2)), rng.normal(20, 2, (150, 2))])
     df = spark.createDataFrame([(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)], "id int, x array<double>, y int")
     means, covs, weights = [[0.0, 0.0], [20.0, 20.0]], [np.array([[1.0, 0.3], [0.3, 2.0]]), np.eye(2) * 4], [0.4, 0.6]
-    rows = [{"mean": Vectors.dense(m), "cov": DenseMatrix(2, 2, c.ravel().tolist())} for m, c in zip(means, covs)]
-    model = SimpleNamespace(weights=weights, gaussiansDF=SimpleNamespace(collect=lambda: rows))
-    got = {r.id: r.s for r in df.select("id", G._mixture_score(model, "x").alias("s")).collect()}
+    model = Mixture(np.array(weights), np.array(means), np.array(covs))
+    got = {r.id: r.s for r in df.select("id", (-model.log_density("x")).alias("s")).collect()}
     for i, v in enumerate(x):
         density = sum(w * np.exp(-0.5 * (v - m) @ np.linalg.inv(c) @ (v - m)) / (2 * np.pi * np.sqrt(np.linalg.det(c))) for w, m, c in zip(weights, means, covs))
         assert abs(got[i] + np.log(density)) < 1e-6 * (1 + abs(got[i]))
