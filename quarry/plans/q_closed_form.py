@@ -1,6 +1,6 @@
 """Instances of the model operators that have a closed form, so that DuckDB
 can check them: G9 and J7 in the plane, J2 as ridge regression, J4 as a
-stump, H7 with two regressors, G12 with one centre and with a mixture in the
+stump, J6 as boosted stumps, H7 with two regressors, G12 with one centre and with a mixture in the
 plane, I11's search, the
 bootstrap of J5, and the ensembles' logistic members in the plane with their
 votes (G10, G11, J5)."""
@@ -17,6 +17,7 @@ from quarry.operators import models as J
 from quarry.operators import stats as H
 from quarry.operators.mixture import fit_mixture
 from quarry.operators.newton import fit_logistic
+from quarry.operators.stumps import fit_stumps
 from quarry.plans.q_imbalance import MINORITY, _emb, split_train_test
 from quarry.plans.registry import register
 from quarry.sources.tables import load
@@ -107,6 +108,42 @@ def q_decision_stump(spark, sf):
     return out.select("p_partkey", "target", "prediction")
 
 
+def _rounds_sql(rounds: int, bins: int = 8) -> str:
+    """CTEs c0 to c<rounds>, the rows' margins after each round, and loss<k>."""
+    cell = lambda v: f"least(greatest(floor(({v} - l{v}) / w{v}), 0), {bins - 1})::INT AS b{v}"
+    ctes = [f"""x AS (SELECT p_partkey, p_size::DOUBLE AS a, p_partkey / 1000.0::DOUBLE AS b, (p_size > 30 OR p_partkey % 5 = 0)::DOUBLE AS y, p_partkey % 4 = 0 AS val FROM part),
+     o AS (SELECT min(a) AS la, (max(a) - min(a)) / {bins} AS wa, min(b) AS lb, (max(b) - min(b)) / {bins} AS wb, ln(avg(y) / (1 - avg(y))) AS m FROM x WHERE NOT val)""",
+            f"c0 AS MATERIALIZED (SELECT y, val, {cell('a')}, {cell('b')}, m FROM x, o)"]
+    for k in range(rounds + 1):
+        ctes.append(f"loss{k} AS (SELECT {k} AS round, avg(ln(1 + exp(m)) - y * m) AS loss FROM c{k} WHERE val)")
+        if k < rounds:
+            ctes.append(f"""c{k + 1} AS MATERIALIZED (
+  WITH p AS (SELECT *, 1 / (1 + exp(-m)) AS p FROM c{k} WHERE NOT val),
+       h AS (SELECT 0 AS j, ba AS s, sum(y - p) AS g, sum(p * (1 - p)) AS h FROM p GROUP BY ba UNION ALL SELECT 1, bb, sum(y - p), sum(p * (1 - p)) FROM p GROUP BY bb),
+       w AS (SELECT j, s, sum(g) OVER (PARTITION BY j ORDER BY s) AS gl, sum(h) OVER (PARTITION BY j ORDER BY s) AS hl,
+                    sum(g) OVER (PARTITION BY j) AS g, sum(h) OVER (PARTITION BY j) AS h, max(s) OVER (PARTITION BY j) AS last FROM h),
+       t AS (SELECT j, s, 0.3 * gl / (hl + 1) AS l, 0.3 * (g - gl) / (h - hl + 1) AS r FROM w WHERE s < last
+             ORDER BY power(gl, 2) / (hl + 1) + power(g - gl, 2) / (h - hl + 1) DESC, j, s LIMIT 1)
+  SELECT c.* EXCLUDE (m), m + CASE WHEN (CASE j WHEN 0 THEN ba ELSE bb END) <= s THEN l ELSE r END AS m FROM c{k} c, t)""")
+    return ",\n".join(ctes)
+
+
+_ROUNDS, _TOL = 8, 0.05
+
+
+@register("early_stopping_rounds", "R", section="J6", sql=f"""
+WITH {_rounds_sql(_ROUNDS)},
+     l AS ({' UNION ALL '.join(f"SELECT * FROM loss{k}" for k in range(_ROUNDS + 1))}),
+     s AS (SELECT min(round) AS stop FROM (SELECT *, lag(loss) OVER (ORDER BY round) - loss AS gain FROM l) WHERE gain < {_TOL} * greatest(loss, 0.01))
+SELECT round, round(loss, 8) AS loss, round < coalesce(stop, {_ROUNDS + 1}) AS kept FROM l, s WHERE round <= coalesce(stop, {_ROUNDS})
+""")
+def q_early_stopping_rounds(spark, sf):
+    rows = _noisy(spark, sf).withColumn("y", F.col("y").cast("double"))
+    model = fit_stumps(rows, "x", "y", F.col("p_partkey") % 4 == 0, rounds=_ROUNDS, tol=_TOL, bins=8)
+    found = [(k, float(v), k <= model.kept) for k, v in enumerate(model.losses)]
+    return spark.createDataFrame(found, "round int, loss double, kept boolean").withColumn("loss", F.round("loss", 8))
+
+
 @register("anomaly_distance", "R", section="G12", sql="""
 WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS j FROM embeddings),
      m AS (SELECT j, avg(v) AS m FROM e GROUP BY j),
