@@ -32,12 +32,13 @@ LARGEST = 9.2e18
 
 def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
     """(_id, _v) with _v the whole-number components.  Rows without an id, and
-    vectors that are null, empty, hold a null or non-finite component or (times
-    scale) have a squared length of ``LARGEST`` or more take no part."""
+    vectors that are null, hold a null or non-finite component or (times
+    scale) have a squared length of ``LARGEST`` or more take no part.  An empty
+    vector takes part, as zeros."""
     def fit(x):
         return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < F.lit(LARGEST ** 0.5))
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_x"))
-    rows = rows.filter(F.col("_id").isNotNull() & (F.size("_x") > 0) & F.forall("_x", fit))
+    rows = rows.filter(F.col("_id").isNotNull() & F.col("_x").isNotNull() & F.forall("_x", fit))
     rows = rows.select("_id", F.transform("_x", lambda x: F.floor(x.cast("double") * scale)).alias("_v"))
     return rows.filter(squared("_v") < F.lit(LARGEST))
 
@@ -252,8 +253,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
 #: brute force in SQL, for the registered query
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  SELECT vec_id, list_resize(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT),
+                             (SELECT max(len(embedding)) FROM embeddings), 0) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score

@@ -12,7 +12,7 @@ from quarry.llm import topk
 def brute(rows, every, k):
     kept = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             kept.append((i, [math.floor(64 * float(np.float32(x))) for x in v]))
     out = []
     queries = {}
@@ -41,7 +41,13 @@ def test_against_brute_force_with_ties_and_copies(spark, kw):
 
 def test_nulls_non_finite_short_vectors_and_repeats(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (3, [0.5]), (3, [-4.0, 1.0]), (4, None), (5, []), (6, [1.0, None]), (7, [float("nan"), 1.0]),
-            (8, [float("inf"), 0.0]), (None, [1.0, 1.0]), (9, [-0.001, 0.001])]
+            (8, [float("inf"), 0.0]), (None, [1.0, 1.0]), (9, [-0.001, 0.001]), (12, [])]
+    assert run(spark, rows) == brute(rows, 3, 5)
+
+
+def test_empty_vectors_are_zeros(spark):
+    assert run(spark, [(0, []), (3, []), (4, None)]) == [(0, 1, 3, 0), (3, 1, 0, 0)]
+    rows = [(0, []), (1, [1.0, -2.0]), (2, []), (3, [-1.0, -1.0]), (6, [0.5])]
     assert run(spark, rows) == brute(rows, 3, 5)
 
 
