@@ -12,6 +12,11 @@ one column a language, with what unseen strings cost worked out beforehand.  A
 task counts the distinct strings of each of its documents, looks them up, and
 takes the language of the lowest cross-entropy a character.
 
+If all strings of all languages are more than a task should hold, the same
+estimates are worked out by joins, order by order, and kept as tables.  Tasks
+then hold the costs of the most frequent strings; the other strings of each
+document, seen or not, meet theirs in a join.
+
 One fifth of the training documents is not counted but calibrates: it gives the
 temperature that turns cross-entropies into the score, and each
 language's limit of cross-entropy and score beyond which a text is rejected.
@@ -29,10 +34,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import in_slices, ship, text_of, tidy, written
 
 ORDER = 5
-#: what the arrays of the highest order may hold (strings times languages); beyond, the rarest strings are left out of the model
+#: what the arrays of the highest order may hold (strings times languages); beyond, the rarest strings are joined
 MOST_CELLS = 8_000_000
-#: calibration: about how many documents at most (by hashes of ids), and the share of a language's own texts that may be rejected
-CALIBRATION, REJECT = 10_000, 0.005
+#: calibration: the share of a language's own texts that may be rejected, and the temperatures tried
+REJECT, GRID = 0.005, np.geomspace(0.005, 2, 40)
 #: characters counted at once
 SLICE = 4 << 20
 
@@ -142,6 +147,8 @@ class Model:
     probabilities in each language; and those of contexts with the weight
     that shorter strings have after them."""
 
+    whole = True  # costs what it does not hold, too
+
     def __init__(self, langs: list[str], grams: list, contexts: list, unseen: np.ndarray):
         self.langs, self.grams, self.contexts, self.unseen = langs, grams, contexts, unseen
         self.temperature, self.limits, self.least_score = 0.1, np.full(len(langs), np.inf), 0.0
@@ -213,10 +220,89 @@ def _pair(lang: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (lang.astype(np.uint64) << np.uint64(48)) | h
 
 
+# --- a model larger than a task should hold --------------------------------------------
+
+def _cut(start: int, n: int, column: str = "gram") -> Column:
+    return F.substring(column, start, n) if n else F.lit("")
+
+
+def _by_language(langs: list[str], values) -> Column:
+    return F.create_map(*[F.lit(v) for pair in zip(langs, values) for v in pair])[F.col("lang")]
+
+
+class Tables:
+    """The estimates as tables of each order: what a string costs in the
+    languages that have it, and what the languages' shorter strings cost more
+    after a context."""
+
+    def __init__(self, langs: list[str], table: DataFrame):
+        self.langs, self.steps = langs, []
+        levels = {ORDER: table}
+        for n in range(ORDER - 1, 0, -1):
+            levels[n] = written(levels[n + 1].groupBy("lang", _cut(2, n).alias("gram")).agg(F.count("*").alias("c")), f"lang-{n}")
+        self.alphabet = max(2, levels[1].select("gram").distinct().count() + 1)
+        shorter = None
+        for n in range(1, ORDER + 1):
+            met = {r["lang"]: r for r in levels[n].groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()}
+            discount = _by_language(langs, [met[x]["once"] / (met[x]["once"] + 2 * met[x]["twice"]) if met[x]["once"] else 0.5 for x in langs])
+            level = levels[n].select("lang", "gram", "c", discount.alias("d"), _cut(1, n - 1).alias("ctx"), _cut(2, n - 1).alias("suffix"))
+            ctx = written(level.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("kinds")), f"lang-contexts-{n}")
+            level = level.join(ctx, ["lang", "ctx"])
+            level = level.withColumn("lower", F.lit(1 / self.alphabet)) if n == 1 else level.join(
+                shorter.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+            shorter = written(level.select("lang", "gram", ((F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) + F.col("kinds") * F.col("lower")) / F.col("total")).alias("p")), f"lang-chances-{n}")
+            self.steps.append((self._mapped(shorter, "gram", F.col("p"), n), self._mapped(ctx, "ctx", F.col("kinds") / F.col("total"), n)))
+
+    def _mapped(self, df: DataFrame, key: str, chance: Column, n: int) -> DataFrame:
+        """(key, costs by number of language), a row a string."""
+        entry = F.struct(_by_language(self.langs, range(len(self.langs))), -F.ln(F.greatest(chance, F.lit(1e-12))))
+        return written(df.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias(f"{key}_costs")), f"lang-{key}-{n}")
+
+    def costs(self, strings: DataFrame) -> DataFrame:
+        """(gram, costs) of distinct strings (gram), seen or not: one cost for each language."""
+        asked = {ORDER: strings}
+        for n in range(ORDER - 1, 0, -1):
+            asked[n] = asked[n + 1].select(_cut(2, n).alias("gram")).distinct()
+        known = None
+        for n, (grams, contexts) in enumerate(self.steps, 1):
+            rows = asked[n].select("gram", _cut(1, n - 1).alias("ctx"), _cut(2, n - 1).alias("suffix"))
+            rows = rows.withColumn("lower", F.array_repeat(F.lit(float(np.log(self.alphabet))), len(self.langs))) if n == 1 else rows.join(
+                known.select(F.col("gram").alias("suffix"), F.col("costs").alias("lower")), "suffix")
+            rows = rows.join(grams, "gram", "left").join(contexts, "ctx", "left")
+            known = written(rows.select("gram", F.transform("lower", lambda x, i: F.coalesce(
+                F.try_element_at("gram_costs", i), x + F.coalesce(F.try_element_at("ctx_costs", i), F.lit(0.0)))).alias("costs")), f"lang-costs-{n}")
+        return known
+
+
+class Frequent:
+    """What the most frequent strings cost, for the tasks; others are for a join."""
+
+    whole = False
+
+    def __init__(self, langs: list[str], rows: pa.Table):
+        chars = np.frombuffer("".join(rows.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+        self.langs = langs
+        self.temperature, self.limits, self.least_score = 0.1, np.full(len(langs), np.inf), 0.0
+        self.keys, first = np.unique(_hash([chars[:, j] for j in range(ORDER)]), return_index=True)
+        values = rows.column("costs").combine_chunks()
+        self.values = values.flatten().to_numpy().reshape(-1, len(langs)).astype(np.float32)[first] if len(values) else np.zeros((0, len(langs)), np.float32)
+
+    def missing(self, h: np.ndarray) -> np.ndarray:
+        return ~Model._find(self.keys, h)[1]
+
+    def costs(self, chars: np.ndarray, order: int, known: np.ndarray) -> np.ndarray:
+        at, hit = Model._find(self.keys, known)
+        out = np.zeros((len(known), len(self.langs)), np.float32)
+        out[hit] = self.values[at[hit]]
+        return out
+
+
 # --- scoring --------------------------------------------------------------------------
 
-def _entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy a character of each text in each language, and letters."""
+def _entropies(model: Model | Frequent, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
+    """Cross-entropy a character of each text in each language, and letters;
+    with (text, string, its share of the text's strings) of those that the
+    cross-entropy leaves to a join."""
     codes, doc, letters = _characters(texts)
     at = _strings(codes, doc)
     h = _hash([codes[at + j] for j in range(ORDER)])
@@ -229,11 +315,17 @@ def _entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros((len(texts), len(model.langs)))
     for k in range(len(model.langs)):
         sums[:, k] = np.bincount(owner, cost[:, k], len(texts))
-    return sums / np.maximum(n, 1)[:, None], letters
+    rest = []
+    if not model.whole:
+        off = np.flatnonzero(model.missing(key & np.uint64((1 << 48) - 1)))
+        joined = chars[off].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        rest = [*zip(owner[off].tolist(), (joined[k:k + ORDER] for k in range(0, len(joined), ORDER)), (c[off] / n[owner[off]]).tolist())]
+    return sums / np.maximum(n, 1)[:, None], letters, rest
 
 
-def _by_parts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """As ``_entropies``, in parts of bounded size: some documents, or a part of a long one."""
+def _by_parts(model: Model | Frequent, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
+    """As ``_entropies``, in parts of bounded size: some documents, or a part
+    of a long one; the strings left over by text."""
     parts, owner, size = [], [], []
     for i, t in enumerate(texts):
         for k in range(0, max(1, len(t)), SLICE):
@@ -242,13 +334,17 @@ def _by_parts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums, weights, letters = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     owner, size = np.array(owner, np.int64), np.array([len(p) for p in parts], np.int64)
     batch = np.cumsum(size + 20) // SLICE
+    whole, left = np.bincount(owner, size, len(texts)), [[] for _ in texts]
     for b in np.unique(batch):
         mine = np.flatnonzero(batch == b)
-        h, n = _entropies(model, [parts[i] for i in mine])
+        h, n, rest = _entropies(model, [parts[i] for i in mine])
+        for i, gram, share in rest:
+            i = mine[i]
+            left[owner[i]].append((gram, share * size[i] / max(1, whole[owner[i]])))
         np.add.at(sums, owner[mine], h * size[mine, None])
         np.add.at(weights, owner[mine], size[mine])
         np.add.at(letters, owner[mine], n)
-    return sums / np.maximum(weights, 1)[:, None], letters
+    return sums / np.maximum(weights, 1)[:, None], letters, left
 
 
 def _chances(h: np.ndarray, temperature: float) -> np.ndarray:
@@ -257,57 +353,118 @@ def _chances(h: np.ndarray, temperature: float) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def calibrate(model: Model, h: np.ndarray, truth: np.ndarray, reject: float = REJECT) -> None:
-    """Temperature of the least log loss; each language's limit, and the least
-    score, that all but ``reject`` of its own texts keep to."""
-    if not len(truth):
+def _losses(names: list[str]):
+    """(loss of each temperature, summed, rows) of rows (lang, h), one row a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, sums, n = {x: i for i, x in enumerate(names)}, np.zeros(len(GRID)), 0
+        for batch in in_slices(batches):
+            h = np.array(batch.column("h").to_pylist(), np.float64).reshape(-1, len(names))
+            truth = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            sums += [-np.log(np.maximum(_chances(h, t)[np.arange(len(h)), truth], 1e-9)).sum() for t in GRID]
+            n += len(h)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([n])], ["sums", "n"])
+    return tidy(run)
+
+
+def _own(names: list[str], temperature: float):
+    """(k, x) of the rightly told rows (lang, h): the cross-entropy for its
+    language's number, and the score, negative, for -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {x: i for i, x in enumerate(names)}
+        for batch in in_slices(batches):
+            h = np.array(batch.column("h").to_pylist(), np.float64).reshape(-1, len(names))
+            truth = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            right = h.argmin(1) == truth
+            h, truth = h[right], truth[right]
+            k, x = np.concatenate([truth, np.full(len(h), -1)]), np.concatenate([h[np.arange(len(h)), truth], -_chances(h, temperature).max(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(x, pa.float64())], ["k", "x"])
+    return tidy(run)
+
+
+def calibrate(model, rows: DataFrame, reject: float = REJECT) -> None:
+    """Temperature of the least log loss over rows (lang, h); each language's
+    limit, and the least score, that all but ``reject`` of its own texts keep
+    to.  Only the numbers beyond these limits reach the driver."""
+    sums = rows.mapInArrow(_losses(model.langs), "sums array<double>, n long").collect()
+    if not sum(r["n"] for r in sums):
         return
-    grid = np.geomspace(0.005, 2, 40)
-    losses = [-np.log(np.maximum(_chances(h, t)[np.arange(len(truth)), truth], 1e-9)).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(losses))])
-    best = h.argmin(1)
-    right = best == truth
-    for k in range(len(model.langs)):
-        own = h[right & (truth == k), k]
-        if len(own):
-            model.limits[k] = np.quantile(own, 1 - reject, method="higher")
-    if right.any():
-        model.least_score = float(np.quantile(_chances(h, model.temperature).max(1)[right], reject, method="lower"))
+    model.temperature = float(GRID[int(np.argmin(np.sum([r["sums"] for r in sums], axis=0)))])
+    own = written(rows.mapInArrow(_own(model.langs, model.temperature), "k long, x double"), "lang-own")
+    groups = own.groupBy("k").agg(F.count("*").alias("n"), F.percentile_approx("x", max(0.0, 1 - reject - 3e-4), 10_000).alias("low"))
+    tails: dict[int, list] = {}
+    for r in own.join(F.broadcast(groups), "k").filter("x >= low").select("k", "n", "x").toLocalIterator():
+        tails.setdefault(r["k"], [r["n"]]).append(r["x"])
+    for k, (n, *tail) in tails.items():
+        limit = sorted(tail, reverse=True)[n - 1 - int(np.ceil((n - 1) * (1 - reject)))]
+        if k < 0:
+            model.least_score = -float(limit)
+        else:
+            model.limits[k] = limit
+
+
+def _scorer(shared):
+    """Rows with ``_text`` as rows with letters, h, and the strings and shares left to a join."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        model, number = shared.value, TaskContext.get().partitionId() << 40
+        for batch in in_slices(batches):
+            h, letters, left = _by_parts(model, [t or "" for t in batch.column("_text").to_pylist()])
+            keep = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array(np.arange(number, number + batch.num_rows)), pa.array(letters, pa.int64()), pa.array([*h], pa.list_(pa.float64())),
+                 pa.array([[g for g, _ in x] for x in left], pa.list_(pa.string())), pa.array([[w for _, w in x] for x in left], pa.list_(pa.float64()))],
+                [*keep, "_key", "letters", "h", "grams", "shares"])
+            number += batch.num_rows
+    return tidy(run)
+
+
+def scored(rows: DataFrame, model: Model | Frequent, tables: Tables | None) -> DataFrame:
+    """``rows`` with letters and h, the cross-entropies, for ``_text``."""
+    keep = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    done = written(rows.mapInArrow(_scorer(shared), ", ".join([*keep, "_key long, letters long, h array<double>, grams array<string>, shares array<double>"])), "lang-scored")
+    shared.destroy()
+    if tables is None:
+        return done.drop("_key", "grams", "shares")
+    rest = done.select("_key", F.explode(F.arrays_zip("grams", "shares")).alias("x")).select("_key", "x.*")
+    costs = tables.costs(rest.select(F.col("grams").alias("gram")).distinct())
+    more = rest.join(costs, rest["grams"] == costs["gram"]).groupBy("_key").agg(
+        F.array(*[F.sum(F.col("costs")[k] * F.col("shares")) for k in range(len(model.langs))]).alias("more"))
+    whole = F.zip_with("h", "more", lambda x, y: x + y)
+    return written(done.drop("grams", "shares").join(more, "_key", "left").withColumn("h", F.coalesce(whole, "h")).drop("_key", "more"), "lang-whole")
 
 
-def _predictor(shared):
+def _predictor(model):
+    langs, temperature, limits, least_score = model.langs, model.temperature, model.limits, model.least_score
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*model.langs, "und"], object)
-        for batch in (part for whole in batches for part in in_slices([whole])):
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            n = len(texts)
-            h, letters = _by_parts(model, texts)
-            if model.langs:
+        names = np.array([*langs, "und"], object)
+        for batch in in_slices(batches):
+            n = batch.num_rows
+            letters = batch.column("letters").to_numpy()
+            if langs:
+                h = np.array(batch.column("h").to_pylist(), np.float64).reshape(-1, len(langs))
                 best = h.argmin(1)
-                score = _chances(h, model.temperature)[np.arange(n), best]
+                score = _chances(h, temperature)[np.arange(n), best]
                 low = h[np.arange(n), best]
-                rejected = (low > model.limits[best]) | (score < model.least_score)
+                rejected = (low > limits[best]) | (score < least_score)
             else:
                 best, score, low, rejected = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.ones(n, bool)
-            none = (letters == 0) | (not model.langs)
-            best, score = np.where(none, len(model.langs), best), np.where(none, 0.0, score)
-            keep = [c for c in batch.schema.names if c != "_text"]
+            none = (letters == 0) | (not langs)
+            best, score = np.where(none, len(langs), best), np.where(none, 0.0, score)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(score, pa.float64()),
-                 pa.array(low, pa.float64(), mask=none), pa.array(rejected | none, pa.bool_())], [*keep, "lang_pred", "score", "entropy", "rejected"])
+                [batch.column("_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()),
+                 pa.array(low, pa.float64(), mask=none), pa.array(rejected | none, pa.bool_())], ["_id", "held_out", "lang_pred", "score", "entropy", "rejected"])
     return tidy(run)
 
 
-def fit(train: DataFrame, calibration: DataFrame, most_cells: int = MOST_CELLS, most_calibration: int = CALIBRATION) -> Model:
-    """The model of rows (lang, _text), calibrated by others (lang, _text).
+def _learned(train: DataFrame, most_cells: int) -> tuple[Model | Frequent, Tables | None]:
+    """What tasks hold of the model of rows (lang, _text), and the tables of the rest.
 
-    All texts of ``train`` are counted.  If strings times languages exceed ``most_cells``,
-    strings rarer than the least count that fits are left out (the
-    counts of counts say which), so that what the driver holds and every task
-    receives is bounded, as are the ``most_calibration`` measured texts.
+    All strings of all texts are counted and estimated.  If strings times
+    languages exceed ``most_cells``, tasks hold the most frequent
+    strings only (the counts of counts say which), the tables all.
     """
-    spark = train.sparkSession
     table = written(counts(train), "lang-counts")
     langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     per_gram = table.groupBy("gram").agg(F.max("c").alias("top"))
@@ -318,29 +475,23 @@ def fit(train: DataFrame, calibration: DataFrame, most_cells: int = MOST_CELLS,
         if room < 0:
             cut = top + 1
             break
-    kept = table.filter(F.col("c") >= cut).toArrow()
+    if cut > 1:
+        tables = Tables(langs, table)
+        return Frequent(langs, tables.costs(per_gram.filter(F.col("top") >= cut).select("gram")).toArrow()), tables
+    kept = table.toArrow()
     number = {x: i for i, x in enumerate(langs)}
     lang = np.array([number[x] for x in kept.column("lang").to_pylist()], np.int64)
     text = "".join(kept.column("gram").to_pylist())
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-    model = estimate(langs, lang, chars, kept.column("c").to_numpy())
-    if langs:
-        shared = spark.sparkContext.broadcast(model)
-        known = calibration.filter(F.col("lang").isin(langs)).mapInArrow(_measurer(shared), "lang string, h array<double>").limit(most_calibration).toArrow()
-        h = np.array(known.column("h").to_pylist(), np.float64).reshape(-1, len(langs))
-        calibrate(model, h, np.array([number[x] for x in known.column("lang").to_pylist()], np.int64))
-        shared.destroy()
-    return model
+    return estimate(langs, lang, chars, kept.column("c").to_numpy()), None
 
 
-def _measurer(shared):
-    """(lang, h) of texts with letters."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            h, letters = _by_parts(shared.value, [t or "" for t in batch.column("_text").to_pylist()])
-            some = np.flatnonzero(letters)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(some)), pa.array(h[some].tolist(), pa.list_(pa.float64()))], ["lang", "h"])
-    return tidy(run)
+def fit(train: DataFrame, calibration: DataFrame, most_cells: int = MOST_CELLS) -> Model | Frequent:
+    """The model of rows (lang, _text), calibrated by others (lang, _text)."""
+    model, tables = _learned(train, most_cells)
+    if model.langs:
+        calibrate(model, scored(calibration.filter(F.col("lang").isin(model.langs)), model, tables).filter("letters > 0").select("lang", "h"))
+    return model
 
 
 def fold(id_col: str) -> Column:
@@ -348,13 +499,12 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_cells: int = MOST_CELLS,
-            most_calibration: int = CALIBRATION) -> DataFrame:
+def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_cells: int = MOST_CELLS) -> DataFrame:
     """(id, held_out, lang_pred, score, entropy, rejected), one row per row of ``docs``.
 
     Documents of fold 0 are held out: nothing is learned from them.  Folds 2 to
-    4 are counted, fold 1 calibrates (of it about ``most_calibration`` documents,
-    chosen by hash).  Only non-null languages are learned.
+    4 are counted, fold 1 calibrates, both whole.  Only non-null languages are
+    learned.  Every document is scored once.
 
     ``lang_pred`` is the learned language of the lowest cross-entropy, ``und`` for a
     text that is null or has no letter, and for all if no language could be
@@ -366,13 +516,13 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     rows = docs.select(F.col(id_col).alias("_id"), fold(id_col).alias("_fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("_text"))
     labelled = rows.filter(F.col("lang").isNotNull() & F.col("_text").isNotNull())
-    some = labelled.filter("_fold = 1")
-    sample = some.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(max(1, some.count()))) < most_calibration).select("lang", "_text")
-    model = fit(labelled.filter("_fold > 1").select("lang", text_of("_text").alias("_text")), sample, most_cells, most_calibration)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, tables = _learned(labelled.filter("_fold > 1").select("lang", text_of("_text").alias("_text")), most_cells)
+    whole = scored(rows.select("_id", (F.col("_fold") == 0).alias("held_out"), (F.col("_fold") == 1).alias("_calibrates"), "lang", "_text"), model, tables)
+    if model.langs:
+        calibrate(model, whole.filter(F.col("_calibrates") & F.col("lang").isin(model.langs) & (F.col("letters") > 0)).select("lang", "h"))
     kind = rows.schema["_id"].dataType.simpleString()
-    done = rows.select("_id", (F.col("_fold") == 0).alias("held_out"), "_text").mapInArrow(
-        _predictor(shared), f"_id {kind}, held_out boolean, lang_pred string, score double, entropy double, rejected boolean")
+    done = whole.select("_id", "held_out", "letters", "h").mapInArrow(
+        _predictor(model), f"_id {kind}, held_out boolean, lang_pred string, score double, entropy double, rejected boolean")
     return done.withColumnRenamed("_id", id_col)
 
 

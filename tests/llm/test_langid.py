@@ -92,3 +92,34 @@ def test_small_models_still_tell_languages(spark, cells):
     train = [(i, "the cat sat on the mat" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(80)]
     got = langid.predict(spark.createDataFrame(train, "doc_id long, text string, lang string"), most_cells=cells).collect()
     assert len(got) == 80 and sum(r["lang_pred"] == ("en" if r["doc_id"] % 2 else "de") for r in got) == 80
+
+
+@pytest.mark.parametrize("cells", [0, 300])
+def test_model_too_large_for_a_task_is_whole(spark, cells, monkeypatch):
+    """Strings beyond what tasks hold are joined: results are those of the whole model, long texts in parts, too."""
+    rng = np.random.default_rng(5)
+    words = {"en": "the cat sat on a mat and some dog ran by it".split(), "de": "der hund und die katze sind auf dem dach 😀x".split(), "fr": "le chat est sur la table et un chien".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i, lang in enumerate(["en", "de", "fr"] * 40)]
+    rows += [(1000, "zebra quux hund", None), (1001, None, "en"), (1002, "!!", None), (1003, "le chat zzz " * 400, None), (1003, "le chat zzz " * 400, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SLICE", 1500)
+    want, got = (sorted(langid.predict(docs, most_cells=n).collect(), key=lambda r: (r["doc_id"], r["score"])) for n in (10_000_000, cells))
+    assert len(want) == len(got) == len(rows)
+    for a, b in zip(want, got):
+        assert (a["doc_id"], a["held_out"], a["lang_pred"]) == (b["doc_id"], b["held_out"], b["lang_pred"])
+        assert math.isclose(a["score"], b["score"], abs_tol=1e-4) and (a["entropy"] is None) == (b["entropy"] is None)
+        assert a["entropy"] is None or math.isclose(a["entropy"], b["entropy"], rel_tol=1e-4)
+
+
+def test_all_of_the_calibration_counts(spark):
+    """Limits are exact quantiles over all calibrating texts, however many."""
+    model = langid.Model(["a", "b"], [], [], np.zeros(2))
+    rng = np.random.default_rng(9)
+    h = rng.uniform(1, 2, (12_345, 2))
+    truth = rng.integers(0, 2, len(h))
+    df = spark.createDataFrame([("ab"[k], x) for k, x in zip(truth.tolist(), h.tolist())], "lang string, h array<double>")
+    langid.calibrate(model, df.repartition(7))
+    right = h.argmin(1) == truth
+    for k in range(2):
+        assert math.isclose(model.limits[k], np.quantile(h[right & (truth == k), k], 1 - langid.REJECT, method="higher"))
+    assert math.isclose(model.least_score, np.quantile(langid._chances(h, model.temperature).max(1)[right], langid.REJECT, method="lower"))
