@@ -86,6 +86,10 @@ def _assigner(pivots: np.ndarray, most: float, dim: int, whole):
 INDEX = "stretch int, ids binary, vecs binary, cuts binary, pivots binary, low binary, high binary, queries binary"
 
 
+#: what the search reads of a pair of stretch and block
+SEARCHED = ("ids", "vecs", "cuts", "pivots", "low", "high", "qids", "qvecs", "least")
+
+
 def _packer(dim: int, annulus: int, stretch: int):
     """Stretches of the sorted index, each with its annuli: they end where
     the pivot changes or are full."""
@@ -174,7 +178,8 @@ def _searcher(pivots: np.ndarray, most: float, dim: int, k: int, kind, stored):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lifted, slack = _lifted(pivots, most), _slack(most, dim)
         for batch in batches:
-            for row in batch.to_pylist():
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r].as_buffer() for c in SEARCHED}  # the batch's own bytes
                 s = _Stretch(row, dim, kind, stored)
                 qids, least = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["least"], np.int64)
                 whole = np.frombuffer(row["qvecs"], stored).reshape(-1, dim)
@@ -227,7 +232,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
                                      F.max(F.array_max(F.transform("_v", lambda x: F.abs(x))))).first()
     dim, most, largest = dim or 1, most or 0.0, largest or 0
     kind = np.float32 if dim * largest ** 2 < 1 << 24 else np.float64 if dim * largest ** 2 < 1 << 53 else np.int64
-    whole = np.int32 if largest < 1 << 31 else np.int64
+    whole = next((t for t in (np.int8, np.int16, np.int32) if largest <= np.iinfo(t).max), np.int64)
     chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(pivots).select("_v").collect()  # a fixed number of vectors
     centres = np.zeros((max(1, len(chosen)), dim), whole)
     for i, row in enumerate(chosen):
@@ -242,9 +247,10 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     blocks = written(single.sortWithinPartitions("pivot", "low").select("_id", "vec", "least")
                      .mapInArrow(_block_maker(queries), "qids binary, qvecs binary, least binary"), "pivot-queries")
     last = index.agg(F.max("stretch")).first()[0]
-    # every block of queries goes to every stretch of the index, by its number
+    # every block of queries goes to every stretch of the index, by its number; Spark judges these copies by
+    # the blocks' own size and would broadcast them, through the driver
     sent = blocks.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
-    pairs = index.drop("queries").join(sent, "stretch")
+    pairs = index.drop("queries").join(sent.hint("shuffle_merge"), "stretch")
     best = pairs.mapInArrow(_searcher(centres, most, dim, k, kind, whole), "query_id long, vec_id long, score long")
     ranked = top_n_per_group(best, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, "rank")
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

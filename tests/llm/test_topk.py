@@ -72,3 +72,20 @@ def test_rows_of_any_size_whose_scores_fit(spark, size, kw):
     want = [(i, r + 1, j, -s) for i, q in whole.items() if i % 3 == 0
             for r, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole.items() if j != i)[:5])]
     assert run(spark, [*rows, (99, [1e9, 0.0, 0.0]), (100, [3e38, 1.0, 1.0])], **kw) == sorted(want)
+
+
+def test_copies_of_the_queries_are_never_broadcast(spark):
+    """Each stretch gets a copy of all queries: Spark would judge them by the size of one and send them through the driver."""
+    rows = [(i, [0.5 - i / 400, i / 400, 0.25]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plan = topk.top_k(df, F.col("_id") % 3 == 0, k=5, stretch=16, queries=8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+
+
+@pytest.mark.parametrize("size", [1, 127 / 64, 2, 500, 600, 40_000])
+def test_whole_numbers_of_every_width(spark, size):
+    """Components are kept in the fewest bytes that hold the largest; of the vectors of one id the query is the first in byte order, whatever the width."""
+    rng = np.random.default_rng(7)
+    rows = [(i % 50, [float(np.float32(x)) for x in rng.uniform(-1, 1, 4) * size]) for i in range(120)]
+    rows += [(200, [float(size), -float(size), 0.0, -1.0 / 64]), (201, [-float(size)] * 4)]
+    assert run(spark, rows, annulus=8, stretch=32, queries=8, pivots=5) == brute(rows, 3, 5)
