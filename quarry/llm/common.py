@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import sys
-from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import work_path
+from quarry.session import shuffle_files_dropped, small_batches, work_path  # noqa: F401
 
 
 def ship(module_name: str) -> None:
@@ -57,30 +56,6 @@ def row_key(row: str = "_row") -> Column:
     return F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), F.col(row)).alias("b"))
 
 
-@contextmanager
-def shuffle_files_dropped(spark: SparkSession):
-    """Inside, a finished query's shuffle files go at once; what it wrote stays."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-@contextmanager
-def small_batches(spark: SparkSession, most_bytes: int = 8 << 20):
-    """Inside, Spark hands Python its rows in batches bounded by bytes, too."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most_bytes))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: cuts the lineage, and a
     lost executor loses nothing of it."""

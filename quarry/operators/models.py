@@ -26,7 +26,7 @@ from quarry.functions.expr import scalar_struct, unit_hash
 from quarry.functions.rank import top_n_per_group
 from quarry.functions.vectors import as_vector, dot, lit_array
 from quarry.operators.newton import fit_logistic
-from quarry.session import work_path
+from quarry.session import shuffle_files_dropped, small_batches, work_path
 
 
 # task functions travel by value: workers need no copy of the package
@@ -194,6 +194,20 @@ def pca(df: DataFrame, features: str, k: int):
     return out, SimpleNamespace(pc=pc, explainedVariance=values[order] / total, covariance=covariance)
 
 
+#: ratings of a block of ALS, which a task holds several times over while it builds the block
+BLOCK_RATINGS = 4_000_000
+
+
+def als_blocks(ratings: int) -> int:
+    """How many blocks ALS deals users and items to: Spark's 10 until they are
+    full, then as many as the ratings need.  Ids go to blocks by their remainder, so
+    the number has no small divisor: ids in steps would leave blocks empty."""
+    blocks = max(10, -(-ratings // BLOCK_RATINGS))
+    while blocks > 10 and any(blocks % p == 0 for p in (2, 3, 5, 7)):
+        blocks += 1
+    return blocks
+
+
 def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, top_n: int = 5,
                   seed: int = 1, rank: int = 8, max_iter: int = 10) -> DataFrame:
     """Matrix factorisation (ALS, blocked on the executors) and the
@@ -203,12 +217,15 @@ def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, to
     ALS needs int ids.  Ids that already fit are used as they are; larger
     ones are numbered by a distributed dense index (global sort), never a
     driver-side label list.  Ratings are summed per (user, item) first.
-    Returns (user, item, score, rank).
+    Blocks grow in number, not in size (``als_blocks``), and stay on disk between
+    iterations; the factors are checkpointed every iteration, which lets the
+    shuffle files of the last one go.  Returns (user, item, score, rank).
     """
     from quarry.operators.business import dense_index
-    # ratings per (user, item), written once: ALS reads them every iteration
-    r = interactions.groupBy(user, item).agg(F.sum(rating).alias("_q_r")).checkpoint(eager=True)
-    rng = r.agg(F.min(user), F.max(user), F.min(item), F.max(item)).first()
+    # ratings per (user, item), written once
+    with shuffle_files_dropped(interactions.sparkSession):
+        r = _stored(interactions.groupBy(user, item).agg(F.sum(rating).alias("_q_r")), "ratings")
+    rng = r.agg(F.min(user), F.max(user), F.min(item), F.max(item), F.count(F.lit(1))).first()
     int_max = 2 ** 31 - 1
     if rng[0] is not None and rng[0] >= 0 and rng[1] <= int_max:
         ui = None
@@ -223,8 +240,10 @@ def als_recommend(interactions: DataFrame, user: str, item: str, rating: str, to
         ii = dense_index(r, item, "_q_i")
         r = r.join(ii, item)
     data = r.select("_q_u", "_q_i", "_q_r")
+    blocks = als_blocks(rng[4])
     model = ALS(userCol="_q_u", itemCol="_q_i", ratingCol="_q_r", rank=rank, maxIter=max_iter,
-                seed=seed, coldStartStrategy="drop", nonnegative=True).fit(data)
+                seed=seed, coldStartStrategy="drop", nonnegative=True, numUserBlocks=blocks, numItemBlocks=blocks,
+                intermediateStorageLevel="DISK_ONLY", checkpointInterval=1).fit(data)
     recs = top_items(model.userFactors, model.itemFactors, top_n)
     recs = recs.select(F.col("user").alias("_q_u"), F.col("item").alias("_q_i"), "score", "rank")
     recs = recs.join(ui, "_q_u") if ui is not None else recs.withColumn(user, F.col("_q_u").cast("long"))
@@ -368,4 +387,5 @@ def top_items(users: DataFrame, items: DataFrame, top_n: int, stretch: int = 819
     copies = packed.select("stretch", F.col("ids").alias("i_ids"), F.col("vecs").alias("i_vecs")).join(F.broadcast(met), "stretch")
     pairs = sent.join(copies.hint("shuffle_merge"), ["stretch", "part"])
     best = pairs.mapInArrow(_block_scorer(top_n, *kinds), "user long, item long, score double")
-    return top_n_per_group(best, ["user"], [F.col("score").desc(), F.col("item")], top_n)
+    with small_batches(spark), shuffle_files_dropped(spark):  # a pair is some 400 KB
+        return _stored(top_n_per_group(best, ["user"], [F.col("score").desc(), F.col("item")], top_n), "top-items")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -91,6 +92,30 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+@contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """Inside, a finished query's shuffle files go at once; what it wrote stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20):
+    """Inside, Spark hands Python its rows in batches bounded by bytes, too."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for plain-Python access in tests."""
     return path[len("file:"):] if path.startswith("file:") else path

@@ -414,6 +414,34 @@ def test_als_topn(spark):
     assert bad.count() == 0
 
 
+def test_als_blocks_grow_in_number_not_in_size(spark, monkeypatch):
+    """No block holds more than some ``BLOCK_RATINGS`` ratings, and every user still gets the best items of the model."""
+    rng = np.random.default_rng(4)
+    rows = [(u * 2, int(i) * 2, float(1 + (u * i) % 5)) for u in range(150) for i in rng.choice(60, 8, replace=False)]
+    df = spark.createDataFrame(rows, "u long, i long, r double")
+    models = []
+
+    class Kept(J.ALS):
+        def fit(self, data):
+            models.append((super().fit(data), data.count()))
+            return models[-1][0]
+
+    monkeypatch.setattr(J, "ALS", Kept)
+    for most, blocks in ((4_000_000, 10), (50, 29)):
+        monkeypatch.setattr(J, "BLOCK_RATINGS", most, raising=False)
+        got = J.als_recommend(df, "u", "i", "r", top_n=3).toPandas()
+        model, n = models[-1]
+        assert n == len(rows)
+        sizes = [len(part) for part in model.userFactors.rdd.glom().collect()]
+        assert len(sizes) == blocks and sum(sizes) == 150 and max(sizes) <= 2 * 150 / blocks * (2 if blocks == 10 else 1)
+        user = {r["id"]: np.array(r["features"], float) for r in model.userFactors.collect()}
+        item = {r["id"]: np.array(r["features"], float) for r in model.itemFactors.collect()}
+        best = {u: sorted((-float(x @ y) for y in item.values()))[:3] for u, x in user.items()}
+        assert len(got) == 3 * 150
+        for u, g in got.groupby("u"):
+            assert np.allclose(-g.sort_values("rank")["score"].to_numpy(), best[u], atol=1e-5)
+
+
 @pytest.mark.parametrize("pilot", [2, 40, 1000])
 def test_top_items_exact_against_brute_force(spark, pilot):
     rng = np.random.default_rng(3)
